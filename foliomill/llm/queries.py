@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import exact_dedup, license_diagonals
+from foliomill.llm import bpe, exact_dedup, license_diagonals, pattern_packing, token_attribution
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,7 +22,28 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).drop("n_copies")
 
 
-QUERIES = {f.__name__: f for f in (op6_license_scans, op7_exact_dedup)}
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip_digests(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_attribution.section_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pattern_packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op6_license_scans,
+        op7_exact_dedup,
+        op8_bpe_round_trip,
+        op9_token_counts,
+        op10_best_fit_packing,
+    )
+}
 
 ORACLES = {
     "op7_exact_dedup": r"""
