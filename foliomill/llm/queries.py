@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import bpe, exact_dedup, license_diagonals, pattern_packing, token_attribution
+from foliomill.llm import bpe, exact_dedup, license_diagonals, pattern_packing, simhash_bk, token_attribution
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_bk.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_diagonals.scan_licenses(_table(spark, sf_dir, "documents"))
 
@@ -37,6 +41,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op5_simhash_near_dedup,
         op6_license_scans,
         op7_exact_dedup,
         op8_bpe_round_trip,
