@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import bpe, exact_dedup, license_diagonals, pattern_packing, simhash_bk, token_attribution
+from foliomill.llm import bpe, exact_dedup, license_diagonals, pattern_packing, simhash_bk, token_attribution, warc_chain
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_chain.archive_round_trip(_table(spark, sf_dir, "pages")).drop("verified")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -41,6 +45,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op3_warc_round_trip,
         op5_simhash_near_dedup,
         op6_license_scans,
         op7_exact_dedup,
@@ -51,6 +56,14 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_warc_round_trip": """
+        WITH p AS (
+          SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+        q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
+        SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+        FROM q""",
     "op7_exact_dedup": r"""
         WITH d AS (
           SELECT doc_id, length(coalesce(text, '')) AS points,
