@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import bpe, exact_dedup, license_diagonals, pattern_packing, simhash_bk, token_attribution, vector_graph, warc_chain
+from foliomill.llm import bpe, brown_lm, exact_dedup, license_diagonals, pattern_packing, simhash_bk, token_attribution, vector_graph, warc_chain
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -22,6 +22,10 @@ def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_chain.archive_round_trip(_table(spark, sf_dir, "pages")).drop("verified")
 
 
+def op4_brown_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return brown_lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_bk.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     for f in (
         op2_embedding_near_dedup,
         op3_warc_round_trip,
+        op4_brown_lm_scores,
         op5_simhash_near_dedup,
         op6_license_scans,
         op7_exact_dedup,
