@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from foliomill.llm import bpe, brown_lm, exact_dedup, license_diagonals, pattern_packing, simhash_bk, token_attribution, vector_graph, warc_chain
+from foliomill.llm import bpe, brown_lm, exact_dedup, license_diagonals, pattern_packing, quality_cnn, simhash_bk, token_attribution, vector_graph, warc_chain
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cnn.score_documents(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_graph.near_vectors(_table(spark, sf_dir, "embeddings"))
 
@@ -53,6 +57,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_quality_classifier,
         op2_embedding_near_dedup,
         op3_warc_round_trip,
         op4_brown_lm_scores,
