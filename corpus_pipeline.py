@@ -1,4 +1,55 @@
-"""Corpus pipeline (stages follow)."""
+"""The corpus pipeline: bad documents go, then exact copies, then near copies; what stays is packed.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
+again as the docs of the next. All stages but the last return the columns of documents; the last
+returns the pieces of packed sequences. A null text is an empty text in every stage. Near copies are
+texts whose five-word shingles have a similarity of 0.8 or more as 256-bit SimHash tells it.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from foliomill.llm import exact_dedup, pattern_packing, quality_cnn, simhash_bk
+from foliomill.llm.common import written
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_cnn.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_one_of_equals(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash_bk.keep_one_of_similar(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pattern_packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("exact_dedup", exact_duplicates),
+    ("simhash_near_dedup", near_duplicates),
+    ("best_fit_packing", packing),
+]
+
+#: A classifier, near-duplicate components and a packing have no SQL; tests hold them against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
+ORACLES: dict[str, str] = {}

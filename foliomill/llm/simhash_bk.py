@@ -18,6 +18,11 @@ linked like any other; equal fingerprints are one node, however many rows have t
 repeat a document each get its result. An empty table gives an empty result; columns other than
 doc_id and text are not looked at. A null doc_id gets a fingerprint and joins its component, but
 names none.
+
+``similar_documents`` links by a shingle similarity (Jaccard) instead of a number of bits. It takes
+256-bit fingerprints, whose distance tells similarities apart, and as so many changed bits leave no
+blocks whole, its shards are keyed by random bits: a link at the similarity asked for has a shard in
+common with a probability of about 0.91, one at 0.85 of 0.98 and one at 0.9 of 0.998.
 """
 
 from __future__ import annotations
@@ -41,6 +46,10 @@ KEEP = 2
 SEED = 42
 #: Fingerprints of a shard that one tree holds at most.
 BLOCK = 4096
+#: For links by similarity: 64-bit words of a fingerprint, words of a shingle, similarity, shard keys and bits of each.
+WIDE, WIDE_SHINGLE, SIMILARITY, TABLES, KEY_BITS = 4, 5, 0.8, 32, 16
+#: Oversized shards up to which their table is broadcast.
+BROADCAST_SHARDS = 50_000
 #: Comparisons that a task may have in memory at once.
 PAIRS_AT_ONCE = 1 << 22
 
@@ -88,19 +97,25 @@ def shard_masks(radius: int = RADIUS, keep: int = KEEP) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hamming distances of the rows of a and b."""
+    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+
+
 class BkForest:
-    """BK-trees of many groups in flat arrays, built and searched level by level."""
+    """BK-trees of many groups in flat arrays, built and searched level by level; a value is a row of 64-bit words."""
 
     def __init__(self, values: np.ndarray, groups: np.ndarray):
         """groups is sorted; the first value of a group is its root. Values are distinct in a group."""
         self.values = values
+        self.fan = 64 * values.shape[1] + 1
         self.root_groups, self.roots = np.unique(groups, return_index=True)
         at = self.roots[np.searchsorted(self.root_groups, groups)]
         todo = np.setdiff1d(np.arange(len(values)), self.roots)
         at = at[todo]
         slots, children = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         while len(todo):
-            slot = at * 65 + np.bitwise_count(values[todo] ^ values[at])
+            slot = at * self.fan + distances(values[todo], values[at])
             taken, first, which = np.unique(slot, return_index=True, return_inverse=True)
             slots.append(taken)
             children.append(todo[first])
@@ -120,11 +135,11 @@ class BkForest:
         node = self.roots[place[asked]] if len(asked) else asked
         hits: list[tuple[np.ndarray, np.ndarray]] = []
         while len(asked):
-            distance = np.bitwise_count(queries[asked] ^ self.values[node]).astype(np.int64)
+            distance = distances(queries[asked], self.values[node])
             near = distance <= radius
             hits.append((asked[near], node[near]))
-            low = np.searchsorted(self.slots, node * 65 + np.maximum(distance - radius, 1), "left")
-            high = np.searchsorted(self.slots, node * 65 + np.minimum(distance + radius, 64), "right")
+            low = np.searchsorted(self.slots, node * self.fan + np.maximum(distance - radius, 1), "left")
+            high = np.searchsorted(self.slots, node * self.fan + np.minimum(distance + radius, self.fan - 1), "right")
             many = high - low
             asked = np.repeat(asked, many)
             step = np.arange(len(asked)) - np.repeat(np.cumsum(many) - many, many)
@@ -155,7 +170,49 @@ def group_links(value: np.ndarray, group: np.ndarray, ask: np.ndarray, tree: np.
     a, b = asking[q], in_tree[v]
     reach = stars(len(value), a, b)
     linked = np.flatnonzero(reach != np.arange(len(value)))
-    return value[linked], value[reach[linked]]
+    return linked, reach[linked]
+
+
+def block_links(radius: int, words: list[str], names: str):
+    """A mapInArrow function over rows sorted by (choice, bits, low, high): star links (u, v) of each group.
+
+    words are the columns of the fingerprint, names the column that links tell.
+    """
+    key = ["choice", "bits", "low", "high"]
+
+    def links(number: np.ndarray, rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        group = np.cumsum(np.r_[0, number[1:] != number[:-1]])
+        sizes = np.bincount(group)
+        # as many groups at a time as their comparisons allow; groups of one have nothing to link
+        turn = np.where(sizes > 1, np.cumsum(sizes.astype(float) ** 2) // PAIRS_AT_ONCE, -1)[group]
+        for t in np.unique(turn[turn >= 0]):
+            take = turn == t
+            value = np.stack([rows[w][take].view(np.uint64) for w in words], 1)
+            u, v = group_links(value, group[take], rows["own"][take] == rows["low"][take], rows["own"][take] == rows["high"][take], radius)
+            name = rows[names][take]
+            yield pa.RecordBatch.from_arrays([pa.array(name[u]), pa.array(name[v])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        columns = list(dict.fromkeys(["own", "low", "high", *words, names]))
+        held = {c: np.empty(0, np.int64) for c in columns}
+        numbers, last, number = np.empty(0, np.int64), None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in key])
+            before = np.concatenate([keys[:, :1] if last is None else last, keys[:, :-1]], 1)
+            new = number + np.cumsum((keys != before).any(0))
+            number, last = int(new[-1]), keys[:, -1:]
+            numbers = np.r_[numbers, new]
+            held = {c: np.r_[held[c], batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)] for c in columns}
+            whole = numbers != number
+            if whole.any():
+                yield from links(numbers[whole], {c: x[whole] for c, x in held.items()})
+                numbers, held = numbers[~whole], {c: x[~whole] for c, x in held.items()}
+        if len(numbers):
+            yield from links(numbers, held)
+
+    return run
 
 
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, keep: int = KEEP, block: int = BLOCK) -> DataFrame:
@@ -174,40 +231,75 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, keep: int = KEE
         .select("choice", "bits", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "fp")
     )
     key = ["choice", "bits", "low", "high"]
-    dealt = paired.repartition(*key).sortWithinPartitions(*key)
+    return paired.repartition(*key).sortWithinPartitions(*key).mapInArrow(block_links(radius, ["fp"], "fp"), "u long, v long")
+
+
+def wide_fingerprints(docs: DataFrame, width: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
+    """Per row of docs: doc_id, w0..: SimHash words of a shingle's XXH64 and of its remixes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def links(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-            """rows: (key number, own, low, high, fp), whole groups."""
-            number, own_, low, high, fp = rows
-            group = np.cumsum(np.r_[0, number[1:] != number[:-1]])
-            sizes = np.bincount(group)
-            # as many groups at a time as their comparisons allow
-            turn = np.cumsum(sizes.astype(float) ** 2) // PAIRS_AT_ONCE
-            for t in np.unique(turn):
-                take = turn[group] == t
-                g, value = group[take], fp[take].view(np.uint64)
-                u, v = group_links(value, g, own_[take] == low[take], own_[take] == high[take], radius)
-                yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
-
-        held, last, number = np.empty((5, 0), np.int64), None, 0
-        for batch in batches:
-            c = {n: batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in (*key, "own", "fp")}
-            if not batch.num_rows:
-                continue
-            keys = np.stack([c[k] for k in key])
-            before = np.concatenate([keys[:, :1] if last is None else last, keys[:, :-1]], 1)
-            numbers = number + np.cumsum((keys != before).any(0))
-            number, last = int(numbers[-1]), keys[:, -1:]
-            held = np.concatenate([held, np.stack([numbers, c["own"], c["low"], c["high"], c["fp"]])], 1)
-            whole = held[0] != number
-            if whole.any():
-                yield from links(held[:, whole])
-                held = held[:, ~whole]
-        if held.shape[1]:
-            yield from links(held)
+        for rows in slices(batches):
+            found = np.zeros((rows.num_rows, words), np.uint64)
+            for n, text in enumerate(rows.column("text").to_pylist()):
+                hashes = shingle_hashes(text, width)
+                for k in range(words):
+                    found[n, k] = simhash(hashes)
+                    hashes = remixed(hashes)
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *[pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(words)]], ["doc_id", *[f"w{k}" for k in range(words)]])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"w{k} long" for k in range(words)))
+
+
+def remixed(hashes: np.ndarray) -> np.ndarray:
+    """Another hash of what each hash stands for (an xor-multiply mix)."""
+    x = hashes + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_radius(similarity: float = SIMILARITY, words: int = WIDE) -> int:
+    """Bits in which fingerprints of texts of that Jaccard similarity differ on average, and a standard deviation more."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    bits = 64 * words
+    return int(bits * share + np.sqrt(bits * share * (1 - share)))
+
+
+def wide_links(distinct: DataFrame, radius: int, words: int = WIDE, tables: int = TABLES, key_bits: int = KEY_BITS, block: int = BLOCK) -> DataFrame:
+    """Links (u, v) between the nodes of distinct (node, w0, ...) whose fingerprints are within the radius and share a shard."""
+    rng = np.random.default_rng(SEED)
+    columns = [f"w{k}" for k in range(words)]
+    masks = np.zeros((tables, words), np.uint64)
+    for table in range(tables):
+        for bit in rng.choice(64 * words, key_bits, replace=False).tolist():
+            masks[table, bit // 64] |= np.uint64(1 << bit % 64)
+    keyed = lambda row: F.xxhash64(*[F.col(c).bitwiseAND(F.lit(int(m.astype(np.int64)))) for c, m in zip(columns, row)])
+    shards = F.posexplode(F.array(*[keyed(row) for row in masks])).alias("choice", "bits")
+    crowded = distinct.select(shards).groupBy("choice", "bits").count().where(F.col("count") > block)
+    crowded = written(crowded.select("choice", "bits", F.ceil(F.col("count") / F.lit(block)).cast("int").alias("parts")), "crowded")
+    rows = distinct.select("node", *columns, shards)
+    rows = rows.join(F.broadcast(crowded) if crowded.count() <= BROADCAST_SHARDS else crowded, ["choice", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    own = F.pmod(F.col("node"), F.col("parts")).cast("int")
+    paired = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    paired = paired.select("choice", "bits", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", *columns)
+    key = ["choice", "bits", "low", "high"]
+    return paired.repartition(*key).sortWithinPartitions(*key).mapInArrow(block_links(radius, columns, "node"), "u long, v long")
+
 
-    return dealt.mapInArrow(run, "u long, v long")
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDE_SHINGLE) -> DataFrame:
+    """Per row of docs: doc_id and component_id, the least doc_id of the texts that links of that similarity reach."""
+    columns = [f"w{k}" for k in range(WIDE)]
+    marked = written(wide_fingerprints(docs, width).withColumn("node", F.xxhash64(*columns)), "simhash")
+    distinct = written(marked.groupBy("node").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in columns]), "fingerprints")
+    roots = connected_components(written(wide_links(distinct, wide_radius(similarity)), "near"))
+    return _named(marked.select("doc_id", "node"), distinct.select("node", "first_doc"), roots).select("doc_id", "component_id")
+
+
+def _named(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows (with node) and the least first_doc of each node's component."""
+    placed = nodes.join(roots, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
+    least = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
+    return rows.join(placed.join(least, "root").select("node", "component_id"), "node")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -215,13 +307,15 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     marked = written(fingerprints(docs, width), "simhash")
     distinct = written(marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc")), "fingerprints")
     roots = connected_components(written(fingerprint_links(distinct.select("fp"), radius), "near"))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_doc", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = _named(marked.withColumnRenamed("fp", "node"), distinct.withColumnRenamed("fp", "node"), roots)
+    return named.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
+
 
+def keep_one_of_similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of docs whose doc_id names their component: one document of each group, with all columns.
 
-def keep_one_of_near(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose doc_id names their component: one document of each group, with all columns."""
-    kept = near_duplicates(docs, width, radius).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
+    Rows with a null doc_id in a group without other ids have no name; they stay.
+    """
+    groups = similar_documents(docs, similarity)
+    gone = groups.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
