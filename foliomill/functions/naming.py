@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from foliomill.functions.text import strip
 
@@ -19,7 +20,7 @@ def display_name(raw: Column) -> Column:
     return F.coalesce(F.nullif(strip(last), F.lit("")), F.lit("document.pdf"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkd_ascii(names: pd.Series) -> pd.Series:
     """Compatibility decomposition without what is not ASCII. Spark has no built-in for it."""
     return names.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())

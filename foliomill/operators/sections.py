@@ -79,8 +79,14 @@ def split_into_sections(docs: DataFrame, key: str = "doc_id", markdown: str = "m
     lines = lines.withColumn("piece", F.sum(F.when(cut, 1).otherwise(0)).over(along))
     lines = _without_blank_start(lines, [key, "grp"], "piece", F.col("cut_level").isNotNull())
     # an untitled first piece rides with the one that follows it
-    lines = lines.withColumn("piece", F.when(F.col("cut_level").isNotNull(), F.greatest("piece", F.lit(1))).otherwise(F.lit(0)))
     lines = lines.withColumn("piece_title", F.when(F.col("level") == F.col("cut_level"), F.col("title")))
+    named = F.max(F.coalesce("piece_title", F.lit(""))).over(Window.partitionBy(key, "grp", "piece"))
+    lines = lines.withColumn("named", named).withColumn("first_piece", F.min("piece").over(group))
+    first_named = F.max(F.when(F.col("piece") == F.col("first_piece"), F.col("named"))).over(group)
+    more = F.max("piece").over(group) > F.col("first_piece")
+    lines = lines.withColumn("rides", F.coalesce(F.col("cut_level").isNotNull() & (F.col("piece") == F.col("first_piece")) & (first_named == "") & more, F.lit(False)))
+    lines = lines.withColumn("piece", F.when(F.col("rides"), F.col("piece") + 1).otherwise(F.col("piece")))
+    lines = lines.withColumn("piece_title", F.when(~F.col("rides"), F.col("piece_title")))
     texts = lines.groupBy(key, "grp", "piece").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "raw"))), lambda x: x["raw"]), "").alias("text"),
         F.first("group_title").alias("group_title"),

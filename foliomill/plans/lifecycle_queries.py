@@ -1,4 +1,271 @@
-"""Registered lifecycle queries."""
+"""Registered queries over parts, retries, recovery, alarms, streams and whole conversions."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from foliomill.operators import parts as pt
+from foliomill.operators import registry
+from foliomill.plans.convert import convert_corpus
+from foliomill.plans.derived import CTES, Derived
+from foliomill.sources import sinks
+from foliomill.streaming import alarms, feed, state
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+AS_OF = "2024-01-15 00:00:00"
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Derived(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = CTES + sql
+        return f
+
+    return keep
+
+
+def as_of():
+    return F.lit(AS_OF).cast("timestamp_ntz")
+
+
+def scratch(d: Derived, tag: str) -> str:
+    base = d.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="foliomill-")
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+@query("""
+ SELECT content_hash, CAST(n + 1 AS INT) AS ordinal, CAST(1 + 3 * n AS INT) AS first_page, CAST(least(3 + 3 * n, page_count) AS INT) AS last_page
+ FROM (SELECT content_hash, page_count, unnest(range(0, (page_count + 2) // 3)) AS n FROM source_document WHERE page_count > 0)""")
+def t1_plan_parts(d):
+    return pt.plan_parts(d.documents.where("page_count > 0"), 3).select("content_hash", "ordinal", "first_page", "last_page")
+
+
+@query("""
+ , m AS (SELECT *, max(ordinal) OVER (PARTITION BY job_id) AS top, status = 'failed' AND last_page > first_page AS doomed FROM conversion_part)
+ , h AS (SELECT job_id, top, split_depth, unnest([first_page, first_page + 1]) AS page FROM m WHERE doomed)
+ SELECT job_id, ordinal, first_page, last_page, status, split_depth FROM m WHERE NOT doomed
+ UNION ALL SELECT job_id, top + row_number() OVER (PARTITION BY job_id ORDER BY page), page, page, 'queued', split_depth + 1 FROM h""")
+def t2_w4_halve_parts(d):
+    halved = pt.halve_parts(d.parts, (F.col("status") == "failed") & (F.col("last_page") > F.col("first_page")))
+    return halved.select("job_id", "ordinal", "first_page", "last_page", "status", "split_depth")
+
+
+@query("""
+ SELECT job_id, md5(CASE WHEN count(*) FILTER (WHERE status = 'succeeded') > 0 THEN string_agg(CASE WHEN status = 'succeeded' THEN markdown ELSE
+   concat('> **Pages ', first_page, '-', last_page, ' are missing from this document.** That part could not be converted, so its content is absent here. Convert those pages separately if you need them.') END,
+   chr(10) || chr(10) ORDER BY first_page) || chr(10) END) AS text_md5, count(*) AS part_count FROM conversion_part GROUP BY job_id""")
+def t3_join_parts(d):
+    return pt.join_parts(d.parts).select("job_id", F.md5("markdown").alias("text_md5"), "part_count")
+
+
+@query("""
+ SELECT job_id, string_agg(concat(first_page, '-', last_page), ',' ORDER BY first_page) FILTER (WHERE status <> 'succeeded') AS missing,
+   CASE WHEN count(*) FILTER (WHERE status = 'succeeded') = 0 THEN coalesce(first(failure_reason ORDER BY first_page), 'The document was converted but the result could not be saved, so it was lost. Please convert it again.') END AS failure_reason
+ FROM conversion_part GROUP BY job_id""")
+def t4_missing_ranges(d):
+    found = pt.missing_ranges(d.parts)
+    shown = F.array_join(F.transform("missing_page_ranges", lambda r: F.concat(r["first_page"].cast("string"), F.lit("-"), r["last_page"].cast("string"))), ",")
+    return found.select("job_id", shown.alias("missing"), "failure_reason")
+
+
+@query(" SELECT id, CAST(row_number() OVER (PARTITION BY job_id ORDER BY first_page, ordinal) AS INT) AS position FROM conversion_part")
+def w2_reading_order(d):
+    return pt.reading_order(d.parts).select("id", "position")
+
+
+@query("""
+ , p AS (SELECT job_id, first_page, last_page, coalesce(max(last_page) OVER (PARTITION BY job_id ORDER BY first_page, last_page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
+         FROM (SELECT job_id, CASE WHEN ordinal % 7 = 3 THEN first_page - 1 ELSE first_page END AS first_page, last_page FROM conversion_part WHERE ordinal % 5 <> 2))
+ SELECT job_id, 'gap' AS fault, b + 1 AS from_page, first_page - 1 AS to_page FROM p WHERE first_page > b + 1
+ UNION ALL SELECT job_id, 'overlap', first_page, least(b, last_page) FROM p WHERE first_page <= b
+ UNION ALL SELECT j.id, 'gap', coalesce(max(p.last_page), 0) + 1, max(j.pages) FROM conversion_job j LEFT JOIN p ON p.job_id = j.id WHERE j.pages > 0 GROUP BY j.id HAVING coalesce(max(p.last_page), 0) < max(j.pages)""")
+def w3_coverage(d):
+    shifted = d.parts.where("ordinal % 5 <> 2").withColumn("first_page", F.when(F.col("ordinal") % 7 == 3, F.col("first_page") - 1).otherwise(F.col("first_page")))
+    return pt.coverage_faults(shifted, d.jobs.where("pages > 0").select(F.col("id").alias("job_id"), "pages"))
+
+
+@query("""
+ , c AS (SELECT job_id, count(*) AS n, count(*) FILTER (WHERE status IN ('succeeded', 'failed', 'timed_out')) AS done FROM conversion_part GROUP BY job_id)
+ SELECT id, coalesce(n, part_count) AS part_count, coalesce(done, parts_completed) AS parts_completed FROM conversion_job LEFT JOIN c ON id = job_id""")
+def a4_part_counters(d):
+    return pt.part_counters(d.jobs, d.parts).select("id", "part_count", "parts_completed")
+
+
+@query(" SELECT failure_reason, count(*) AS parts FROM conversion_part WHERE failure_reason IS NOT NULL GROUP BY failure_reason")
+def a8_gap_reasons(d):
+    return pt.gap_reasons(d.parts)
+
+
+@query(f"""
+ SELECT id, 'This document was still converting after 45 minutes and was stopped. It may be very large or unusually complex.' AS failure_reason FROM conversion_job
+ WHERE status IN ('submitted', 'running') AND part_count <= 1 AND epoch(TIMESTAMP '{AS_OF}') - floor(epoch(created_at)) >= 2700""")
+def x2_overdue_jobs(d):
+    return pt.overdue_jobs(d.jobs, as_of()).select("id", "failure_reason")
+
+
+@query(f"""
+ SELECT id, CASE WHEN split_depth < 2 AND last_page > first_page THEN 'halve' ELSE 'give_up' END AS action FROM conversion_part
+ WHERE status IN ('submitted', 'running') AND epoch(TIMESTAMP '{AS_OF}') - floor(epoch(coalesce(started_at, created_at))) >= 2700""")
+def x3_overdue_parts(d):
+    return pt.overdue_parts(d.parts, as_of(), min_pages=1).select("id", "action")
+
+
+@query("""
+ SELECT id, CASE WHEN event = 'lost' AND attempt < 3 THEN 'requeue' WHEN event IS NOT NULL THEN CASE WHEN split_depth < 2 AND last_page - first_page + 1 > 1 THEN 'halve' ELSE 'give_up' END END AS action
+ FROM (SELECT *, CASE status WHEN 'submitted' THEN 'lost' WHEN 'failed' THEN 'failed' WHEN 'timed_out' THEN 'timed_out' END AS event FROM conversion_part)""")
+def x4_retry_actions(d):
+    event = F.when(F.col("status") == "submitted", "lost").when(F.col("status").isin("failed", "timed_out"), F.col("status"))
+    return d.parts.select("id", pt.retry_action(event, min_pages=1).alias("action"))
+
+
+@query("""
+ SELECT j.id, CASE WHEN attempt + 1 > 8 OR inbox_path IS NULL THEN 'fail' ELSE 'requeue' END AS action, CASE WHEN attempt + 1 <= 8 AND inbox_path IS NOT NULL THEN attempt + 1 ELSE attempt END AS attempt
+ FROM conversion_job j JOIN source_document USING (content_hash) WHERE status IN ('queued', 'submitted', 'running')""")
+def x5_recovery_plan(d):
+    return pt.recovery_plan(d.jobs, registry.retained_documents(d.documents)).select("id", "action", "attempt")
+
+
+@query("""
+ , plan AS (SELECT j.id FROM conversion_job j JOIN source_document USING (content_hash) WHERE status IN ('queued', 'submitted', 'running') AND attempt + 1 <= 8 AND inbox_path IS NOT NULL)
+ SELECT id, CASE WHEN job_id IN (SELECT id FROM plan) AND status NOT IN ('succeeded', 'failed', 'timed_out') THEN 'queued' ELSE status END AS status FROM conversion_part""")
+def x5_requeue_parts(d):
+    plan = pt.recovery_plan(d.jobs, registry.retained_documents(d.documents))
+    return pt.requeue_unfinished_parts(d.parts, plan).select("id", "status")
+
+
+@query("""
+ , s AS (SELECT job_id, count(*) FILTER (WHERE status IN ('submitted', 'running')) AS flying, bool_and(status IN ('succeeded', 'failed', 'timed_out')) AS done FROM conversion_part GROUP BY job_id)
+ SELECT id, CASE WHEN flying > 0 THEN 'submit' ELSE 'finish' END AS repair FROM conversion_job JOIN s ON id = job_id WHERE status = 'queued' AND part_count >= 2 AND (flying > 0 OR done)""")
+def x6_inconsistent_jobs(d):
+    return pt.inconsistent_jobs(d.jobs, d.parts).select("id", "repair")
+
+
+@query("""
+ SELECT p.id, CASE WHEN inbox_path IS NULL AND p.status = 'queued' THEN 'failed' ELSE p.status END AS status
+ FROM conversion_part p JOIN conversion_job j ON j.id = p.job_id JOIN source_document s USING (content_hash)""")
+def x9_fail_remainder(d):
+    return pt.fail_remainder(d.parts, d.jobs, registry.retained_documents(d.documents)).select("id", "status")
+
+
+def status_events(d: Derived) -> DataFrame:
+    """Every event as a status of the job its user has on that day."""
+    kinds = F.array(*[F.lit(s) for s in ("queued", "submitted", "running", "succeeded", "queued", "running", "failed")])
+    status = F.element_at(kinds, (F.col("event_id") % 7 + 1).cast("int"))
+    return d.table("events").select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("job_id"), status.alias("status"), "ts", F.col("event_id").alias("seq"))
+
+
+FOLD = """ , e AS (SELECT concat('u', user_id, '-', strftime(ts, '%Y%m%d')) AS job_id, ['queued', 'submitted', 'running', 'succeeded', 'queued', 'running', 'failed'][event_id % 7 + 1] AS status, ts, event_id AS seq FROM events)
+ , r AS (SELECT *, status IN ('succeeded', 'failed') AS fin FROM e)
+ , n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY fin DESC, CASE WHEN fin THEN ts END, CASE WHEN fin THEN seq END, ts DESC, seq DESC) AS k FROM r)"""
+
+
+@query(FOLD + " SELECT job_id, status, seq FROM n WHERE k = 1")
+def x1_fold_states(d):
+    events = status_events(d)
+    folded = state.fold_states(events)
+    return folded.join(events.select("job_id", F.col("ts").alias("updated_at"), "status", "seq"), ["job_id", "updated_at", "status"]).groupBy("job_id", "status").agg(F.max("seq").alias("seq"))
+
+
+@query(FOLD + " SELECT job_id, status, seq FROM n WHERE k = 1")
+def x1_fold_states_stream(d):
+    """The same as a stream over files, its changes kept by key."""
+    spark = d.spark
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        source, table, mark = (scratch(d, t) for t in ("events", "states", "mark"))
+        events = status_events(d)
+        events.write.parquet(source)
+        stream = state.stream_states(spark.readStream.schema(events.schema).parquet(source))
+        numbered = {"n": 0}
+
+        def merge(batch: DataFrame, number: int) -> None:
+            numbered["n"] += 1
+            sinks.upsert_table(batch.sparkSession, batch.withColumn("batch", F.lit(numbered["n"])), table, ["job_id"], "batch")
+
+        stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return sinks.read_table(spark, table).select("job_id", "status", "seq")
+
+
+@query("""
+ SELECT event_id, CAST(count(*) OVER (PARTITION BY event_type ORDER BY floor(epoch(ts)) RANGE BETWEEN 900 PRECEDING AND CURRENT ROW) AS BIGINT) AS recent FROM events""")
+def w8_rolling_alarm(d):
+    return alarms.rolling_alarm(d.table("events"), ["event_type"]).select("event_id", "recent")
+
+
+@query("""
+ , w AS (SELECT time_bucket(INTERVAL '1' MINUTE, ts) - k * INTERVAL '1' MINUTE AS start FROM events, range(0, 15) AS r(k))
+ SELECT epoch(start)::BIGINT AS start, count(*) AS restarts, count(*) >= 3 AS alarm FROM w GROUP BY 1""")
+def x7_alarm_windows(d):
+    windows = alarms.stream_alarm(d.table("events"))
+    return windows.select(F.unix_seconds("start").alias("start"), "restarts", "alarm")
+
+
+@query(" SELECT id, status, updated_at FROM conversion_job")
+def x8_change_feed(d):
+    """Every job's rows as they change, replayed as a stream into a table that keeps the last of each."""
+    jobs = d.jobs.select("id", "status", "updated_at")
+    first = jobs.select("id", F.lit("queued").alias("status"), (F.col("updated_at") - F.expr("INTERVAL '1' HOUR")).alias("updated_at"))
+    source, table, mark = (scratch(d, t) for t in ("changes", "jobs", "mark"))
+    first.write.parquet(source)
+    jobs.write.mode("append").parquet(source)
+    feed.follow_changes(d.spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 64).parquet(source), table, mark, ["id"], "updated_at").awaitTermination()
+    return sinks.read_table(d.spark, table)
+
+
+@query()
+def a13_operational_status(d):
+    e = d.table("events")
+    probes = F.array(*[F.lit(p) for p in ("engine_reachable", "outbox_writable", "database_writable", "loop_running", "last_refusal")])
+    probe = F.element_at(probes, (F.col("event_id") % 5 + 1).cast("int"))
+    seen = e.select(probe.alias("probe"), ((F.col("event_id") % 5 < 4) | (F.col("value") > 1e9)).alias("value"), "ts")
+    return alarms.operational_status(seen, d.jobs, e.where("event_type = 'error'").select("ts"), d.outputs, as_of())
+
+
+def page_converter(batch: pd.DataFrame) -> list[tuple[str | None, str, list[str]]]:
+    """A converter that fails on parts of more than two pages that hold a page divisible by five."""
+    out = []
+    for job, a, b in zip(batch["job_id"], batch["first_page"], batch["last_page"]):
+        bad = b - a + 1 > 2 and any(p % 5 == 0 for p in range(a, b + 1))
+        out.append((None, "failure", ["memory"]) if bad else ("\n".join(f"{job} page {p}" for p in range(a, b + 1)), "success", []))
+    return out
+
+
+@query("""
+ SELECT id AS job_id, 'succeeded' AS status, string_agg(concat(id, ' page ', p), chr(10) ORDER BY p) AS flat FROM (SELECT id, unnest(range(1, pages * 4 + 1)) AS p FROM conversion_job WHERE pages > 0) GROUP BY id""")
+def c1_convert_corpus(d):
+    """All jobs through a converter that needs halving, their pages joined again in order."""
+    todo = d.jobs.where("pages > 0").select("id", "content_hash", (F.col("pages") * 4).alias("page_count"))
+    done = convert_corpus(todo, page_converter, max_pages=8, max_depth=3, min_pages=1)
+    plain = F.when(F.col("status").isin("succeeded", "succeeded_suspect"), "succeeded").otherwise(F.col("status"))
+    return done.select("job_id", plain.alias("status"), F.regexp_replace(F.rtrim(F.regexp_replace("markdown", r"\n+", "\n")), r"\n$", "").alias("flat"))
+
+
+@query("""
+ SELECT content_hash, output_filename FROM markdown_output WHERE section_ordinal IS NULL OR content_hash NOT IN (SELECT content_hash FROM source_document WHERE first_doc % 2 = 0)
+ UNION SELECT content_hash, concat('new--', substr(content_hash, 1, 12), '.md') FROM source_document WHERE first_doc % 2 = 0
+ EXCEPT SELECT content_hash, output_filename FROM markdown_output WHERE content_hash IN (SELECT content_hash FROM source_document WHERE first_doc % 2 = 0)""")
+def s7_replace_outputs(d):
+    path = scratch(d, "outbox")
+    texts = lambda df: df.select("content_hash", "output_filename", F.col("output_filename").alias("text"))
+    sinks.replace_outputs(texts(d.outputs), path, 16)
+    fresh = d.documents.where("first_doc % 2 = 0").select("content_hash", F.concat(F.lit("new--"), F.substring("content_hash", 1, 12), F.lit(".md")).alias("output_filename"))
+    sinks.replace_outputs(texts(fresh), path, 16)
+    return d.spark.read.parquet(path).select("content_hash", "output_filename")
+
+
+@query(" SELECT id, status, 'second' AS source FROM conversion_job WHERE event_id % 2 = 0 UNION ALL SELECT id, status, 'first' FROM conversion_job WHERE event_id % 2 = 1")
+def s8_upsert(d):
+    first = d.jobs.select("id", "status", F.lit("first").alias("source"), "updated_at")
+    second = d.jobs.where("event_id % 2 = 0").select("id", "status", F.lit("second").alias("source"), (F.col("updated_at") + F.expr("INTERVAL '1' SECOND")).alias("updated_at"))
+    return sinks.upsert(first, second, ["id"], "updated_at").drop("updated_at")

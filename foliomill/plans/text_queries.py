@@ -1,4 +1,235 @@
-"""Registered text queries."""
+"""Registered queries over texts: naming, measures, sections, fidelity, intake, logs and results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from foliomill.functions import naming, text
+from foliomill.operators import fidelity, intake, sections
+from foliomill.plans.derived import CTES, Derived
+from foliomill.sources import logs
+from foliomill.sources.files import conform_expectations
 
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+#: Small bounds, so that the derived Markdown is divided.
+THRESHOLD, MIN_BYTES, MAX_BYTES = 600, 120, 700
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Derived(spark, sf_dir))
+        if sql:
+            ORACLES[f.__name__] = CTES + sql
+        return f
+
+    return keep
+
+
+def raw_names(d: Derived):
+    """Names such as browsers send them, from the pages' addresses."""
+    return d.table("pages").select("page_id", F.concat(F.lit("C:\\in/"), F.replace("url", F.lit("?"), F.lit("\\"))).alias("raw"))
+
+
+RAW = r"concat('C:\in/', replace(url, '?', '\'))"
+
+
+@query(rf"""
+ SELECT page_id, CASE WHEN trim(n) = '' THEN 'document.pdf' ELSE trim(n) END AS name FROM (SELECT page_id, regexp_extract(replace({RAW}, '\', '/'), '[^/]*$') AS n FROM pages)""")
+def p1_display_name(d):
+    return raw_names(d).select("page_id", naming.display_name(F.col("raw")).alias("name"))
+
+
+@query("""
+ SELECT doc_id, CASE WHEN n > 6000 THEN concat('"d', doc_id, '" is larger than the 6 KB this converter accepts.') WHEN n = 0 THEN concat('"d', doc_id, '" is empty — there is nothing to convert.')
+   WHEN doc_id % 5 = 0 THEN 'Not a PDF. Only PDF files can be converted.'
+   WHEN doc_id % 7 = 0 THEN concat('"d', doc_id, '" is password-protected, so its contents cannot be read. Remove the password and upload it again.') END AS reason
+ FROM (SELECT doc_id, strlen(text) AS n FROM documents)""")
+def p2_validate(d):
+    head = F.when(F.col("doc_id") % 5 == 0, "%PDX-").otherwise("xx%PDF-1.7").cast("binary")
+    tail = F.when(F.col("doc_id") % 7 == 0, "..../Encrypt 5").otherwise("%%EOF").cast("binary")
+    name = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    return d.table("documents").select("doc_id", intake.rejection(name, head, tail, F.octet_length("text"), 6000).alias("reason"))
+
+
+@query("""
+ SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'protected' WHEN n_chars % 13 = 0 THEN 'unreadable' WHEN n_chars > 3000 THEN 'long' END AS verdict FROM documents""")
+def p3_page_gate(d):
+    pages = F.when(F.col("n_chars") % 13 > 0, F.col("n_chars"))
+    said = intake.page_rejection(F.lit("x"), pages, F.col("doc_id") % 11 == 0, 3000)
+    verdict = F.when(said.contains("password"), "protected").when(said.contains("damaged"), "unreadable").when(said.contains("pages, more"), "long")
+    return d.table("documents").select("doc_id", verdict.alias("verdict"))
+
+
+@query(" SELECT doc_id, sha256(text) AS content_hash FROM documents")
+def p4_content_identity(d):
+    return d.table("documents").select("doc_id", intake.content_hash(F.col("text").cast("binary")).alias("content_hash"))
+
+
+SLUG = "coalesce(nullif(trim(substr(trim(regexp_replace(lower(regexp_replace({0}, '(?i)\\.pdf$', '')), '[^a-z0-9]+', '-', 'g'), '-'), 1, {1}), '-'), ''), '{2}')"
+
+
+@query(f" SELECT doc_id, concat({SLUG.format('source', 80, 'document')}, '--', substr(sha256(text), 1, 12), '.md') AS output_filename FROM documents")
+def p18_output_filename(d):
+    return d.table("documents").select("doc_id", naming.output_filename(naming.slug(F.col("source")), F.sha2("text", 256)).alias("output_filename"))
+
+
+@query(rf" SELECT page_id, {SLUG.format("regexp_extract(replace(" + RAW + r", '\', '/'), '[^/]*$')", 80, 'document')} AS slug FROM pages")
+def p17_slug(d):
+    return raw_names(d).select("page_id", naming.slug(F.col("raw")).alias("slug"))
+
+
+@query(f"""
+ SELECT doc_id, concat('s--', substr(sha256(text), 1, 12), '--', printf('%03d', doc_id % 1200), '-', CASE WHEN trim(title) = '' THEN 'section' ELSE {SLUG.format("title", 40, "section")} END, '.md') AS name
+ FROM (SELECT *, CASE WHEN doc_id % 9 = 0 THEN '  ' ELSE concat(source, ' - Part ', n_chars, '!') END AS title FROM documents)""")
+def p19_section_filename(d):
+    title = F.when(F.col("doc_id") % 9 == 0, F.lit("  ")).otherwise(F.concat(F.col("source"), F.lit(" - Part "), F.col("n_chars").cast("string"), F.lit("!")))
+    return d.table("documents").select("doc_id", naming.section_filename(F.lit("s"), F.sha2("text", 256), (F.col("doc_id") % 1200).cast("int"), title, naming.slug(title)).alias("name"))
+
+
+COUNTS = r"""
+   len(regexp_extract_all(markdown, '(?m)^#{1,6}\s+\S')) AS headings,
+   len(regexp_extract_all(markdown, '(?m)^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$')) AS tables,
+   len(regexp_extract_all(markdown, '(?i)!\[[^\]]*\]\([^)]*\)|<!--\s*image\s*-->')) AS figures"""
+
+
+@query(f"""
+ SELECT doc_id, headings, tables, figures, figures = 0 OR trim(regexp_extract(markdown, '(?s)^.*(?:!\\[[^\\]]*\\]\\([^)]*\\))(.*)$', 1), ' ' || chr(10) || chr(13) || chr(9)) <> '' AS figures_in_position
+ FROM (SELECT doc_id, markdown, {COUNTS} FROM markdown_doc)""")
+def t9_t12_structure_counts(d):
+    return fidelity.structure_counts(d.markdown).select("doc_id", "headings", "tables", "figures", "figures_in_position")
+
+
+@query("""
+ , docs AS (SELECT doc_id, markdown, CASE WHEN doc_id % 3 = 0 THEN ['# Doc', 'zzzz', 'REPLACE ME', ''] ELSE ['| a | b |', 'qqqq'] END AS needles FROM markdown_doc)
+ SELECT doc_id, array_to_string(list_concat(list_filter(needles, lambda n: n <> '' AND NOT starts_with(n, 'REPLACE ME') AND NOT contains(markdown, n)),
+   CASE WHEN len(regexp_extract_all(markdown, '(?i)!\\[[^\\]]*\\]\\([^)]*\\)')) > 0 AND trim(regexp_extract(markdown, '(?s)^.*(?:!\\[[^\\]]*\\]\\([^)]*\\))(.*)$', 1), ' ' || chr(10) || chr(13) || chr(9)) = '' THEN ['<figures appear only after the text>'] ELSE [] END), '|') AS missing
+ FROM docs""")
+def t13_missing_content(d):
+    needles = F.when(F.col("doc_id") % 3 == 0, F.array(*[F.lit(x) for x in ("# Doc", "zzzz", "REPLACE ME", "")])).otherwise(F.array(F.lit("| a | b |"), F.lit("qqqq")))
+    return d.markdown.select("doc_id", F.array_join(fidelity.missing_content(F.col("markdown"), needles, F.lit(1)), "|").alias("missing"))
+
+
+LINES = r" , l AS (SELECT doc_id, unnest(string_split(rtrim(markdown, chr(10)), chr(10))) AS line, generate_subscripts(string_split(rtrim(markdown, chr(10)), chr(10)), 1) AS ln FROM markdown_doc)"
+
+
+@query(LINES + r"""
+ , p AS (SELECT *, last_value(CASE WHEN trim(line, ' ' || chr(9) || chr(13)) <> '' THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS prev FROM l)
+ SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, '^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$') AND coalesce(regexp_matches(prev, '^\s*\|'), false)) AS seam_tables FROM p GROUP BY doc_id""")
+def w7_seam_tables(d):
+    return fidelity.seam_tables(d.markdown)
+
+
+@query(LINES + r"""
+ SELECT doc_id, CAST(ln - 1 AS INT) AS line_number, length(regexp_extract(line, '^(#{1,6})\s', 1)) AS level, regexp_extract(line, '^(#{1,6})\s+(.*?)\s*#*\s*$', 2) AS title FROM l WHERE regexp_matches(line, '^(#{1,6})\s+(.*?)\s*#*\s*$')""")
+def w5_headings(d):
+    return sections.headings(d.markdown).withColumnRenamed("at", "line_number")
+
+
+@query(r"""
+ , l AS (SELECT doc_id, unnest(string_split(replace(markdown, '# Doc', 'Doc'), chr(10))) AS line, generate_subscripts(string_split(replace(markdown, '# Doc', 'Doc'), chr(10)), 1) AS ln FROM markdown_doc)
+ , h AS (SELECT *, min(CASE WHEN regexp_matches(line, '^#{1,6}\s') THEN length(regexp_extract(line, '^(#+)', 1)) END) OVER (PARTITION BY doc_id) AS top FROM l)
+ , b AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{1,6}\s') AND length(regexp_extract(line, '^(#+)', 1)) = top THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ln) AS block FROM h)
+ SELECT doc_id, CAST(count(DISTINCT block) AS BIGINT) AS blocks FROM b GROUP BY doc_id""")
+def w6_blocks(d):
+    docs = d.markdown.withColumn("markdown", F.replace("markdown", F.lit("# Doc"), F.lit("Doc")))
+    return sections.blocks_at_top(docs).groupBy("doc_id").agg(F.count_distinct("block").alias("blocks"))
+
+
+@query()
+def t5_t7_sections(d):
+    docs = d.markdown.withColumn("markdown", F.regexp_replace("markdown", r"(?m)^# Doc \d+", "# Doc"))
+    return sections.split_into_sections(docs, min_bytes=MIN_BYTES, max_bytes=MAX_BYTES).select("doc_id", "ordinal", "title", F.md5("text").alias("text_md5"), F.octet_length("text").alias("bytes"))
+
+
+@query()
+def t8_plan_outputs(d):
+    docs = d.markdown.groupBy(F.sha2("markdown", 256).alias("content_hash")).agg(F.min("source").alias("filename"), F.first("markdown").alias("markdown"))
+    return sections.plan_outputs(docs, THRESHOLD, MIN_BYTES, MAX_BYTES).drop("text")
+
+
+@query("""
+ SELECT o.output_filename FROM markdown_output o JOIN source_document s USING (content_hash) WHERE s.first_doc % 2 = 0 AND coalesce(o.section_ordinal, 9) > 1 AND o.section_ordinal IS NOT NULL""")
+def j5_superseded(d):
+    fresh = d.outputs.join(d.documents.where("first_doc % 2 = 0").select("content_hash"), "content_hash").where("section_ordinal IS NULL OR section_ordinal = 1")
+    return sections.superseded_outputs(d.outputs, fresh).select("output_filename")
+
+
+def expected(d: Derived):
+    """An expectation per document: what the text's line starts promise, and a needle that half of them lack."""
+    starts = lambda letters: F.regexp_count("text", F.lit(rf"(?m)^[{letters}]"))
+    needle = F.when(F.col("doc_id") % 2 == 0, F.lit("# Doc")).otherwise(F.lit("REPLACE ME"))
+    rows = d.markdown.select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), F.array(F.col("source"), F.when(F.col("n_chars") > 2000, "long").otherwise("short")).alias("traits"), F.col("n_chars").cast("string").alias("pages"),
+        (starts("A-D") + 1 + F.col("doc_id") % 3).cast("int").alias("headings"), starts("E-H").alias("tables"), starts("I-L").alias("figures"), F.array(needle).alias("must_contain"), F.lit(None).cast("string").alias("notes"),
+    )
+    return conform_expectations(rows)
+
+
+def results(d: Derived):
+    """Results of the documents that reached the corpus."""
+    states = F.array(*[F.lit(s) for s in ("succeeded", "failed", "succeeded_incomplete", "succeeded_suspect", "timed_out")])
+    state = F.element_at(states, (F.col("doc_id") % 5 + 1).cast("int"))
+    return d.markdown.where("doc_id % 13 <> 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), state.alias("status"), F.lit(1.5).alias("seconds"), "markdown", F.lit(None).cast("string").alias("failure_reason"))
+
+
+MEASURED = rf"""
+ , c AS (SELECT doc_id, markdown, text, {COUNTS},
+     len(regexp_extract_all(text, '(?m)^[A-D]')) + 1 + doc_id % 3 AS eh, len(regexp_extract_all(text, '(?m)^[E-H]')) AS et, len(regexp_extract_all(text, '(?m)^[I-L]')) AS ef,
+     CASE WHEN doc_id % 13 = 0 THEN 'missing_from_corpus' ELSE ['succeeded', 'failed', 'succeeded_incomplete', 'succeeded_suspect', 'timed_out'][doc_id % 5 + 1] END AS status FROM markdown_doc)
+ , m AS (SELECT *, status IN ('succeeded', 'succeeded_incomplete', 'succeeded_suspect') AS converted,
+     ef > 0 AND trim(regexp_extract(markdown, '(?s)^.*(?:!\[[^\]]*\]\([^)]*\))(.*)$', 1), ' ' || chr(10) || chr(13) || chr(9)) = '' AND figures > 0 AS trail FROM c)"""
+
+
+@query(MEASURED + """
+ SELECT concat('d', doc_id) AS file, status, converted, CASE WHEN converted THEN headings ELSE 0 END AS headings_found, CASE WHEN converted THEN tables ELSE 0 END AS tables_found,
+   CASE WHEN converted THEN figures ELSE 0 END AS figures_found, CASE WHEN converted AND trail THEN 1 ELSE 0 END AS missing_count FROM m""")
+def j9_measure(d):
+    found = fidelity.measure(expected(d), results(d))
+    return found.select("file", "status", "converted", "headings_found", "tables_found", "figures_found", F.size("missing_strings").alias("missing_count"))
+
+
+@query(MEASURED + """
+ SELECT count(*) FILTER (WHERE status <> 'missing_from_corpus') AS runnable, count(*) FILTER (WHERE converted) AS converted,
+   count(*) FILTER (WHERE converted) / count(*) FILTER (WHERE status <> 'missing_from_corpus') AS success_rate,
+   sum(least(headings, eh)) FILTER (WHERE converted) / sum(eh) FILTER (WHERE converted) AS heading_recall, sum(least(tables, et)) FILTER (WHERE converted) / sum(et) FILTER (WHERE converted) AS table_recall,
+   sum(least(figures, ef)) FILTER (WHERE converted) / sum(ef) FILTER (WHERE converted) AS figure_recall, count(*) FILTER (WHERE converted AND NOT trail) AS clean FROM m""")
+def a10_fidelity_summary(d):
+    return fidelity.summary(fidelity.measure(expected(d), results(d))).select("runnable", "converted", "success_rate", "heading_recall", "table_recall", "figure_recall", "clean")
+
+
+@query()
+def c2_evaluate_corpus(d):
+    return fidelity.gates(fidelity.summary(fidelity.measure(expected(d), results(d))))
+
+
+@query("""
+ SELECT trait, 100 AS needed, count(*) AS documents, count(*) >= 100 AS met FROM (SELECT source AS trait FROM documents UNION ALL SELECT CASE WHEN n_chars > 2000 THEN 'long' ELSE 'short' END FROM documents) GROUP BY trait""")
+def a11_trait_coverage(d):
+    e = expected(d)
+    minima = e.select(F.explode("traits").alias("trait")).distinct().withColumn("needed", F.lit(100))
+    return fidelity.trait_coverage(e, minima)
+
+
+@query("""
+ SELECT event_id, event_type AS said, concat('job-', event_id) AS job_id, concat('f ', user_id, '.pdf') AS file, CAST(user_id AS VARCHAR) AS attempt, 'two words' AS reason, event_id % 10 > 0 AS parse_ok FROM events""")
+def s5_parse_logs(d):
+    e = d.table("events")
+    text = lambda c: F.col(c).cast("string")
+    line = F.concat(F.lit("2024-01-01 INFO job_failed job_id=job-"), text("event_id"), F.lit(' file="f '), text("user_id"), F.lit('.pdf" attempt='), text("user_id"), F.lit(' kind="'), F.col("event_type"), F.lit('" reason="two words"'), F.when(F.col("event_id") % 10 == 0, F.lit(' oops "rest')).otherwise(F.lit("")))
+    parsed = logs.parse_log_lines(e.select(line.alias("value")))
+    return parsed.select(F.regexp_extract("job_id", r"(\d+)", 1).cast("long").alias("event_id"), F.col("fields")["kind"].alias("said"), "job_id", "file", F.col("fields")["attempt"].alias("attempt"), F.col("fields")["reason"].alias("reason"), "parse_ok")
+
+
+@query("""
+ SELECT doc_id, CASE WHEN doc_id % 4 = 0 OR doc_id % 4 = 2 THEN '' ELSE source END AS markdown, CASE WHEN doc_id % 4 = 0 OR doc_id % 4 = 2 THEN 'failure' ELSE 'success' END AS status,
+   CASE WHEN doc_id % 4 = 1 THEN 1 ELSE 0 END AS n_errors, CASE WHEN doc_id % 4 = 1 THEN 2.5 END AS processing_time, CASE WHEN doc_id % 4 = 1 THEN n_chars END AS page_count, doc_id % 4 = 0 AS corrupt FROM documents""")
+def s6_parse_results(d):
+    body = (
+        F.when(F.col("doc_id") % 4 == 0, F.lit('{"document": {"md_con'))
+        .when(F.col("doc_id") % 4 == 1, F.concat(F.lit('{"document":{"md_content":"'), F.col("source"), F.lit('","page_count":'), F.col("n_chars").cast("string"), F.lit('},"status":"success","errors":["e"],"processing_time":2.5}')))
+        .when(F.col("doc_id") % 4 == 2, F.lit("{}"))
+        .otherwise(F.concat(F.lit('{"document":{"md_content":"'), F.col("source"), F.lit('"},"status":"success"}')))
+    )
+    rows = logs.parse_results(d.table("documents").select("doc_id", body.alias("body")))
+    return rows.select("doc_id", "markdown", "status", F.size("errors").alias("n_errors"), "processing_time", "page_count", "corrupt")

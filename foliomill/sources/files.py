@@ -16,6 +16,9 @@ def scan_uploads(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     A file is one row of up to 2 GB; columns that a query does not use are not kept.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    if empty := empty_files(spark, path, glob):
+        rows = spark.createDataFrame(empty, "path string, millis long").select("path", F.timestamp_millis("millis").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content"))
+        files = files.unionByName(rows)
     size = F.octet_length("content")
     return files.select(
         "path",
@@ -29,6 +32,19 @@ def scan_uploads(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     )
 
 
+def empty_files(spark: SparkSession, path: str, glob: str = "*") -> list[tuple[str, int]]:
+    """(path, modification time) of the files without content under path, which Spark's scans leave out."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
+    pattern, out = jvm.org.apache.hadoop.fs.GlobFilter(glob), []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0 and pattern.accept(status.getPath()):
+            out.append((status.getPath().toString(), status.getModificationTime()))
+    return out
+
+
 def scan_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     """A registry table with its fixed schema; nothing is inferred."""
     return spark.read.schema(schemas.struct(table)).parquet(path)
