@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from foliomill.llm.common import LOWER, UPPER, text_or_empty
 
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: A word before its A-Z are lower-cased: everything but ASCII that is neither letter nor digit.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Fixed values of the base contract: phrases and their labels.
 PHRASES = (
     ("gnu general public license", "gpl"),

@@ -79,7 +79,7 @@ def attribute(bpe: ByteBpe, words: list[str], ids: list[bytes], starts: np.ndarr
     first = np.searchsorted(starts, ends - sizes, "right") - 1
     last = np.searchsorted(starts, ends - 1, "right") - 1
     whole = first == last
-    tokens = np.bincount(first[whole], counts[whole].astype(float), len(starts))
+    tokens = np.bincount(first[whole], counts[whole], len(starts)).astype(float)
     crossing = np.zeros(len(starts), np.int64)
     for w in np.flatnonzero(~whole):
         a, b = token_spans(bpe, words[w], np.frombuffer(ids[w], "<u4"))
