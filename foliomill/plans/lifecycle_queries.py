@@ -223,7 +223,15 @@ def x8_change_feed(d):
     return sinks.read_table(d.spark, table)
 
 
-@query()
+@query(f"""
+ , p AS (SELECT ['engine_reachable', 'outbox_writable', 'database_writable', 'loop_running', 'last_refusal'][event_id % 5 + 1] AS probe, event_id % 5 < 4 OR value > 1e9 AS value, ts FROM events WHERE ts <= TIMESTAMP '{AS_OF}')
+ , l AS (SELECT coalesce(arg_max(value, ts) FILTER (WHERE probe = 'engine_reachable'), false) AS engine_reachable, coalesce(arg_max(value, ts) FILTER (WHERE probe = 'outbox_writable'), false) AS outbox_writable,
+     coalesce(arg_max(value, ts) FILTER (WHERE probe = 'database_writable'), false) AS database_writable, coalesce(arg_max(value, ts) FILTER (WHERE probe = 'loop_running'), false) AS loop_running,
+     coalesce(arg_max(value, ts) FILTER (WHERE probe = 'last_refusal'), false) AS last_refusal FROM p)
+ , r AS (SELECT count(*) AS engine_restarts_recent FROM events WHERE event_type = 'error' AND ts <= TIMESTAMP '{AS_OF}' AND floor(epoch(ts)) >= epoch(TIMESTAMP '{AS_OF}') - 900)
+ , c AS (SELECT l.*, r.*, (SELECT count(*) FROM conversion_job WHERE status = 'queued') AS queued, (SELECT count(*) FROM conversion_job WHERE status IN ('submitted', 'running')) AS converting,
+     (SELECT count(*) FROM markdown_output) AS documents, last_refusal OR engine_restarts_recent >= 3 OR NOT loop_running AS stalled FROM l, r)
+ SELECT *, CASE WHEN engine_reachable AND outbox_writable AND database_writable AND NOT stalled THEN 'ok' ELSE 'degraded' END AS status FROM c""")
 def a13_operational_status(d):
     e = d.table("events")
     probes = F.array(*[F.lit(p) for p in ("engine_reachable", "outbox_writable", "database_writable", "loop_running", "last_refusal")])

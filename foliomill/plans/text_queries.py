@@ -198,7 +198,11 @@ def a10_fidelity_summary(d):
     return fidelity.summary(fidelity.measure(expected(d), results(d))).select("runnable", "converted", "success_rate", "heading_recall", "table_recall", "figure_recall", "clean")
 
 
-@query()
+@query(MEASURED + """
+ , s AS (SELECT count(*) FILTER (WHERE converted) / count(*) FILTER (WHERE status <> 'missing_from_corpus') AS a, sum(least(headings, eh)) FILTER (WHERE converted) / sum(eh) FILTER (WHERE converted) AS b,
+     sum(least(tables, et)) FILTER (WHERE converted) / sum(et) FILTER (WHERE converted) AS c, CASE WHEN count(*) FILTER (WHERE status = 'missing_from_corpus') = 0 THEN 1.0 ELSE 0.0 END AS d FROM m)
+ SELECT gate, value, bar, value >= bar AS passed FROM (SELECT 'success rate' AS gate, a AS value, CAST(0.9 AS DOUBLE) AS bar FROM s UNION ALL SELECT 'heading recall', b, 0.95 FROM s
+   UNION ALL SELECT 'table recall', c, 0.9 FROM s UNION ALL SELECT 'documents present', d, 1.0 FROM s)""")
 def c2_evaluate_corpus(d):
     return fidelity.gates(fidelity.summary(fidelity.measure(expected(d), results(d))))
 
