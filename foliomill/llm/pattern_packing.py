@@ -180,8 +180,9 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     plan = spark.createDataFrame(rows, "plan_length long, first_rank long, ranks long, per long, first_sequence long, first_offset long")
     before = F.sum("count").over(Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     bases = counts.select("length", "bucket", F.coalesce(before, F.lit(0)).alias("base"))
+    # bases are dealt by the key that the ranks are dealt by already; nothing of them need be broadcast
     nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1
-    ranked = dealt.withColumn("nth", nth).join(F.broadcast(bases), ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("nth"))
+    ranked = dealt.withColumn("nth", nth).join(bases, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("nth"))
     match = (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("ranks"))
     placed = ranked.join(F.broadcast(plan), match)
     run = F.col("rank") - F.col("first_rank")
