@@ -18,19 +18,23 @@ def parse_log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
     A quoted value ends at the next quote, as writers do not escape; the raw line stays. Of a key that
     repeats, the last value stays.
     """
-    body = F.regexp_extract(column, LINE, 2)
-    keys, values = F.regexp_extract_all(body, F.lit(PAIR), F.lit(1)), F.regexp_extract_all(body, F.lit(PAIR), F.lit(2))
-    bare = F.transform(values, lambda v: F.regexp_replace(v, '^"|"$', ""))
-    entries = F.zip_with(keys, bare, lambda k, v: F.struct(k.alias("key"), v.alias("value")))
-    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), e["key"]))
-    rest = F.filter(last, lambda e: ~e["key"].isin("job_id", "file"))
-    pick = lambda name: F.element_at(F.filter(last, lambda e: e["key"] == name), 1)["value"]
-    event = F.nullif(F.regexp_extract(column, LINE, 1), F.lit(""))
-    leftover = F.trim(F.regexp_replace(body, PAIR, ""))
-    return lines.select(
-        event.alias("event"), F.try_element_at(last, F.lit(1)).isNotNull().alias("__any"), F.when(F.size(last) > 0, pick("job_id")).alias("job_id"), F.when(F.size(last) > 0, pick("file")).alias("file"),
-        F.map_from_entries(rest).alias("fields"), F.col(column).alias("raw"), (event.isNotNull() & (leftover == "")).alias("parse_ok"),
-    ).drop("__any")
+    # each step is a column of its own, so that no pattern runs again for each entry
+    found = lines.select(F.col(column).alias("raw"), F.regexp_extract(column, LINE, 1).alias("__event"), F.regexp_extract(column, LINE, 2).alias("__body"))
+    found = found.withColumns({"__keys": F.regexp_extract_all("__body", F.lit(PAIR), F.lit(1)), "__values": F.regexp_extract_all("__body", F.lit(PAIR), F.lit(2))})
+    entries = F.zip_with("__keys", "__values", lambda k, v: F.struct(k.alias("key"), F.regexp_replace(v, '^"|"$', "").alias("value")))
+    # of equal keys the last entry stays: no later key is the same
+    later = lambda i: F.slice("__keys", i + 2, F.greatest(F.size("__keys") - i - 1, F.lit(0)))
+    found = found.withColumn("__entries", entries).withColumn("__last", F.filter("__entries", lambda e, i: ~F.array_contains(later(i), e["key"])))
+    pick = lambda name: F.try_element_at(F.filter("__last", lambda e: e["key"] == name), F.lit(1))["value"]
+    event = F.nullif(F.col("__event"), F.lit(""))
+    return found.select(
+        event.alias("event"),
+        pick("job_id").alias("job_id"),
+        pick("file").alias("file"),
+        F.map_from_entries(F.filter("__last", lambda e: ~e["key"].isin("job_id", "file"))).alias("fields"),
+        "raw",
+        (event.isNotNull() & (F.trim(F.regexp_replace("__body", PAIR, "")) == "")).alias("parse_ok"),
+    )
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
