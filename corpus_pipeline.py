@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from foliomill.llm import exact_dedup, pattern_packing, quality_cnn, simhash_bk
 from foliomill.llm.common import written
+from foliomill.shipping import ship
 
 TOKENIZER = "byte_bpe_50k.json"
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_cnn.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality_cnn.keep_good(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +27,12 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return simhash_bk.keep_one_of_similar(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    ship(spark)
     return pattern_packing.pack_documents(docs, public_tokenizers.path(TOKENIZER))
 
 
