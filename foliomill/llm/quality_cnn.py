@@ -33,6 +33,8 @@ from foliomill.llm.bpe import slices
 #: Labelled rows of each class that training uses at most, and bytes of each of these.
 PER_CLASS, TRAIN_BYTES, WINDOWS = 1200, 16_384, 8
 EMBEDDING, FILTERS, WIDTH, CHUNK = 8, 24, 5, 512
+#: Rounds over the training texts; more where these are few, until there are MIN_STEPS steps.
+MIN_STEPS = 400
 EPOCHS, BATCH, RATE, DECAY, SEED = 8, 24, 0.01, 1e-4, 11
 #: Share of the texts that a round of training cuts to an excerpt, and an excerpt's bytes.
 EXCERPTS, EXCERPT_BYTES = 0.4, (12, 250)
@@ -167,7 +169,7 @@ def train(texts: list[bytes], labels: np.ndarray, share: float) -> Network:
     trainer, rng = Trainer(), np.random.default_rng(SEED)
     # rows count as often as their class does among all labelled rows, half way to balance
     weight = np.where(labels == 1, np.sqrt(share) / labels.mean(), np.sqrt(1 - share) / (1 - labels.mean()))
-    for _ in range(EPOCHS):
+    for _ in range(max(EPOCHS, -(-MIN_STEPS // -(-len(texts) // BATCH)))):
         order = rng.permutation(len(texts))
         for a in range(0, len(order), BATCH):
             some = order[a : a + BATCH]
