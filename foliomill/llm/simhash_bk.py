@@ -19,10 +19,15 @@ repeat a document each get its result. An empty table gives an empty result; col
 doc_id and text are not looked at. A null doc_id gets a fingerprint and joins its component, but
 names none.
 
-``similar_documents`` links by a shingle similarity (Jaccard) instead of a number of bits. It takes
-256-bit fingerprints, whose distance tells similarities apart, and as so many changed bits leave no
-blocks whole, its shards are keyed by random bits: a link at the similarity asked for has a shard in
-common with a probability of about 0.95, one at 0.85 of 0.99 and one at 0.9 of 0.999.
+``similar_documents`` links by a shingle similarity (the Jaccard of the sets of distinct shingles)
+instead of a number of bits. 256-bit fingerprints of the sets only find candidates, and each link is
+confirmed by the written sets of its two texts. As so many changed bits leave no blocks whole, its
+shards are keyed by random bits: a link at the similarity asked for has a shard in common with a
+probability of about 0.95, one at 0.85 of 0.99 and one at 0.9 of 0.999.
+
+Candidates are confirmed in rounds, so that a large group of near copies costs no square of links:
+each text first meets a few candidates of a shard, and later rounds only take what is still apart.
+The last round takes all that is left, so no candidate goes unseen.
 """
 
 from __future__ import annotations
@@ -48,6 +53,10 @@ SEED = 42
 BLOCK = 4096
 #: For links by similarity: 64-bit words of a fingerprint, words of a shingle, similarity, shard keys and bits of each.
 WIDE, WIDE_SHINGLE, SIMILARITY, TABLES, KEY_BITS = 4, 5, 0.8, 40, 16
+#: Of the candidates of a text in a group of a shard, those of places 0 to 3 are confirmed first, then 4 to 63, then the rest.
+ROUNDS = (0, 4, 64, 1 << 62)
+#: Fingerprints of a shard that one group of candidates holds at most.
+PAIR_BLOCK = 1024
 #: Oversized shards up to which their table is broadcast.
 BROADCAST_SHARDS = 50_000
 #: Comparisons that a task may have in memory at once.
@@ -106,7 +115,7 @@ class BkForest:
     """BK-trees of many groups in flat arrays, built and searched level by level; a value is a row of 64-bit words."""
 
     def __init__(self, values: np.ndarray, groups: np.ndarray):
-        """groups is sorted; the first value of a group is its root. Values are distinct in a group."""
+        """groups is sorted; the first value of a group is its root. Equal values of a group hang below each other."""
         self.values = values
         self.fan = 64 * values.shape[1] + 1
         self.root_groups, self.roots = np.unique(groups, return_index=True)
@@ -138,7 +147,7 @@ class BkForest:
             distance = distances(queries[asked], self.values[node])
             near = distance <= radius
             hits.append((asked[near], node[near]))
-            low = np.searchsorted(self.slots, node * self.fan + np.maximum(distance - radius, 1), "left")
+            low = np.searchsorted(self.slots, node * self.fan + np.maximum(distance - radius, 0), "left")
             high = np.searchsorted(self.slots, node * self.fan + np.minimum(distance + radius, self.fan - 1), "right")
             many = high - low
             asked = np.repeat(asked, many)
@@ -173,10 +182,24 @@ def group_links(value: np.ndarray, group: np.ndarray, ask: np.ndarray, tree: np.
     return linked, reach[linked]
 
 
-def block_links(radius: int, words: list[str], names: str):
+def group_pairs(value: np.ndarray, group: np.ndarray, ask: np.ndarray, tree: np.ndarray, radius: int, name: np.ndarray, places: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs within the radius, of each query those in the given places of an order by hash."""
+    in_tree, asking = np.flatnonzero(tree), np.flatnonzero(ask)
+    q, v = BkForest(value[in_tree], group[in_tree]).within(value[asking], group[asking], radius)
+    a, b = asking[q], in_tree[v]
+    a, b = a[a != b], b[a != b]
+    order = np.lexsort((remixed((name[a] ^ name[b]).view(np.uint64)), a))
+    a, b = a[order], b[order]
+    place = np.arange(len(a)) - np.searchsorted(a, a)
+    taken = (place >= places[0]) & (place < places[1])
+    return a[taken], b[taken]
+
+
+def block_links(radius: int, words: list[str], names: str, places: tuple[int, int] | None = None):
     """A mapInArrow function over rows sorted by (choice, bits, low, high): star links (u, v) of each group.
 
-    words are the columns of the fingerprint, names the column that links tell.
+    words are the columns of the fingerprint, names the column that links tell. With places, not stars
+    but the pairs in these places are told, of those whose labels differ.
     """
     key = ["choice", "bits", "low", "high"]
 
@@ -188,12 +211,18 @@ def block_links(radius: int, words: list[str], names: str):
         for t in np.unique(turn[turn >= 0]):
             take = turn == t
             value = np.stack([rows[w][take].view(np.uint64) for w in words], 1)
-            u, v = group_links(value, group[take], rows["own"][take] == rows["low"][take], rows["own"][take] == rows["high"][take], radius)
-            name = rows[names][take]
+            name, ask, tree = rows[names][take], rows["own"][take] == rows["low"][take], rows["own"][take] == rows["high"][take]
+            if places is None:
+                u, v = group_links(value, group[take], ask, tree, radius)
+            else:
+                u, v = group_pairs(value, group[take], ask, tree, radius, name, places)
+                apart = rows["label"][take][u] != rows["label"][take][v]
+                u, v = u[apart], v[apart]
+                u, v = np.where(name[u] < name[v], u, v), np.where(name[u] < name[v], v, u)
             yield pa.RecordBatch.from_arrays([pa.array(name[u]), pa.array(name[v])], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = list(dict.fromkeys(["own", "low", "high", *words, names]))
+        columns = list(dict.fromkeys(["own", "low", "high", *words, names, *(["label"] if places else [])]))
         held = {c: np.empty(0, np.int64) for c in columns}
         numbers, last, number = np.empty(0, np.int64), None, 0
         for batch in batches:
@@ -234,20 +263,25 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, keep: int = KEE
     return paired.repartition(*key).sortWithinPartitions(*key).mapInArrow(block_links(radius, ["fp"], "fp"), "u long, v long")
 
 
-def wide_fingerprints(docs: DataFrame, width: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
-    """Per row of docs: doc_id, w0..: SimHash words of a shingle's XXH64 and of its remixes."""
+def shingle_sets(docs: DataFrame, width: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
+    """Per row of docs: doc_id, node (a hash of the set), w0..: SimHash words of the set, shingles (the sorted set)."""
+    columns = [f"w{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
-            found = np.zeros((rows.num_rows, words), np.uint64)
+            found, node, sets = np.zeros((words, rows.num_rows), np.uint64), [], []
             for n, text in enumerate(rows.column("text").to_pylist()):
-                hashes = shingle_hashes(text, width)
+                hashes = np.unique(shingle_hashes(text, width))
+                sets.append(hashes.view(np.int64))
+                node.append(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED))
                 for k in range(words):
-                    found[n, k] = simhash(hashes)
+                    found[k, n] = simhash(hashes)
                     hashes = remixed(hashes)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *[pa.array(np.ascontiguousarray(found[:, k]).view(np.int64)) for k in range(words)]], ["doc_id", *[f"w{k}" for k in range(words)]])
+            offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+            listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), *[pa.array(f.view(np.int64)) for f in found], listed], ["doc_id", "node", *columns, "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, " + ", ".join(f"w{k} long" for k in range(words)))
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{c} long" for c in columns) + ", shingles array<long>")
 
 
 def remixed(hashes: np.ndarray) -> np.ndarray:
@@ -265,8 +299,11 @@ def wide_radius(similarity: float = SIMILARITY, words: int = WIDE) -> int:
     return int(bits * share + 1.25 * np.sqrt(bits * share * (1 - share)))
 
 
-def wide_links(distinct: DataFrame, radius: int, words: int = WIDE, tables: int = TABLES, key_bits: int = KEY_BITS, block: int = BLOCK) -> DataFrame:
-    """Links (u, v) between the nodes of distinct (node, w0, ...) whose fingerprints are within the radius and share a shard."""
+def wide_links(distinct: DataFrame, radius: int, places: tuple[int, int], words: int = WIDE, tables: int = TABLES, key_bits: int = KEY_BITS, block: int = PAIR_BLOCK) -> DataFrame | None:
+    """Candidates (u, v) among the nodes of distinct (node, label, w0, ...) whose labels differ: their fingerprints are within the radius and share a shard.
+
+    Of a node's candidates in a group of a shard, those in the given places; None if no shard can have any.
+    """
     rng = np.random.default_rng(SEED)
     columns = [f"w{k}" for k in range(words)]
     masks = np.zeros((tables, words), np.uint64)
@@ -275,23 +312,48 @@ def wide_links(distinct: DataFrame, radius: int, words: int = WIDE, tables: int
             masks[table, bit // 64] |= np.uint64(1 << bit % 64)
     keyed = lambda row: F.xxhash64(*[F.col(c).bitwiseAND(F.lit(int(m.astype(np.int64)))) for c, m in zip(columns, row)])
     shards = F.posexplode(F.array(*[keyed(row) for row in masks])).alias("choice", "bits")
-    crowded = distinct.select(shards).groupBy("choice", "bits").count().where(F.col("count") > block)
-    crowded = written(crowded.select("choice", "bits", F.ceil(F.col("count") / F.lit(block)).cast("int").alias("parts")), "crowded")
-    rows = distinct.select("node", *columns, shards)
-    rows = rows.join(F.broadcast(crowded) if crowded.count() <= BROADCAST_SHARDS else crowded, ["choice", "bits"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = distinct.select("node", "label", *columns, shards)
+    sizes = rows.groupBy("choice", "bits").agg(F.count("*").alias("count"), F.min("label").alias("least"), F.max("label").alias("most"))
+    first = places[0] == 0  # the first round takes all shards, later ones those that may have such places
+    sizes = sizes.where(F.col("count") > block if first else (F.col("count") > places[0] + 1) & (F.col("least") < F.col("most")))
+    crowded = written(sizes.select("choice", "bits", F.ceil(F.col("count") / F.lit(block)).cast("int").alias("parts")), "crowded")
+    number = crowded.count()
+    if not first and not number:
+        return None
+    rows = rows.join(F.broadcast(crowded) if number <= BROADCAST_SHARDS else crowded, ["choice", "bits"], "left" if first else "inner").withColumn("parts", F.coalesce("parts", F.lit(1)))
     own = F.pmod(F.col("node"), F.col("parts")).cast("int")
     paired = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    paired = paired.select("choice", "bits", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", *columns)
+    paired = paired.select("choice", "bits", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", *columns)
     key = ["choice", "bits", "low", "high"]
-    return paired.repartition(*key).sortWithinPartitions(*key).mapInArrow(block_links(radius, columns, "node"), "u long, v long")
+    return paired.repartition(*key).sortWithinPartitions(*key).mapInArrow(block_links(radius, columns, "node", places), "u long, v long").distinct()
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets (node, shingles; nodes may repeat) have that Jaccard similarity or more."""
+    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
+    sets = written(sets.join(asked, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in ("u", "v"))
+    both = pairs.join(left, "u").join(right, "v")
+    a, b = F.size("u_set"), F.size("v_set")
+    common = F.size(F.array_intersect("u_set", "v_set"))
+    return both.where((F.least(a, b) / F.greatest(a, b) >= similarity) & (common / (a + b - common) >= similarity)).select("u", "v")
 
 
 def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDE_SHINGLE) -> DataFrame:
     """Per row of docs: doc_id and component_id, the least doc_id of the texts that links of that similarity reach."""
     columns = [f"w{k}" for k in range(WIDE)]
-    marked = written(wide_fingerprints(docs, width).withColumn("node", F.xxhash64(*columns)), "simhash")
+    marked = written(shingle_sets(docs, width), "simhash")
     distinct = written(marked.groupBy("node").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in columns]), "fingerprints")
-    roots = connected_components(written(wide_links(distinct, wide_radius(similarity)), "near"))
+    links = roots = None
+    for places in zip(ROUNDS, ROUNDS[1:]):
+        labelled = distinct.withColumn("label", F.col("node")) if roots is None else distinct.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        pairs = wide_links(labelled, wide_radius(similarity), places)
+        if pairs is None:
+            break
+        new = written(confirmed(written(pairs, "candidates"), marked.select("node", "shingles"), similarity), "near")
+        if not new.isEmpty() or roots is None:
+            links = new if links is None else links.union(new)
+            roots = connected_components(links)
     return _named(marked.select("doc_id", "node"), distinct.select("node", "first_doc"), roots).select("doc_id", "component_id")
 
 

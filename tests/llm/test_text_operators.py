@@ -272,6 +272,30 @@ def test_similar_documents(spark):
     assert {r.doc_id for r in simhash_bk.keep_one_of_similar(frame(spark, rows)).collect()} == {3, 9, 11, 13}
 
 
+def test_repeated_lines_do_not_weigh(spark):
+    rng = random.Random(10)
+    new = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    line, body = new(16), new(504)
+    shared = [(1, " ".join(line * 50 + new(400))), (2, " ".join(line * 50 + new(400)))]
+    same = [(3, " ".join(body)), (4, " ".join(body + new(12) * 200))]
+    got = {r.doc_id: r.component_id for r in simhash_bk.similar_documents(frame(spark, shared + same)).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
+@pytest.mark.parametrize("rounds", [(0, 4, 64, 1 << 62), (0, 1, 2, 1 << 62)])
+def test_groups_of_near_copies_in_blocks(spark, monkeypatch, rounds):
+    monkeypatch.setattr(simhash_bk, "ROUNDS", rounds)
+    monkeypatch.setattr(simhash_bk.wide_links, "__defaults__", (*simhash_bk.wide_links.__defaults__[:-1], 20))
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(3000)}" for _ in range(600)]
+    rows = []
+    for i in range(100):
+        words = list(base)
+        words[rng.randrange(600)] = f"new{i}"
+        rows.append((i, " ".join(words)))
+    assert {r.component_id for r in simhash_bk.similar_documents(frame(spark, rows)).collect()} == {0}
+
+
 def test_language_model_counts(spark):
     rows = [(i, t) for i, t in ROWS if i > 0]
     got = brown_lm.score_documents(frame(spark, rows)).collect()
