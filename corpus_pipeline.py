@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read
 again as the docs of the next. All stages but the last return the columns of documents; the last
 returns the pieces of packed sequences. A null text is an empty text in every stage. Near copies are
-texts whose five-word shingles have a similarity of 0.8 or more as 256-bit SimHash tells it.
+texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, and chains of such.
 """
 
 from __future__ import annotations

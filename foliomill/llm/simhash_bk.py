@@ -22,8 +22,8 @@ names none.
 ``similar_documents`` links by a shingle similarity (the Jaccard of the sets of distinct shingles)
 instead of a number of bits. 256-bit fingerprints of the sets only find candidates, and each link is
 confirmed by the written sets of its two texts. As so many changed bits leave no blocks whole, its
-shards are keyed by random bits: a link at the similarity asked for has a shard in common with a
-probability of about 0.95, one at 0.85 of 0.99 and one at 0.9 of 0.999.
+shards are keyed by bands of least hashes of the set: a link at the similarity asked for has a shard
+in common with a probability of 0.9996, and stands within the radius but for one in thousands.
 
 Candidates are confirmed in rounds, so that a large group of near copies costs no square of links:
 each text first meets a few candidates of a shard, and later rounds only take what is still apart.
@@ -33,6 +33,7 @@ The last round takes all that is left, so no candidate goes unseen.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 from itertools import combinations
 
 import numpy as np
@@ -51,8 +52,10 @@ KEEP = 2
 SEED = 42
 #: Fingerprints of a shard that one tree holds at most.
 BLOCK = 4096
-#: For links by similarity: 64-bit words of a fingerprint, words of a shingle, similarity, shard keys and bits of each.
-WIDE, WIDE_SHINGLE, SIMILARITY, TABLES, KEY_BITS = 4, 5, 0.8, 40, 16
+#: For links by similarity: 64-bit words of a fingerprint, words of a shingle, similarity, shard keys and least hashes of each.
+WIDE, WIDE_SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 4, 5, 0.8, 20, 5
+#: Standard deviations that the radius of candidates leaves above the mean; small sets, where half of the hashes may have a bit, vary more.
+DEVIATIONS = 5
 #: Of the candidates of a text in a group of a shard, those of places 0 to 3 are confirmed first, then 4 to 63, then the rest.
 ROUNDS = (0, 4, 64, 1 << 62)
 #: Fingerprints of a shard that one group of candidates holds at most.
@@ -264,24 +267,47 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, keep: int = KEE
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
-    """Per row of docs: doc_id, node (a hash of the set), w0..: SimHash words of the set, shingles (the sorted set)."""
+    """Per row of docs: doc_id, node (a hash of the set), w0..: SimHash words of the set, bands (shard keys; none of an empty set), shingles (the sorted set)."""
     columns = [f"w{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
-            found, node, sets = np.zeros((words, rows.num_rows), np.uint64), [], []
+            found, node, sets, bands = np.zeros((words, rows.num_rows), np.uint64), [], [], []
             for n, text in enumerate(rows.column("text").to_pylist()):
                 hashes = np.unique(shingle_hashes(text, width))
                 sets.append(hashes.view(np.int64))
+                bands.append(band_keys(hashes).view(np.int64))
                 node.append(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED))
                 for k in range(words):
                     found[k, n] = simhash(hashes)
                     hashes = remixed(hashes)
-            offsets = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
-            listed = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.empty(0, np.int64), *sets])))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), *[pa.array(f.view(np.int64)) for f in found], listed], ["doc_id", "node", *columns, "shingles"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *x]))) for x in (bands, sets)]
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), *[pa.array(f.view(np.int64)) for f in found], *lists], ["doc_id", "node", *columns, "bands", "shingles"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{c} long" for c in columns) + ", shingles array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{c} long" for c in columns) + ", bands array<long>, shingles array<long>")
+
+
+@cache
+def hash_functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Odd factors and shifts of n multiplicative hash functions."""
+    factors, shifts = np.random.default_rng(SEED).integers(0, 1 << 64, (2, n), np.uint64)
+    return factors | np.uint64(1), shifts
+
+
+def band_keys(hashes: np.ndarray, bands: int = BANDS, rows: int = BAND_ROWS) -> np.ndarray:
+    """A key for each band: of the least values that the set has under some hash functions (MinHash)."""
+    if not len(hashes):
+        return np.empty(0, np.uint64)
+    factors, shifts = hash_functions(bands * rows)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max)
+    for a in range(0, len(hashes), 128):  # pieces that stay in a core's cache
+        values = hashes[a : a + 128, None] * factors
+        values += shifts
+        np.minimum(least, values.min(0), out=least)
+    key = np.zeros(bands, np.uint64)
+    for column in least.reshape(bands, rows).T:
+        key = remixed(key ^ column)
+    return key
 
 
 def remixed(hashes: np.ndarray) -> np.ndarray:
@@ -293,26 +319,19 @@ def remixed(hashes: np.ndarray) -> np.ndarray:
 
 
 def wide_radius(similarity: float = SIMILARITY, words: int = WIDE) -> int:
-    """Bits in which fingerprints of texts of that Jaccard similarity differ on average, and one and a quarter standard deviations more."""
+    """Bits in which fingerprints of texts of that Jaccard similarity differ on average, and DEVIATIONS standard deviations more."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     bits = 64 * words
-    return int(bits * share + 1.25 * np.sqrt(bits * share * (1 - share)))
+    return int(bits * share + DEVIATIONS * np.sqrt(bits * share * (1 - share)))
 
 
-def wide_links(distinct: DataFrame, radius: int, places: tuple[int, int], words: int = WIDE, tables: int = TABLES, key_bits: int = KEY_BITS, block: int = PAIR_BLOCK) -> DataFrame | None:
-    """Candidates (u, v) among the nodes of distinct (node, label, w0, ...) whose labels differ: their fingerprints are within the radius and share a shard.
+def wide_links(distinct: DataFrame, radius: int, places: tuple[int, int], words: int = WIDE, block: int = PAIR_BLOCK) -> DataFrame | None:
+    """Candidates (u, v) among the nodes of distinct (node, label, w0, ..., bands) whose labels differ: their fingerprints are within the radius and share a shard.
 
     Of a node's candidates in a group of a shard, those in the given places; None if no shard can have any.
     """
-    rng = np.random.default_rng(SEED)
     columns = [f"w{k}" for k in range(words)]
-    masks = np.zeros((tables, words), np.uint64)
-    for table in range(tables):
-        for bit in rng.choice(64 * words, key_bits, replace=False).tolist():
-            masks[table, bit // 64] |= np.uint64(1 << bit % 64)
-    keyed = lambda row: F.xxhash64(*[F.col(c).bitwiseAND(F.lit(int(m.astype(np.int64)))) for c, m in zip(columns, row)])
-    shards = F.posexplode(F.array(*[keyed(row) for row in masks])).alias("choice", "bits")
-    rows = distinct.select("node", "label", *columns, shards)
+    rows = distinct.select("node", "label", *columns, F.posexplode("bands").alias("choice", "bits"))
     sizes = rows.groupBy("choice", "bits").agg(F.count("*").alias("count"), F.min("label").alias("least"), F.max("label").alias("most"))
     first = places[0] == 0  # the first round takes all shards, later ones those that may have such places
     sizes = sizes.where(F.col("count") > block if first else (F.col("count") > places[0] + 1) & (F.col("least") < F.col("most")))
@@ -343,7 +362,7 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
     """Per row of docs: doc_id and component_id, the least doc_id of the texts that links of that similarity reach."""
     columns = [f"w{k}" for k in range(WIDE)]
     marked = written(shingle_sets(docs, width), "simhash")
-    distinct = written(marked.groupBy("node").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in columns]), "fingerprints")
+    distinct = written(marked.groupBy("node").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in [*columns, "bands"]]), "fingerprints")
     links = roots = None
     for places in zip(ROUNDS, ROUNDS[1:]):
         labelled = distinct.withColumn("label", F.col("node")) if roots is None else distinct.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))

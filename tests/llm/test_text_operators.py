@@ -282,6 +282,24 @@ def test_repeated_lines_do_not_weigh(spark):
     assert got == {1: 1, 2: 2, 3: 3, 4: 3}
 
 
+def test_similar_pairs_equal_brute_force(spark):
+    rng = random.Random(12)
+    new = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
+    rows, want = [], {}
+    for i in range(1200):
+        size = rng.choice([8, 12, 24, 60, 200, 500])
+        shared, more = new(size), max(1, round(size * rng.uniform(0.05, 0.2)))
+        pair = [" ".join(shared + new(more)), " ".join(shared + new(more))]
+        a, b = ({tuple(t.split()[n : n + 5]) for n in range(len(t.split()) - 4)} for t in pair)
+        rows += [(2 * i, pair[0]), (2 * i + 1, pair[1])]
+        want[i] = len(a & b) / len(a | b)
+    got = {r.doc_id: r.component_id for r in simhash_bk.similar_documents(frame(spark, rows)).collect()}
+    joined = {i: got[2 * i] == got[2 * i + 1] == 2 * i for i in want}
+    assert sum(0.7 <= j < 0.8 for j in want.values()) > 200 and sum(0.8 <= j < 0.9 for j in want.values()) > 200
+    assert not any(joined[i] for i, j in want.items() if j < 0.8)
+    assert np.mean([joined[i] for i, j in want.items() if j >= 0.8]) > 0.995
+
+
 @pytest.mark.parametrize("rounds", [(0, 4, 64, 1 << 62), (0, 1, 2, 1 << 62)])
 def test_groups_of_near_copies_in_blocks(spark, monkeypatch, rounds):
     monkeypatch.setattr(simhash_bk, "ROUNDS", rounds)
