@@ -32,6 +32,8 @@ END_ID = 2
 STEPS = 300
 #: Buckets among which the pieces of one length are ranked, for each shuffle partition.
 BUCKETS_PER_PARTITION = 4
+#: Rows of a plan up to which it is broadcast; patterns bound it (some 90,000 at the default capacity), so only a larger capacity can pass this.
+BROADCAST_PLAN = 200_000
 
 
 def document_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -184,7 +186,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")) - 1
     ranked = dealt.withColumn("nth", nth).join(bases, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("nth"))
     match = (F.col("length") == F.col("plan_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("ranks"))
-    placed = ranked.join(F.broadcast(plan), match)
+    placed = ranked.join(F.broadcast(plan) if len(rows) <= BROADCAST_PLAN else plan, match)
     run = F.col("rank") - F.col("first_rank")
     return placed.select(
         *pieces.columns,

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.bpe import ByteBpe, slices, vocabulary
+from foliomill.llm.bpe import ByteBpe, Coded, slices, vocabulary
 
 RULES = ("start", "largest", "split")
 
@@ -71,18 +71,17 @@ def token_spans(bpe: ByteBpe, word: str, ids: np.ndarray) -> tuple[np.ndarray, n
     return char[np.r_[0, ends[:-1]]], char[ends - 1] + 1
 
 
-def attribute(bpe: ByteBpe, words: list[str], ids: list[bytes], starts: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
+def attribute(bpe: ByteBpe, text: str, coded: Coded, starts: np.ndarray, rule: str) -> tuple[np.ndarray, np.ndarray]:
     """Of each piece that begins at starts: its tokens, and how many of them cross its boundaries."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    counts = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    ends = np.cumsum(sizes)
+    sizes, counts = coded.sizes, coded.counts
+    ends, last_ids = np.cumsum(sizes), np.cumsum(counts)
     first = np.searchsorted(starts, ends - sizes, "right") - 1
     last = np.searchsorted(starts, ends - 1, "right") - 1
     whole = first == last
     tokens = np.bincount(first[whole], counts[whole], len(starts)).astype(float)
     crossing = np.zeros(len(starts), np.int64)
     for w in np.flatnonzero(~whole):
-        a, b = token_spans(bpe, words[w], np.frombuffer(ids[w], "<u4"))
+        a, b = token_spans(bpe, text[ends[w] - sizes[w] : ends[w]], coded.ids[last_ids[w] - counts[w] : last_ids[w]])
         for begin, stop in zip((a + ends[w] - sizes[w]).tolist(), (b + ends[w] - sizes[w]).tolist()):
             low, high = np.searchsorted(starts, [begin, stop - 1], "right") - 1
             if low == high:
@@ -117,9 +116,9 @@ def section_tokens(docs: DataFrame, tokenizer_file: str, rule: str = "largest",
             texts = [t or "" for t in rows.column("text").to_pylist()]
             given = rows.column("spans").to_pylist() if spans else [None] * len(texts)
             parts: list[list[np.ndarray]] = [[] for _ in range(6)]
-            for doc, text, own, (words, ids) in zip(range(len(texts)), texts, given, bpe.encode_words(texts)):
+            for doc, text, own, coded in zip(range(len(texts)), texts, given, bpe.encode_words(texts)):
                 numbers, starts = cover([(s["start"], s["stop"]) for s in own or []], len(text)) if spans else line_spans(text)
-                tokens, crossing = attribute(bpe, words, ids, starts, rule)
+                tokens, crossing = attribute(bpe, text, coded, starts, rule)
                 stops = np.r_[starts[1:], len(text)]
                 for into, column in zip(parts, (np.full(len(starts), doc), numbers, starts, stops, tokens, crossing)):
                     into.append(column)
