@@ -13,14 +13,13 @@ word's ids are remembered for as long as the Python worker lives, up to a fixed
 An added token's string inside a text becomes that token, as the tokenizers library does by default.
 
 Defined results: a null text counts as empty and has no ids. Texts and words of any length are
-encoded whole: long texts are worked on in blocks, cut where a word begins for certain. Words over
-LONG_WORD / 4 characters go through a heap, whose work grows as n log n where rounds would take n squared.
+encoded whole: long texts are worked on in blocks, cut where a word begins for certain. A word takes
+at most one round for each rank of the vocabulary, so the work stays in proportion to its length.
 """
 
 from __future__ import annotations
 
 import hashlib
-import heapq
 import json
 import re
 from collections.abc import Iterator
@@ -35,7 +34,6 @@ from pyspark.sql import DataFrame
 
 #: The pre-tokenizer's pattern (a fixed value of byte-level vocabularies of this kind).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONG_WORD = 8192
 CACHED_WORDS = 300_000
 #: Texts, and bytes of texts, that are Python objects together; a longer text is alone.
 TEXTS_AT_ONCE, BYTES_AT_ONCE = 1024, 1 << 20
@@ -130,7 +128,6 @@ class ByteBpe:
         self.made_by_rank = made
         self.no_rank = len(pairs)
         self.byte_ranks = self._lookup(self.byte_ids[:, None], self.byte_ids[None, :])
-        self.ranks = dict(zip(keys.tolist(), range(len(pairs))))
         self.spelled = pa.array(self.token_bytes, pa.large_binary())
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.cache: dict[str, bytes] = {}
@@ -201,37 +198,9 @@ class ByteBpe:
         owner = np.concatenate(owners)
         return np.concatenate(found)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(sizes))
 
-    def merge_long(self, word: bytes) -> np.ndarray:
-        """The ids of one very long word, by a heap over a linked list."""
-        ids = self.byte_ids[np.frombuffer(word, np.uint8)].tolist()
-        after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
-        alive = [True] * len(ids)
-        heap: list[tuple[int, int, int, int]] = []
-
-        def push(i: int) -> None:
-            j = after[i]
-            if j < len(ids) and (rank := self.ranks.get(ids[i] << 32 | ids[j])) is not None:
-                heapq.heappush(heap, (rank, i, ids[i], ids[j]))
-
-        for i in range(len(ids) - 1):
-            push(i)
-        while heap:
-            rank, i, a, b = heapq.heappop(heap)
-            if not alive[i] or ids[i] != a or (j := after[i]) >= len(ids) or ids[j] != b:
-                continue
-            ids[i] = int(self.made_by_rank[rank])
-            alive[j] = False
-            after[i] = after[j]
-            if after[j] < len(ids):
-                before[after[j]] = i
-            push(i)
-            if before[i] >= 0:
-                push(before[i])
-        return np.array([x for x, live in zip(ids, alive) if live], np.int64)
-
     def learn(self, words: list[str]) -> None:
         """Puts the ids of words into the cache."""
-        plain = [w for w in words if w not in self.added and len(w) * 4 <= LONG_WORD]
+        plain = [w for w in words if w not in self.added]
         raw = "".join(plain).encode()
         ends = np.cumsum([len(w.encode()) for w in plain], dtype=np.int64)
         ids, counts = self.merge_rounds(np.frombuffer(raw, np.uint8), np.diff(ends, prepend=0))
@@ -240,8 +209,6 @@ class ByteBpe:
         for w in words:
             if w in self.added:
                 self.cache[w] = self.added[w].to_bytes(4, "little")
-            elif len(w) * 4 > LONG_WORD:
-                self.cache[w] = self.merge_long(w.encode()).astype("<u4").tobytes()
 
     def ids_of(self, words: list[str]) -> list[bytes]:
         """The ids of distinct words. What no word asked for in the last two generations of the cache is forgotten."""

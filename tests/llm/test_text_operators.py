@@ -106,13 +106,23 @@ def test_bpe_equals_the_library(spark, library):
 def test_bpe_on_odd_texts(library):
     rng = random.Random(1)
     pool = [*map(chr, range(32, 127)), *map(chr, range(0x80, 0x250)), "\n", "  ", "\x1c", "\x85", "²", "Ⅷ", "٣", "ि", "　", "😀", "𝟘", "𐐀", "'ll", "'S"]
-    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(0, 80))) for _ in range(500)] + ["aaaa" * 900, "\n\n\n a", "é" * 3000, " " * 50]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randrange(0, 80))) for _ in range(500)] + ["aaaa" * 900, "\n\n\n a", "é" * 3000, " " * 50, "".join(rng.choices("abcdeft", k=20_000))]
     ours = bpe.vocabulary(PATH)
     for text, ids in zip(texts, ours.encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
     assert ours.decode(np.array([100, 250, 160, 50256], "<u4").tobytes()) == library.decode([100, 250, 160, 50256], skip_special_tokens=False)
 
 
+def test_long_texts_are_cut_into_blocks(library, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK_CHARACTERS", 16)
+    rng = random.Random(2)
+    parts = [" ", "  ", "\n", "\x1c ", "it's", "we'll", "'", "é", "字", "12", "...", "<|endoftext|>", "word"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(0, 60))) for _ in range(1000)]
+    texts += [" ".join(["a text of over sixty kilobytes,"] * 3000), "x" * 70_000]
+    for text, ids in zip(texts, bpe.ByteBpe(PATH).encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+
+
 def test_encoded_arrays(spark, library):
     rows = {r.doc_id: r.ids for r in bpe.encode_documents(frame(spark, ROWS[1:12]), PATH).collect()}
     assert all(rows[i] == library.encode(t or "", add_special_tokens=False).ids for i, t in ROWS[1:12])
