@@ -1,11 +1,13 @@
 """What the operators of this subpackage share: the shared folder, written tables and components.
 
 Tables written here go to the folder that the cluster names in ``spark.checkpoint.dir``, so that
-they outlive any executor. Where the setting is absent (tests), a temporary folder is made.
+they outlive any executor. Where the setting is absent (tests), a temporary folder is made, and
+only in local mode.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,6 +19,11 @@ LOWER = UPPER.lower()
 #: ASCII white space: space and the controls from tab to carriage return.
 BLANKS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
+#: Keys with more rows than this, and with more than one in HOT_SHARE of all rows, are joined apart; at most HOT_SHARE keys can have that.
+HOT_ROWS, HOT_SHARE = 1_000, 10_000
+#: Tables of at most so many rows have no hot keys to speak of.
+FEW_ROWS = 20_000
+
 _own_folder: str | None = None
 
 
@@ -26,6 +33,9 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if _own_folder is None:
         _own_folder = "file://" + tempfile.mkdtemp(prefix="foliomill-")
     return _own_folder
@@ -48,9 +58,47 @@ def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
-def scaled_partitions(spark: SparkSession) -> int:
-    """How many partitions a shuffle of this session has."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def free_names(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each lengthened until it clashes with no column (whatever the case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """rows (a written table) joined with facts, which has one row for each key; how is inner or left.
+
+    Facts of keys that many rows have are broadcast, at most HOT_SHARE of them; so no task gets all
+    rows of such a key. All other keys take an ordinary shuffle join.
+    """
+    n = rows.count()
+    if n <= FEW_ROWS:
+        return rows.join(facts, key, how)
+    often = rows.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, n // HOT_SHARE)).select(key)
+    hot = written(facts.join(F.broadcast(often), key, "left_semi"), "hot")
+    if hot.isEmpty():
+        return rows.join(facts, key, how)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts, key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def only_rows(docs: DataFrame, digest: Column, chosen: DataFrame) -> DataFrame:
+    """One row of docs, with all its columns, for each row of chosen (doc_id, digest, copies): docs has copies such rows."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    name, one, two, many, row = free_names(docs.columns, "own_digest", "chosen_id", "chosen_digest", "chosen_copies", "whole_row")
+    chosen = written(chosen.select(F.col("doc_id").alias(one), F.col("digest").alias(two), F.col("copies").alias(many)), "chosen")
+    marked = docs.withColumn(name, digest)
+    match = F.col("doc_id").eqNullSafe(F.col(one)) & (F.col(name) == F.col(two))
+    if chosen.where(F.col(many) > 1).isEmpty():
+        return marked.join(chosen, match, "left_semi").select(*own)
+    found = marked.join(chosen, match)
+    once = found.where(F.col(many) == 1).select(*own)
+    merged = found.where(F.col(many) > 1).groupBy(one, two).agg(F.first(F.struct(*own)).alias(row))
+    return once.unionByName(merged.select(f"{row}.*"))
 
 
 def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -76,18 +124,18 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         )
         # one more hop along the hooks: a -> b -> c becomes a -> c
         nxt = hooks.select(F.col("u").alias("to"), F.col("to").alias("further"))
-        hooks = hooks.join(nxt, "to", "left").select("u", F.coalesce("further", "to").alias("to"))
+        hooks = join_hot(hooks, nxt, "to", "left").select("u", F.coalesce("further", "to").alias("to"))
         hooks = written(hooks, "hops")
         if mapping is None:
             mapping = hooks.select(F.col("u").alias("node"), F.col("to").alias("root"))
         else:
             step = hooks.select(F.col("u").alias("root"), "to")
-            mapping = mapping.join(step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            mapping = join_hot(mapping, step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
         mapping = written(mapping, "roots")
         left = hooks.select("u", F.col("to").alias("u2"))
         right = hooks.select(F.col("u").alias("v"), F.col("to").alias("v2"))
         live = written(
-            live.join(left, "u").join(right, "v").where("u2 <> v2").select(F.col("u2").alias("u"), F.col("v2").alias("v")).distinct(),
+            join_hot(written(join_hot(live, left, "u"), "half"), right, "v").where("u2 <> v2").select(F.col("u2").alias("u"), F.col("v2").alias("v")).distinct(),
             "links",
         )
     else:

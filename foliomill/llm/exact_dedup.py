@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import BLANKS, text_or_empty, written
+from foliomill.llm.common import BLANKS, only_rows, text_or_empty, written
 
 SUPPORT = 0.002
 
@@ -36,9 +36,9 @@ def slim_rows(docs: DataFrame) -> DataFrame:
 
 def _winners(rows: DataFrame) -> DataFrame:
     """One row per digest: its size, and the points and doc_id of the row that stays."""
-    best = F.max(F.struct(F.col("points"), (-F.col("doc_id")).alias("less"))).alias("best")
+    best = F.max(F.struct(F.col("points"), F.bitwise_not("doc_id").alias("less"))).alias("best")  # ~id falls as id grows, without overflow
     return rows.groupBy("digest").agg(F.count("*").alias("group_size"), best).select(
-        "digest", "group_size", F.col("best.points").alias("top_points"), (-F.col("best.less")).alias("keep_id")
+        "digest", "group_size", F.col("best.points").alias("top_points"), F.bitwise_not("best.less").alias("keep_id")
     )
 
 
@@ -75,14 +75,6 @@ def exact_groups(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
 
 
 def keep_one_of_equals(docs: DataFrame, support: float = SUPPORT) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = written(exact_groups(docs, support).where("kept").select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest"), F.col("n_copies").alias("__copies")), "kept")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    marked = docs.withColumn("__own", text_digest(text_or_empty()))
-    match = marked["doc_id"].eqNullSafe(kept["__id"]) & (marked["__own"] == kept["__digest"])
-    if kept.where("__copies > 1").isEmpty():
-        return marked.join(kept, match, "left_semi").select(*own)
-    found = marked.join(kept, match)
-    once = found.where("__copies = 1").select(*own)
-    merged = found.where("__copies > 1").groupBy("__id", "__digest").agg(F.first(F.struct(*own)).alias("__row"))
-    return once.unionByName(merged.select("__row.*"))
+    """The rows of docs that stay, with all their columns, whatever their names."""
+    kept = exact_groups(docs, support).where("kept").select("doc_id", F.unhex("text_sha256").alias("digest"), F.col("n_copies").alias("copies"))
+    return only_rows(docs, text_digest(text_or_empty()), kept)

@@ -39,11 +39,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm.bpe import slices
-from foliomill.llm.common import connected_components, written
+from foliomill.llm.common import connected_components, join_hot, only_rows, text_or_empty, written
 
 SHINGLE = 4
 RADIUS = 4
@@ -266,8 +266,13 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, keep: int = KEE
     return paired.repartition(*key).sortWithinPartitions(*key).mapInArrow(block_links(radius, ["fp"], "fp"), "u long, v long")
 
 
+def raw_digest() -> Column:
+    """SHA-256 of the text as it is."""
+    return F.unhex(F.sha2(text_or_empty(), 256))
+
+
 def shingle_sets(docs: DataFrame, width: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
-    """Per row of docs: doc_id, node (a hash of the set), w0..: SimHash words of the set, bands (shard keys; none of an empty set), shingles (the sorted set)."""
+    """Per row of docs: doc_id, digest (of the text), node (a hash of the set), w0..: SimHash words of the set, bands (shard keys; none of an empty set), shingles (the sorted set)."""
     columns = [f"w{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,9 +287,12 @@ def shingle_sets(docs: DataFrame, width: int = WIDE_SHINGLE, words: int = WIDE)
                     found[k, n] = simhash(hashes)
                     hashes = remixed(hashes)
             lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *x]))) for x in (bands, sets)]
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.array(node, np.uint64).view(np.int64)), *[pa.array(f.view(np.int64)) for f in found], *lists], ["doc_id", "node", *columns, "bands", "shingles"])
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), rows.column("digest"), pa.array(np.array(node, np.uint64).view(np.int64)), *[pa.array(f.view(np.int64)) for f in found], *lists],
+                ["doc_id", "digest", "node", *columns, "bands", "shingles"],
+            )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, node long, " + ", ".join(f"{c} long" for c in columns) + ", bands array<long>, shingles array<long>")
+    return docs.select("doc_id", "text", raw_digest().alias("digest")).mapInArrow(run, "doc_id long, digest binary, node long, " + ", ".join(f"{c} long" for c in columns) + ", bands array<long>, shingles array<long>")
 
 
 @cache
@@ -358,11 +366,15 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where((F.least(a, b) / F.greatest(a, b) >= similarity) & (common / (a + b - common) >= similarity)).select("u", "v")
 
 
-def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDE_SHINGLE) -> DataFrame:
-    """Per row of docs: doc_id and component_id, the least doc_id of the texts that links of that similarity reach."""
+def _similar(docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, digest, node) of each row of docs, the nodes with their first row, and the (node, root) of all linked nodes.
+
+    A row is named by a struct of whether its doc_id is null, the doc_id, and the text's digest.
+    """
     columns = [f"w{k}" for k in range(WIDE)]
     marked = written(shingle_sets(docs, width), "simhash")
-    distinct = written(marked.groupBy("node").agg(F.min("doc_id").alias("first_doc"), *[F.first(c).alias(c) for c in [*columns, "bands"]]), "fingerprints")
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
+    distinct = written(marked.groupBy("node").agg(F.min(name).alias("first_doc"), *[F.first(c).alias(c) for c in [*columns, "bands"]]), "fingerprints")
     links = roots = None
     for places in zip(ROUNDS, ROUNDS[1:]):
         labelled = distinct.withColumn("label", F.col("node")) if roots is None else distinct.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -373,14 +385,20 @@ def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: in
         if not new.isEmpty() or roots is None:
             links = new if links is None else links.union(new)
             roots = connected_components(links)
-    return _named(marked.select("doc_id", "node"), distinct.select("node", "first_doc"), roots).select("doc_id", "component_id")
+    return marked.select("doc_id", "digest", "node"), distinct.select("node", "first_doc"), roots
+
+
+def similar_documents(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDE_SHINGLE) -> DataFrame:
+    """Per row of docs: doc_id and component_id, the least doc_id of the texts that links of that similarity reach."""
+    rows, nodes, roots = _similar(docs, similarity, width)
+    return _named(rows, nodes, roots).select("doc_id", F.col("component_id.doc_id").alias("component_id"))
 
 
 def _named(rows: DataFrame, nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """rows (with node) and the least first_doc of each node's component."""
-    placed = nodes.join(roots, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root"))
-    least = placed.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    return rows.join(placed.join(least, "root").select("node", "component_id"), "node")
+    """rows (with node) and the least first_doc of each node's component, as component_id."""
+    placed = written(nodes.join(roots, "node", "left").select("node", "first_doc", F.coalesce("root", "node").alias("root")), "placed")
+    least = written(placed.groupBy("root").agg(F.min("first_doc").alias("component_id")), "least")
+    return join_hot(rows, join_hot(placed, least, "root").select("node", "component_id"), "node")
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
@@ -392,11 +410,14 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, radius: int = RADIUS)
     return named.select("doc_id", F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one_of_similar(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs whose doc_id names their component: one document of each group, with all columns.
+def keep_one_of_similar(docs: DataFrame, similarity: float = SIMILARITY, width: int = WIDE_SHINGLE) -> DataFrame:
+    """One row of docs for each group of similar texts, with all its columns, whatever their names.
 
-    Rows with a null doc_id in a group without other ids have no name; they stay.
+    It is the row with the least doc_id (null ids come last), of such rows that with the least digest
+    of its text; of rows that repeat both, one. Rows are told apart by doc_id and text, so a row with
+    a repeated or null doc_id only goes if its own text is in a group.
     """
-    groups = similar_documents(docs, similarity)
-    gone = groups.where(F.col("component_id").isNotNull() & ~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("__id")), "left_anti")
+    rows, nodes, roots = _similar(docs, similarity, width)
+    named = _named(rows, nodes, roots)
+    first = named.where(F.col("doc_id").eqNullSafe(F.col("component_id.doc_id")) & (F.col("digest") == F.col("component_id.digest")))
+    return only_rows(docs, raw_digest(), first.groupBy("doc_id", "digest").agg(F.count("*").alias("copies")))

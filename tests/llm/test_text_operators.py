@@ -1,6 +1,7 @@
 """Operators on texts against plain implementations, with nulls, empties, repeats and clashing columns."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -282,6 +283,59 @@ def test_similar_documents(spark):
     assert {r.doc_id for r in simhash_bk.keep_one_of_similar(frame(spark, rows)).collect()} == {3, 9, 11, 13}
 
 
+def test_keeping_one_of_similar_goes_by_rows(spark):
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(3000)}" for _ in range(300)]
+    near = " ".join([*base[:150], "new", *base[151:]])
+    base = " ".join(base)
+    rows = [(3, base, "a"), (5, near, "b"), (5, "some other text", "c"), (None, near, "d"), (None, "a text without an id", "e"), (7, "twice the same", "f"), (7, "twice the same", "f"), (None, None, "g"), (None, "", "g")]
+    for names in (("__id", "__own"), ("own_digest", "Chosen_Id"), ("node", "component_id"), ("digest", "copies")):
+        docs = spark.createDataFrame([(*r, r[2]) for r in rows], f"doc_id long, text string, {names[0]} string, {names[1]} string")
+        got = simhash_bk.keep_one_of_similar(docs)
+        assert got.columns == docs.columns
+        found = sorted(((r[0], r[1] or "", r[2], r[3]) for r in got.collect()), key=str)
+        assert found == sorted([(3, base, "a", "a"), (5, "some other text", "c", "c"), (None, "a text without an id", "e", "e"), (7, "twice the same", "f", "f"), (None, "", "g", "g")], key=str)
+        equals = exact_dedup.keep_one_of_equals(docs)
+        assert equals.columns == docs.columns and sorted(r[2] + r[3] for r in equals.collect()) == ["aa", "bb", "cc", "ee", "ff", "gg"]
+
+
+def test_removed_documents_are_true_near_copies(spark):
+    """All pairs of the documents left by exact deduplication, by the Jaccard of their five-word shingles."""
+    docs = exact_dedup.keep_one_of_equals(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    sets = []
+    for d in docs:
+        w = (d.text or "").encode().lower().split()
+        sets.append({tuple(w[n : n + 5]) for n in range(max(1, len(w) - 4))} if w else set())
+    holders = defaultdict(list)
+    for n, s in enumerate(sets):
+        for shingle in s:
+            holders[shingle].append(n)
+    common = Counter(p for h in holders.values() for p in itertools.combinations(h, 2))
+    parent = list(range(len(docs)))
+
+    def top(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for (a, b), c in common.items():
+        if c / (len(sets[a]) + len(sets[b]) - c) >= 0.8:
+            parent[max(top(a), top(b))] = min(top(a), top(b))
+    groups = defaultdict(list)
+    for n, d in enumerate(docs):
+        groups[top(n)].append(d.doc_id)
+    true = {i for g in groups.values() for i in g if i != min(g)}
+    table = spark.createDataFrame([(d.doc_id, d.text) for d in docs], "doc_id long, text string")
+    gone = {d.doc_id for d in docs} - {r.doc_id for r in simhash_bk.keep_one_of_similar(table).collect()}
+    assert gone <= true and len(gone) >= 0.9 * len(true) and true
+
+
+def test_smallest_id_of_all(spark):
+    rows = [(-(2**63), "a b"), (4, "ab"), (2**63 - 1, "a  b"), (None, "a b")]
+    got = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(frame(spark, rows)).collect()}
+    assert got == {(-(2**63), 2**63 - 1, 4, False), (4, 2**63 - 1, 4, False), (2**63 - 1, 2**63 - 1, 4, True), (None, 2**63 - 1, 4, False)}
+
+
 def test_repeated_lines_do_not_weigh(spark):
     rng = random.Random(10)
     new = lambda n: [f"u{rng.randrange(10**9)}" for _ in range(n)]
