@@ -20,14 +20,17 @@ doc_id and text are not looked at. A null doc_id gets a fingerprint and joins it
 names none.
 
 ``similar_documents`` links by a shingle similarity (the Jaccard of the sets of distinct shingles)
-instead of a number of bits. 256-bit fingerprints of the sets only find candidates, and each link is
+instead of a number of bits. 512-bit fingerprints of the sets only find candidates, and each link is
 confirmed by the written sets of its two texts. As so many changed bits leave no blocks whole, its
 shards are keyed by bands of least hashes of the set: a link at the similarity asked for has a shard
 in common with a probability of 0.9996, and stands within the radius but for one in thousands.
 
-Candidates are confirmed in rounds, so that a large group of near copies costs no square of links:
-each text first meets a few candidates of a shard, and later rounds only take what is still apart.
-The last round takes all that is left, so no candidate goes unseen.
+Only texts that share a shard with another are looked at further; sets of others are not moved.
+Candidates are confirmed in rounds, nearest first, so that a large group of near copies costs no square
+of links: a text meets its nearest in its own block of a shard, then each component the nearest other
+ones through one text each, and later rounds take more of what is still apart; the texts of a shard's
+largest component do not ask there, as the others ask them. The last round takes all that is left, so
+no candidate goes unseen.
 """
 
 from __future__ import annotations
@@ -53,15 +56,17 @@ SEED = 42
 #: Fingerprints of a shard that one tree holds at most.
 BLOCK = 4096
 #: For links by similarity: 64-bit words of a fingerprint, words of a shingle, similarity, shard keys and least hashes of each.
-WIDE, WIDE_SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 4, 5, 0.8, 20, 5
+WIDE, WIDE_SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 8, 5, 0.8, 20, 5
 #: Standard deviations that the radius of candidates leaves above the mean; small sets, where half of the hashes may have a bit, vary more.
-DEVIATIONS = 5
-#: Of the candidates of a text in a group of a shard, those of places 0 to 3 are confirmed first, then 4 to 63, then the rest.
-ROUNDS = (0, 4, 64, 1 << 62)
-#: Fingerprints of a shard that one group of candidates holds at most.
+DEVIATIONS = 4
+#: Who asks in each round, and how many of its nearest candidates are confirmed (all at last): texts in their block, one text of each component, all texts.
+ROUNDS = (("block", 1), ("one", 4), ("all", 4), ("all", 32), ("all", 1 << 62))
+#: Fingerprints of a shard that one group of candidates holds at most, besides those that ask.
 PAIR_BLOCK = 1024
+#: Texts with candidates up to which their list is broadcast; beyond, the sets of all texts take one shuffle.
+BROADCAST_NODES = 1_000_000
 #: Oversized shards up to which their table is broadcast.
-BROADCAST_SHARDS = 50_000
+BROADCAST_SHARDS = 200_000
 #: Comparisons that a task may have in memory at once.
 PAIRS_AT_ONCE = 1 << 22
 
@@ -81,13 +86,29 @@ def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
     return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :].tolist())], np.uint64)
 
 
-def simhash(hashes: np.ndarray) -> int:
-    """The fingerprint: bits set in over half of the hashes."""
-    ones = np.zeros(64, np.int64)
-    for a in range(0, len(hashes), 1 << 16):
-        part = hashes[a : a + (1 << 16)]
-        ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+def simhashes(hashes: list[np.ndarray], words: int = 1) -> np.ndarray:
+    """The fingerprint of each list of hashes as a row of words: bits set in over half of the hashes, the words by other hashes each."""
+    sizes = np.fromiter(map(len, hashes), np.int64, len(hashes))
+    out = np.zeros((len(hashes), words), np.uint64)
+    some = np.flatnonzero(sizes)
+    if not len(some):
+        return out
+    flat, sizes = np.concatenate(hashes), sizes[some]
+    # eight bits at a time are counted in the bytes of a sum, which hold what 255 hashes may add up to
+    parts = -(-sizes // 255)
+    first = np.cumsum(parts) - parts
+    starts = np.repeat(np.cumsum(sizes) - sizes, parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+    bytewise = np.uint64(0x0101010101010101)
+    for w in range(words):
+        ones = np.empty((len(some), 8, 8), np.int64)  # by byte and bit
+        for bit in range(8):
+            sums = np.add.reduceat((flat >> np.uint64(bit)) & bytewise, starts)
+            ones[:, :, bit] = np.add.reduceat(sums.astype("<u8").view(np.uint8).reshape(-1, 8).astype(np.int64), first)
+        bits = 2 * ones.reshape(len(some), 64) > sizes[:, None]
+        out[some, w] = np.packbits(bits, axis=1, bitorder="little").view("<u8")[:, 0]
+        if w + 1 < words:
+            flat = remixed(flat)
+    return out
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
@@ -95,7 +116,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
-            found = np.array([simhash(shingle_hashes(t, width)) for t in rows.column("text").to_pylist()], np.uint64)
+            found = simhashes([shingle_hashes(t, width) for t in rows.column("text").to_pylist()])[:, 0]
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
@@ -185,47 +206,27 @@ def group_links(value: np.ndarray, group: np.ndarray, ask: np.ndarray, tree: np.
     return linked, reach[linked]
 
 
-def group_pairs(value: np.ndarray, group: np.ndarray, ask: np.ndarray, tree: np.ndarray, radius: int, name: np.ndarray, places: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs within the radius, of each query those in the given places of an order by hash."""
-    in_tree, asking = np.flatnonzero(tree), np.flatnonzero(ask)
+def near_pairs(value: np.ndarray, group: np.ndarray, rows: dict[str, np.ndarray], radius: int, similarity: float, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each group, within the radius and of different labels: of each that asks its top nearest in the tree.
+
+    Sets whose sizes alone keep their similarity below the one asked for are no candidates.
+    """
+    in_tree, asking = np.flatnonzero(rows["tree"]), np.flatnonzero(rows["ask"])
     q, v = BkForest(value[in_tree], group[in_tree]).within(value[asking], group[asking], radius)
     a, b = asking[q], in_tree[v]
-    a, b = a[a != b], b[a != b]
-    order = np.lexsort((remixed((name[a] ^ name[b]).view(np.uint64)), a))
+    small, large = np.minimum(rows["size"][a], rows["size"][b]), np.maximum(rows["size"][a], rows["size"][b])
+    fits = (rows["label"][a] != rows["label"][b]) & (small >= similarity * large)
+    a, b = a[fits], b[fits]
+    order = np.lexsort((remixed((rows["node"][a] ^ rows["node"][b]).view(np.uint64)), distances(value[a], value[b]), a))
     a, b = a[order], b[order]
-    place = np.arange(len(a)) - np.searchsorted(a, a)
-    taken = (place >= places[0]) & (place < places[1])
+    taken = np.arange(len(a)) - np.searchsorted(a, a) < top
     return a[taken], b[taken]
 
 
-def block_links(radius: int, words: list[str], names: str, places: tuple[int, int] | None = None):
-    """A mapInArrow function over rows sorted by (choice, bits, low, high): star links (u, v) of each group.
-
-    words are the columns of the fingerprint, names the column that links tell. With places, not stars
-    but the pairs in these places are told, of those whose labels differ.
-    """
-    key = ["choice", "bits", "low", "high"]
-
-    def links(number: np.ndarray, rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        group = np.cumsum(np.r_[0, number[1:] != number[:-1]])
-        sizes = np.bincount(group)
-        # as many groups at a time as their comparisons allow; groups of one have nothing to link
-        turn = np.where(sizes > 1, np.cumsum(sizes.astype(float) ** 2) // PAIRS_AT_ONCE, -1)[group]
-        for t in np.unique(turn[turn >= 0]):
-            take = turn == t
-            value = np.stack([rows[w][take].view(np.uint64) for w in words], 1)
-            name, ask, tree = rows[names][take], rows["own"][take] == rows["low"][take], rows["own"][take] == rows["high"][take]
-            if places is None:
-                u, v = group_links(value, group[take], ask, tree, radius)
-            else:
-                u, v = group_pairs(value, group[take], ask, tree, radius, name, places)
-                apart = rows["label"][take][u] != rows["label"][take][v]
-                u, v = u[apart], v[apart]
-                u, v = np.where(name[u] < name[v], u, v), np.where(name[u] < name[v], v, u)
-            yield pa.RecordBatch.from_arrays([pa.array(name[u]), pa.array(name[v])], ["u", "v"])
+def by_groups(key: list[str], columns: list[str], work):
+    """A mapInArrow function over rows sorted by key: work(numbers of groups, rows) on whole groups, many at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = list(dict.fromkeys(["own", "low", "high", *words, names, *(["label"] if places else [])]))
         held = {c: np.empty(0, np.int64) for c in columns}
         numbers, last, number = np.empty(0, np.int64), None, 0
         for batch in batches:
@@ -239,14 +240,27 @@ def block_links(radius: int, words: list[str], names: str, places: tuple[int, in
             held = {c: np.r_[held[c], batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)] for c in columns}
             whole = numbers != number
             if whole.any():
-                yield from links(numbers[whole], {c: x[whole] for c, x in held.items()})
+                yield from work(numbers[whole], {c: x[whole] for c, x in held.items()})
                 numbers, held = numbers[~whole], {c: x[~whole] for c, x in held.items()}
         if len(numbers):
-            yield from links(numbers, held)
+            yield from work(numbers, held)
 
     return run
 
 
+def turns(numbers: np.ndarray, rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, dict[str, np.ndarray]]]:
+    """Groups and their rows, as many at a time as their comparisons allow; groups of one have nothing to link."""
+    group = np.cumsum(np.r_[0, numbers[1:] != numbers[:-1]])
+    sizes = np.bincount(group)
+    turn = np.where(sizes > 1, np.cumsum(sizes.astype(float) ** 2) // PAIRS_AT_ONCE, -1)[group]
+    for t in np.unique(turn[turn >= 0]):
+        yield group[turn == t], {c: x[turn == t] for c, x in rows.items()}
+
+
+def _pairs_of(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], ["u", "v"])
+
+
 def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, keep: int = KEEP, block: int = BLOCK) -> DataFrame:
     """Links (u, v) whose components are those of all pairs of distinct fp within the radius."""
     masks = shard_masks(radius, keep)
@@ -263,7 +277,13 @@ def fingerprint_links(distinct: DataFrame, radius: int = RADIUS, keep: int = KEE
         .select("choice", "bits", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "fp")
     )
     key = ["choice", "bits", "low", "high"]
-    return paired.repartition(*key).sortWithinPartitions(*key).mapInArrow(block_links(radius, ["fp"], "fp"), "u long, v long")
+
+    def links(numbers: np.ndarray, rows: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for group, some in turns(numbers, rows):
+            u, v = group_links(some["fp"].view(np.uint64)[:, None], group, some["own"] == some["low"], some["own"] == some["high"], radius)
+            yield _pairs_of(some["fp"][u], some["fp"][v])
+
+    return paired.repartition(*key).sortWithinPartitions(*key).mapInArrow(by_groups(key, ["own", "low", "high", "fp"], links), "u long, v long")
 
 
 def raw_digest() -> Column:
@@ -272,27 +292,22 @@ def raw_digest() -> Column:
 
 
 def shingle_sets(docs: DataFrame, width: int = WIDE_SHINGLE, words: int = WIDE) -> DataFrame:
-    """Per row of docs: doc_id, digest (of the text), node (a hash of the set), w0..: SimHash words of the set, bands (shard keys; none of an empty set), shingles (the sorted set)."""
+    """Per row of docs: doc_id, digest (of the text), node (a hash of the set), size, w0..: SimHash words of the set, bands (shard keys; none of an empty set), shingles (the sorted set)."""
     columns = [f"w{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
-            found, node, sets, bands = np.zeros((words, rows.num_rows), np.uint64), [], [], []
-            for n, text in enumerate(rows.column("text").to_pylist()):
-                hashes = np.unique(shingle_hashes(text, width))
-                sets.append(hashes.view(np.int64))
-                bands.append(band_keys(hashes).view(np.int64))
-                node.append(xxhash.xxh64_intdigest(hashes.astype("<u8").tobytes(), SEED))
-                for k in range(words):
-                    found[k, n] = simhash(hashes)
-                    hashes = remixed(hashes)
-            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *x]))) for x in (bands, sets)]
+            sets = [np.unique(shingle_hashes(t, width)) for t in rows.column("text").to_pylist()]
+            found = simhashes(sets, words).view(np.int64)
+            node = np.array([xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), SEED) for x in sets], np.uint64)
+            lists = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate([np.empty(0, np.uint64), *x]).view(np.int64))) for x in (list(map(band_keys, sets)), sets)]
             yield pa.RecordBatch.from_arrays(
-                [rows.column("doc_id"), rows.column("digest"), pa.array(np.array(node, np.uint64).view(np.int64)), *[pa.array(f.view(np.int64)) for f in found], *lists],
-                ["doc_id", "digest", "node", *columns, "bands", "shingles"],
+                [rows.column("doc_id"), rows.column("digest"), pa.array(node.view(np.int64)), pa.array(list(map(len, sets)), pa.int64()), *[pa.array(found[:, k]) for k in range(words)], *lists],
+                ["doc_id", "digest", "node", "size", *columns, "bands", "shingles"],
             )
 
-    return docs.select("doc_id", "text", raw_digest().alias("digest")).mapInArrow(run, "doc_id long, digest binary, node long, " + ", ".join(f"{c} long" for c in columns) + ", bands array<long>, shingles array<long>")
+    schema = "doc_id long, digest binary, node long, size long, " + ", ".join(f"{c} long" for c in columns) + ", bands array<long>, shingles array<long>"
+    return docs.select("doc_id", "text", raw_digest().alias("digest")).mapInArrow(run, schema)
 
 
 @cache
@@ -333,37 +348,54 @@ def wide_radius(similarity: float = SIMILARITY, words: int = WIDE) -> int:
     return int(bits * share + DEVIATIONS * np.sqrt(bits * share * (1 - share)))
 
 
-def wide_links(distinct: DataFrame, radius: int, places: tuple[int, int], words: int = WIDE, block: int = PAIR_BLOCK) -> DataFrame | None:
-    """Candidates (u, v) among the nodes of distinct (node, label, w0, ..., bands) whose labels differ: their fingerprints are within the radius and share a shard.
+def crowded_nodes(distinct: DataFrame) -> DataFrame:
+    """The nodes of distinct (node, bands) that share a shard with another, as a written table."""
+    rows = distinct.select("node", F.posexplode("bands").alias("choice", "bits"))
+    crowded = rows.groupBy("choice", "bits").agg(F.count("*").alias("count")).where("count > 1")
+    return written(rows.join(crowded.select("choice", "bits"), ["choice", "bits"], "left_semi").select("node").distinct(), "crowded")
+
 
-    Of a node's candidates in a group of a shard, those in the given places; None if no shard can have any.
+def wide_links(nodes: DataFrame, radius: int, similarity: float, who: str, top: int, words: int = WIDE, block: int = PAIR_BLOCK) -> DataFrame | None:
+    """Candidates (u, v) among nodes (node, label, size, w0, ..., bands) whose labels differ and that share a shard: of each that asks its top nearest.
+
+    None if no shard has different labels.
     """
     columns = [f"w{k}" for k in range(words)]
-    rows = distinct.select("node", "label", *columns, F.posexplode("bands").alias("choice", "bits"))
-    sizes = rows.groupBy("choice", "bits").agg(F.count("*").alias("count"), F.min("label").alias("least"), F.max("label").alias("most"))
-    first = places[0] == 0  # the first round takes all shards, later ones those that may have such places
-    sizes = sizes.where(F.col("count") > block if first else (F.col("count") > places[0] + 1) & (F.col("least") < F.col("most")))
-    crowded = written(sizes.select("choice", "bits", F.ceil(F.col("count") / F.lit(block)).cast("int").alias("parts")), "crowded")
-    number = crowded.count()
-    if not first and not number:
+    rows = nodes.select("node", "label", "size", *columns, F.posexplode("bands").alias("choice", "bits"))
+    labels = rows.groupBy("choice", "bits", "label").agg(F.count("*").alias("n"), F.min("node").alias("first"))
+    shards = labels.groupBy("choice", "bits").agg(F.sum("n").alias("count"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1")
+    # one text of each label stands for it, or all do
+    size = F.col("labels") if who == "one" else F.col("count")
+    shards = written(shards.select("choice", "bits", F.when(F.col("most.n") > 1, F.col("most.label")).alias("main"), F.ceil(size / F.lit(block)).cast("int").alias("parts")), "shards")
+    number = shards.count()
+    if not number:
         return None
-    rows = rows.join(F.broadcast(crowded) if number <= BROADCAST_SHARDS else crowded, ["choice", "bits"], "left" if first else "inner").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.join(F.broadcast(shards) if number <= BROADCAST_SHARDS else shards, ["choice", "bits"])
+    if who == "one":
+        rows = rows.join(labels.select("choice", "bits", F.col("first").alias("node")), ["choice", "bits", "node"])
     own = F.pmod(F.col("node"), F.col("parts")).cast("int")
-    paired = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    paired = paired.select("choice", "bits", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "label", *columns)
-    key = ["choice", "bits", "low", "high"]
-    return paired.repartition(*key).sortWithinPartitions(*key).mapInArrow(block_links(radius, columns, "node", places), "u long, v long").distinct()
+    asks = F.lit(True) if who == "block" else ~F.col("label").eqNullSafe(F.col("main"))
+    blocks = F.array(own) if who == "block" else F.when(asks, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
+    rows = rows.withColumns({"own": own, "ask": asks.cast("int"), "block": F.explode(blocks)}).withColumn("tree", (F.col("own") == F.col("block")).cast("int"))
+    key, held = ["choice", "bits", "block"], ["node", "label", "size", "ask", "tree", *columns]
+
+    def pairs(numbers: np.ndarray, found: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for group, some in turns(numbers, found):
+            value = np.stack([some[c].view(np.uint64) for c in columns], 1)
+            u, v = near_pairs(value, group, some, radius, similarity, top)
+            u, v = some["node"][u], some["node"][v]
+            yield _pairs_of(np.minimum(u, v), np.maximum(u, v))
+
+    return rows.select(*key, *held).repartition(*key).sortWithinPartitions(*key).mapInArrow(by_groups(key, held, pairs), "u long, v long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets (node, shingles; nodes may repeat) have that Jaccard similarity or more."""
-    asked = pairs.select(F.col("u").alias("node")).union(pairs.select(F.col("v").alias("node"))).distinct()
-    sets = written(sets.join(asked, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    """The pairs (u, v) whose sets (node, shingles) have that Jaccard similarity or more."""
     left, right = (sets.select(F.col("node").alias(n), F.col("shingles").alias(f"{n}_set")) for n in ("u", "v"))
     both = pairs.join(left, "u").join(right, "v")
     a, b = F.size("u_set"), F.size("v_set")
     common = F.size(F.array_intersect("u_set", "v_set"))
-    return both.where((F.least(a, b) / F.greatest(a, b) >= similarity) & (common / (a + b - common) >= similarity)).select("u", "v")
+    return both.where(common / (a + b - common) >= similarity).select("u", "v")
 
 
 def _similar(docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -371,20 +403,29 @@ def _similar(docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame,
 
     A row is named by a struct of whether its doc_id is null, the doc_id, and the text's digest.
     """
+    spark = docs.sparkSession
     columns = [f"w{k}" for k in range(WIDE)]
     marked = written(shingle_sets(docs, width), "simhash")
     name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "digest")
-    distinct = written(marked.groupBy("node").agg(F.min(name).alias("first_doc"), *[F.first(c).alias(c) for c in [*columns, "bands"]]), "fingerprints")
-    links = roots = None
-    for places in zip(ROUNDS, ROUNDS[1:]):
-        labelled = distinct.withColumn("label", F.col("node")) if roots is None else distinct.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pairs = wide_links(labelled, wide_radius(similarity), places)
+    distinct = written(marked.groupBy("node").agg(F.min(name).alias("first_doc"), *[F.first(c).alias(c) for c in ["size", *columns, "bands"]]), "fingerprints")
+    crowded = crowded_nodes(distinct)
+    few = F.broadcast(crowded) if crowded.count() <= BROADCAST_NODES else crowded
+    nodes = written(distinct.drop("first_doc").join(few, "node", "left_semi"), "nodes")
+    sets = written(marked.select("node", "shingles").join(few, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+    links = asked = roots = None
+    for who, top in ROUNDS:
+        labelled = nodes.withColumn("label", F.col("node")) if roots is None else nodes.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+        pairs = wide_links(labelled, wide_radius(similarity), similarity, who, top)
         if pairs is None:
             break
-        new = written(confirmed(written(pairs, "candidates"), marked.select("node", "shingles"), similarity), "near")
-        if not new.isEmpty() or roots is None:
+        pairs = written(pairs if asked is None else pairs.join(asked, ["u", "v"], "left_anti"), "candidates")
+        asked = pairs if asked is None else asked.union(pairs)
+        new = written(confirmed(pairs, sets, similarity), "near")
+        if not new.isEmpty():
             links = new if links is None else links.union(new)
             roots = connected_components(links)
+    if roots is None:
+        roots = spark.createDataFrame([], "node long, root long")
     return marked.select("doc_id", "digest", "node"), distinct.select("node", "first_doc"), roots
 
 

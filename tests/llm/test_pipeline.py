@@ -61,6 +61,28 @@ def test_run_equals_the_stages(spark, stages):
     assert key(corpus_pipeline.run(spark, SF).collect()) == key(stages[4].collect())
 
 
+def test_run_on_an_empty_table(spark, tmp_path):
+    for table in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(f"file://{tmp_path}/{table}.parquet")
+    assert corpus_pipeline.run(spark, f"file://{tmp_path}").count() == 0
+
+
+def test_stages_on_odd_rows(spark):
+    """Null and repeated ids, null and very long texts, clashing names: each stage keeps one row of each text, with all columns."""
+    long = " ".join(f"w{n}" for n in range(40_000))
+    rows = [(1, "a fine text", 1, "x"), (1, "another one", 2, "y"), (None, "a fine  text", 3, "z"), (None, None, 4, "n"), (7, "", 5, "e"), (8, long, 6, "l"), (9, long + " more", 7, "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, node int, digest string")
+    for name, stage in corpus_pipeline.STAGES[1:-1]:
+        got = stage(spark, docs, SF)
+        assert got.columns == docs.columns
+        want = {1, 2, 5, 6, 7} if name == "exact_dedup" else {1, 2, 5, 6}
+        assert {r.node for r in got.collect()} in (want, want - {1} | {3}), name
+    kept = corpus_pipeline.STAGES[0][1](spark, docs, SF)
+    assert kept.columns == docs.columns and {tuple(r) for r in kept.collect()} <= set(rows)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r[0] for r in rows)
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_queries_equal_their_sql(spark, name):
     con = duckdb.connect()

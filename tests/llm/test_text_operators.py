@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foliomill.llm import bpe, brown_lm, exact_dedup, license_diagonals, pattern_packing, quality_cnn, simhash_bk, token_attribution
+from foliomill.llm import bpe, brown_lm, common, exact_dedup, license_diagonals, pattern_packing, quality_cnn, simhash_bk, token_attribution
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, lang string, digest string, node long, key string"
@@ -93,6 +93,48 @@ def test_license_places(spark):
     assert labels[900] == labels[901] == "mit" and labels[903] == "" and labels[904] == "cc-by,gpl"
 
 
+def plain_labels(text, notices):
+    """Labels and score by a plain vote of each notice's triples on each diagonal, merged as the operator merges them."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    labels, best = {x for _, x in plain_bases(text)[1]}, 1.0 if plain_bases(text)[1] else 0.0
+    triples = [tuple(words[n : n + 3]) for n in range(len(words) - 2)]
+    for notice, label in notices:
+        own = [tuple(notice.split()[n : n + 3]) for n in range(len(notice.split()) - 2)]
+        votes = sorted((p - at, at) for p, t in enumerate(triples) for at, o in enumerate(own) if t == o)
+        bands = []
+        for d, at in votes:
+            if not bands or d - bands[-1][-1][0] > license_diagonals.SLACK:
+                bands.append([])
+            bands[-1].append((d, at))
+        for band in bands:
+            share = len({at for _, at in band}) / len(own)
+            span = max(d + at for d, at in band) + 3 - min(d + at for d, at in band)
+            if share >= license_diagonals.COVERAGE and span <= len(notice.split()) + 2 * license_diagonals.SLACK:
+                labels.add(label)
+                best = max(best, share)
+    return ",".join(sorted(labels)), best
+
+
+def test_notices_by_a_plain_vote(spark):
+    rng = random.Random(14)
+    long = " ".join(f"clause{rng.randrange(40)}" for _ in range(200))
+    notices = [*license_diagonals.NOTICES, (long, "long"), ("of the to of the to of the", "odd"), ("too short", "never")]
+    rows = []
+    for i in range(150):
+        words = rng.choice(notices)[0].split()
+        for _ in range(rng.randrange(0, 1 + len(words) // 6)):
+            at = rng.randrange(len(words))
+            words[at : at + rng.randrange(2)] = rng.choice([[], ["new"], ["of", "the"]])
+        rows.append((i, " ".join(["of the to"] * rng.randrange(4) + words + rng.choice(notices)[0].split()[: rng.randrange(20)])))
+    rows += [(900, None), (901, long + " " + long), (902, "of the to " * 2000)]
+    table = spark.createDataFrame([*notices, notices[0]], "text string, label string")
+    found = {r.doc_id: r for r in license_diagonals.scan_licenses(frame(spark, rows), table).collect()}
+    for i, text in rows:
+        labels, score = plain_labels(text, notices)
+        assert found[i].labels == labels and math.isclose(found[i].score, score), (i, text)
+    assert {"long", "odd", "mit", ""} <= {r.labels for r in found.values()}
+
+
 def test_bpe_equals_the_library(spark, library):
     got = bpe.round_trip_digests(frame(spark, ROWS), PATH).collect()
     texts = defaultdict(list)
@@ -364,7 +406,7 @@ def test_similar_pairs_equal_brute_force(spark):
     assert np.mean([joined[i] for i, j in want.items() if j >= 0.8]) > 0.995
 
 
-@pytest.mark.parametrize("rounds", [(0, 4, 64, 1 << 62), (0, 1, 2, 1 << 62)])
+@pytest.mark.parametrize("rounds", [simhash_bk.ROUNDS, (("all", 1 << 62),), (("block", 1), ("one", 1), ("all", 1), ("all", 1 << 62))])
 def test_groups_of_near_copies_in_blocks(spark, monkeypatch, rounds):
     monkeypatch.setattr(simhash_bk, "ROUNDS", rounds)
     monkeypatch.setattr(simhash_bk.wide_links, "__defaults__", (*simhash_bk.wide_links.__defaults__[:-1], 20))
@@ -375,7 +417,20 @@ def test_groups_of_near_copies_in_blocks(spark, monkeypatch, rounds):
         words = list(base)
         words[rng.randrange(600)] = f"new{i}"
         rows.append((i, " ".join(words)))
-    assert {r.component_id for r in simhash_bk.similar_documents(frame(spark, rows)).collect()} == {0}
+    for n in range(0, 600, 12):  # a relative of the group that no member is similar enough to
+        base[n] = f"other{n}"
+    rows.append((100, " ".join(base)))
+    assert {r.doc_id: r.component_id for r in simhash_bk.similar_documents(frame(spark, rows)).collect()} == {**{i: 0 for i in range(100)}, 100: 100}
+
+
+def test_fingerprints_equal_plain_counts():
+    rng = np.random.default_rng(4)
+    lists = [rng.integers(0, 2**64, n, np.uint64, endpoint=False) for n in (0, 1, 2, 254, 255, 256, 1000, 0)]
+    found = simhash_bk.simhashes(lists, 2)
+    for hashes, words in zip(lists, found):
+        for word in words:
+            assert int(word) == sum(1 << b for b in range(64) if 2 * sum(int(h) >> b & 1 for h in hashes) > len(hashes))
+            hashes = simhash_bk.remixed(hashes)
 
 
 def test_language_model_counts(spark):
@@ -406,14 +461,73 @@ def test_exchange_clustering_finds_classes_and_probabilities_add_up():
         before = now
     found = brown_lm.exchange_clustering(table, 5)
     assert sum(len(set(found[truth == k])) == 1 for k in range(5)) >= 4
-    model = brown_lm.class_model(table, found, np.ones(units), 5)
-    assert np.allclose((10**model.steps).sum(1), 1)
+    grouped = np.zeros((5, 5))
+    np.add.at(grouped, (found[:, None], found[None, :]), table)
+    seen, types = (np.bincount(found, w, 5) for w in (table.sum(0), np.ones(units)))
+    model = brown_lm.class_model(found, grouped, seen, types, np.array([0, 0, 3, 1, 0]))
+    assert np.allclose((10**model.steps).sum(1), 1) and model.unmet == 2
+    emitted = [((table.sum(0)[found == k] + 0.5).sum() + 0.5 * (k == 2)) / 10 ** model.spread[k] for k in range(5)]
+    assert np.allclose(emitted, 1)
+
+
+def test_words_are_placed_by_the_gain_of_the_class_bigrams():
+    rng = np.random.default_rng(5)
+    table = rng.integers(0, 50, (6, 6)).astype(float)
+    likelihood = lambda t: brown_lm.xlogx(t).sum() - brown_lm.xlogx(t.sum(0)).sum() - brown_lm.xlogx(t.sum(1)).sum()
+    word, side, klass, n = (np.array(x) for x in ([0, 0, 1, 2, 2, 2], [0, 1, 0, 0, 1, 1], [3, 2, 0, 5, 1, 4], [1, 2, 40, 7, 9, 1]))
+    got = brown_lm.Placer(table).place(word, side, klass, n, 4)
+    for w in range(3):
+        gains = []
+        for c in range(1, 6):
+            t = table.copy()
+            for s, k, m in zip(side[word == w], klass[word == w], n[word == w]):
+                t[(k, c) if s == 0 else (c, k)] += m
+            gains.append(likelihood(t))
+        assert gains[got[w] - 1] >= max(gains) - 1e-6 * abs(max(gains))
+    assert got[3] == 1 + table.sum(0)[1:].argmax()
+
+
+@pytest.mark.parametrize("size", [25, 100_000])
+def test_model_scores_equal_a_plain_computation(spark, monkeypatch, size):
+    """With a small dictionary most words get their class and count from the tables of rarer words."""
+    monkeypatch.setattr(brown_lm.lexicon, "__defaults__", (size,))
+    monkeypatch.setattr(brown_lm, "SEEDS", 10)
+    rng = random.Random(6)
+    texts = [" ".join(f"{rng.choice('abcde')}{min(int(rng.expovariate(0.2)), rng.randrange(1, 60))}" for _ in range(rng.randrange(0, 40))) for _ in range(300)]
+    rows = [*enumerate(texts), (900, None), (901, "never met words here"), (902, "")]
+    docs = frame(spark, rows)
+    train = docs.where(brown_lm.training(F.col("doc_id")))
+    counts = common.written(brown_lm.word_counts(train), "words")
+    lex, model, others = brown_lm.fit(train, counts)
+    klass = dict(zip(lex.listed, model.classes.tolist()))
+    rare = {r.word: r for r in others.collect()}
+    count = {r.word: r.n for r in counts.collect()}
+    assert set(klass) | set(rare) == set(count) and not set(klass) & set(rare) and (size > 25 or len(rare) > 20)
+    every = {**klass, **{w: r["class"] for w, r in rare.items()}}
+    token = {i: [*(t or "").lower().split(), ""] for i, t in rows}
+    table, number = np.zeros((brown_lm.CLASSES,) * 2), brown_lm.CLASSES
+    for i, ws in token.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            for a, b in zip(["", *ws], ws):
+                table[every[a], every[b]] += a in klass or b in klass
+    seen, types = (np.bincount([every[w] for w in count], [f(w) for w in count], number) for f in (count.get, lambda w: 1))
+    once = np.bincount([every[w] for w in count], [count[w] == 1 for w in count], number)
+    plain = brown_lm.class_model(model.classes, table, seen, types, once)
+    assert np.allclose(plain.steps, model.steps) and np.allclose(plain.spread, model.spread) and plain.unmet == model.unmet
+    for r in brown_lm.score_documents(docs).collect():
+        want, before = 0.0, 0
+        for w in token[r.doc_id]:
+            c = every.get(w, model.unmet)
+            want += plain.steps[before, c] + math.log10(count.get(w, 0) + 0.5) - plain.spread[c]
+            before = c
+        assert math.isclose(r.score, want, rel_tol=1e-9), r
 
 
 def test_dictionary_is_a_threshold(spark):
     counts = spark.createDataFrame([("a", 9), ("b", 5), ("c", 5), ("d", 1), ("", 7)], "word string, n long")
-    assert brown_lm.lexicon(counts, 3).listed == [b"a", b""]
-    assert brown_lm.lexicon(counts, 4).listed == [b"a", b"", b"b", b"c"]
+    assert brown_lm.lexicon(counts, 3).listed == ["a", ""]
+    assert brown_lm.lexicon(counts, 4).listed == ["a", "", "b", "c"]
+    assert brown_lm.lexicon(counts, 1).listed == ["a", ""]  # the end token is always there
 
 
 def good(rng):
@@ -456,6 +570,66 @@ def test_scores_cover_whole_texts_in_any_chunking():
     assert net.probabilities([b"x" * 9000 + b" %%% ***"]) != net.probabilities([b"x" * 9000])
 
 
+def plain_features(tables, text):
+    """Mean and maximum over chunks of each filter's highest rectified response, one window after another."""
+    filters, chunks = tables.shape[2], []
+    for a in range(0, max(1, len(text)), quality_cnn.CHUNK):
+        best = np.zeros(filters)
+        for at in range(a, a + quality_cnn.CHUNK):
+            for f in range(filters):
+                window = sum(float(tables[k, text[at + k] if at + k < len(text) else quality_cnn.PAD, f]) for k in range(quality_cnn.WIDTH))
+                best[f] = max(best[f], window)
+        chunks.append(best)
+    return np.r_[np.mean(chunks, 0), np.max(chunks, 0)]
+
+
+def test_scores_equal_a_plain_convolution():
+    rng = random.Random(15)
+    trainer = quality_cnn.Trainer()
+    trainer.p["weights"] = np.random.default_rng(1).normal(size=2 * quality_cnn.FILTERS)
+    net = trainer.network()
+    for size in (0, 3, 511, 515, 1300):
+        text = bytes(rng.randrange(256) for _ in range(size))
+        x = plain_features(net.tables, text)
+        assert math.isclose(net.probabilities([text])[0], 1 / (1 + math.exp(-(x @ net.weights + net.bias))), rel_tol=1e-4)
+
+
+def test_gradients_equal_differences():
+    rng = random.Random(16)
+    texts = [bytes(rng.randrange(97, 123) for _ in range(n)) for n in (40, 700, 1200)]
+    labels, weight = np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    trainer = quality_cnn.Trainer()
+    trainer.p["weights"] = np.random.default_rng(2).normal(size=2 * quality_cnn.FILTERS) * 0.3
+
+    def loss():
+        p = trainer.network().probabilities(texts)
+        return -(weight * (labels * np.log(p) + (1 - labels) * np.log(1 - p))).sum() / weight.sum() + quality_cnn.DECAY / 2 * (trainer.p["weights"] ** 2).sum()
+
+    gradient = trainer.gradients(texts, labels, weight)
+    for name, at in [("bias", (0,)), ("weights", (3,)), ("weights", (quality_cnn.FILTERS + 5,)), ("filters", (0, 1, 2)), ("filters", (4, 7, 9)), ("embedding", (100, 3)), ("embedding", (110, 0))]:
+        kept, step = trainer.p[name][at], 1e-3
+        trainer.p[name][at] = kept + step
+        above = loss()
+        trainer.p[name][at] = kept - step
+        below = loss()
+        trainer.p[name][at] = kept
+        assert math.isclose((above - below) / (2 * step), gradient[name][at], rel_tol=0.05, abs_tol=2e-4), (name, at)
+
+
+def test_training_takes_whole_texts_in_a_fixed_order(spark, monkeypatch):
+    monkeypatch.setattr(quality_cnn, "CLASS_BYTES", 120_000)
+    rows = [(i, f"text {i} " * (1 + i)) for i in range(60)] + [(1, "a text that comes first"), (7, "x" * 130_000)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    texts, told, share = quality_cnn.training_rows(frame(spark, rows), labels)
+    again, _, _ = quality_cnn.training_rows(frame(spark, rows[::-1]), labels)
+    used = {i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1}
+    want = sorted(min(t for j, t in rows if j == i) for i in used)
+    assert texts == again and sorted(t.decode() for t in texts) == want and len(told) == len(used) and 0 < share < 1
+    monkeypatch.setattr(quality_cnn, "CLASS_BYTES", 3000)
+    fewer, _, _ = quality_cnn.training_rows(frame(spark, rows), labels)
+    assert 0 < sum(map(len, fewer)) <= 6000 and {t.decode() for t in fewer} < set(want)
+
+
 def test_without_labels_of_both_classes(spark):
     docs = frame(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")

@@ -16,14 +16,15 @@ def cloud(seed, n=300, dims=16):
     return np.concatenate([loose, tight, chain, tight[:20], tight[:5] * 3]).astype(np.float32)
 
 
-@pytest.mark.parametrize("shard,block", [(1500, 2048), (60, 40)])
-def test_near_vectors_equal_brute_force(spark, monkeypatch, shard, block):
-    monkeypatch.setattr(vector_graph, "SHARD", shard)
+@pytest.mark.parametrize("block,target", [(2048, 0.95), (80, 0.95), (80, 1.1)])
+def test_near_vectors_equal_brute_force(spark, monkeypatch, block, target):
+    """One shard, a tree of shards, and (with a target out of reach) the exact way."""
     monkeypatch.setattr(vector_graph, "BLOCK", block)
     vectors = cloud(1)
     odd = [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [float("inf")] + [1.0] * 15, [None] + [1.0] * 15, [1.0] * 7, []]
     rows = [(i, v.tolist(), 1, "x") for i, v in enumerate(vectors)] + [(900 + n, v, 1, "x") for n, v in enumerate(odd)]
-    got = {r.vec_id: r for r in vector_graph.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, node int, shard string")).collect()}
+    got = {r.vec_id: r for r in vector_graph.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, node int, shard string"), target=target).collect()}
+    assert {r.recall for r in got.values()} == {got[0].recall} and got[0].recall >= 0.95
     u = vector_graph.unit(vectors.astype(np.float64))
     near = u @ u.T >= 0.95
     np.fill_diagonal(near, False)
@@ -37,6 +38,20 @@ def test_near_vectors_equal_brute_force(spark, monkeypatch, shard, block):
         assert (got[900 + n].n_links, got[900 + n].component_id, got[900 + n].kept) == (0, 900 + n, True)
 
 
+def test_lengths_have_their_own_index(spark):
+    schema = "vec_id long, embedding array<double>"
+    rows = [(1, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [1.0, 0.0, 0.0]), (5, [2e200, 0.0, 1e199]), (6, [1e-200, 1e-202, 0.0]), (None, [1.0, 0.0])]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_graph.near_vectors(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), None: (2, 1, False), 3: (0, 3, True), 4: (2, 4, True), 5: (2, 4, False), 6: (2, 4, False)}
+
+
+def test_too_many_vectors_for_the_exact_way(spark, monkeypatch):
+    monkeypatch.setattr(vector_graph, "EXACT_NODES", 2)
+    rows = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(4)], "vec_id long, embedding array<float>")
+    with pytest.raises(RuntimeError, match="of the links"):
+        vector_graph.near_vectors(rows, target=1.1)
+
+
 def test_no_vectors(spark):
     schema = "vec_id long, embedding array<float>"
     assert vector_graph.near_vectors(spark.createDataFrame([], schema)).count() == 0
@@ -116,6 +131,26 @@ def test_archives_round_trip(spark, split):
         assert (r.record_type, r.refers_to) == (("revisit", first[html]) if again else ("response", None)) and r.verified is not False
 
 
+def test_archives_of_archives(spark, monkeypatch):
+    """Payloads that are archives themselves, read by scans that cut the files differently, in small spans."""
+    monkeypatch.setattr(warc_chain, "SPAN", 300)
+    record = lambda i, n: f"{warc_chain.MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {n}\r\n\r\n" + "y" * n + "\r\n\r\n"
+    rows = [(i, "u", "".join(record(1000 + k, (i * k) % 50) for k in range(i)) + f"tail {i}") for i in range(1, 40)]
+    path = common.fresh_path(spark, "warc")
+    warc_chain.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        found = common.written(warc_chain.candidates(spark, path), "candidates")
+        kept = common.written(warc_chain.reachable(found), "records")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "33333")
+        mended = {r.start: r.mended for r in warc_chain._mended(spark, path, found, kept.where("digest IS NULL AND length IS NOT NULL")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    got = {r.page_id: r.digest or mended[r.start] for r in kept.collect()}
+    assert got == {i: hashlib.sha256(html.encode()).hexdigest() for i, _, html in rows}
+
+
 def test_what_follows_a_broken_record_is_left_out(spark, tmp_path):
     head = lambda i, n: f"{warc_chain.MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {n}\r\n\r\n"
     (tmp_path / "a.warc").write_bytes((head(1, 3) + "abc\r\n\r\n" + head(2, 9) + "abc\r\n\r\n" + head(3, 3) + "abc\r\n\r\n").encode())
