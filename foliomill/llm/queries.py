@@ -19,11 +19,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_graph.near_vectors(_table(spark, sf_dir, "embeddings"))
+    return vector_graph.near_vectors(_table(spark, sf_dir, "embeddings")).drop("recall")
 
 
 def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc_chain.archive_round_trip(_table(spark, sf_dir, "pages")).drop("verified")
+    return warc_chain.archive_round_trip(_table(spark, sf_dir, "pages"))
 
 
 def op4_brown_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,7 +84,8 @@ ORACLES = {
         q AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p)
         SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
                CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
-               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+               CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to,
+               CASE WHEN NOT (payload_bytes >= 100 AND page_id <> first_id) THEN true END AS verified
         FROM q""",
     "op7_exact_dedup": r"""
         WITH d AS (

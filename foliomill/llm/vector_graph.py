@@ -1,22 +1,29 @@
 """Embedding near-duplicates over a robust-pruned flat graph.
 
-Vectors are dealt to the shards of their ``overlap`` nearest centroids. Each shard (cut into blocks
-where it is large) becomes a graph: every vector keeps the candidates that robust pruning leaves,
-from its nearest vectors and from some far ones, and gets links back. The adjacency lists of a
-vector's shards are united. Every vector then searches each block of its shards: a greedy beam goes
-from the block's medoid towards it, then the search expands through all vectors within range until
-none is left. Cosines are computed in double precision, so every reported link is verified. A pair
-that meets in several shards counts in the least of them only, so tasks add up counts and never
-send pairs; for components they send stars (each vector with the least one it reaches in the task).
-
-An audit compares the links of a bounded sample of vectors with brute force over all rows; while
-recall is below the target, shards overlap more.
+A tree of centroids deals vectors to overlapping shards: every cell of more than BLOCK vectors is
+divided by spherical k-means of a sample of its own, and a vector goes to the nearest child and, up to
+``overlap`` children, to those that are hardly farther. So shards stay under BLOCK whatever the number
+of vectors, and the work for a vector does not grow with it. Each shard becomes a graph: every vector
+keeps the candidates that robust pruning leaves, from its nearest vectors and from some far ones, and
+gets links back. The adjacency lists of a vector's shards are united. Every vector then searches each
+of its shards: a greedy beam goes from the shard's medoid towards it, then the search expands through
+all vectors within range until none is left. Cosines are computed in double precision, so every
+reported link is verified. A pair that meets in several shards counts in the least of them only, so
+tasks add up counts and never send pairs; for components they send stars (each vector with the least
+one it reaches in the task). A cell that centroids cannot divide is cut into blocks, each of which is
+searched from each other.
+
+An audit compares the links of a sample of AUDITED vectors, drawn evenly from all, with brute force
+over all rows. While its recall is below the target, shards overlap more; if the last overlap does not
+reach it, all pairs are compared in blocks, up to EXACT_NODES distinct vectors, and beyond that the
+operator raises an error that tells the recall. It never returns fewer links in silence.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components link with
-nothing, and so do those whose length is not ``dims`` (by default the most frequent length). Equal
-vectors are one node of the graph, each row counting as a link of the others. A row without links is
-its own component. Rows that repeat a vec_id are vectors of their own. An empty table gives an empty
-result; columns other than vec_id and embedding are not looked at.
+nothing. Vectors of different lengths do not link; each length has an index of its own. Equal vectors
+are one node of the graph, each row counting as a link of the others. A row without links is its own
+component. Rows that repeat a vec_id are vectors of their own; a null vec_id names no component unless
+all of its are null. An empty table gives an empty result; columns other than vec_id and embedding are
+not looked at.
 """
 
 from __future__ import annotations
@@ -26,28 +33,34 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import connected_components, written
+from foliomill.llm.common import connected_components, join_hot, written
 from foliomill.llm.simhash_bk import stars
 
 THRESHOLD = 0.95
-#: Vectors a shard should hold; there are as many centroids as that takes, up to MAX_CENTROIDS.
-SHARD = 1500
-MAX_CENTROIDS = 4096
-#: Vectors that centroids are fitted on, at most.
-SAMPLE = 8192
-#: Vectors of one graph at most; larger shards are cut into blocks.
+#: Vectors of one graph at most; cells with more are divided.
 BLOCK = 2048
+#: Children of a cell at most, sampled vectors for each child, levels of the tree at most, and vectors that are dealt to children together.
+FAN, SAMPLED, LEVELS, CHUNK = 64, 32, 8, 16_384
+#: Cells up to which their table is broadcast.
+BROADCAST_CELLS = 50_000
 DEGREE, FAR_DEGREE, ALPHA, CANDIDATES = 20, 8, 1.2, 64
 BEAM, QUERIES_AT_ONCE = 24, 256
-AUDITED, TARGET_RECALL = 128, 0.95
-OVERLAPS = (2, 4, 8)
+AUDITED, TARGET_RECALL = 1024, 0.95
+#: Children that a vector goes to at most, and how much farther than the nearest they may be, in the standard deviations that a linked vector's distance may differ by.
+OVERLAPS = ((2, 4.0), (3, 6.0), (4, 8.0))
+#: A cell is not divided if its children would hold this share of it on average.
+LEAST_GAIN = 0.4
+#: Distinct vectors up to which all pairs are compared where the index stays below the target.
+EXACT_NODES = 500_000
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
     rows = np.asarray(rows, np.float64)
+    rows = rows / np.abs(rows).max(1, initial=0, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -168,149 +181,221 @@ def range_search(vectors: np.ndarray, lists: np.ndarray, queries: np.ndarray, th
     return (np.concatenate(asked), np.concatenate(found)) if asked else (np.empty(0, np.int64),) * 2
 
 
-def usable(rows: DataFrame, dims: int | None) -> tuple[DataFrame, int]:
-    """Rows whose vectors can link, and the length these have."""
+def usable() -> Column:
+    """Whether a row's vector can link."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    good = rows.where(F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False)))
-    if dims is None:
-        top = good.groupBy(F.size("embedding").alias("n")).count().orderBy(F.desc("count"), "n").first()
-        dims = top["n"] if top else 0
-    return good.where(F.size("embedding") == dims), dims
-
-
-def _sample(nodes: DataFrame, n: int) -> np.ndarray:
-    picked = nodes.orderBy(F.xxhash64("node", F.lit(1)), "node").limit(n).toArrow()
-    return matrix(picked.column("embedding").combine_chunks())
-
-
-def _assigned(nodes: DataFrame, means: np.ndarray, overlap: int) -> DataFrame:
-    """nodes with shards, the numbers of their nearest centroids."""
-    take = min(overlap, len(means))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a in range(0, batch.num_rows, 4096):
-                part = batch.slice(a, 4096)
-                near = matrix(part.column("embedding")) @ means.T
-                best = np.sort(np.argpartition(-near, take - 1, axis=1)[:, :take], axis=1) if part.num_rows else np.empty((0, take), int)
-                offsets = pa.array(np.arange(part.num_rows + 1) * take, pa.int32())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(offsets, pa.array(best.ravel(), pa.int32()))], [*part.schema.names, "shards"])
-
-    return nodes.mapInArrow(run, "node long, copies long, embedding array<float>, shards array<int>")
+    return F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False))
+
+
+def _few(table: DataFrame) -> DataFrame:
+    """A written table of cells, broadcast while it is small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_CELLS else table
+
+
+def _divide(overlap: int, margin: float, spread: float):
+    """Functions for applyInPandas: centroids of a cell's sample, and children of a chunk of its vectors."""
+
+    def nearest(vectors: np.ndarray, means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, child) pairs."""
+        near = vectors @ means.T
+        order = np.argsort(-near, axis=1, kind="stable")[:, : min(overlap, max(1, len(means) // 2))]
+        sims = np.take_along_axis(near, order, 1)
+        row, place = np.nonzero(sims >= sims[:, :1] - margin * np.sqrt(spread / vectors.shape[1]))
+        return row, order[row, place]
+
+    def fit(sample: pd.DataFrame) -> pd.DataFrame:
+        sample = sample.sort_values("node", kind="stable")
+        vectors = unit(np.stack(sample["embedding"].to_numpy()))
+        means = centroids(vectors, min(len(sample), int(sample["children"].iloc[0])))
+        if len(nearest(vectors, means)[0]) > LEAST_GAIN * len(vectors) * len(means):
+            means = means[:0]
+        return pd.DataFrame({"dims": [sample["dims"].iloc[0]], "cell": [sample["cell"].iloc[0]], "means": [means.ravel()]})
+
+    def deal(key: tuple, part: pd.DataFrame, fitted: pd.DataFrame) -> pd.DataFrame:
+        out = part[["node", "copies", "dims", "embedding", "cell"]]
+        if not len(fitted) or not len(fitted["means"].iloc[0]):
+            return out.assign(cell=-1 - out["cell"])  # below zero are cells that stay as they are
+        dims, cell = int(key[0]), int(key[1])
+        if not len(part):
+            return out
+        row, child = nearest(unit(np.stack(part["embedding"].to_numpy())), fitted["means"].iloc[0].reshape(-1, dims))
+        out = out.iloc[row].reset_index(drop=True)
+        out["cell"] = cell * (FAN + 1) + child + 1
+        return out
+
+    return fit, deal
+
+
+def shards(nodes: DataFrame, overlap: int, margin: float, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows (node, copies, dims, embedding, cell): nodes with each of their shards, a written table."""
+    columns = ["node", "copies", "dims", "embedding", "cell"]
+    kinds = dict(nodes.dtypes)["embedding"]
+    fit, deal = _divide(overlap, margin, 2 - 2 * threshold)
+    undivided, done = nodes.withColumn("cell", F.lit(0).cast("long")).select(columns), []
+    for level in range(LEVELS):
+        sizes = undivided.where("cell >= 0").groupBy("dims", "cell").count().where(F.col("count") > BLOCK)
+        children = F.least(F.lit(FAN), F.greatest(F.lit(4), F.ceil(2 * F.col("count") / BLOCK))).cast("int")
+        crowded = written(sizes.select("dims", "cell", "count", children.alias("children"), F.ceil(F.col("count") / CHUNK).cast("int").alias("parts")), "crowded")
+        if crowded.isEmpty():
+            break
+        done.append(undivided.join(_few(crowded.select("dims", "cell")), ["dims", "cell"], "left_anti").select(columns))
+        big = undivided.join(_few(crowded), ["dims", "cell"])
+        drawn = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(1 << 30)) < F.lit(float(SAMPLED << 30)) * F.col("children") / F.col("count")
+        means = big.where(drawn).groupBy("dims", "cell").applyInPandas(fit, "dims int, cell long, means array<double>")
+        means = written(means, "means").join(crowded, ["dims", "cell"]).select("dims", "cell", "means", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        key = ["dims", "cell", "part"]
+        parted = big.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        undivided = written(parted.groupBy(*key).cogroup(means.groupBy(*key)).applyInPandas(deal, f"node long, copies long, dims int, embedding {kinds}, cell long"), "cells")
+    for part in done:
+        undivided = undivided.unionByName(part)
+    return written(undivided, "shards")
 
 
 def _build(part: pd.DataFrame) -> pd.DataFrame:
     part = part.sort_values("node", kind="stable")
     node = part["node"].to_numpy()
     lists = build_graph(unit(np.stack(part["embedding"].to_numpy())))
-    return pd.DataFrame({"node": node, "near": [node[x] for x in lists]})
+    return pd.DataFrame({"node": node, "cell": part["cell"].to_numpy(), "near": [node[x] for x in lists]})
+
+
+def _table(lists: list[np.ndarray], filling: int) -> np.ndarray:
+    """Lists as rows, filled up."""
+    out = np.full((len(lists), max([1, *map(len, lists)])), filling)
+    for row, values in zip(out, lists):
+        row[: len(values)] = values
+    return out
 
 
 def _search(threshold: float):
     def run(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("node", kind="stable").reset_index(drop=True)
-        shard = part["shard"].iloc[0]
+        cell = part["cell"].iloc[0]
         node, copies, asks, held = (part[c].to_numpy() for c in ("node", "copies", "asks", "held"))
         vectors = unit(np.stack(part["embedding"].to_numpy()))
         inside, asking = np.flatnonzero(held), np.flatnonzero(asks)
-        near = part["near"].to_numpy()[inside]
-        width = max([1, *(len(x) for x in near)])
-        lists = np.full((len(inside), width), -1)
-        for row, wanted in zip(lists, near):  # united lists name vectors of other blocks too
-            at = np.minimum(np.searchsorted(node[inside], wanted), len(inside) - 1)
-            here = at[node[inside][at] == wanted]
-            row[: len(here)] = here
-        q, v = range_search(vectors[inside], lists, vectors[asking], threshold)
+        wanted = _table(part["near"].to_numpy()[inside].tolist(), -1)  # united lists name vectors of other shards too
+        at = np.minimum(np.searchsorted(node[inside], wanted), len(inside) - 1)
+        q, v = range_search(vectors[inside], np.where(node[inside][at] == wanted, at, -1), vectors[asking], threshold)
         q, v = asking[q], inside[v]
         q, v = q[q != v], v[q != v]
-        reach = stars(len(part), q, v)
         # a pair counts in the least shard that both are in
-        shards = np.stack(part["shards"].to_numpy())
-        step = max(1, (1 << 22) // shards.shape[1] ** 2)
+        cells = part["cells"].to_numpy().tolist()
+        of, to = _table(cells, -1), _table(cells, -2)
+        step = max(1, (1 << 22) // of.shape[1] ** 2)
         counts = np.zeros(len(part))
         for a in range(0, len(q), step):
             x, y = q[a : a + step], v[a : a + step]
-            both = (shards[x][:, :, None] == shards[y][:, None, :]).any(2)
-            first = shards[x, both.argmax(1)] == shard
+            both = (of[x][:, :, None] == to[y][:, None, :]).any(2)
+            first = of[x, both.argmax(1)] == cell
             counts += np.bincount(x[first], copies[y[first]].astype(float), len(part))
-        told = asks & ((counts > 0) | (reach != np.arange(len(part)))) | (reach != np.arange(len(part)))
-        return pd.DataFrame({"node": node[told], "links": counts[told].astype(np.int64), "reach": node[reach[told]]})
+        return _told(node, counts, stars(len(part), q, v))
 
     return run
 
 
-def _links(nodes: DataFrame, means: np.ndarray, overlap: int, threshold: float) -> DataFrame:
+def _told(node: np.ndarray, counts: np.ndarray, reach: np.ndarray) -> pd.DataFrame:
+    told = (counts > 0) | (reach != np.arange(len(node)))
+    return pd.DataFrame({"node": node[told], "links": counts[told].astype(np.int64), "reach": node[reach[told]]})
+
+
+def _roles(own: str, other: str) -> Column:
+    """What a row of block own is in the tasks of the pair with block other: it asks, or is held in the graph."""
+    same = F.col(own) == F.col(other)
+    role = lambda q, t, asks, held: F.struct(F.col(q).alias("q"), F.col(t).alias("t"), F.lit(asks).alias("asks"), F.lit(held).alias("held"))
+    return F.when(same, F.array(role(own, own, True, True))).otherwise(F.array(role(own, other, True, False), role(other, own, False, True)))
+
+
+def index_links(nodes: DataFrame, overlap: int, margin: float, threshold: float = THRESHOLD) -> DataFrame:
     """Rows (node, links, reach) of all tasks; links of a node add up."""
-    spark = nodes.sparkSession
-    dealt = _assigned(nodes, means, overlap).withColumn("shard", F.explode("shards"))
-    sized = written(dealt, "dealt")
-    sizes = sized.groupBy("shard").count().collect()  # a row per centroid at most
-    parts = spark.createDataFrame([(r["shard"], -(-r["count"] // BLOCK)) for r in sizes], "shard int, parts int")
-    dealt = sized.join(F.broadcast(parts), "shard").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    lists = dealt.groupBy("shard", "own").applyInPandas(_build, "node long, near array<long>")
-    united = written(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
-    rows = dealt.join(united, "node")
-    other = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    same = F.col("own") == F.col("other")
-    roles = F.when(same, F.array(F.struct(F.col("own").alias("q"), F.col("own").alias("t"), F.lit(True).alias("asks"), F.lit(True).alias("held")))).otherwise(
-        F.array(
-            F.struct(F.col("own").alias("q"), F.col("other").alias("t"), F.lit(True).alias("asks"), F.lit(False).alias("held")),
-            F.struct(F.col("other").alias("q"), F.col("own").alias("t"), F.lit(False).alias("asks"), F.lit(True).alias("held")),
-        )
-    )
-    tasks = other.withColumn("role", F.explode(roles)).select("shard", "role.*", "node", "copies", "embedding", "shards", "near")
-    return tasks.groupBy("shard", "q", "t").applyInPandas(_search(threshold), "node long, links long, reach long")
-
-
-def audit_recall(nodes: DataFrame, links: DataFrame, threshold: float, audited: int = AUDITED) -> float:
-    """Share of the true links of a bounded sample of nodes that were found.
-
-    Half of the sample is of nodes with found links, half of any nodes.
+    dealt = shards(nodes, overlap, margin, threshold)
+    sizes = dealt.groupBy("dims", "cell").count().where(F.col("count") > BLOCK)
+    crowded = written(sizes.select("dims", "cell", F.ceil(F.col("count") / BLOCK).cast("int").alias("parts")), "undivided")
+    dealt = dealt.join(_few(crowded), ["dims", "cell"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    lists = dealt.groupBy("dims", "cell", "own").applyInPandas(_build, "node long, cell long, near array<long>")
+    united = written(lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"), F.array_sort(F.collect_list("cell")).alias("cells")), "graph")
+    paired = dealt.join(united, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    tasks = paired.withColumn("role", F.explode(_roles("own", "other"))).select("dims", "cell", "role.*", "node", "copies", "embedding", "cells", "near")
+    return tasks.groupBy("dims", "cell", "q", "t").applyInPandas(_search(threshold), "node long, links long, reach long")
+
+
+def exact_links(nodes: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+    """As index_links, by comparing every block of nodes with every block."""
+    parts = max(1, -(-nodes.count() // block))
+
+    def compare(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("node", kind="stable").reset_index(drop=True)
+        node, copies, asks, held = (part[c].to_numpy() for c in ("node", "copies", "asks", "held"))
+        vectors = unit(np.stack(part["embedding"].to_numpy()))
+        inside, asking = np.flatnonzero(held), np.flatnonzero(asks)
+        q, v = np.nonzero(vectors[asking] @ vectors[inside].T >= threshold)
+        q, v = asking[q], inside[v]
+        q, v = q[q != v], v[q != v]
+        return _told(node, np.bincount(q, copies[v].astype(float), len(part)), stars(len(part), q, v))
+
+    own = nodes.select("node", "copies", "dims", "embedding", F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("own"))
+    paired = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).withColumn("role", F.explode(_roles("own", "other")))
+    return paired.select("dims", "role.*", "node", "copies", "embedding").groupBy("dims", "q", "t").applyInPandas(compare, "node long, links long, reach long")
+
+
+def audit_recall(nodes: DataFrame, links: DataFrame, threshold: float = THRESHOLD, audited: int = AUDITED) -> float:
+    """Share of the true links that was found of a bounded sample, drawn evenly from all nodes.
+
+    It is the lesser of the share of all their links and the mean of each vector's share, so that
+    neither a few large groups nor many small ones can hide the others.
     """
-    spread = lambda df: df.orderBy(F.xxhash64("node", F.lit(2)), "node").limit(audited // 2)
-    chosen = spread(nodes.select("node")).union(spread(links.where("links > 0").select("node"))).distinct()
-    picked = nodes.join(F.broadcast(chosen), "node").select("node", "embedding").orderBy("node").toArrow()
-    if not picked.num_rows:
-        return 1.0
-    names, queries = picked.column("node").to_numpy(), matrix(picked.column("embedding").combine_chunks())
+    picked = nodes.orderBy(F.xxhash64("node", F.lit(2)), "node").limit(audited).select("node", "dims", "embedding").toArrow()
+    asked = {}
+    for d in set(picked.column("dims").to_pylist()):
+        some = picked.filter(pc.equal(picked.column("dims"), d))
+        asked[d] = some.column("node").to_numpy(), matrix(some.column("embedding").combine_chunks())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hit = (matrix(batch.column("embedding")) @ queries.T >= threshold) & (batch.column("node").to_numpy()[:, None] != names)
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(batch.column("copies").to_numpy() @ hit)], ["node", "truth"])
-
-    truth = nodes.mapInArrow(run, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
-    both = truth.join(links.select("node", "links"), "node", "left").agg(F.sum("truth"), F.sum(F.least("truth", F.coalesce("links", F.lit(0)))))
-    total, got = both.first()
-    return got / total if total else 1.0
-
-
-def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, dims: int | None = None, target: float = TARGET_RECALL) -> DataFrame:
-    """Per row: vec_id, n_links, component_id, kept."""
-    rows = rows.select("vec_id", F.col("embedding").cast("array<float>").alias("embedding"))
-    good, dims = usable(rows, dims)
-    keyed = good.select("vec_id", F.xxhash64("embedding").alias("node"), "embedding")
-    nodes = written(keyed.groupBy("node").agg(F.count("*").alias("copies"), F.first("embedding").alias("embedding")), "vectors")
-    n = nodes.count()
-    found = None
-    if n:
-        sample = _sample(nodes, SAMPLE)
-        means = centroids(sample, min(MAX_CENTROIDS, len(sample), -(-n // SHARD)))
-        for overlap in OVERLAPS:
-            found = written(_links(nodes, means, overlap, threshold), "found")
-            links = written(found.groupBy("node").agg(F.sum("links").alias("links")), "counts")
-            if overlap >= len(means) or audit_recall(nodes, links, threshold) >= target:
-                break
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+            for d, (names, queries) in asked.items():
+                same = batch.filter(pc.equal(batch.column("dims"), d))
+                for a in range(0, same.num_rows, 2048):
+                    part = same.slice(a, 2048)
+                    hit = (matrix(part.column("embedding")) @ queries.T >= threshold) & (part.column("node").to_numpy()[:, None] != names)
+                    truth = part.column("copies").to_numpy() @ hit
+                    some = np.flatnonzero(truth)
+                    yield pa.RecordBatch.from_arrays([pa.array(names[some]), pa.array(truth[some])], ["node", "truth"])
+
+    truth = nodes.select("node", "copies", "dims", "embedding").mapInArrow(run, "node long, truth long").groupBy("node").agg(F.sum("truth").alias("truth"))
+    got = F.least("truth", F.coalesce("links", F.lit(0)))
+    total, found, each = truth.join(links.select("node", "links"), "node", "left").agg(F.sum("truth"), F.sum(got), F.avg(got / F.col("truth"))).first()
+    return min(found / total, each) if total else 1.0
+
+
+def near_vectors(rows: DataFrame, threshold: float = THRESHOLD, target: float = TARGET_RECALL) -> DataFrame:
+    """Per row: vec_id, n_links, component_id, kept, and recall, which the audit found (the same in all rows)."""
+    kind = dict(rows.dtypes)["embedding"]
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    rows = rows.select("vec_id", F.col("embedding").cast(kind).alias("embedding"))
+    good = rows.where(usable())
+    distinct = good.groupBy("embedding").agg(F.count("*").alias("copies"), F.min("vec_id").alias("first"))
+    # numbered where they are written: the numbers are read from there ever after
+    nodes = written(distinct.select(F.monotonically_increasing_id().alias("node"), "copies", "first", F.size("embedding").alias("dims"), "embedding"), "vectors")
+    n, recall = nodes.count(), 1.0
+    found = links = None
+    for overlap, margin in OVERLAPS if n else ():
+        found = written(index_links(nodes, overlap, margin, threshold), "found")
+        links = written(found.groupBy("node").agg(F.sum("links").alias("links")), "counts")
+        recall = audit_recall(nodes, links, threshold)
+        if recall >= target:
+            break
+    else:
+        if n > EXACT_NODES:
+            raise RuntimeError(f"the index finds {recall:.3f} of the links, less than {target}, and {n} vectors are too many to compare all pairs")
+        if n:
+            found = written(exact_links(nodes, threshold), "found")
+            links, recall = written(found.groupBy("node").agg(F.sum("links").alias("links")), "counts"), 1.0
+    alone = lambda df: df.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(recall).alias("recall"))
     if found is None:
-        return alone
+        return alone(rows)
     roots = connected_components(found.select(F.col("node").alias("u"), F.col("reach").alias("v")).where("u <> v"))
-    members = written(keyed.select("vec_id", "node"), "members")
-    firsts = members.groupBy("node").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
-    placed = firsts.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(links, "node", "left")
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = placed.join(least, "root").select("node", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = members.join(named, "node").select("vec_id", "n_links", "component_id", (F.col("vec_id") == F.col("component_id")).alias("kept"))
-    fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0) & (F.size("embedding") == dims)
-    rest = rows.where(F.col("embedding").isNull() | ~F.coalesce(fine, F.lit(False)))
-    return linked.unionByName(rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")))
+    placed = written(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(links, "node", "left"), "placed")
+    least = written(placed.groupBy("root").agg(F.min("first").alias("component_id")), "least")
+    named = join_hot(placed, least, "root").select("embedding", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    linked = join_hot(good, written(named, "named"), "embedding").select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"), F.lit(recall).alias("recall"))
+    return linked.unionByName(alone(rows.where(~usable())))
