@@ -1,23 +1,25 @@
 """License scans by diagonal voting.
 
 Every rolling pair of words of a text is joined to the positions at which it stands in the license
-templates. Each hit votes for a diagonal, text position minus template position; a diagonal on which
-every pair of a phrase votes is a place of that phrase. For the longer notices, neighbouring
-diagonals are merged, so that a few words put in or left out do no harm, and a span stands if its
-votes cover enough of the notice within its length.
+templates. Each hit votes for a diagonal, text position minus template position. Phrases are voted for
+by their pairs: a diagonal on which every pair of a phrase votes is a place of that phrase. Notices,
+which are longer, are voted for by all their triples: the pair finds the position, and the third word
+must agree too. Their neighbouring diagonals are merged, so that a few words put in or left out do no
+harm, and a span stands if its votes cover enough of the notice within its length.
 
-Pairs of two function words ("of the") do not vote in notices: they say nothing about a license, and
-they stand at a large share of all positions. Only DataFrame functions are used. The templates are
-code constants (a fixed size), so they are broadcast; texts are never shuffled.
+Only DataFrame functions are used. Notices are a table (text, label) of texts of any length; it is
+broadcast while it has at most BROADCAST_POSITIONS words, and joined by a shuffle of the hashes beyond
+that. Texts are never shuffled.
 
 Defined results: null texts count as empty; a text without words has n_words 0, no places, empty
 labels and score 0. Rows that repeat doc_id and text each get the same result. An empty table gives
-an empty result; columns other than doc_id and text are not looked at.
+an empty result; columns other than doc_id and text are not looked at. Notices under three words never
+match; those that repeat text and label count once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliomill.llm.common import LOWER, UPPER, text_or_empty
@@ -45,8 +47,9 @@ NOTICES = (
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
     ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
 )
-FUNCTION_WORDS = frozenset("a an and any are as at be but by for from in into is it no not of on or that the this to under was with without you".split())
-#: Spans whose votes cover at least this share of a notice's pairs stand.
+#: Words of all notices up to which their table is broadcast.
+BROADCAST_POSITIONS = 500_000
+#: Spans whose votes cover at least this share of a notice's triples stand.
 COVERAGE = 0.6
 #: Diagonals this near belong to one span: so many words may be put in or left out at a place.
 SLACK = 3
@@ -54,15 +57,9 @@ SLACK = 3
 END = "\x00"
 
 
-def template_pairs() -> list[tuple[int, int, str]]:
-    """(template, position, pair) of all voting pairs; templates count from 0, phrases first."""
-    rows = []
-    for number, (text, _) in enumerate(PHRASES + NOTICES):
-        words = text.split()
-        for at, pair in enumerate(zip(words, words[1:])):
-            if number < len(PHRASES) or not FUNCTION_WORDS.issuperset(pair):
-                rows.append((number, at, " ".join(pair)))
-    return rows
+def notice_table(spark: SparkSession) -> DataFrame:
+    """The notices of this module as a table."""
+    return _constants(spark, list(NOTICES), ["text", "label"])
 
 
 def _constants(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
@@ -70,66 +67,82 @@ def _constants(spark: SparkSession, rows: list[tuple], names: list[str]) -> Data
     return spark.range(1).select(F.inline(values))
 
 
-def _templates(spark: SparkSession) -> DataFrame:
-    pairs = [(t, at, pair) for t, at, pair in template_pairs()] + [(-1, 0, END)]
-    return _constants(spark, pairs, ["template", "at", "pair"]).withColumn("h", F.xxhash64("pair"))
+def _templates(spark: SparkSession, notices: DataFrame) -> DataFrame:
+    """Rows (template, label, length, voting, words): phrases count from 0, notices are named by a hash; -1 stands for texts' ends."""
+    rows = [(n, label, text) for n, (text, label) in enumerate(PHRASES)]
+    phrases = _constants(spark, rows, ["template", "label", "text"]).withColumn("template", F.col("template").cast("long"))
+    words = lambda: F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    own = notices.where("text IS NOT NULL AND label IS NOT NULL").select("text", "label").distinct()
+    named = own.withColumn("template", F.xxhash64("text", "label").bitwiseOR(F.lit(1 << 32)))  # never the number of a phrase
+    named = named.select("template", "label", words().alias("words")).where(F.size("words") >= 3)
+    phrases = phrases.select("template", "label", words().alias("words"))
+    return phrases.unionByName(named).withColumn("length", F.size("words")).withColumn("voting", F.col("length") - F.when(_phrase(), 1).otherwise(2))
 
 
-def _notes(spark: SparkSession) -> DataFrame:
-    voting = [sum(t == n for t, _, _ in template_pairs()) for n in range(len(PHRASES + NOTICES))]
-    rows = [(n, label, len(text.split()), voting[n], sum(1 << at for t, at, _ in template_pairs() if t == n)) for n, (text, label) in enumerate(PHRASES + NOTICES)]
-    rows.append((-1, "", 0, 1, 1))
-    return _constants(spark, [(a, b, c, d, int(e)) for a, b, c, d, e in rows], ["template", "label", "length", "voting", "full_mask"])
+def _phrase() -> Column:
+    return F.col("template").between(0, len(PHRASES) - 1)
 
 
-def pair_votes(docs: DataFrame) -> DataFrame:
+def _positions(templates: DataFrame) -> DataFrame:
+    """(template, at, pair, third, h) of all voting positions; third is null in phrases."""
+    words = F.filter(F.transform("words", lambda w, n: F.struct(n.alias("at"), F.concat_ws(" ", w, F.get("words", n + 1)).alias("pair"), F.when(~_phrase(), F.get("words", n + 2)).alias("third"))), lambda x: x["at"] < F.col("voting"))
+    ends = templates.sparkSession.range(1).select(F.lit(-1).cast("long").alias("template"), F.lit(0).alias("at"), F.lit(END).alias("pair"), F.lit(None).cast("string").alias("third"))
+    return templates.select("template", F.inline(words)).unionByName(ends).withColumn("h", F.xxhash64("pair"))
+
+
+def pair_votes(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """One row per hit: the text's key, template, template position and diagonal; texts' ends too."""
-    spark = docs.sparkSession
+    positions = _positions(templates)
+    few = templates.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] <= BROADCAST_POSITIONS
     text = text_or_empty()
     words = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
     sized = words.withColumn("n_words", F.size("words").cast("long"))
     shorter = F.greatest(F.col("n_words") - 1, F.lit(0)).cast("int")
     pairs = F.zip_with(F.slice("words", F.lit(1), shorter), F.slice("words", F.lit(2), shorter), lambda a, b: F.concat(a, F.lit(" "), b))
-    placed = sized.select("doc_id", "text_hash", "n_words", F.posexplode(F.array_append(pairs, F.lit(END))).alias("pos", "said"))
-    hits = placed.withColumn("h", F.xxhash64(F.lower("said"))).join(F.broadcast(_templates(spark)), "h")
+    said = F.arrays_zip(F.array_append(pairs, F.lit(END)).alias("said"), F.slice("words", F.lit(3), F.greatest(F.col("n_words"), F.lit(1)).cast("int")).alias("next"))
+    placed = sized.select("doc_id", "text_hash", "n_words", F.posexplode(said).alias("pos", "both")).select("doc_id", "text_hash", "n_words", "pos", "both.said", "both.next")
+    lower = lambda c: F.translate(c, UPPER, LOWER)
+    hits = placed.withColumn("h", F.xxhash64(F.lower("said"))).join(F.broadcast(positions) if few else positions, "h")
     # hashes find, words decide
-    return hits.where(F.translate("said", UPPER, LOWER) == F.col("pair")).select(
-        "doc_id", "text_hash", "n_words", "template", F.col("at").cast("int").alias("at"), (F.col("pos") - F.col("at")).cast("long").alias("diagonal")
-    )
+    agree = (lower(F.col("said")) == F.col("pair")) & (F.col("third").isNull() | (lower(F.col("next")) == F.col("third")))
+    return hits.where(agree).select("doc_id", "text_hash", "n_words", "template", "at", (F.col("pos") - F.col("at")).cast("long").alias("diagonal"))
 
 
-def license_spans(docs: DataFrame) -> DataFrame:
+def license_spans(docs: DataFrame, notices: DataFrame | None = None) -> DataFrame:
     """Verified spans, and one row of template -1 per text: key, template, label, start, stop, score, copies."""
     spark = docs.sparkSession
+    templates = _templates(spark, notice_table(spark) if notices is None else notices)
     key = ["doc_id", "text_hash", "n_words"]
-    one = F.lit(1).cast("long")
-    lines = pair_votes(docs).groupBy(*key, "template", "diagonal").agg(
-        F.bit_or(F.call_function("shiftleft", one, F.col("at"))).alias("mask"),
+    wide = F.when(_phrase(), 2).otherwise(3)
+    lines = pair_votes(docs, templates).groupBy(*key, "template", "diagonal").agg(
+        F.collect_set("at").alias("ats"),
         F.min(F.col("diagonal") + F.col("at")).alias("first"),
-        (F.max(F.col("diagonal") + F.col("at")) + 2).alias("stop"),
+        F.max(F.col("diagonal") + F.col("at") + wide).alias("stop"),
         F.count("*").alias("copies"),
     )
     along = Window.partitionBy(*key, "template").orderBy("diagonal")
     # phrases and ends stand on one diagonal; notices may slip a little
-    opens = F.when((F.col("template") < len(PHRASES)) | (F.col("diagonal") - F.lag("diagonal").over(along) > SLACK) | F.lag("diagonal").over(along).isNull(), 1).otherwise(0)
+    notice = ~_phrase() & (F.col("template") != -1)
+    opens = F.when(notice & (F.col("diagonal") - F.lag("diagonal").over(along) <= SLACK), 0).otherwise(1)
     banded = lines.withColumn("opens", opens).withColumn("band", F.sum("opens").over(along))
     spans = banded.groupBy(*key, "template", "band").agg(
-        F.bit_or("mask").alias("mask"), F.min("diagonal").alias("diagonal"), F.min("first").alias("first"), F.max("stop").alias("stop"), F.max("copies").alias("copies")
+        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("votes"), F.min("diagonal").alias("diagonal"), F.min("first").alias("first"), F.max("stop").alias("stop"), F.max("copies").alias("copies")
     )
-    spans = spans.join(F.broadcast(_notes(spark)), "template")
-    phrase = F.col("template") < len(PHRASES)
-    score = F.bit_count("mask") / F.col("voting")
+    ends = spark.range(1).select(F.lit(-1).cast("long").alias("template"), F.lit("").alias("label"), F.lit(0).alias("length"), F.lit(1).alias("voting"))
+    notes = templates.select("template", "label", "length", "voting").unionByName(ends)
+    spans = spans.join(notes, "template")
+    score = F.col("votes") / F.col("voting")
     fits = F.col("stop") - F.col("first") <= F.col("length") + 2 * SLACK
-    stands = F.when(phrase, F.col("mask") == F.col("full_mask")).otherwise((score >= COVERAGE) & fits)
-    start = F.when(phrase, F.col("diagonal")).otherwise(F.col("first"))
+    stands = F.when(notice, (score >= COVERAGE) & fits).otherwise(F.col("votes") == F.col("voting"))
+    start = F.when(notice, F.col("first")).otherwise(F.col("diagonal"))
     return spans.where(stands).select(*key, "template", "label", start.alias("start"), "stop", score.cast("double").alias("score"), "copies")
 
 
-def scan_licenses(docs: DataFrame) -> DataFrame:
+def scan_licenses(docs: DataFrame, notices: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    end, base = F.col("template") == -1, F.col("template").between(0, len(PHRASES) - 1)
+    end, base = F.col("template") == -1, _phrase()
     labels = lambda test: F.array_join(F.array_sort(F.collect_set(F.when(test, F.col("label")))), ",")
-    found = license_spans(docs).groupBy("doc_id", "text_hash", "n_words").agg(
+    found = license_spans(docs, notices).groupBy("doc_id", "text_hash", "n_words").agg(
         F.max(F.when(end, F.col("copies"))).alias("copies"),
         F.count_if(base).alias("n_base"),
         F.min(F.when(base, F.col("start"))).alias("first_word"),
