@@ -6,9 +6,9 @@ is max-pooled within every chunk; a text's features are the mean and the maximum
 a logistic layer combines them into one probability. Since filters are linear in a byte's embedding,
 each filter position becomes a table with a row per byte, and scoring is table lookups and sums.
 
-Training: at most PER_CLASS labelled rows of each class, picked by hash, of which texts over
-TRAIN_BYTES give evenly spaced windows of that many bytes in total; so what reaches the driver is
-bounded. A maximum over few windows is lower than one over many, so in each round a share of the texts
+Training: at most PER_CLASS labelled rows of each class, picked by hash, with their whole texts; of
+these as many as CLASS_BYTES hold, in the order of the hash (texts that do not fit are passed over), so
+what reaches the driver is bounded. Of texts that share a doc_id the least one trains. A maximum over few windows is lower than one over many, so in each round a share of the texts
 is replaced by a short excerpt of each: else short good texts would be taken for bad ones. Scoring
 covers whole texts. Only the text is an input of a score.
 
@@ -29,9 +29,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm.bpe import slices
+from foliomill.llm.common import text_or_empty, written
 
-#: Labelled rows of each class that training uses at most, and bytes of each of these.
-PER_CLASS, TRAIN_BYTES, WINDOWS = 1200, 16_384, 8
+#: Labelled rows of each class that training uses at most, and bytes of all their texts.
+PER_CLASS, CLASS_BYTES = 1000, 16 << 20
 EMBEDDING, FILTERS, WIDTH, CHUNK = 8, 24, 5, 512
 #: Rounds over the training texts; more where these are few, until there are MIN_STEPS steps.
 MIN_STEPS = 400
@@ -109,7 +110,8 @@ class Trainer:
         real = np.einsum("be,kef->kbf", self.p["embedding"], self.p["filters"])
         return np.concatenate([real, np.zeros((WIDTH, 1, FILTERS))], 1).astype(np.float32)
 
-    def step(self, texts: list[bytes], labels: np.ndarray, importance: np.ndarray) -> None:
+    def gradients(self, texts: list[bytes], labels: np.ndarray, importance: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean loss, weighed by importance, and the decay of the weights."""
         tables, features, winners = self.tables(), [], []
         for text in texts:
             symbols = padded(text, len(text))
@@ -140,8 +142,11 @@ class Trainer:
             np.add.at(into, f, grad[:, None] * embedded[symbols[:, k]])
             g["filters"][k] = into.T
         g["embedding"] = g["embedding"][:256]
+        return g
+
+    def step(self, texts: list[bytes], labels: np.ndarray, importance: np.ndarray) -> None:
         self.t += 1
-        for k, grad_k in g.items():
+        for k, grad_k in self.gradients(texts, labels, importance).items():
             self.m[k] = 0.9 * self.m[k] + 0.1 * grad_k
             self.v[k] = 0.999 * self.v[k] + 0.001 * grad_k**2
             self.p[k] -= RATE * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.999**self.t)) + 1e-8)
@@ -189,20 +194,15 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> tuple[list[bytes], np.n
     pick = lambda q: usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(PER_CLASS)
     chosen = pick(0).union(pick(1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in slices(batches):
-            cut = []
-            for text in rows.column("text").to_pylist():
-                raw = (text or "").encode()
-                if len(raw) > TRAIN_BYTES:
-                    size = TRAIN_BYTES // WINDOWS
-                    raw = b"".join(raw[a : a + size] for a in np.linspace(0, len(raw) - size, WINDOWS).astype(int))
-                cut.append(raw)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("quality"), pa.array(cut, pa.binary())], ["doc_id", "quality", "raw"])
-
-    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, raw binary")
-    rows = found.dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()  # 2 * PER_CLASS rows of TRAIN_BYTES at most
-    return rows.column("raw").to_pylist(), rows.column("quality").to_numpy(), 1.0 if share is None else float(share)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", text_or_empty().alias("text"), "quality")
+    found = written(found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")), "labelled")  # 2 * PER_CLASS rows at most
+    room, fits = {0: CLASS_BYTES, 1: CLASS_BYTES}, []
+    for row in found.select("doc_id", "quality", F.octet_length("text").alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect():
+        if row["size"] <= room[row["quality"]]:
+            room[row["quality"]] -= row["size"]
+            fits.append(row["doc_id"])
+    rows = found.where(F.col("doc_id").isin(fits)).orderBy("doc_id").toArrow() if fits else found.limit(0).toArrow()
+    return [t.encode() for t in rows.column("text").to_pylist()], rows.column("quality").to_numpy(), 1.0 if share is None else float(share)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
