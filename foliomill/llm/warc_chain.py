@@ -21,25 +21,27 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import fresh_path, written
+from foliomill.llm.common import HOT_ROWS, HOT_SHARE, fresh_path, written
 
 MAGIC = "WARC/1.1\r\n"
 GAP = "\r\n\r\n"
 MIN_SHARED = 100
 #: Repeated digests up to which their table is broadcast (some 10 MB); beyond, payloads are shuffled.
 BROADCAST_DIGESTS = 100_000
+#: Bytes of a file whose candidates one window places among the records that hold a magic.
+SPAN = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 
 
 def shared_payloads(pages: DataFrame) -> DataFrame:
-    """(payload_digest, first_id) of the payloads that more than one page has."""
+    """(payload_digest, first_id, pages) of the payloads that more than one page has."""
     html = F.coalesce(F.col("html"), F.lit(""))
     slim = pages.select("page_id", F.sha2(html, 256).alias("payload_digest"), F.octet_length(html).alias("size"))
     shared = slim.where(F.col("size") >= MIN_SHARED).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("pages"))
-    return shared.where("pages > 1").select("payload_digest", "first_id")
+    return shared.where("pages > 1")
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -47,8 +49,13 @@ def records(pages: DataFrame) -> DataFrame:
     html = F.coalesce(F.col("html"), F.lit(""))
     shared = written(shared_payloads(pages), "shared")
     rows = pages.select("page_id", "url", html.alias("html"), F.sha2(html, 256).alias("payload_digest"))
-    few = shared.count() <= BROADCAST_DIGESTS
-    rows = rows.join(F.broadcast(shared) if few else shared, "payload_digest", "left")
+    if shared.count() <= BROADCAST_DIGESTS:
+        rows = rows.join(F.broadcast(shared), "payload_digest", "left")
+    else:  # digests that many pages have are broadcast all the same: at most HOT_SHARE of them
+        often = F.col("pages") > F.lit(max(HOT_ROWS, pages.count() // HOT_SHARE))
+        hot = F.broadcast(shared.where(often))
+        rest = rows.join(F.broadcast(shared.where(often).select("payload_digest")), "payload_digest", "left_anti")
+        rows = rows.join(hot, "payload_digest").unionByName(rest.join(shared.where(~often), "payload_digest", "left"))
     revisit = F.coalesce(F.col("page_id") != F.col("first_id"), F.lit(False))
     size = F.octet_length("html")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
@@ -82,6 +89,14 @@ def _pieces(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+#: What tells the contents of pieces apart.
+CONTENT = ["size", "content", "more"]
+
+
+def _content() -> list[Column]:
+    return [F.octet_length("value").alias("size"), F.xxhash64("value").alias("content"), F.hash("value").alias("more")]
+
+
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Slim rows, one per magic: file, block, nth, start, next (its successor's offset), header fields, digest."""
     head = F.substring_index("value", GAP, 1)
@@ -92,7 +107,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     body = F.col("value").cast("binary").substr(F.col("head_size") + len(GAP) + 1, F.col("length").cast("int"))
     whole = F.col("head_size") + len(GAP) + F.col("length") <= F.col("size")
     slim = rows.select(
-        "file", "block", "nth", "size", "head_size", "length",
+        "file", "block", "nth", *_content(), "head_size", "length",
         field("WARC-Type").alias("record_type"),
         number(F.coalesce(field("WARC-Record-ID"), F.lit(""))).alias("page_id"),
         number(F.coalesce(field("WARC-Refers-To"), F.lit(""))).alias("refers_to"),
@@ -165,13 +180,25 @@ def reachable(found: DataFrame) -> DataFrame:
 
 
 def _mended(spark: SparkSession, path: str, found: DataFrame, broken: DataFrame) -> DataFrame:
-    """(file, start, digest) of the records whose payloads hold a magic."""
-    span = broken.select("file", F.col("start").alias("record"), F.col("next").alias("stop"), F.col("head_size").alias("head"), F.col("length").alias("wanted"))
-    inside = (F.col("start") >= F.col("record")) & (F.col("start") < F.col("stop"))
-    parts = written(found.select("file", "block", "nth", "start").join(span, "file").where(inside), "parts")
-    key = ["file", "block", "nth"]
-    texts = _pieces(spark, path).join(F.broadcast(parts) if parts.count() <= BROADCAST_DIGESTS else parts, key)
-    joined = texts.groupBy("file", "record", "head", "wanted").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("all"))
+    """(file, start, digest) of the records whose payloads hold a magic.
+
+    Records on the chain do not overlap, so a candidate lies in the last of them that starts before it,
+    if in any. A record is repeated in each span of the file that it reaches, and each span is searched
+    on its own. The texts of candidates are found again by hashes of their contents, so the second scan
+    need not cut the files as the first did.
+    """
+    spans = F.explode(F.sequence(F.floor(F.col("start") / SPAN), F.floor((F.col("next") - 1) / SPAN)))
+    record = F.struct(F.col("start").alias("record"), F.col("next").alias("stop"), F.col("head_size").alias("head"), F.col("length").alias("wanted"))
+    opens = broken.select("file", spans.alias("span"), F.greatest(F.col("start"), F.col("span") * SPAN).alias("start"), F.lit(0).alias("kind"), record.alias("record"))
+    held = found.select("file", F.floor(F.col("start") / SPAN).alias("span"), "start", F.lit(1).alias("kind"), F.struct(*CONTENT).alias("content"))
+    rows = opens.unionByName(held, allowMissingColumns=True)
+    last = F.last("record", ignorenulls=True).over(Window.partitionBy("file", "span").orderBy("start", "kind"))
+    parts = rows.withColumn("record", last).where((F.col("kind") == 1) & (F.col("start") < F.col("record.stop")))
+    parts = written(parts.select("file", "start", "record.*", "content.*"), "parts")
+    wanted = parts.select(*CONTENT).distinct()
+    pieces = _pieces(spark, path).select("value", *_content())
+    texts = pieces.join(F.broadcast(wanted) if parts.count() <= BROADCAST_DIGESTS else wanted, CONTENT, "left_semi").dropDuplicates(CONTENT)
+    joined = parts.join(texts, CONTENT).groupBy("file", "record", "head", "wanted").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("all"))
     text = F.array_join(F.transform("all", lambda x: x["value"]), MAGIC).cast("binary")
     body = text.substr(F.col("head") + len(GAP) + 1, F.col("wanted").cast("int"))
     return joined.select("file", F.col("record").alias("start"), F.when(F.octet_length(body) == F.col("wanted"), F.sha2(body, 256)).alias("mended"))
