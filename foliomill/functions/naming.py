@@ -29,17 +29,12 @@ def nfkd_ascii(names: pd.Series) -> pd.Series:
 def slug(name: Column) -> Column:
     """A safe, recognisable form of a name.
 
-    Only names with other characters than ASCII need the Python fold; callers apply it to distinct names.
+    Only names with other characters than ASCII go to the Python fold; of the others it sees nulls.
     """
     stem = F.element_at(F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/"), -1)
     stem = F.regexp_replace(stem, r"(?i)\.pdf$", "")
-    return _slug_of_ascii(nfkd_ascii(stem))
-
-
-def ascii_slug(name: Column) -> Column:
-    """P17 for names known to be ASCII: built-in functions only."""
-    stem = F.element_at(F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/"), -1)
-    return _slug_of_ascii(F.regexp_replace(stem, r"(?i)\.pdf$", ""))
+    plain = stem.rlike(r"^[\x00-\x7F]*$")
+    return _slug_of_ascii(F.when(plain, stem).otherwise(nfkd_ascii(F.when(~plain, stem))))
 
 
 def _slug_of_ascii(text: Column) -> Column:

@@ -44,12 +44,13 @@ def missing_content(markdown: Column, must_contain: Column, figures: Column) ->
 def measure(expectations: DataFrame, results: DataFrame, strict_reference: bool = False) -> DataFrame:
     """Each expectation (file, headings, tables, figures, must_contain) with its measurement.
 
-    results: file, status, seconds, markdown, failure_reason. A file without a result is
-    missing_from_corpus. strict_reference leaves documents with missing pages unconverted, as the
+    results: file, status, seconds, markdown, failure_reason, and attempt (else 1). A file without a
+    result is missing_from_corpus. strict_reference leaves documents with missing pages unconverted, as the
     harness this follows does.
     """
     good = [s for s in states.DOWNLOADABLE if not (strict_reference and s == "succeeded_incomplete")]
-    found = results.select("file", F.col("status").alias("__status"), "seconds", "markdown", "failure_reason")
+    attempt = F.coalesce("attempt", F.lit(1)) if "attempt" in results.columns else F.lit(1)
+    found = results.select("file", F.col("status").alias("__status"), "seconds", "markdown", "failure_reason", attempt.alias("attempt"))
     joined = expectations.join(found, "file", "left").withColumn("status", F.coalesce("__status", F.lit("missing_from_corpus")))
     converted = F.col("status").isin(*good)
     lines = seam_tables(results.where(F.col("status").isin(*good)).select("file", "markdown"), "file")
@@ -60,6 +61,7 @@ def measure(expectations: DataFrame, results: DataFrame, strict_reference: bool
         converted.alias("converted"),
         "seconds",
         "failure_reason",
+        "attempt",
         F.coalesce(count_headings(md), F.lit(0)).alias("headings_found"),
         F.coalesce(count_tables(md), F.lit(0)).alias("tables_found"),
         F.coalesce(count_figures(md), F.lit(0)).alias("figures_found"),
@@ -69,7 +71,10 @@ def measure(expectations: DataFrame, results: DataFrame, strict_reference: bool
 
 
 def summary(measured: DataFrame) -> DataFrame:
-    """A10: one row of rates, recalls and counts; a recall is null where nothing was expected."""
+    """A10: one row of rates, recalls and counts; a recall is null where nothing was expected.
+
+    success_rate counts documents whatever their attempt, first_try_rate those that needed only one.
+    """
     ok, here = F.col("converted"), F.col("status") != "missing_from_corpus"
     wanted = lambda c: F.coalesce(F.sum(F.when(ok, F.col(c))), F.lit(0))
     found = lambda c: F.coalesce(F.sum(F.when(ok, F.least(F.col(f"{c}_found"), F.col(c)))), F.lit(0))
@@ -77,6 +82,7 @@ def summary(measured: DataFrame) -> DataFrame:
         F.count_if(here).alias("runnable"),
         F.count_if(~here).alias("missing"),
         F.count_if(ok).alias("converted"),
+        F.count_if(ok & (F.col("attempt") == 1)).alias("first_try"),
         *[wanted(c).alias(f"{c}_expected") for c in ("headings", "tables", "figures")],
         *[found(c).alias(f"{c}_met") for c in ("headings", "tables", "figures")],
         F.coalesce(F.sum(F.when(ok, F.col("seam_tables"))), F.lit(0)).alias("seam_tables"),
@@ -86,6 +92,7 @@ def summary(measured: DataFrame) -> DataFrame:
     return sums.withColumns(
         {
             "success_rate": ratio("converted", "runnable"),
+            "first_try_rate": ratio("first_try", "runnable"),
             "heading_recall": ratio("headings_met", "headings_expected"),
             "table_recall": ratio("tables_met", "tables_expected"),
             "figure_recall": ratio("figures_met", "figures_expected"),

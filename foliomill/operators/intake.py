@@ -59,7 +59,11 @@ def converge_documents(uploads: DataFrame) -> DataFrame:
 
 
 def batch_intake(uploads: DataFrame) -> DataFrame:
-    """Per batch_id the accepted and the rejected files (uploads: batch_id, filename, reason) and the accepted count."""
-    names = lambda test: F.array_sort(F.collect_list(F.when(test, F.col("filename"))))
+    """Per batch_id how many files were accepted and rejected (uploads: batch_id, filename, reason)."""
     fine = F.col("reason").isNull()
-    return uploads.groupBy("batch_id").agg(F.count_if(fine).alias("document_count"), names(fine).alias("accepted"), names(~fine).alias("rejected"))
+    return uploads.groupBy("batch_id").agg(F.count_if(fine).alias("document_count"), F.count_if(~fine).alias("rejected_count"))
+
+
+def intake_files(uploads: DataFrame) -> DataFrame:
+    """The files of batch_intake, as rows, so that a batch may have any number: batch_id, filename, accepted, reason."""
+    return uploads.select("batch_id", "filename", F.col("reason").isNull().alias("accepted"), "reason")

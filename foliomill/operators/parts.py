@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill import states
 
-# What a gap in a joined document says, around its page range.
+# What a gap in a joined document says, around its page range, and the reasons of parts and jobs that fail.
 GAP = ("> **Pages ", " are missing from this document.** That part could not be converted, so its content is absent here. Convert those pages separately if you need them.")
 PART_LOST = "The converter lost these pages before their result could be saved, and they could not be converted again."
 PART_TIMEOUT = "These pages were still converting after the time limit, even on their own. Whatever is on them costs far more than the rest of the document."
@@ -36,13 +36,14 @@ def halves() -> Column:
     return F.array(F.struct(F.col("first_page").alias("first"), middle.alias("last")), F.struct((middle + 1).alias("first"), F.col("last_page").alias("last")))
 
 
-def halve_parts(parts: DataFrame, doomed: Column) -> DataFrame:
+def halve_parts(parts: DataFrame, doomed: Column, top: str = "ordinal") -> DataFrame:
     """Parts, those that doomed holds for replaced by their halves.
 
     New ordinals follow the job's largest one, in reading order; halves are queued, one level deeper.
+    top names a column that knows the largest ordinal where parts are not all of their job's.
     """
     job = Window.partitionBy("job_id")
-    marked = parts.withColumn("__doomed", F.coalesce(doomed, F.lit(False))).withColumn("__top", F.max("ordinal").over(job))
+    marked = parts.withColumn("__doomed", F.coalesce(doomed, F.lit(False))).withColumn("__top", F.max(F.greatest("ordinal", F.col(top))).over(job) if top != "ordinal" else F.max("ordinal").over(job))
     kept = marked.where(~F.col("__doomed")).drop("__doomed", "__top")
     halved = marked.where("__doomed").withColumn("__half", F.explode(halves()))
     fresh = halved.withColumn("__nth", F.row_number().over(job.orderBy("__half.first"))).withColumns(
@@ -71,7 +72,7 @@ def retry_action(event: Column, max_attempts: int = states.PART_MAX_ATTEMPTS, ma
     return F.when((event == "lost") & (F.col("attempt") < max_attempts), F.lit("requeue")).when(event.isNotNull(), smaller)
 
 
-def apply_retries(parts: DataFrame, action: str = "action", event: str = "event", reason: str = "reason") -> DataFrame:
+def apply_retries(parts: DataFrame, action: str = "action", event: str = "event", reason: str = "reason", top: str = "ordinal") -> DataFrame:
     """Parts after their actions: requeued, halved, or finished with a reason; other parts unchanged."""
     own = [c for c in parts.columns if c not in (action, event, reason)]
     requeue, over = F.coalesce(F.col(action) == "requeue", F.lit(False)), F.coalesce(F.col(action) == "give_up", F.lit(False))
@@ -83,7 +84,7 @@ def apply_retries(parts: DataFrame, action: str = "action", event: str = "event"
             "failure_reason": F.when(over, F.col(reason)).otherwise(F.col("failure_reason")),
         }
     )
-    return halve_parts(done, F.col(action) == "halve").select(*own)
+    return halve_parts(done, F.col(action) == "halve", top).select(*own)
 
 
 def reading_order(parts: DataFrame) -> DataFrame:
@@ -98,12 +99,14 @@ def gap_notice(first: Column, last: Column) -> Column:
 def join_parts(parts: DataFrame) -> DataFrame:
     """Per job its markdown, missing_page_ranges, part counts, and failure_reason where all parts failed.
 
-    A document's parts meet in one row, as its text must; nothing else is grouped.
+    A document's parts meet in one row, as its text must; nothing else is grouped. Where parts have an
+    engine_status, any_partial tells whether one of them was converted in part.
     """
+    partial = [F.coalesce(F.bool_or(F.col("engine_status") == "partial_success"), F.lit(False)).alias("any_partial")] if "engine_status" in parts.columns else []
     fine = F.col("status") == "succeeded"
     piece = F.when(fine & F.col("markdown").isNotNull(), F.col("markdown")).otherwise(gap_notice(F.col("first_page"), F.col("last_page")))
     entry = F.struct("first_page", "ordinal", "last_page", fine.alias("fine"), piece.alias("text"), "failure_reason")
-    grouped = parts.groupBy("job_id").agg(F.array_sort(F.collect_list(entry)).alias("all"), F.count_if(fine).alias("succeeded"), F.count("*").alias("part_count"))
+    grouped = parts.groupBy("job_id").agg(F.array_sort(F.collect_list(entry)).alias("all"), F.count_if(fine).alias("succeeded"), F.count("*").alias("part_count"), *partial)
     pieces = F.transform(F.filter("all", lambda p: p["text"] != ""), lambda p: F.regexp_replace(p["text"], r"^\n+|\n+$", ""))
     missing = F.transform(F.filter("all", lambda p: ~p["fine"]), lambda p: F.struct(p["first_page"].alias("first_page"), p["last_page"].alias("last_page")))
     none = F.col("succeeded") == 0
@@ -114,6 +117,7 @@ def join_parts(parts: DataFrame) -> DataFrame:
         "part_count",
         "succeeded",
         F.when(none, F.coalesce(F.col("all")[0]["failure_reason"], F.lit(LOST_RESULT))).alias("failure_reason"),
+        *["any_partial" for _ in partial],
     )
 
 
@@ -168,11 +172,19 @@ def overdue_parts(parts: DataFrame, as_of: Column, limit: int = states.JOB_TIMEO
     return late.withColumn("action", F.when(can_shrink(max_depth, min_pages), "halve").otherwise("give_up"))
 
 
-def recovery_plan(jobs: DataFrame, inbox: DataFrame, max_attempts: int = states.JOB_MAX_ATTEMPTS) -> DataFrame:
-    """What a restart does with each unfinished job: fail or requeue, the new attempt, and the reason."""
+def forgotten_jobs(jobs: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Jobs with the engine whose task it no longer knows (tasks: engine_task_id)."""
+    return jobs.where(F.col("status").isin(*states.CONVERTING)).join(tasks.select("engine_task_id"), "engine_task_id", "left_anti")
+
+
+def recovery_plan(jobs: DataFrame, inbox: DataFrame, max_attempts: int | None = states.JOB_MAX_ATTEMPTS) -> DataFrame:
+    """What a restart does with each unfinished job: fail or requeue, the new attempt, and the reason.
+
+    Without max_attempts there is no ceiling, as for jobs whose task was forgotten.
+    """
     held = inbox.select("content_hash").distinct().withColumn("__held", F.lit(True))
     flying = jobs.where(F.col("status").isin(*states.IN_FLIGHT)).join(held, "content_hash", "left")
-    spent = F.col("attempt") + 1 > max_attempts
+    spent = F.lit(False) if max_attempts is None else F.col("attempt") + 1 > max_attempts
     crash = F.concat(F.lit(CRASHED[0]), F.col("attempt").cast("string"), F.lit(CRASHED[1]))
     return flying.select(
         "id",

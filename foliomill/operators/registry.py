@@ -79,12 +79,17 @@ def latest_output(outputs: DataFrame) -> DataFrame:
     )
 
 
-def already_converted(queued: DataFrame, outputs: DataFrame, present: DataFrame, jobs: DataFrame) -> DataFrame:
+def already_converted(queued: DataFrame, outputs: DataFrame, present: DataFrame, jobs: DataFrame, require_all: bool = False) -> DataFrame:
     """Queued jobs whose document's latest output is present and was not made with gaps.
 
-    present lists output_filename. A producer that is no longer known counts as complete.
+    present lists output_filename. A producer that is no longer known counts as complete. With
+    require_all, all outputs of the run that made the latest one must be present.
     """
-    there = latest_output(outputs).join(present.select("output_filename"), "output_filename", "left_semi")
+    latest = latest_output(outputs)
+    there = latest.join(present.select("output_filename"), "output_filename", "left_semi")
+    if require_all:
+        run = outputs.join(latest.select("content_hash", "job_id"), ["content_hash", "job_id"], "left_semi")
+        there = there.join(run.join(present.select("output_filename"), "output_filename", "left_anti"), "content_hash", "left_anti")
     gaps = (F.col("status") == "succeeded_incomplete") | (F.coalesce(F.size("missing_page_ranges"), F.lit(0)) > 0)
     holed = jobs.where(gaps).select(F.col("id").alias("job_id"))
     whole = there.join(holed, "job_id", "left_anti").select("content_hash", F.col("output_filename").alias("claimed_output"))

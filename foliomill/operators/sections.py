@@ -100,32 +100,26 @@ def split_into_sections(docs: DataFrame, key: str = "doc_id", markdown: str = "m
 def plan_outputs(docs: DataFrame, threshold: int = states.SECTION_THRESHOLD_BYTES, min_bytes: int = states.SECTION_MIN_BYTES, max_bytes: int = states.SECTION_MAX_BYTES) -> DataFrame:
     """The files of each document (content_hash, filename, markdown).
 
-    Returns (content_hash, output_filename, text, bytes, section_ordinal, section_title). Documents up to
+    Rows of docs share no content_hash. Returns (content_hash, output_filename, text, bytes, section_ordinal, section_title). Documents up to
     the threshold, and those with fewer than two sections, are one file.
     """
-    named = docs.withColumn("__slug", slug(F.col("filename")))
     large = F.octet_length("markdown") > threshold
     sections = split_into_sections(docs.where(large), "content_hash", "markdown", min_bytes, max_bytes)
-    sections = sections.withColumn("n", F.count("*").over(Window.partitionBy("content_hash"))).where("n > 1")
-    many = sections.join(named.select("content_hash", "__slug"), "content_hash").withColumn("__title_slug", slug(F.col("title")))
-    files = many.select(
+    # large documents meet their sections in one join; one with fewer than two gives its whole text in the first's place
+    sections = sections.withColumn("n", F.count("*").over(Window.partitionBy("content_hash"))).where("n > 1 OR ordinal = 1").select("content_hash", "ordinal", "title", F.when(F.col("n") > 1, F.col("text")).alias("section"))
+    rows = docs.where(large).join(sections, "content_hash", "left")
+    rows = rows.unionByName(docs.where(~F.coalesce(large, F.lit(False))), allowMissingColumns=True)
+    many = F.col("section").isNotNull()
+    rows = rows.withColumns({"__slug": slug(F.col("filename")), "__title_slug": slug(F.when(many, F.col("title"))), "text": F.coalesce("section", "markdown")})
+    name = F.when(many, section_filename(F.col("__slug"), F.col("content_hash"), F.col("ordinal"), F.col("title"), F.col("__title_slug"))).otherwise(output_filename(F.col("__slug"), F.col("content_hash")))
+    return rows.select(
         "content_hash",
-        section_filename(F.col("__slug"), F.col("content_hash"), F.col("ordinal"), F.col("title"), F.col("__title_slug")).alias("output_filename"),
+        name.alias("output_filename"),
         "text",
         F.octet_length("text").cast("long").alias("bytes"),
-        F.col("ordinal").alias("section_ordinal"),
-        F.nullif(F.col("title"), F.lit("")).alias("section_title"),
+        F.when(many, F.col("ordinal")).alias("section_ordinal"),
+        F.when(many, F.nullif(F.col("title"), F.lit(""))).alias("section_title"),
     )
-    divided = sections.select("content_hash").distinct()
-    single = named.join(divided, "content_hash", "left_anti").select(
-        "content_hash",
-        output_filename(F.col("__slug"), F.col("content_hash")).alias("output_filename"),
-        F.col("markdown").alias("text"),
-        F.octet_length("markdown").cast("long").alias("bytes"),
-        F.lit(None).cast("int").alias("section_ordinal"),
-        F.lit(None).cast("string").alias("section_title"),
-    )
-    return files.unionByName(single)
 
 
 def superseded_outputs(previous: DataFrame, new: DataFrame) -> DataFrame:

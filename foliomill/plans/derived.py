@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -75,10 +76,32 @@ def _duck(sql: str) -> str:
     return sql
 
 
-#: The derived tables for DuckDB, to stand before a query.
-CTES = "WITH " + ", ".join(
-    f"{name} AS ({_duck(sql)})" for name, sql in (("source_document", DOCUMENT), ("conversion_job", JOB), ("conversion_part", PART), ("markdown_output", OUTPUT), ("markdown_doc", MARKDOWN))
-)
+#: The derived tables for DuckDB; events get the number of their document first, so that the join with it is plain.
+TABLES = {
+    "source_document": _duck(DOCUMENT),
+    "keyed_event": "SELECT e.*, e.event_id % c.n AS document FROM events e, (SELECT count(*) AS n FROM documents) c",
+    "conversion_job": _duck(JOB).replace("FROM events e JOIN documents d ON d.doc_id = e.event_id % (SELECT count(*) FROM documents)", "FROM keyed_event e JOIN documents d ON d.doc_id = e.document"),
+    "conversion_part": _duck(PART),
+    "markdown_output": _duck(OUTPUT),
+    "markdown_doc": _duck(MARKDOWN),
+}
+
+
+def with_tables(sql: str) -> str:
+    """A DuckDB query with the derived tables that it names before it; sql may begin with further tables, after a comma."""
+    needed: set[str] = set()
+
+    def need(text: str) -> None:
+        for name in set(re.findall(r"\w+", text)) & (set(TABLES) - needed):
+            needed.add(name)
+            need(TABLES[name])
+
+    need(sql)
+    tables = ", ".join(f"{name} AS MATERIALIZED ({TABLES[name]})" for name in TABLES if name in needed)
+    body = sql.strip()
+    if body.startswith(","):
+        return f"WITH {tables}{body}" if tables else f"WITH {body[1:]}"
+    return f"WITH {tables} {body}" if tables else body
 
 
 class Derived:

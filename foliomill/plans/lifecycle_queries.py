@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,8 +10,10 @@ from pyspark.sql import functions as F
 
 from foliomill.operators import parts as pt
 from foliomill.operators import registry
-from foliomill.plans.convert import convert_corpus
-from foliomill.plans.derived import CTES, Derived
+from foliomill.plans.convert import convert_batch, convert_corpus
+from foliomill.plans.derived import Derived, with_tables
+from foliomill.plans.text_queries import SLUG
+from foliomill.shared import fresh_path
 from foliomill.sources import sinks
 from foliomill.streaming import alarms, feed, state
 
@@ -25,7 +26,7 @@ def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Derived(spark, sf_dir))
         if sql:
-            ORACLES[f.__name__] = CTES + sql
+            ORACLES[f.__name__] = with_tables(sql)
         return f
 
     return keep
@@ -36,8 +37,7 @@ def as_of():
 
 
 def scratch(d: Derived, tag: str) -> str:
-    base = d.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="foliomill-")
-    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return fresh_path(d.spark, tag)
 
 
 @query("""
@@ -132,9 +132,18 @@ def x5_recovery_plan(d):
     return pt.recovery_plan(d.jobs, registry.retained_documents(d.documents)).select("id", "action", "attempt")
 
 
+@query("""
+ SELECT id, CASE WHEN inbox_path IS NULL THEN 'fail' ELSE 'requeue' END AS action, CASE WHEN inbox_path IS NULL THEN attempt ELSE attempt + 1 END AS attempt
+ FROM conversion_job JOIN source_document USING (content_hash) WHERE status IN ('submitted', 'running') AND event_id % 4 > 0""")
+def x5_forgotten_tasks(d):
+    """Jobs whose task the engine forgot; it knows those of every fourth event."""
+    known = d.jobs.where("event_id % 4 = 0").select("engine_task_id")
+    return pt.recovery_plan(pt.forgotten_jobs(d.jobs, known), registry.retained_documents(d.documents), None).select("id", "action", "attempt")
+
+
 @query("""
  , plan AS (SELECT j.id FROM conversion_job j JOIN source_document USING (content_hash) WHERE status IN ('queued', 'submitted', 'running') AND attempt + 1 <= 8 AND inbox_path IS NOT NULL)
- SELECT id, CASE WHEN job_id IN (SELECT id FROM plan) AND status NOT IN ('succeeded', 'failed', 'timed_out') THEN 'queued' ELSE status END AS status FROM conversion_part""")
+ SELECT p.id, CASE WHEN plan.id IS NOT NULL AND status NOT IN ('succeeded', 'failed', 'timed_out') THEN 'queued' ELSE status END AS status FROM conversion_part p LEFT JOIN plan ON p.job_id = plan.id""")
 def x5_requeue_parts(d):
     plan = pt.recovery_plan(d.jobs, registry.retained_documents(d.documents))
     return pt.requeue_unfinished_parts(d.parts, plan).select("id", "status")
@@ -158,43 +167,70 @@ def status_events(d: Derived) -> DataFrame:
     """Every event as a status of the job its user has on that day."""
     kinds = F.array(*[F.lit(s) for s in ("queued", "submitted", "running", "succeeded", "queued", "running", "failed")])
     status = F.element_at(kinds, (F.col("event_id") % 7 + 1).cast("int"))
-    return d.table("events").select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("job_id"), status.alias("status"), "ts", F.col("event_id").alias("seq"))
+    task = F.when(F.col("event_id") % 7 == 1, F.concat(F.lit("task-"), F.col("event_id").cast("string")))
+    return d.table("events").select(
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("-"), F.date_format("ts", "yyyyMMdd")).alias("job_id"), status.alias("status"), "ts", F.col("event_id").alias("seq"),
+        task.alias("engine_task_id"), (F.col("event_id") % 5).cast("int").alias("queue_position"),
+    )
 
 
-FOLD = """ , e AS (SELECT concat('u', user_id, '-', strftime(ts, '%Y%m%d')) AS job_id, ['queued', 'submitted', 'running', 'succeeded', 'queued', 'running', 'failed'][event_id % 7 + 1] AS status, ts, event_id AS seq FROM events)
- , r AS (SELECT *, status IN ('succeeded', 'failed') AS fin FROM e)
- , n AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY fin DESC, CASE WHEN fin THEN ts END, CASE WHEN fin THEN seq END, ts DESC, seq DESC) AS k FROM r)"""
+FOLD = """ , e AS (SELECT concat('u', user_id, '-', strftime(ts, '%Y%m%d')) AS job_id, ['queued', 'submitted', 'running', 'succeeded', 'queued', 'running', 'failed'][event_id % 7 + 1] AS status, ts, event_id AS seq,
+     CASE WHEN event_id % 7 = 1 THEN concat('task-', event_id) END AS task, CAST(event_id % 5 AS INT) AS position FROM events)
+ , r AS (SELECT *, min(CASE WHEN status IN ('succeeded', 'failed') THEN {'ts': ts, 'seq': seq} END) OVER (PARTITION BY job_id) AS fin FROM e)
+ , f AS (SELECT job_id, max({'ts': ts, 'seq': seq, 'v': status}) AS top, max(CASE WHEN status = 'queued' THEN {'ts': ts, 'seq': seq} END) AS q, max(CASE WHEN status = 'submitted' THEN {'ts': ts, 'seq': seq, 'v': task} END) AS t,
+     max(CASE WHEN status IN ('submitted', 'running') THEN {'ts': ts, 'seq': seq, 'v': position} END) AS p, max(CASE WHEN status = 'running' THEN {'ts': ts, 'seq': seq} END) AS s, count(*) FILTER (WHERE status = 'queued') AS queued_times
+     FROM r WHERE fin IS NULL OR (ts, seq) <= (fin.ts, fin.seq) GROUP BY job_id)
+ SELECT job_id, top.v AS status, top.seq AS seq, CASE WHEN q IS NULL OR (t.ts, t.seq) > (q.ts, q.seq) THEN t.v END AS engine_task_id, CASE WHEN q IS NULL OR (p.ts, p.seq) > (q.ts, q.seq) THEN p.v END AS queue_position,
+     CASE WHEN q IS NULL OR (s.ts, s.seq) > (q.ts, q.seq) THEN epoch_us(s.ts) END AS started, queued_times FROM f"""
+FOLDED = ("job_id", "status", "seq", "engine_task_id", "queue_position", "started", "queued_times")
 
 
-@query(FOLD + " SELECT job_id, status, seq FROM n WHERE k = 1")
+@query(FOLD)
 def x1_fold_states(d):
-    events = status_events(d)
-    folded = state.fold_states(events)
-    return folded.join(events.select("job_id", F.col("ts").alias("updated_at"), "status", "seq"), ["job_id", "updated_at", "status"]).groupBy("job_id", "status").agg(F.max("seq").alias("seq"))
+    return state.fold_states(status_events(d)).withColumn("started", F.unix_micros(F.col("started_at").cast("timestamp"))).select(*FOLDED)
 
 
-@query(FOLD + " SELECT job_id, status, seq FROM n WHERE k = 1")
-def x1_fold_states_stream(d):
-    """The same as a stream over files, its changes kept by key."""
-    spark = d.spark
+@contextmanager
+def rocksdb(spark):
+    """The state store that stateful processors need, while a stream runs."""
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        source, table, mark = (scratch(d, t) for t in ("events", "states", "mark"))
-        events = status_events(d)
-        events.write.parquet(source)
+        yield
+    finally:
+        spark.conf.set(provider, before)
+
+
+@query(FOLD)
+def x1_fold_states_stream(d):
+    """The same as a stream over files, its changes kept by key."""
+    spark = d.spark
+    source, table, mark = (scratch(d, t) for t in ("events", "states", "mark"))
+    events = status_events(d)
+    events.write.parquet(source)
+    with rocksdb(spark):
         stream = state.stream_states(spark.readStream.schema(events.schema).parquet(source))
-        numbered = {"n": 0}
 
         def merge(batch: DataFrame, number: int) -> None:
-            numbered["n"] += 1
-            sinks.upsert_table(batch.sparkSession, batch.withColumn("batch", F.lit(numbered["n"])), table, ["job_id"], "batch")
+            sinks.upsert_table(batch.withColumn("batch", F.lit(number)), table, number)
 
         stream.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
-    return sinks.read_table(spark, table).select("job_id", "status", "seq")
+    return sinks.read_table(spark, table, ["job_id"], "batch", state.OUTPUT + ", batch int").select(*FOLDED)
+
+
+@query("""
+ , j AS (SELECT *, max(updated_at) OVER () AS latest FROM conversion_job)
+ SELECT id, epoch_ms(created_at) + 2700000 AS due FROM j WHERE status IN ('submitted', 'running') AND part_count <= 1 AND epoch_ms(created_at) + 2700000 <= epoch_ms(latest) - 60000""")
+def x2_overdue_stream(d):
+    """The watchdog as a stream: all rows of jobs arrive, and event time, which the latest row moves on, finds those that went silent."""
+    source, table, mark = (scratch(d, t) for t in ("jobs", "overdue", "mark"))
+    rows = d.jobs.select("id", "status", "part_count", F.col("created_at").cast("timestamp").alias("created_at"), F.col("updated_at").cast("timestamp").alias("updated_at"))
+    rows.write.parquet(source)
+    with rocksdb(d.spark):
+        stream = feed.overdue_stream(d.spark.readStream.schema(rows.schema).parquet(source))
+        stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return d.spark.read.schema(stream.schema).parquet(table).select("id", F.unix_millis("due_at").alias("due"))
 
 
 @query("""
@@ -219,8 +255,8 @@ def x8_change_feed(d):
     source, table, mark = (scratch(d, t) for t in ("changes", "jobs", "mark"))
     first.write.parquet(source)
     jobs.write.mode("append").parquet(source)
-    feed.follow_changes(d.spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 64).parquet(source), table, mark, ["id"], "updated_at").awaitTermination()
-    return sinks.read_table(d.spark, table)
+    feed.follow_changes(d.spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 64).parquet(source), table, mark).awaitTermination()
+    return sinks.read_table(d.spark, table, ["id"], "updated_at", "id string, status string, updated_at timestamp_ntz")
 
 
 @query(f"""
@@ -259,6 +295,35 @@ def c1_convert_corpus(d):
     return done.select("job_id", plain.alias("status"), F.regexp_replace(F.rtrim(F.regexp_replace("markdown", r"\n+", "\n")), r"\n$", "").alias("flat"))
 
 
+def line_converter(batch: pd.DataFrame) -> list[tuple[str | None, str, list[str]]]:
+    """A converter that knows each page's line, and says of parts that begin on an even page that they are only partial."""
+    return [("\n".join(f"{h} page {p}" for p in range(a, b + 1)), "partial_success" if a % 2 == 0 else "success", []) for h, a, b in zip(batch["content_hash"], batch["first_page"], batch["last_page"])]
+
+
+@query(f"""
+ , latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY written_at DESC, section_ordinal NULLS FIRST, output_filename) AS n FROM markdown_output) WHERE n = 1)
+ , lost AS (SELECT DISTINCT content_hash FROM markdown_output WHERE bytes > 4000)
+ , claim AS (SELECT j.id, l.output_filename FROM conversion_job j JOIN latest l USING (content_hash) LEFT JOIN lost USING (content_hash) LEFT JOIN conversion_job p ON p.id = l.job_id
+     WHERE j.status = 'queued' AND lost.content_hash IS NULL AND coalesce(p.status, '') <> 'succeeded_incomplete')
+ , todo AS (SELECT content_hash, max(j.id) AS id FROM conversion_job j LEFT JOIN claim USING (id) WHERE j.status = 'queued' AND claim.id IS NULL GROUP BY content_hash)
+ , made AS (SELECT t.content_hash, t.id, concat({SLUG.format("j.submitted_filename", 80, "document")}, '--', substr(t.content_hash, 1, 12), '.md') AS name, greatest(j.pages, 1) AS pages FROM todo t JOIN conversion_job j ON j.id = t.id)
+ SELECT 'claimed' AS kind, id AS key, output_filename AS name, CAST(NULL AS BIGINT) AS n FROM claim
+ UNION ALL SELECT 'converted', id, CASE WHEN pages >= 4 THEN 'partial' ELSE 'whole' END, (pages + 2) // 3 FROM made
+ UNION ALL SELECT 'stored', content_hash, name, 71 * pages + CAST(list_sum(list_transform(range(1, pages + 1), lambda x: length(CAST(x AS VARCHAR)))) AS BIGINT) + (pages + 2) // 3 - 1 FROM made
+ UNION ALL SELECT 'superseded', content_hash, o.output_filename, NULL FROM markdown_output o JOIN made USING (content_hash) WHERE o.output_filename <> made.name""")
+def c1_convert_batch(d):
+    """C1 whole over the queued jobs: claim, convert, plan, supersede and store."""
+    queued = d.jobs.where("status = 'queued'").select("id", "content_hash", "submitted_filename", F.col("pages").alias("page_count"))
+    path = scratch(d, "outbox")
+    done = convert_batch(queued, d.outputs, d.outputs.where("bytes <= 4000").select("output_filename"), d.jobs.select("id", "status", "missing_page_ranges"), line_converter, path, require_all=True, max_pages=3)
+    stored = sinks.read_outputs(d.spark, path, done["files"].schema)
+    none = F.lit(None).cast("long").alias("n")
+    rows = done["claimed"].select(F.lit("claimed").alias("kind"), F.col("id").alias("key"), F.col("claimed_output").alias("name"), none)
+    rows = rows.unionByName(done["converted"].select(F.lit("converted").alias("kind"), F.col("job_id").alias("key"), F.when(F.col("any_partial"), "partial").otherwise("whole").alias("name"), F.col("part_count").cast("long").alias("n")))
+    rows = rows.unionByName(stored.select(F.lit("stored").alias("kind"), F.col("content_hash").alias("key"), F.col("output_filename").alias("name"), F.length("text").cast("long").alias("n")))
+    return rows.unionByName(done["superseded"].select(F.lit("superseded").alias("kind"), F.col("content_hash").alias("key"), F.col("output_filename").alias("name"), none))
+
+
 @query("""
  SELECT content_hash, output_filename FROM markdown_output WHERE section_ordinal IS NULL OR content_hash NOT IN (SELECT content_hash FROM source_document WHERE first_doc % 2 = 0)
  UNION SELECT content_hash, concat('new--', substr(content_hash, 1, 12), '.md') FROM source_document WHERE first_doc % 2 = 0

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliomill import schemas
 from foliomill.functions import status as st
 from foliomill.operators import intake, registry, retention
-from foliomill.plans.derived import AS_OF, CTES, Derived
+from foliomill.plans.derived import AS_OF, Derived, with_tables
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -21,7 +21,7 @@ def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Derived(spark, sf_dir))
         if sql:
-            ORACLES[f.__name__] = CTES + sql
+            ORACLES[f.__name__] = with_tables(sql)
         return f
 
     return keep
@@ -123,6 +123,13 @@ def p14_division(d):
     return d.jobs.select("id", intake.division(F.col("pages"), F.col("part_count")).alias("division"))
 
 
+@query(f"""
+ SELECT concat('retry-', j.id) AS id, batch_id, content_hash, submitted_filename, 'queued' AS status, TIMESTAMP '{AS_OF}' AS created_at, TIMESTAMP '{AS_OF}' AS updated_at, 1 AS attempt
+ FROM conversion_job j JOIN source_document USING (content_hash) WHERE status IN ('failed', 'timed_out', 'succeeded_incomplete') AND inbox_path IS NOT NULL""")
+def p15_retried_jobs(d):
+    return registry.retried_jobs(registry.retry_eligibility(d.jobs, registry.retained_documents(d.documents)), ntz(AS_OF))
+
+
 @query("""
  SELECT j.id, CASE WHEN status IN ('queued', 'submitted', 'running') THEN 'still_converting' WHEN status IN ('succeeded', 'succeeded_suspect', 'already_converted') THEN 'already_converted'
    WHEN inbox_path IS NULL THEN 'upload_gone' ELSE 'eligible' END AS retry FROM conversion_job j JOIN source_document USING (content_hash)""")
@@ -188,11 +195,22 @@ def j1_job_view(d):
 @query(f"""
  , latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY written_at DESC, section_ordinal NULLS FIRST, output_filename) AS n FROM markdown_output) WHERE n = 1)
  SELECT j.id, l.output_filename AS claimed_output FROM conversion_job j JOIN latest l USING (content_hash)
- WHERE j.status = 'queued' AND l.output_filename IN {PRESENT} AND l.job_id NOT IN (SELECT id FROM conversion_job WHERE status = 'succeeded_incomplete')""")
+ LEFT JOIN conversion_job p ON p.id = l.job_id
+ WHERE j.status = 'queued' AND l.bytes <= 4000 AND coalesce(p.status, '') <> 'succeeded_incomplete'""")
 def j2_already_converted(d):
     return registry.already_converted(d.jobs.where("status = 'queued'"), d.outputs, present(d), d.jobs).select("id", "claimed_output")
 
 
+@query("""
+ , latest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY content_hash ORDER BY written_at DESC, section_ordinal NULLS FIRST, output_filename) AS n FROM markdown_output) WHERE n = 1)
+ , lost AS (SELECT DISTINCT content_hash, job_id FROM markdown_output WHERE bytes > 4000)
+ SELECT j.id, l.output_filename AS claimed_output FROM conversion_job j JOIN latest l USING (content_hash) LEFT JOIN lost ON lost.content_hash = l.content_hash AND lost.job_id = l.job_id LEFT JOIN conversion_job p ON p.id = l.job_id
+ WHERE j.status = 'queued' AND lost.job_id IS NULL AND coalesce(p.status, '') <> 'succeeded_incomplete'""")
+def j2_whole_set_converted(d):
+    """As j2_already_converted, but every section of the latest run must be present."""
+    return registry.already_converted(d.jobs.where("status = 'queued'"), d.outputs, present(d), d.jobs, require_all=True).select("id", "claimed_output")
+
+
 @query("""
  SELECT j.id, count(o.output_filename) FILTER (WHERE o.job_id = j.id) AS own, count(o.output_filename) AS every,
    coalesce(string_agg(o.output_filename, ',' ORDER BY coalesce(o.section_ordinal, 0), o.output_filename), '') AS names
@@ -203,8 +221,8 @@ def j3_output_details(d):
 
 
 @query("""
- SELECT p.job_id, p.first_page, p.last_page, p.status, p.attempt AS attempts, p.failure_reason FROM conversion_part p JOIN conversion_job j ON j.id = p.job_id
- WHERE j.part_count >= 2 AND j.status = 'succeeded_incomplete' AND p.status <> 'succeeded'""")
+ , g AS (SELECT id FROM conversion_job WHERE part_count >= 2 AND status = 'succeeded_incomplete')
+ SELECT p.job_id, p.first_page, p.last_page, p.status, p.attempt AS attempts, p.failure_reason FROM conversion_part p JOIN g ON g.id = p.job_id WHERE p.status <> 'succeeded'""")
 def j4_missing_parts(d):
     return registry.missing_parts(d.jobs, d.parts)
 
@@ -302,13 +320,22 @@ def a6_latest_output(d):
     return registry.latest_output(d.outputs).select("content_hash", "output_filename", "job_id")
 
 
+def batch_uploads(d):
+    sizes = d.documents.select("content_hash", "size_bytes")
+    return d.jobs.join(sizes, "content_hash").select("batch_id", F.col("submitted_filename").alias("filename"), F.when(F.col("size_bytes") % 4 == 0, F.lit("refused")).alias("reason"))
+
+
 @query("""
- SELECT batch_id, count(*) FILTER (WHERE size_bytes % 4 > 0) AS document_count, coalesce(string_agg(submitted_filename, ',' ORDER BY submitted_filename) FILTER (WHERE size_bytes % 4 = 0), '') AS rejected
+ SELECT batch_id, count(*) FILTER (WHERE size_bytes % 4 > 0) AS document_count, count(*) FILTER (WHERE size_bytes % 4 = 0) AS rejected_count
  FROM conversion_job JOIN source_document USING (content_hash) GROUP BY batch_id""")
 def a7_batch_intake(d):
-    sizes = d.documents.select("content_hash", "size_bytes")
-    uploads = d.jobs.join(sizes, "content_hash").select("batch_id", F.col("submitted_filename").alias("filename"), F.when(F.col("size_bytes") % 4 == 0, F.lit("refused")).alias("reason"))
-    return intake.batch_intake(uploads).select("batch_id", "document_count", F.array_join("rejected", ",").alias("rejected"))
+    return intake.batch_intake(batch_uploads(d))
+
+
+@query("""
+ SELECT batch_id, submitted_filename AS filename, size_bytes % 4 > 0 AS accepted, CASE WHEN size_bytes % 4 = 0 THEN 'refused' END AS reason FROM conversion_job JOIN source_document USING (content_hash)""")
+def a7_intake_files(d):
+    return intake.intake_files(batch_uploads(d))
 
 
 @query(" SELECT count(*) AS entries, count(DISTINCT content_hash) AS documents, count(output_filename) AS with_output FROM conversion_job")
@@ -341,6 +368,11 @@ def l2_output_inventory(d):
     return registry.output_inventory(d.outputs).select("output_filename", "written_at")
 
 
+@query(" SELECT content_hash, first_seen_at FROM source_document")
+def l2_document_inventory(d):
+    return registry.document_inventory(d.documents)
+
+
 @query(" SELECT id FROM conversion_job WHERE status = 'succeeded_incomplete' ORDER BY created_at DESC, id LIMIT 1")
 def l3_job_to_explain(d):
     return registry.job_to_explain(d.jobs).select("id")
@@ -348,9 +380,9 @@ def l3_job_to_explain(d):
 
 @query("""
  SELECT id, CAST(place AS BIGINT) AS place FROM (SELECT id, row_number() OVER (ORDER BY created_at, id) AS place FROM conversion_job WHERE status = 'queued')
- WHERE place <= 1000000 - (SELECT count(*) FROM conversion_job WHERE status IN ('submitted', 'running')) AND place <= 1000000""")
+ WHERE place <= 5000 - (SELECT count(*) FROM conversion_job WHERE status IN ('submitted', 'running')) AND place <= 5000""")
 def w1_admitted_jobs(d):
-    return registry.admitted_jobs(d.jobs, 1_000_000).select("id", F.col("place").cast("long").alias("place"))
+    return registry.admitted_jobs(d.jobs, 5_000).select("id", F.col("place").cast("long").alias("place"))
 
 
 @query("""

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from foliomill import schemas
 from foliomill.functions import naming, text
 from foliomill.operators import fidelity, intake, sections
-from foliomill.plans.derived import CTES, Derived
-from foliomill.sources import logs
+from foliomill.plans.derived import Derived, with_tables
+from foliomill.shared import fresh_path
+from foliomill.sources import files, logs
 from foliomill.sources.files import conform_expectations
 
 QUERIES: dict = {}
@@ -20,7 +22,7 @@ def query(sql: str | None = None):
     def keep(f):
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Derived(spark, sf_dir))
         if sql:
-            ORACLES[f.__name__] = CTES + sql
+            ORACLES[f.__name__] = with_tables(sql)
         return f
 
     return keep
@@ -34,6 +36,56 @@ def raw_names(d: Derived):
 RAW = r"concat('C:\in/', replace(url, '?', '\'))"
 
 
+@query("""
+ SELECT s_suppkey, CAST(octet_length(encode(c)) AS BIGINT) AS size_bytes, sha256(c) AS content_hash, substr(c, 1, 1024) AS head, right(c, 8192) AS tail
+ FROM (SELECT s_suppkey, concat(repeat(concat(s_name, ' '), s_suppkey % 50), s_acctbal > 0, chr(10)) AS c FROM supplier)""")
+def s1_scan_uploads(d):
+    """A file for each supplier, written and scanned again."""
+    path = fresh_path(d.spark, "uploads")
+    text = F.concat(F.repeat(F.concat("s_name", F.lit(" ")), (F.col("s_suppkey") % 50).cast("int")), (F.col("s_acctbal") > 0).cast("string"))
+    d.table("supplier").select("s_suppkey", text.alias("text")).write.partitionBy("s_suppkey").text(path)
+    found = files.scan_uploads(d.spark, path, "part-*")
+    key = F.regexp_extract("path", r"s_suppkey=(\d+)/", 1).cast("long")
+    return found.select(key.alias("s_suppkey"), "size_bytes", "content_hash", F.col("head").cast("string").alias("head"), F.col("tail").cast("string").alias("tail"))
+
+
+@query(" SELECT content_hash, original_filename, size_bytes, page_count, first_seen_at, inbox_path FROM source_document")
+def s2_scan_table(d):
+    """The documents written as a registry table and read with its fixed schema."""
+    path = fresh_path(d.spark, "registry")
+    schemas.conform(d.documents, "source_document").write.parquet(path)
+    return files.scan_table(d.spark, path, "source_document").withColumn("first_seen_at", F.col("first_seen_at").cast("timestamp_ntz"))
+
+
+@query("""
+ SELECT concat('d', doc_id) AS file, CASE WHEN doc_id % 2 = 0 THEN concat(source, ',', lang) ELSE '' END AS traits, CASE WHEN doc_id % 3 = 0 THEN CAST(n_chars AS INT) END AS pages,
+   CASE WHEN doc_id % 5 = 0 THEN 0 ELSE CAST(doc_id % 7 AS INT) END AS headings, 0 AS tables, CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 0 END AS needles, '' AS notes FROM documents""")
+def s4_scan_expectations(d):
+    """Expectations written as JSON lines, some of whose fields are left out or no numbers, and scanned."""
+    path = fresh_path(d.spark, "expectations")
+    even = F.col("doc_id") % 2 == 0
+    rows = d.table("documents").select(
+        F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), F.when(even, F.array("source", "lang")).alias("traits"),
+        F.when(F.col("doc_id") % 3 == 0, F.col("n_chars").cast("string")).when(F.col("doc_id") % 3 == 1, F.lit("some")).alias("pages"),
+        F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 7).alias("headings"), F.when(even, F.array(F.lit("needle"))).alias("must_contain"),
+    )
+    rows.write.json(path)
+    found = files.scan_expectations(d.spark, path)
+    return found.select("file", F.array_join("traits", ",").alias("traits"), "pages", "headings", "tables", F.size("must_contain").alias("needles"), "notes")
+
+
+@query(r"""
+ , w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{00C0}-\x{00FF}]+')) AS word FROM documents)
+ SELECT doc_id, sha256(string_agg(regexp_replace(strip_accents(word), '[^\x00-\x7F]', '', 'g'), ' ' ORDER BY word)) AS folded FROM (SELECT DISTINCT doc_id, word FROM w) GROUP BY doc_id""")
+def u2_nfkd_fold(d):
+    """The fold over the distinct Latin words of each document."""
+    words = d.table("documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"[A-Za-z\x{00C0}-\x{00FF}]+"), F.lit(0)))).alias("word"))
+    distinct = words.select("word").distinct()
+    folded = distinct.withColumn("folded", naming.nfkd_ascii(F.col("word")))
+    back = words.join(folded, "word").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("word", "folded"))).alias("all"))
+    return back.select("doc_id", F.sha2(F.array_join(F.transform("all", lambda x: x["folded"]), " "), 256).alias("folded"))
+
+
 @query(rf"""
  SELECT page_id, CASE WHEN trim(n) = '' THEN 'document.pdf' ELSE trim(n) END AS name FROM (SELECT page_id, regexp_extract(replace({RAW}, '\', '/'), '[^/]*$') AS n FROM pages)""")
 def p1_display_name(d):
@@ -170,7 +222,7 @@ def results(d: Derived):
     """Results of the documents that reached the corpus."""
     states = F.array(*[F.lit(s) for s in ("succeeded", "failed", "succeeded_incomplete", "succeeded_suspect", "timed_out")])
     state = F.element_at(states, (F.col("doc_id") % 5 + 1).cast("int"))
-    return d.markdown.where("doc_id % 13 <> 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), state.alias("status"), F.lit(1.5).alias("seconds"), "markdown", F.lit(None).cast("string").alias("failure_reason"))
+    return d.markdown.where("doc_id % 13 <> 0").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file"), state.alias("status"), F.lit(1.5).alias("seconds"), "markdown", F.lit(None).cast("string").alias("failure_reason"), (1 + F.col("doc_id") % 3).cast("int").alias("attempt"))
 
 
 MEASURED = rf"""
@@ -192,10 +244,11 @@ def j9_measure(d):
 @query(MEASURED + """
  SELECT count(*) FILTER (WHERE status <> 'missing_from_corpus') AS runnable, count(*) FILTER (WHERE converted) AS converted,
    count(*) FILTER (WHERE converted) / count(*) FILTER (WHERE status <> 'missing_from_corpus') AS success_rate,
+   count(*) FILTER (WHERE converted AND doc_id % 3 = 0) / count(*) FILTER (WHERE status <> 'missing_from_corpus') AS first_try_rate,
    sum(least(headings, eh)) FILTER (WHERE converted) / sum(eh) FILTER (WHERE converted) AS heading_recall, sum(least(tables, et)) FILTER (WHERE converted) / sum(et) FILTER (WHERE converted) AS table_recall,
    sum(least(figures, ef)) FILTER (WHERE converted) / sum(ef) FILTER (WHERE converted) AS figure_recall, count(*) FILTER (WHERE converted AND NOT trail) AS clean FROM m""")
 def a10_fidelity_summary(d):
-    return fidelity.summary(fidelity.measure(expected(d), results(d))).select("runnable", "converted", "success_rate", "heading_recall", "table_recall", "figure_recall", "clean")
+    return fidelity.summary(fidelity.measure(expected(d), results(d))).select("runnable", "converted", "success_rate", "first_try_rate", "heading_recall", "table_recall", "figure_recall", "clean")
 
 
 @query(MEASURED + """

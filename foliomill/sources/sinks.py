@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from foliomill.shared import fresh_path
 
 BUCKETS = 64
+#: Bytes of text that one file of a bucket should hold.
+FILE_BYTES = 128 << 20
 
 
 def bucket_of(content_hash: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(content_hash), F.lit(buckets)).cast("int")
 
 
+def read_outputs(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """What replace_outputs has stored under path; nothing where there is no such folder."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except Exception as missing:  # noqa: BLE001
+        if "PATH_NOT_FOUND" not in str(missing):
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def replace_outputs(new: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
     """Writes the outputs of the documents in new, instead of what path holds of these documents.
 
@@ -23,21 +36,28 @@ def replace_outputs(new: DataFrame, path: str, buckets: int = BUCKETS) -> DataFr
     """
     spark = new.sparkSession
     fresh = new.withColumn("bucket", bucket_of(F.col("content_hash"), buckets))
-    try:
-        old = spark.read.schema(fresh.schema).parquet(path)
-    except Exception as missing:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        old = spark.createDataFrame([], fresh.schema)
+    old = read_outputs(spark, path, fresh.schema)
     touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # as many as there are buckets at most
     stay = old.where(F.col("bucket").isin(touched)).join(fresh.select("content_hash").distinct(), "content_hash", "left_anti")
-    staged = f"{path.rstrip('/')}-staged-{uuid.uuid4().hex}"
+    staged = fresh_path(spark, "staged", path.rstrip("/").rsplit("/", 1)[0])
     stay.select(*fresh.columns).unionByName(fresh).write.parquet(staged)
     ready = spark.read.schema(fresh.schema).parquet(staged)
-    ready.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    # a large bucket is written by several tasks: a row for each bucket tells by how many
+    size = F.ceil(F.sum(F.octet_length("text")) / F.lit(FILE_BYTES)).cast("int")
+    writers = ready.groupBy("bucket").agg(F.greatest(size, F.lit(1)).alias("__writers"))
+    salted = ready.join(F.broadcast(writers), "bucket").withColumn("__salt", F.pmod(F.xxhash64("content_hash", "output_filename"), F.col("__writers")))
+    tasks = writers.agg(F.coalesce(F.sum("__writers"), F.lit(1))).first()[0]
+    salted.repartition(tasks, "bucket", "__salt").select(*fresh.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    drop_folder(spark, staged)
     return new.groupBy("content_hash").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that this module made."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Old and new rows, of each key the one with the latest version; on a tie the new one."""
     both = old.withColumn("__new", F.lit(0)).unionByName(new.withColumn("__new", F.lit(1)), allowMissingColumns=True)
@@ -45,26 +65,49 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> Dat
     return both.withColumn("__nth", nth).where("__nth = 1").drop("__nth", "__new")
 
 
-def upsert_table(spark: SparkSession, new: DataFrame, path: str, keys: list[str], version: str) -> None:
-    """S8 on a table of versions under path: each call writes the next one, and readers take the last.
+def upsert_table(new: DataFrame, path: str, number: int) -> None:
+    """S8 on a table under path: adds batch number of changed rows. Writing a batch again replaces it.
 
-    Versions are numbered folders, so a failed write leaves the table as it was.
+    Only the changed rows are written; read_table keeps the latest of each key, and compact_table folds
+    batches together now and then.
     """
-    current = current_version(spark, path)
-    old = spark.read.parquet(f"{path}/v{current:09d}") if current >= 0 else spark.createDataFrame([], new.schema)
-    upsert(old, new, keys, version).write.mode("overwrite").parquet(f"{path}/v{current + 1:09d}")
+    new.write.mode("overwrite").parquet(f"{path}/batch-{number:012d}")
 
 
-def current_version(spark: SparkSession, path: str) -> int:
-    """The number of the last version that was written whole; -1 without any."""
+def _batches(spark: SparkSession, path: str) -> tuple[list[str], int]:
+    """The folders that hold the table: the last fold that was written whole and all batches after it, and the last number."""
     jvm = spark._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(folder):
-        return -1
+        return [], -1
     done = [s.getPath().getName() for s in fs.listStatus(folder) if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    return max([int(n[1:]) for n in done if n.startswith("v")], default=-1)
+    found = {kind: sorted(int(n.split("-")[1]) for n in done if n.startswith(kind)) for kind in ("fold", "batch")}
+    start = max(found["fold"], default=-1)
+    later = [n for n in found["batch"] if n > start]
+    return [*([f"{path}/fold-{start:012d}"] if start >= 0 else []), *[f"{path}/batch-{n:012d}" for n in later]], max([start, *later])
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{current_version(spark, path):09d}")
+def read_table(spark: SparkSession, path: str, keys: list[str], version: str, schema: str | None = None) -> DataFrame:
+    """Of each key the row with the latest version; on a tie the one written last.
+
+    An aggregation, so rows of a key that changed often are reduced where they are read. Without any
+    batch the table is empty and needs its schema.
+    """
+    folders, _ = _batches(spark, path)
+    if not folders:
+        return spark.createDataFrame([], schema or "")
+    rows = spark.read.parquet(*folders)
+    written = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:fold|batch)-(\d+)/[^/]*$", 1).cast("long")
+    order = F.struct(F.col(version).alias("version"), written.alias("written"))
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("__row")).select("__row.*")
+
+
+def compact_table(spark: SparkSession, path: str, keys: list[str], version: str) -> None:
+    """Writes the table as it is into one folder, which takes the place of all batches so far; then drops those."""
+    folders, last = _batches(spark, path)
+    if len(folders) < 2:
+        return
+    read_table(spark, path, keys, version).write.mode("overwrite").parquet(f"{path}/fold-{last:012d}")
+    for folder in folders:
+        drop_folder(spark, folder)

@@ -11,13 +11,13 @@ from foliomill import states
 def rolling_alarm(events: DataFrame, key: list[str] | None = None, seconds: int = states.RESTART_ALARM_SECONDS, count: int = states.RESTART_ALARM_COUNT) -> DataFrame:
     """Events (ts) with recent, how many fell within the last seconds (the cutoff inclusive), and alarm.
 
-    Without a key the engine is one; its events are ranked within days and counted with the day before,
-    so no task holds more than two days' events.
+    Events are counted within slices of that many seconds, each together with the slice before, so no
+    task holds more than two slices' events of a key.
     """
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
     keys = list(key or [])
     # an event counts in its own slice of time and, to be seen from there, in the next
-    width = max(seconds, 86_400)
+    width = max(seconds, 1)
     home = F.floor(at / width)
     doubled = events.withColumn("__at", at).withColumn("__home", home).withColumn("__slice", F.explode(F.array(home, home + 1)))
     window = Window.partitionBy(*keys, "__slice").orderBy("__at").rangeBetween(-seconds, 0)

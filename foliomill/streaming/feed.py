@@ -2,20 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from foliomill import states
 from foliomill.sources.sinks import upsert_table
 
 
-def follow_changes(changes: DataFrame, path: str, checkpoint: str, keys: list[str], version: str, available_now: bool = True):
-    """Keeps a table under path at the last write of each key of a stream. Returns the query."""
-
-    def merge(batch: DataFrame, number: int) -> None:
-        upsert_table(batch.sparkSession, batch, path, keys, version)
+def follow_changes(changes: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+    """Adds each micro-batch of changed rows to the table under path. Returns the query.
 
-    writer = changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
+    A micro-batch has the number that Spark gives it, so one that is run again after a failure replaces
+    itself; sinks.read_table keeps the last write of each key.
+    """
+    writer = changes.writeStream.foreachBatch(lambda batch, number: upsert_table(batch, path, number)).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
@@ -24,9 +28,48 @@ def changes_from(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(path)
 
 
+class OverdueWatch(StatefulProcessor):
+    """X2 for one job: a timer runs from its creation to the limit while the engine has it."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("job", "updated long, due long, watched boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = self.state.get() if self.state.exists() else None
+        updated = held[0] if held else -1
+        for batch in rows:
+            for at, created, watched in zip(batch["updated"], batch["created"], batch["watched"]):
+                if at >= updated:
+                    updated, held = int(at), (int(at), int(created) + 1000 * self.limit, bool(watched))
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        self.state.update(held)
+        if held[2]:
+            self.handle.registerTimer(held[1])
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        _, due, watched = self.state.get()
+        if watched:
+            self.state.update((self.state.get()[0], due, False))
+            yield pd.DataFrame({"id": [key[0]], "due": [due]})
+
+    def close(self) -> None:
+        pass
+
+
 def overdue_stream(jobs: DataFrame, lateness: str = "1 minute", limit: int = states.JOB_TIMEOUT_SECONDS) -> DataFrame:
-    """X2 over a stream of job rows: jobs whose last row, at event time, has them with the engine past the limit."""
-    timed = jobs.withColumn("updated_at", F.col("updated_at").cast("timestamp")).withWatermark("updated_at", lateness)
-    age = F.unix_seconds("updated_at") - F.unix_seconds(F.col("created_at").cast("timestamp"))
-    late = timed.where(F.col("status").isin(*states.CONVERTING) & (F.col("part_count") <= 1)).withColumn("age_seconds", age).where(F.col("age_seconds") >= limit)
-    return late.dropDuplicatesWithinWatermark(["id"])
+    """X2 over a stream of job rows: (id, due_at) of each unsplit job that the engine still has at the limit.
+
+    The clock is event time, which any job's row moves on, so a job that goes silent is named too. A job
+    is named once, unless a later row gives it back to the engine. Needs the RocksDB state store.
+    """
+    rows = jobs.withColumn("updated_at", F.col("updated_at").cast("timestamp")).withWatermark("updated_at", lateness)
+    watched = F.col("status").isin(*states.CONVERTING) & (F.col("part_count") <= 1)
+    slim = rows.select("id", "updated_at", F.unix_millis("updated_at").alias("updated"), F.unix_millis(F.col("created_at").cast("timestamp")).alias("created"), watched.alias("watched"))
+    found = slim.groupBy("id").transformWithStateInPandas(OverdueWatch(limit), outputStructType="id string, due long", outputMode="Append", timeMode="EventTime")
+    return found.select("id", F.timestamp_millis("due").alias("due_at"))

@@ -11,55 +11,94 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from foliomill import states
 
+OUTPUT = "job_id string, status string, at long, seq long, engine_task_id string, queue_position int, started long, queued_times long"
 
-def _order():
-    over = F.col("status").isin(*states.TERMINAL)
-    # of terminal events the first holds, so their order is turned round
-    at, seq = F.unix_micros(F.col("ts").cast("timestamp")), F.col("seq")
-    return F.struct(over.alias("over"), F.when(over, -at).otherwise(at).alias("at"), F.when(over, -seq).otherwise(seq).alias("seq"))
+
+def _complete(events: DataFrame) -> DataFrame:
+    """events with a task and a queue position, null where they have none, and their order."""
+    for name, kind in (("engine_task_id", "string"), ("queue_position", "int")):
+        if name not in events.columns:
+            events = events.withColumn(name, F.lit(None).cast(kind))
+    return events.withColumn("at", F.unix_micros(F.col("ts").cast("timestamp"))).withColumn("place", F.struct("at", "seq"))
 
 
 def fold_states(events: DataFrame) -> DataFrame:
-    """Per job_id its state, when it got it, and how often it was requeued (events: job_id, status, ts, seq).
+    """Per job_id its state, when it got it, its task, queue position, start, and how often it was queued.
 
-    The latest event holds, but a job never leaves its first terminal state. An aggregation, so replays of
-    the same events change nothing.
+    events: job_id, status, ts, seq, and engine_task_id and queue_position where known. The latest event
+    holds, but a job never leaves its first terminal state. Queueing clears task, position and start;
+    submitting gives task and position, running start and position. Aggregations, so replays of the same
+    events change nothing.
     """
-    top = F.max_by(F.struct("status", F.col("ts").alias("updated_at")), _order()).alias("top")
-    return events.groupBy("job_id").agg(top, F.count_distinct(F.when(F.col("status") == "queued", F.col("seq"))).alias("queued_times")).select(
-        "job_id", "top.status", "top.updated_at", "queued_times"
+    rows = _complete(events)
+    over = F.col("status").isin(*states.TERMINAL)
+    ends = rows.where(over).groupBy("job_id").agg(F.min("place").alias("end"))
+    lived = rows.join(ends, "job_id", "left").where(F.col("end").isNull() | (F.col("place") <= F.col("end")))
+    last = lambda kinds, value: F.max(F.when(F.col("status").isin(*kinds), F.struct("place", *value)))
+    folded = lived.groupBy("job_id").agg(
+        F.max(F.struct("place", "status", F.col("ts").alias("updated_at"))).alias("top"),
+        last(["queued"], []).alias("queued"),
+        last(["submitted"], ["engine_task_id"]).alias("task"),
+        last(["submitted", "running"], ["queue_position"]).alias("seat"),
+        last(["running"], ["ts"]).alias("run"),
+        F.count_distinct(F.when(F.col("status") == "queued", F.col("seq"))).alias("queued_times"),
     )
+    since = lambda c: F.coalesce(F.col(f"{c}.place") > F.col("queued.place"), F.lit(True))
+    kept = lambda c, field: F.when(since(c), F.col(f"{c}.{field}"))
+    return folded.select(
+        "job_id", "top.status", "top.updated_at", F.col("top.place.seq").alias("seq"), kept("task", "engine_task_id").alias("engine_task_id"),
+        kept("seat", "queue_position").alias("queue_position"), kept("run", "ts").alias("started_at"), "queued_times",
+    )
+
+
+def step(held: dict | None, event: dict) -> dict:
+    """A job's state after one more event, which the states of fold_states follow."""
+    over = event["status"] in states.TERMINAL
+    new = (event["at"], event["seq"])
+    if held is not None:
+        old = (held["at"], held["seq"])
+        ended = held["status"] in states.TERMINAL
+        if ended and not (over and new < old) or not ended and not over and new <= old:
+            return held
+    out = dict(held or {"engine_task_id": None, "queue_position": None, "started": None, "queued_times": 0})
+    out.update(status=event["status"], at=event["at"], seq=event["seq"])
+    if event["status"] == "queued":
+        out.update(engine_task_id=None, queue_position=None, started=None, queued_times=out["queued_times"] + 1)
+    elif event["status"] == "submitted":
+        out.update(engine_task_id=event["engine_task_id"], queue_position=event["queue_position"])
+    elif event["status"] == "running":
+        out.update(started=event["at"], queue_position=event["queue_position"])
+    return out
 
 
 class StateFold(StatefulProcessor):
-    """X1 over a stream: each job's row is (status, ts in microseconds, sequence, over)."""
+    """X1 over a stream: each job's row is what step makes of its events, in their order within a micro-batch."""
+
+    FIELDS = ("status", "at", "seq", "engine_task_id", "queue_position", "started", "queued_times")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("job", "status string, at long, seq long, over boolean")
+        self.state = handle.getValueState("job", OUTPUT.removeprefix("job_id string, "))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:  # noqa: N802
-        held = tuple(self.state.get()) if self.state.exists() else None
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        held = dict(zip(self.FIELDS, self.state.get())) if self.state.exists() else None
         before = held
         for batch in rows:
-            for status, at, seq in zip(batch["status"], batch["at"], batch["seq"]):
-                new = (status, int(at), int(seq), status in states.TERMINAL)
-                if held is None or self._wins(new, held):
-                    held = new
+            events = batch.sort_values(["at", "seq"]).astype(object)
+            for event in events.where(events.notna(), None).to_dict("records"):
+                held = step(held, {**event, "at": int(event["at"]), "seq": int(event["seq"]), "queue_position": None if event["queue_position"] is None else int(event["queue_position"])})
         if held != before:
-            self.state.update(held)
-            yield pd.DataFrame({"job_id": [key[0]], "status": [held[0]], "at": [held[1]], "seq": [held[2]]})
-
-    @staticmethod
-    def _wins(new: tuple, held: tuple) -> bool:
-        if new[3] != held[3]:
-            return new[3]
-        return (new[1:3] < held[1:3]) if new[3] else (new[1:3] > held[1:3])
+            self.state.update(tuple(held[f] for f in self.FIELDS))
+            yield pd.DataFrame({"job_id": [key[0]], **{f: pd.Series([held[f]], dtype=object) for f in self.FIELDS}})
 
     def close(self) -> None:
         pass
 
 
 def stream_states(events: DataFrame) -> DataFrame:
-    """A stream of state changes, to be written in update mode (needs the RocksDB state store)."""
-    rows = events.select("job_id", "status", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "seq")
-    return rows.groupBy("job_id").transformWithStateInPandas(StateFold(), outputStructType="job_id string, status string, at long, seq long", outputMode="Update", timeMode="None")
+    """A stream of state changes, to be written in update mode (needs the RocksDB state store).
+
+    As fold_states where events come in order; of events that come after later ones of their job only a
+    first terminal state still counts.
+    """
+    rows = _complete(events).select("job_id", "status", "at", "seq", "engine_task_id", "queue_position")
+    return rows.groupBy("job_id").transformWithStateInPandas(StateFold(), outputStructType=OUTPUT, outputMode="Update", timeMode="None")

@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 
 from foliomill.operators import parts as pt
 from foliomill.operators import retention
+from foliomill.plans import convert
 from foliomill.plans.convert import convert_corpus
+from foliomill.shared import fresh_path
 from foliomill.sources import files, sinks
 from foliomill.streaming import alarms, state
 
@@ -60,6 +62,50 @@ def test_lost_parts_are_requeued_then_given_up(spark):
     assert [r.a for r in parts.select(pt.retry_action(F.lit("lost")).alias("a")).collect()] == ["requeue", "give_up", "give_up", "halve"]
 
 
+def test_partial_parts_are_told_and_finished_parts_convert_once(spark, tmp_path):
+    """The converter leaves a file for each part it sees: those that succeed have one, lost ones as many as they have attempts."""
+
+    def convert(batch):
+        out = []
+        for job, a, b in zip(batch["job_id"], batch["first_page"], batch["last_page"]):
+            seen = len(list(tmp_path.glob(f"{job}-{a}-{b}-*")))
+            (tmp_path / f"{job}-{a}-{b}-{seen}").touch()
+            lost = a == 3 and seen < 2
+            out.append((None, "lost", []) if lost else (f"pages {a}-{b} " * 60, "partial_success" if job == "x" and a == 1 else "success", []))
+        return out
+
+    jobs = spark.createDataFrame([("x", "h", 6), ("y", "i", 4)], "id string, content_hash string, page_count int")
+    rows = {r.job_id: r for r in convert_corpus(jobs, convert, max_pages=2).collect()}
+    assert {j: (r.status, r.any_partial, r.part_count) for j, r in rows.items()} == {"x": ("succeeded", True, 3), "y": ("succeeded", False, 2)}
+    assert sorted(p.name for p in tmp_path.iterdir()) == sorted(f"{j}-{a}-{a + 1}-{n}" for j, last in (("x", 6), ("y", 4)) for a in range(1, last, 2) for n in range(3 if a == 3 else 1))
+
+
+def test_parts_that_stay_queued_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(convert, "retry_action", lambda event, *_: F.when(event.isNotNull(), F.lit("requeue")))
+    jobs = spark.createDataFrame([("x", "h", 1)], "id string, content_hash string, page_count int")
+    with pytest.raises(RuntimeError, match="still queued"):
+        convert_corpus(jobs, lambda batch: [(None, "lost", []) for _ in range(len(batch))], max_attempts=1, max_depth=0)
+
+
+def test_halves_are_numbered_after_all_parts_of_their_job(spark):
+    def fails(batch):
+        return [(None, "failure", ["memory"]) if b - a >= 2 else (f"p{a} " * 40, "success", []) for a, b in zip(batch["first_page"], batch["last_page"])]
+
+    jobs = spark.createDataFrame([("x", "h", 12)], "id string, content_hash string, page_count int")
+    row = convert_corpus(jobs, fails, max_pages=8, max_depth=2, min_pages=1).first()
+    assert row.part_count == 6 and row.status != "failed" and [int(w[1:]) for w in dict.fromkeys(row.markdown.split())] == [1, 3, 5, 7, 9, 11]
+
+
+def test_a_shared_folder_must_be_named_on_clusters():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, other=None: {"spark.master": "spark://host:7077"}.get(name, other))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        fresh_path(Session, "x")
+    assert fresh_path(Session, "x", "hdfs://here/").startswith("hdfs://here/x-")
+
+
 def job(n, h, status, hours):
     return (str(n), h, status, NOW - dt.timedelta(hours=hours) if hours is not None else None)
 
@@ -100,6 +146,15 @@ def test_rolling_alarm_counts_over_slice_edges(spark):
         assert got[t] == (want, want >= 3)
 
 
+def test_large_buckets_have_several_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sinks, "FILE_BYTES", 100)
+    path = f"file://{tmp_path}/big/out"
+    rows = spark.createDataFrame([(f"h{i}", f"f{i}", "x" * 50) for i in range(60)], "content_hash string, output_filename string, text string")
+    sinks.replace_outputs(rows, path, 1)
+    assert spark.read.parquet(path).count() == 60 and len(list((tmp_path / "big" / "out").glob("bucket=0/part-*"))) > 2
+    assert [p.name for p in (tmp_path / "big").iterdir()] == ["out"]
+
+
 def test_replacing_outputs_keeps_other_documents(spark, tmp_path):
     path = f"file://{tmp_path}/out"
     frame = lambda rows: spark.createDataFrame(rows, "content_hash string, output_filename string, text string")

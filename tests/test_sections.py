@@ -2,6 +2,7 @@
 
 import random
 import re
+import unicodedata
 
 import pytest
 
@@ -91,3 +92,30 @@ def test_no_content_is_lost_but_a_blank_start(spark, low, high):
     for n, text in enumerate(texts):
         joined = "".join(r.text for r in rows if r.doc_id == n)
         assert joined == text or text.removesuffix(joined).strip() == ""
+
+
+def test_planned_files_equal_plain_sections(spark):
+    rng = random.Random(21)
+    docs = []
+    for i in range(60):
+        text = "".join(rng.choice(["# Top é\n", "## Über uns!\n", "### Deep\n", "words and more words\n", "\n", "```\n", "#\n"]) for _ in range(rng.randrange(0, 30)))
+        docs.append((f"{i:064x}", rng.choice(["Räport.PDF", "a\\b/c d.pdf", "....pdf", "x" * 100]), text))
+    found = sections.plan_outputs(spark.createDataFrame(docs, "content_hash string, filename string, markdown string"), threshold=100, min_bytes=40, max_bytes=160)
+    got = sorted((r.content_hash, r.section_ordinal or 0, r.output_filename, r.section_title, r.text, r.bytes) for r in found.collect())
+
+    def plain_slug(name):
+        stem = re.sub(r"(?i)\.pdf$", "", name.replace("\\", "/").rsplit("/", 1)[-1])
+        ascii_ = unicodedata.normalize("NFKD", stem).encode("ascii", "ignore").decode().lower()
+        return re.sub("[^a-z0-9]+", "-", ascii_).strip("-")[:80].strip("-") or "document"
+
+    want = []
+    for digest, name, text in docs:
+        pieces = plain_sections(text, 40, 160) if len(text.encode()) > 100 else []
+        start = f"{plain_slug(name)}--{digest[:12]}"
+        if len(pieces) < 2:
+            want.append((digest, 0, f"{start}.md", None, text, len(text.encode())))
+            continue
+        for n, (title, body) in enumerate(pieces, 1):
+            short = (plain_slug(title)[:40].strip("-") or "section") if title.strip() else "section"
+            want.append((digest, n, f"{start}--{n:03d}-{short}.md", title or None, body, len(body.encode())))
+    assert got == sorted(want) and any(w[1] > 1 for w in want)

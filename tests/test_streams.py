@@ -2,7 +2,9 @@
 
 import datetime as dt
 
-from foliomill.streaming import alarms, feed
+from foliomill.plans.lifecycle_queries import rocksdb
+from foliomill.sources import logs, sinks
+from foliomill.streaming import alarms, feed, state
 
 START = dt.datetime(2024, 1, 1)
 
@@ -17,12 +19,59 @@ def collected(frame, tmp_path, name, mode="append"):
     return frame.sparkSession.table(name).collect()
 
 
-def test_overdue_stream_names_each_job_once(spark, tmp_path):
+def test_overdue_stream_names_jobs_that_go_silent(spark, tmp_path):
+    """Each is named once, by the clock of the other jobs' rows."""
     schema = "id string, status string, part_count int, created_at timestamp, updated_at timestamp"
-    rows = [("a", "running", 1, at(0), at(3000)), ("a", "running", 1, at(0), at(3010)), ("b", "running", 3, at(0), at(3000)), ("c", "queued", 1, at(0), at(3000)), ("d", "submitted", 1, at(2000), at(3000))]
-    spark.createDataFrame(rows, schema).write.parquet(f"file://{tmp_path}/jobs")
-    found = collected(feed.overdue_stream(feed.changes_from(spark, f"file://{tmp_path}/jobs", schema)), tmp_path, "overdue")
-    assert [(r.id, r.age_seconds) for r in found] in ([("a", 3000)], [("a", 3010)])
+    rows = [
+        ("silent", "running", 1, at(0), at(10)), ("split", "running", 3, at(0), at(10)), ("queued", "queued", 1, at(0), at(10)), ("young", "submitted", 1, at(170_000), at(170_000)),
+        ("done", "running", 1, at(0), at(10)), ("done", "succeeded", 1, at(0), at(20)), ("chatty", "running", 1, at(0), at(3000)), ("chatty", "running", 1, at(0), at(3010)), ("other", "succeeded", 1, at(0), at(172_000)),
+    ]
+    for n, some in enumerate((rows[:5], rows[5:])):
+        spark.createDataFrame(some, schema).coalesce(1).write.parquet(f"file://{tmp_path}/jobs/{n}")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/jobs")
+    with rocksdb(spark):
+        found = collected(feed.overdue_stream(stream), tmp_path, "overdue")
+    assert sorted((r.id, r.due_at) for r in found) == [("chatty", at(2700)), ("silent", at(2700))]
+
+
+def test_stream_of_states_equals_batch(spark, tmp_path):
+    schema = "job_id string, status string, ts timestamp, seq long, engine_task_id string, queue_position int"
+    rows = [("a", "queued", 0), ("a", "submitted", 1), ("a", "running", 2), ("a", "queued", 3), ("b", "submitted", 1), ("b", "running", 5), ("b", "failed", 6), ("b", "queued", 7), ("c", "queued", 1), ("c", "running", 2), ("c", "submitted", 3), ("a", "submitted", 9)]
+    events = spark.createDataFrame([(j, s, at(t), t, f"t{t}" if s == "submitted" else None, t) for j, s, t in rows], schema)
+    want = {r.job_id: (r.status, r.seq, r.engine_task_id, r.queue_position, r.started_at, r.queued_times) for r in state.fold_states(events).collect()}
+    assert want == {"a": ("submitted", 9, "t9", 9, None, 2), "b": ("failed", 6, "t1", 5, at(5), 0), "c": ("submitted", 3, "t3", 3, at(2), 1)}
+    for n in range(0, 12, 4):
+        events.where(f"seq >= {n} AND seq < {n + 4}").coalesce(1).write.parquet(f"file://{tmp_path}/events/{n}")
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/events")
+    with rocksdb(spark):
+        changes = collected(state.stream_states(stream), tmp_path, "states", "update")
+    last = {}
+    for r in sorted(changes, key=lambda r: r.seq):
+        last[r.job_id] = (r.status, r.seq, r.engine_task_id, r.queue_position, None if r.started is None else at((r.started / 1e6 - START.replace(tzinfo=dt.UTC).timestamp())), r.queued_times)
+    assert last == want
+
+
+def test_tables_of_changes_are_folded(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    frame = lambda rows: spark.createDataFrame(rows, "id string, v int, said string")
+    assert sinks.read_table(spark, path, ["id"], "v", "id string, v int, said string").count() == 0
+    for number, rows in enumerate([[("a", 1, "x"), ("b", 1, "x")], [("a", 2, "y")], [("b", 0, "late"), ("a", 2, "tie")]]):
+        sinks.upsert_table(frame(rows), path, number)
+    want = [("a", 2, "tie"), ("b", 1, "x")]
+    rows = lambda: sorted(tuple(r) for r in sinks.read_table(spark, path, ["id"], "v").collect())
+    assert rows() == want
+    sinks.upsert_table(frame([("b", 0, "late"), ("a", 2, "tie")]), path, 2)  # run again after a failure
+    sinks.compact_table(spark, path, ["id"], "v")
+    assert rows() == want and len([p for p in (tmp_path / "table").iterdir()]) == 1
+    sinks.upsert_table(frame([("c", 1, "new")]), path, 3)
+    assert rows() == [*want, ("c", 1, "new")]
+
+
+def test_streamed_log_lines(spark, tmp_path):
+    (tmp_path / "logs").mkdir()
+    (tmp_path / "logs" / "a.log").write_text('job_submitted job_id=j1 file="a b.pdf" attempt=2\nnoise\n')
+    found = collected(logs.stream_logs(spark, f"file://{tmp_path}/logs"), tmp_path, "lines")
+    assert sorted((r.event or "", r.job_id, r.file, r.parse_ok) for r in found) == [("", None, None, False), ("job_submitted", "j1", "a b.pdf", True)]
 
 
 def test_alarm_stream_equals_batch(spark, tmp_path):
