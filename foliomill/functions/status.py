@@ -100,6 +100,7 @@ def seconds_between(start: Column, end: Column) -> Column:
 
 def explanation(failure: Column, status: Column, engine_status: Column, missing: Column) -> Column:
     """P25: the whole sentence about an outcome."""
+    # The sentences.
     gaps = F.concat(F.lit("Converted, but pages "), F.coalesce(page_ranges(missing, "–"), F.lit("")), F.lit(" are missing — those parts failed."))
     return (
         F.when(F.length(failure) > 0, failure)

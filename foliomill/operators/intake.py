@@ -13,6 +13,7 @@ def rejection(filename: Column, head: Column, tail: Column, size: Column, max_by
     """Why a file is refused, the first rule that holds; null if it is accepted. head and tail are binary."""
     quoted = F.concat(F.lit('"'), filename, F.lit('"'))
     limit = size_plain(F.lit(max_bytes).cast("long"))
+    # The sentences.
     return (
         F.when(size > max_bytes, F.concat(quoted, F.lit(" is larger than the "), limit, F.lit(" this converter accepts.")))
         .when(size == 0, F.concat(quoted, F.lit(" is empty — there is nothing to convert.")))
@@ -24,6 +25,7 @@ def rejection(filename: Column, head: Column, tail: Column, size: Column, max_by
 def page_rejection(filename: Column, pages: Column, encrypted: Column, max_pages: int = states.MAX_TOTAL_PAGES) -> Column:
     """Why a page count is refused; null if it is accepted. Null pages or fewer than one are unreadable."""
     quoted = F.concat(F.lit('"'), filename, F.lit('"'))
+    # The sentences.
     many = F.concat(quoted, F.lit(" has "), F.format_number(pages, 0), F.lit(f" pages, more than the {max_pages:,} this converter accepts in one document. Split it into smaller files and upload those."))
     return (
         F.when(F.coalesce(encrypted, F.lit(False)), F.concat(quoted, F.lit(" is password-protected, so its contents cannot be read. Remove the password and upload it again.")))
