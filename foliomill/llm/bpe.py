@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 
 #: The pre-tokenizer's pattern (a fixed value of byte-level vocabularies of this kind).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 #: Texts, and bytes of texts, that are Python objects together; a longer text is alone.
 TEXTS_AT_ONCE, BYTES_AT_ONCE = 1024, 1 << 20
 #: Characters that are cut into words together.

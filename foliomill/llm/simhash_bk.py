@@ -67,8 +67,8 @@ PAIR_BLOCK = 1024
 BROADCAST_NODES = 1_000_000
 #: Oversized shards up to which their table is broadcast.
 BROADCAST_SHARDS = 200_000
-#: Comparisons that a task may have in memory at once.
-PAIRS_AT_ONCE = 1 << 22
+#: Comparisons that a task may have in memory at once, and fingerprints that it copies for them at a time.
+PAIRS_AT_ONCE, ROWS_AT_ONCE = 1 << 21, 1 << 15
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -130,9 +130,15 @@ def shard_masks(radius: int = RADIUS, keep: int = KEEP) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Hamming distances of the rows of a and b."""
-    return np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+def distances(a: np.ndarray, b: np.ndarray, i: np.ndarray | None = None, j: np.ndarray | None = None) -> np.ndarray:
+    """Hamming distances of the rows of a and b, or of rows i of a and j of b; few rows are copied at a time."""
+    i = np.arange(len(a)) if i is None else i
+    j = np.arange(len(b)) if j is None else j
+    out = np.empty(len(i), np.int64)
+    for n in range(0, len(i), ROWS_AT_ONCE):
+        here = slice(n, n + ROWS_AT_ONCE)
+        out[here] = np.bitwise_count(a[i[here]] ^ b[j[here]]).sum(1, dtype=np.int64)
+    return out
 
 
 class BkForest:
@@ -148,7 +154,7 @@ class BkForest:
         at = at[todo]
         slots, children = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         while len(todo):
-            slot = at * self.fan + distances(values[todo], values[at])
+            slot = at * self.fan + distances(values, values, todo, at)
             taken, first, which = np.unique(slot, return_index=True, return_inverse=True)
             slots.append(taken)
             children.append(todo[first])
@@ -168,7 +174,7 @@ class BkForest:
         node = self.roots[place[asked]] if len(asked) else asked
         hits: list[tuple[np.ndarray, np.ndarray]] = []
         while len(asked):
-            distance = distances(queries[asked], self.values[node])
+            distance = distances(queries, self.values, asked, node)
             near = distance <= radius
             hits.append((asked[near], node[near]))
             low = np.searchsorted(self.slots, node * self.fan + np.maximum(distance - radius, 0), "left")
@@ -217,7 +223,7 @@ def near_pairs(value: np.ndarray, group: np.ndarray, rows: dict[str, np.ndarray]
     small, large = np.minimum(rows["size"][a], rows["size"][b]), np.maximum(rows["size"][a], rows["size"][b])
     fits = (rows["label"][a] != rows["label"][b]) & (small >= similarity * large)
     a, b = a[fits], b[fits]
-    order = np.lexsort((remixed((rows["node"][a] ^ rows["node"][b]).view(np.uint64)), distances(value[a], value[b]), a))
+    order = np.lexsort((remixed((rows["node"][a] ^ rows["node"][b]).view(np.uint64)), distances(value, value, a, b), a))
     a, b = a[order], b[order]
     taken = np.arange(len(a)) - np.searchsorted(a, a) < top
     return a[taken], b[taken]
