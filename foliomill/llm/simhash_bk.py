@@ -390,7 +390,9 @@ def wide_links(nodes: DataFrame, radius: int, similarity: float, who: str, top:
             value = np.stack([some[c].view(np.uint64) for c in columns], 1)
             u, v = near_pairs(value, group, some, radius, similarity, top)
             u, v = some["node"][u], some["node"][v]
-            yield _pairs_of(np.minimum(u, v), np.maximum(u, v))
+            # two that ask each other are told once
+            both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
+            yield _pairs_of(both[:, 0].copy(), both[:, 1].copy())
 
     return rows.select(*key, *held).repartition(*key).sortWithinPartitions(*key).mapInArrow(by_groups(key, held, pairs), "u long, v long").distinct()
 
