@@ -221,7 +221,8 @@ def x1_fold_states_stream(d):
 
 @query("""
  , j AS (SELECT *, max(updated_at) OVER () AS latest FROM conversion_job)
- SELECT id, epoch_ms(created_at) + 2700000 AS due FROM j WHERE status IN ('submitted', 'running') AND part_count <= 1 AND epoch_ms(created_at) + 2700000 <= epoch_ms(latest) - 60000""")
+ SELECT id, epoch_us(created_at) + 2700000000 AS due FROM j
+ WHERE status IN ('submitted', 'running') AND part_count <= 1 AND (epoch_us(created_at) + 2700000000 + 999) // 1000 <= epoch_us(latest) // 1000 - 60000""")
 def x2_overdue_stream(d):
     """The watchdog as a stream: all rows of jobs arrive, and event time, which the latest row moves on, finds those that went silent."""
     source, table, mark = (scratch(d, t) for t in ("jobs", "overdue", "mark"))
@@ -230,7 +231,7 @@ def x2_overdue_stream(d):
     with rocksdb(d.spark):
         stream = feed.overdue_stream(d.spark.readStream.schema(rows.schema).parquet(source))
         stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    return d.spark.read.schema(stream.schema).parquet(table).select("id", F.unix_millis("due_at").alias("due"))
+    return d.spark.read.schema(stream.schema).parquet(table).select("id", F.unix_micros("due_at").alias("due"))
 
 
 @query("""
@@ -247,6 +248,21 @@ def x7_alarm_windows(d):
     return windows.select(F.unix_seconds("start").alias("start"), "restarts", "alarm")
 
 
+@query("""
+ , e AS (SELECT event_id, event_type, ts, count(*) OVER (PARTITION BY event_type ORDER BY floor(epoch(ts)) RANGE BETWEEN 900 PRECEDING AND CURRENT ROW) AS recent, max(ts) OVER () AS latest FROM events)
+ SELECT event_type, CAST(event_id AS VARCHAR) AS event_id, CAST(epoch_us(ts) AS BIGINT) AS at, CAST(recent AS BIGINT) AS recent, recent >= 3 AS alarm FROM e
+ WHERE 1000 * (epoch_us(ts) // 1000000 + 1) <= epoch_us(latest) // 1000 - 600000""")
+def x7_alarm_stream(d):
+    """Every event with its alarm, told by the stream once its second is past."""
+    source, table, mark = (scratch(d, t) for t in ("events", "alarms", "mark"))
+    rows = d.table("events").select("event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    rows.repartition(8, "event_id").write.parquet(source)
+    with rocksdb(d.spark):
+        stream = alarms.stream_rolling_alarm(d.spark.readStream.schema(rows.schema).parquet(source), ["event_type"], "event_id")
+        stream.writeStream.format("parquet").option("path", table).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    return d.spark.read.schema(stream.schema).parquet(table).select("event_type", "event_id", F.unix_micros("ts").alias("at"), "recent", "alarm")
+
+
 @query(" SELECT id, status, updated_at FROM conversion_job")
 def x8_change_feed(d):
     """Every job's rows as they change, replayed as a stream into a table that keeps the last of each."""

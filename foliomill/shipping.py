@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,5 +20,7 @@ def ship(spark: SparkSession) -> SparkSession:
             for path in sorted(root.rglob("*.py")):
                 out.write(path, path.relative_to(root.parent))
         context.addPyFile(str(archive))
+        # stateful processors are also loaded by a worker beside the driver, which added files do not reach
+        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [context.environment.get("PYTHONPATH"), str(archive)]))
         context._foliomill_shipped = True
     return spark

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from foliomill import states
 
@@ -26,13 +31,84 @@ def rolling_alarm(events: DataFrame, key: list[str] | None = None, seconds: int
 
 
 def stream_alarm(events: DataFrame, lateness: str = "10 minutes", count: int = states.RESTART_ALARM_COUNT) -> DataFrame:
-    """Sliding windows of 15 minutes with their restarts; events later than lateness do not count."""
+    """Sliding windows of 15 minutes, one a minute, with their restarts, for charts; stream_rolling_alarm is exact. Events later than lateness do not count."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
     return timed.groupBy(F.window("ts", "15 minutes", "1 minute")).agg(F.count("*").alias("restarts")).select(
         F.col("window.start").alias("start"), F.col("window.end").alias("stop"), "restarts", (F.col("restarts") >= count).alias("alarm")
     )
 
 
+class AlarmWindow(StatefulProcessor):
+    """X7 for one key: events that wait for the clock to pass their second, and how many fell on each second before."""
+
+    def __init__(self, seconds: int, count: int):
+        self.seconds, self.count = seconds, count
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("events", "told array<long>, n array<long>, at array<long>, id array<string>")
+
+    def _held(self) -> tuple[list, list, list, list]:
+        return tuple(map(list, self.state.get())) if self.state.exists() else ([], [], [], [])
+
+    def _keep(self, told: list, n: list, at: list, ids: list) -> None:
+        """Holds what is left, with one timer: for the earliest event that waits, or else for the end of what can still count."""
+        for due in list(self.handle.listTimers()):
+            self.handle.deleteTimer(due)
+        if not told and not at:
+            self.state.clear()
+            return
+        self.state.update((told, n, at, ids))
+        self.handle.registerTimer(1000 * (min(at) // 1_000_000 + 1 if at else told[-1] + self.seconds + 1))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        told, n, at, ids = self._held()
+        passed = timerValues.getCurrentWatermarkInMs()
+        for batch in rows:
+            in_time = batch[1000 * (batch["at"] // 1_000_000 + 1) > passed]
+            at += in_time["at"].tolist()
+            ids += in_time["id"].tolist()
+        self._keep(told, n, at, ids)
+        yield from ()
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        told, n, at, ids = self._held()
+        clock = timerValues.getCurrentWatermarkInMs() // 1000
+        second = np.array(at, np.int64) // 1_000_000
+        order = np.argsort(second, kind="stable")
+        ready, waits = order[second[order] < clock], order[second[order] >= clock]
+        now, many = np.unique(second[ready], return_counts=True)
+        seconds, sizes = np.r_[np.array(told, np.int64), now], np.r_[np.array(n, np.int64), many]
+        before = np.r_[0, np.cumsum(sizes)]
+        recent = before[np.searchsorted(seconds, second[ready], "right")] - before[np.searchsorted(seconds, second[ready] - self.seconds, "left")]
+        still = seconds + self.seconds >= clock
+        self._keep(seconds[still].tolist(), sizes[still].tolist(), [at[k] for k in waits], [ids[k] for k in waits])
+        if len(ready):
+            out = {f"key{k}": [value] * len(ready) for k, value in enumerate(key)}
+            yield pd.DataFrame({**out, "id": [ids[k] for k in ready], "at": [at[k] for k in ready], "recent": recent, "alarm": recent >= self.count})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_rolling_alarm(
+    events: DataFrame, key: list[str], event_id: str, lateness: str = "10 minutes", seconds: int = states.RESTART_ALARM_SECONDS, count: int = states.RESTART_ALARM_COUNT
+) -> DataFrame:
+    """W8 over a stream of events (ts, event_id and key columns): key, event_id (as a string), ts, recent and alarm of each.
+
+    An event is told, once, as soon as event time less lateness has passed its second, since then no event
+    that counts for it can still come; so the stream gives what rolling_alarm gives, whatever the order in
+    which events come within lateness. Later ones do not count. A key's state holds the events of lateness
+    and a number for each second of the window, and ends with them. Needs the RocksDB state store.
+    """
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+    slim = timed.select(*[F.col(c).cast("string").alias(f"key{k}") for k, c in enumerate(key)], F.lit("").alias("all"), F.col(event_id).cast("string").alias("id"), F.unix_micros("ts").alias("at"), "ts")
+    names = [f"key{k}" for k in range(len(key))] or ["all"]
+    schema = ", ".join([f"key{k} string" for k in range(max(len(key), 1))] + ["id string", "at long", "recent long", "alarm boolean"])
+    found = slim.groupBy(*names).transformWithStateInPandas(AlarmWindow(seconds, count), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    return found.select(*[F.col(f"key{k}").alias(c) for k, c in enumerate(key)], F.col("id").alias(event_id), F.timestamp_micros("at").alias("ts"), "recent", "alarm")
+
+
 def operational_status(status_events: DataFrame, jobs: DataFrame, restarts: DataFrame, outputs: DataFrame, as_of) -> DataFrame:
     """One row: ok or degraded, why, and the backlog.
 

@@ -44,12 +44,12 @@ class OverdueWatch(StatefulProcessor):
         for batch in rows:
             for at, created, watched in zip(batch["updated"], batch["created"], batch["watched"]):
                 if at >= updated:
-                    updated, held = int(at), (int(at), int(created) + 1000 * self.limit, bool(watched))
+                    updated, held = int(at), (int(at), int(created) + 1_000_000 * self.limit, bool(watched))
         for due in list(self.handle.listTimers()):
             self.handle.deleteTimer(due)
         self.state.update(held)
         if held[2]:
-            self.handle.registerTimer(held[1])
+            self.handle.registerTimer(-(-held[1] // 1000))  # timers know milliseconds: never before the limit
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
@@ -70,6 +70,6 @@ def overdue_stream(jobs: DataFrame, lateness: str = "1 minute", limit: int = sta
     """
     rows = jobs.withColumn("updated_at", F.col("updated_at").cast("timestamp")).withWatermark("updated_at", lateness)
     watched = F.col("status").isin(*states.CONVERTING) & (F.col("part_count") <= 1)
-    slim = rows.select("id", "updated_at", F.unix_millis("updated_at").alias("updated"), F.unix_millis(F.col("created_at").cast("timestamp")).alias("created"), watched.alias("watched"))
+    slim = rows.select("id", "updated_at", F.unix_micros("updated_at").alias("updated"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("created"), watched.alias("watched"))
     found = slim.groupBy("id").transformWithStateInPandas(OverdueWatch(limit), outputStructType="id string, due long", outputMode="Append", timeMode="EventTime")
-    return found.select("id", F.timestamp_millis("due").alias("due_at"))
+    return found.select("id", F.timestamp_micros("due").alias("due_at"))

@@ -1,6 +1,10 @@
 """Streams over files give what the batch operators give."""
 
 import datetime as dt
+import os
+import random
+
+import pytest
 
 from foliomill.plans.lifecycle_queries import rocksdb
 from foliomill.sources import logs, sinks
@@ -74,6 +78,39 @@ def test_streamed_log_lines(spark, tmp_path):
     assert sorted((r.event or "", r.job_id, r.file, r.parse_ok) for r in found) == [("", None, None, False), ("job_submitted", "j1", "a b.pdf", True)]
 
 
+@pytest.mark.parametrize("keyed", [True, False])
+def test_exact_alarms_whatever_the_order(spark, tmp_path, keyed):
+    """Shuffled micro-batches, no event later than the watermark allows, give what the batch operator gives."""
+    rng = random.Random(3)
+    rows = [(n, rng.choice("abb"), at(rng.randrange(0, 40_000) / (1 if n % 3 else 7))) for n in range(400)] + [(900 + n, "b", at(s)) for n, s in enumerate((30, 480, 920, 30, 1380, 1381))]
+    rows.sort(key=lambda r: (r[2] + dt.timedelta(seconds=rng.randrange(500))))  # at most that much later than those after it
+    schema = "event_id long, kind string, ts timestamp"
+    end = [(9999, "a", at(100_000))]
+    for n, some in enumerate([rows[k : k + 50] for k in range(0, len(rows), 50)] + [end]):
+        spark.createDataFrame(some, schema).coalesce(1).write.parquet(f"file://{tmp_path}/events/{n:03}")
+        for f in (tmp_path / f"events/{n:03}").glob("*.parquet"):
+            os.utime(f, (1000 + n, 1000 + n))  # files are read in order of their times
+    key = ["kind"] if keyed else []
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/events")
+    with rocksdb(spark):
+        found = collected(alarms.stream_rolling_alarm(stream, key, "event_id"), tmp_path, f"exact{keyed}")
+    batch = alarms.rolling_alarm(spark.createDataFrame(rows, schema), key).collect()
+    assert sorted((int(r.event_id), r.ts, r.recent, r.alarm) for r in found) == sorted((r.event_id, r.ts, r.recent, r.alarm) for r in batch)
+    assert {r.alarm for r in batch} == {True, False}
+
+
+def test_alarms_of_late_events_do_not_come(spark, tmp_path):
+    schema = "event_id long, ts timestamp"
+    for n, some in enumerate([[(1, at(0)), (2, at(5000))], [(3, at(10)), (4, at(4900))], [(5, at(9000))]]):
+        spark.createDataFrame(some, schema).coalesce(1).write.parquet(f"file://{tmp_path}/events/{n}")
+        for f in (tmp_path / f"events/{n}").glob("*.parquet"):
+            os.utime(f, (1000 + n, 1000 + n))
+    stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/events")
+    with rocksdb(spark):
+        found = collected(alarms.stream_rolling_alarm(stream, [], "event_id"), tmp_path, "late")
+    assert sorted((int(r.event_id), r.recent) for r in found) == [(1, 1), (2, 2), (4, 1)]
+
+
 def test_alarm_stream_equals_batch(spark, tmp_path):
     events = spark.createDataFrame([(at(s),) for s in (0, 30, 70, 500, 4000, 9000)], "ts timestamp")
     events.write.parquet(f"file://{tmp_path}/events")
