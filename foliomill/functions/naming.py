@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from functools import cache
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from foliomill.functions.text import strip
 
@@ -20,21 +20,30 @@ def display_name(raw: Column) -> Column:
     return F.coalesce(F.nullif(strip(last), F.lit("")), F.lit("document.pdf"))
 
 
-@F.pandas_udf(StringType())
-def nfkd_ascii(names: pd.Series) -> pd.Series:
-    """Compatibility decomposition without what is not ASCII. Spark has no built-in for it."""
-    return names.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())
+@cache
+def ascii_folds() -> tuple[dict[str, str], dict[str, str]]:
+    """What characters outside ASCII leave in ASCII when they are decomposed: those that leave one letter, and those that leave more."""
+    one, more = {}, {}
+    for code in range(0x80, sys.maxunicode + 1):
+        left = unicodedata.normalize("NFKD", chr(code)).encode("ascii", "ignore").decode()
+        if left:
+            (one if len(left) == 1 else more)[chr(code)] = left
+    return one, more
 
 
-def slug(name: Column) -> Column:
-    """A safe, recognisable form of a name.
+def nfkd_ascii(name: Column) -> Column:
+    """Compatibility decomposition without what is not ASCII. It is that of each character, as reordering moves marks only."""
+    one, more = ascii_folds()
+    single = F.translate(name, "".join(one), "".join(one.values()))
+    table = F.create_map(*[F.lit(x) for pair in more.items() for x in pair])
+    spelled = F.array_join(F.transform(F.regexp_extract_all(single, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c <= "\x7f", c).otherwise(F.coalesce(F.element_at(table, c), F.lit("")))), "")
+    return F.when(name.rlike(r"^[\x00-\x7F]*$"), name).when(single.rlike(r"^[\x00-\x7F]*$"), single).otherwise(spelled)
+
 
-    Only names with other characters than ASCII go to the Python fold; of the others it sees nulls.
-    """
+def slug(name: Column) -> Column:
+    """A safe, recognisable form of a name."""
     stem = F.element_at(F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/"), -1)
-    stem = F.regexp_replace(stem, r"(?i)\.pdf$", "")
-    plain = stem.rlike(r"^[\x00-\x7F]*$")
-    return _slug_of_ascii(F.when(plain, stem).otherwise(nfkd_ascii(F.when(~plain, stem))))
+    return _slug_of_ascii(nfkd_ascii(F.regexp_replace(stem, r"(?i)\.pdf$", "")))
 
 
 def _slug_of_ascii(text: Column) -> Column:

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill import states
-from foliomill.functions.text import TABLE_DIVIDER, count_figures, count_headings, count_tables, figures_in_position, is_blank
-from foliomill.operators.sections import document_lines
+from foliomill.functions.text import count_figures, count_headings, count_seam_tables, count_tables, figures_in_position
 
 # The gates of a run.
 FIRST_ATTEMPT_GATE, HEADING_GATE, TABLE_GATE = 0.90, 0.95, 0.90
@@ -22,16 +21,8 @@ def structure_counts(docs: DataFrame, markdown: str = "markdown") -> DataFrame:
 
 
 def seam_tables(docs: DataFrame, key: str = "doc_id", markdown: str = "markdown") -> DataFrame:
-    """Per document the tables that only blank lines part from a table before them.
-
-    The non-blank line before a divider's header row is the last one at least two rows up.
-    """
-    lines = document_lines(docs, key, markdown)
-    before = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, -2)
-    previous = F.last(F.when(~is_blank(F.col("line")), F.col("line")), ignorenulls=True).over(before)
-    divider = F.col("line").rlike(TABLE_DIVIDER.replace("(?mdU)", "(?U)")) & (F.col("at") >= 1)
-    broken = divider & F.coalesce(previous.rlike(r"(?U)^[\s\x1c-\x1f]*\|"), F.lit(False))
-    return lines.withColumn("broken", broken).groupBy(key).agg(F.count_if("broken").alias("seam_tables"))
+    """Per document the tables that only blank lines part from a table before them."""
+    return docs.select(key, count_seam_tables(F.col(markdown)).alias("seam_tables"))
 
 
 def missing_content(markdown: Column, must_contain: Column, figures: Column) -> Column:
@@ -53,9 +44,8 @@ def measure(expectations: DataFrame, results: DataFrame, strict_reference: bool
     found = results.select("file", F.col("status").alias("__status"), "seconds", "markdown", "failure_reason", attempt.alias("attempt"))
     joined = expectations.join(found, "file", "left").withColumn("status", F.coalesce("__status", F.lit("missing_from_corpus")))
     converted = F.col("status").isin(*good)
-    lines = seam_tables(results.where(F.col("status").isin(*good)).select("file", "markdown"), "file")
     md = F.when(converted, F.coalesce("markdown", F.lit("")))
-    return joined.join(lines, "file", "left").select(
+    return joined.select(
         *expectations.columns,
         "status",
         converted.alias("converted"),
@@ -65,7 +55,7 @@ def measure(expectations: DataFrame, results: DataFrame, strict_reference: bool
         F.coalesce(count_headings(md), F.lit(0)).alias("headings_found"),
         F.coalesce(count_tables(md), F.lit(0)).alias("tables_found"),
         F.coalesce(count_figures(md), F.lit(0)).alias("figures_found"),
-        F.when(converted, F.coalesce("seam_tables", F.lit(0))).otherwise(0).alias("seam_tables"),
+        F.coalesce(count_seam_tables(md), F.lit(0)).alias("seam_tables"),
         F.when(converted, missing_content(md, F.col("must_contain"), F.col("figures"))).otherwise(F.array().cast("array<string>")).alias("missing_strings"),
     )
 

@@ -1,117 +1,146 @@
 """Sections: heading-aware division of Markdown into bounded, named pieces.
 
-All steps are windows over the lines of a document, and a document's lines stay together, so there is
-one shuffle by document. No step needs the document as one value before the last, which builds the
-sections' texts.
+A document is one row, and all steps are expressions over its text: nothing is shuffled. Places to cut
+are marked inside the text and the text is then split at the marks, so every step takes time in
+proportion to the text. The mark is a character; where a text holds it already, it is written as the
+mark and a zero, and put back in what is returned.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill import states
 from foliomill.functions.naming import output_filename, section_filename, slug
-from foliomill.functions.text import is_blank, lines_with_ends, without_end
+from foliomill.functions.text import BREAK, has_text, let, lines_with_ends, without_end
 
-FENCE = r"(?U)^\s{0,3}(```|~~~)"
+MARK = "\uffff"
+LINE_START, GAP = rf"(?<![^{BREAK}])", rf"[\s&&[^{BREAK}]]"
+FENCE_START = rf"(?U){LINE_START}{GAP}{{0,3}}(?:```|~~~)"
+HEADING_START = rf"(?U){LINE_START}#{{1,6}}{GAP}"
 HEADING = r"(?U)^(#{1,6})\s+(.*?)\s*#*\s*$"
 
 
-def document_lines(docs: DataFrame, key: str, markdown: str) -> DataFrame:
-    """(key, at, raw, line): each line with and without its break."""
-    lines = docs.select(key, F.posexplode(lines_with_ends(F.col(markdown))).alias("at", "raw"))
-    return lines.withColumn("line", without_end(F.col("raw")))
+def _held(text: Column) -> Column:
+    return F.replace(text, F.lit(MARK), F.lit(f"{MARK}0"))
 
 
-def with_headings(lines: DataFrame, parts: list[str]) -> DataFrame:
-    """Lines with level and title of the headings that stand outside code fences of their part."""
-    so_far = Window.partitionBy(*parts).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    fence = F.col("line").rlike(FENCE)
-    inside = F.sum(F.when(fence, 1).otherwise(0)).over(so_far) % 2 == 1
-    heading = F.col("line").rlike(HEADING) & ~fence & ~inside
-    return lines.withColumn("level", F.when(heading, F.length(F.regexp_extract("line", HEADING, 1)))).withColumn("title", F.when(F.col("level").isNotNull(), F.regexp_extract("line", HEADING, 2)))
+def _freed(text: Column) -> Column:
+    return F.replace(text, F.lit(f"{MARK}0"), F.lit(MARK))
 
 
-def headings(docs: DataFrame, key: str = "doc_id", markdown: str = "markdown") -> DataFrame:
-    """(key, at, level, title) of the headings outside code fences."""
-    return with_headings(document_lines(docs, key, markdown), [key]).where("level IS NOT NULL").select(key, "at", "level", "title")
+def _cut(parts: Column, opens: Callable[[Column, Column], Column]) -> Column:
+    """The texts of parts joined, those together that follow one for which opens(part, number) holds."""
+    return F.split(F.array_join(F.transform(parts, lambda p, n: F.when(opens(p, n), F.concat(F.lit(f"{MARK}c"), p)).otherwise(p)), ""), f"{MARK}c")
 
 
-def blocks_at_top(docs: DataFrame, key: str = "doc_id", markdown: str = "markdown") -> DataFrame:
-    """Lines with their block at the highest heading level present; a blank preamble is left out."""
-    lines = with_headings(document_lines(docs, key, markdown), [key])
-    whole = Window.partitionBy(key)
-    so_far = whole.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("top", F.min("level").over(whole))
-    lines = lines.withColumn("block", F.sum(F.when(F.col("level") == F.col("top"), 1).otherwise(0)).over(so_far))
-    return _without_blank_start(lines, [key], "block", F.col("top").isNotNull())
+def _marked(text: Column) -> Column:
+    """text with a mark before each heading outside code fences. Every fence line toggles, so each second stretch from fence to fence is code."""
+    stretches = F.split(F.regexp_replace(text, FENCE_START, f"{MARK}f$0"), f"{MARK}f")
+    return F.array_join(F.transform(stretches, lambda s, n: F.when(n % 2 == 1, s).otherwise(F.regexp_replace(s, HEADING_START, f"{MARK}h$0"))), "")
 
 
-def _without_blank_start(lines: DataFrame, parts: list[str], number: str, cut: Column) -> DataFrame:
-    """Leaves out what precedes the first cut where it is blank."""
-    piece = Window.partitionBy(*parts, number)
-    blank = F.min(F.when(is_blank(F.col("line")), 1).otherwise(0)).over(piece) == 1
-    return lines.withColumn("__drop", cut & (F.col(number) == 0) & blank).where("NOT __drop").drop("__drop")
+def _pieces(text: Column) -> Column:
+    """What precedes the first heading, then a piece from each heading to the next."""
+    return F.split(_marked(text), f"{MARK}h")
 
 
-def split_into_sections(docs: DataFrame, key: str = "doc_id", markdown: str = "markdown", min_bytes: int = states.SECTION_MIN_BYTES, max_bytes: int = states.SECTION_MAX_BYTES) -> DataFrame:
-    """(key, ordinal, title, text) of each document's sections.
+def _level(piece: Column, number: Column) -> Column:
+    return F.when(number > 0, F.length(F.regexp_extract(piece, "^#+", 0)))
 
-    Blocks begin at the highest heading level present. A block under min_bytes joins the one before it;
-    one over max_bytes is cut once at the next level that stands inside it.
-    """
-    empty = docs.where(F.col(markdown) == "").select(key, F.lit(1).alias("ordinal"), F.lit("").alias("title"), F.lit("").alias("text"))
-    lines = blocks_at_top(docs, key, markdown).withColumn("bytes", F.octet_length("raw"))
-    whole, order = Window.partitionBy(key), Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    # A block opens a group if it is the first or large enough
-    lines = lines.withColumn("block_bytes", F.sum("bytes").over(Window.partitionBy(key, "block"))).withColumn("first_block", F.min("block").over(whole))
-    opens = (F.col("block") == F.col("first_block")) | (F.col("block_bytes") >= min_bytes)
-    lines = lines.withColumn("grp", F.max(F.when(opens, F.col("block"))).over(order))
-    group = Window.partitionBy(key, "grp")
-    along = group.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("group_bytes", F.sum("bytes").over(group)).withColumn("group_title", F.first(F.when(F.col("level") == F.col("top"), F.col("title")).otherwise(F.lit(""))).over(group.orderBy("at")))
-    # Headings anew within the group, as fences count from its start
-    lines = with_headings(lines.drop("level", "title").withColumn("top_level", F.col("top")), [key, "grp"])
-    below = F.min(F.when(F.col("level") > F.col("top_level"), F.col("level"))).over(group)
-    lines = lines.withColumn("cut_level", F.when(F.col("group_bytes") > max_bytes, below))
-    cut = F.col("level") == F.col("cut_level")
-    lines = lines.withColumn("piece", F.sum(F.when(cut, 1).otherwise(0)).over(along))
-    lines = _without_blank_start(lines, [key, "grp"], "piece", F.col("cut_level").isNotNull())
-    # an untitled first piece rides with the one that follows it
-    lines = lines.withColumn("piece_title", F.when(F.col("level") == F.col("cut_level"), F.col("title")))
-    named = F.max(F.coalesce("piece_title", F.lit(""))).over(Window.partitionBy(key, "grp", "piece"))
-    lines = lines.withColumn("named", named).withColumn("first_piece", F.min("piece").over(group))
-    first_named = F.max(F.when(F.col("piece") == F.col("first_piece"), F.col("named"))).over(group)
-    more = F.max("piece").over(group) > F.col("first_piece")
-    lines = lines.withColumn("rides", F.coalesce(F.col("cut_level").isNotNull() & (F.col("piece") == F.col("first_piece")) & (first_named == "") & more, F.lit(False)))
-    lines = lines.withColumn("piece", F.when(F.col("rides"), F.col("piece") + 1).otherwise(F.col("piece")))
-    lines = lines.withColumn("piece_title", F.when(~F.col("rides"), F.col("piece_title")))
-    texts = lines.groupBy(key, "grp", "piece").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "raw"))), lambda x: x["raw"]), "").alias("text"),
-        F.first("group_title").alias("group_title"),
-        F.min_by("piece_title", F.when(F.col("piece_title").isNotNull(), F.col("at"))).alias("piece_title"),
-    )
-    ordinal = F.row_number().over(Window.partitionBy(key).orderBy("grp", "piece"))
-    title = F.coalesce(F.nullif(F.col("piece_title"), F.lit("")), F.col("group_title"), F.lit(""))
-    return texts.select(key, ordinal.alias("ordinal"), title.alias("title"), "text").unionByName(empty)
+
+def _title(block: Column) -> Column:
+    return F.regexp_extract(F.regexp_extract(block, rf"^[^{BREAK}]*", 0), HEADING, 2)
+
+
+def _section(title: Column, text: Column) -> Column:
+    return F.struct(title.alias("title"), text.alias("text"))
+
+
+def _blocks(pieces: Column, level: Column) -> Column:
+    """Pieces joined into blocks that begin at headings of a level; a blank start is left out."""
+    cut = _cut(pieces, lambda p, n: _level(p, n) == level)
+    named = F.transform(cut, lambda b, n: _section(F.when(n > 0, _title(b)).otherwise(F.lit("")), b))
+    return F.filter(named, lambda b, n: (n > 0) | has_text(b["text"]))
+
+
+def _bytes(text: Column) -> Column:
+    return F.octet_length(_freed(text))
+
+
+def _merged(blocks: Column, min_bytes: int) -> Column:
+    """A block opens a group if it is the first or large enough; the others join the one before."""
+    texts = _cut(F.transform(blocks, lambda b: b["text"]), lambda t, n: (n > 0) & (_bytes(t) >= min_bytes))
+    return F.transform(texts, lambda t, n: _section(F.when(n > 0, _title(t)).otherwise(F.get(blocks, F.lit(0))["title"]), t))
+
+
+def _divided(group: Column, top: Column, max_bytes: int) -> Column:
+    """A group over max_bytes is cut once at the next level inside it, fences counting from its start."""
+
+    def cut(pieces: Column) -> Column:
+        below = F.array_min(F.filter(F.transform(pieces, _level), lambda level: level > top))
+        return let(below, lambda level: F.when(level.isNull(), F.array(group)).otherwise(let(_blocks(pieces, level), ride)))
+
+    def ride(found: Column) -> Column:
+        """An untitled first piece goes with the next; pieces without a title have the group's."""
+        one, two = F.get(found, F.lit(0)), F.get(found, F.lit(1))
+        joined = F.concat(F.array(_section(two["title"], F.concat(one["text"], two["text"]))), F.slice(found, 3, F.size(found)))
+        own = F.when((F.size(found) > 1) & (one["title"] == ""), joined).otherwise(found)
+        return F.transform(own, lambda s: _section(F.coalesce(F.nullif(s["title"], F.lit("")), group["title"]), s["text"]))
+
+    return F.when(_bytes(group["text"]) > max_bytes, let(_pieces(group["text"]), cut)).otherwise(F.array(group))
+
+
+def _at_top(text: Column, then: Callable[[Column, Column], Column]) -> Column:
+    """then(blocks at the highest level present, that level), or the whole text as one untitled section where it has no heading."""
+
+    def cut(pieces: Column) -> Column:
+        whole = F.array(_section(F.lit(""), F.array_join(pieces, "")))
+        return let(F.array_min(F.transform(pieces, _level)), lambda top: F.when(top.isNull(), whole).otherwise(let(_blocks(pieces, top), lambda blocks: then(blocks, top))))
+
+    return F.transform(let(_pieces(_held(text)), cut), lambda s: _section(_freed(s["title"]), _freed(s["text"])))
+
+
+def sections_of(text: Column, min_bytes: int = states.SECTION_MIN_BYTES, max_bytes: int = states.SECTION_MAX_BYTES) -> Column:
+    """Array of (title, text): blocks at the highest heading level present, small ones joined to the one before, large ones divided once."""
+    return _at_top(text, lambda blocks, top: F.flatten(F.transform(_merged(blocks, min_bytes), lambda g: _divided(g, top, max_bytes))))
+
+
+def headings(docs: DataFrame, key: str = "doc_id", markdown: str = "markdown") -> DataFrame:
+    """(key, at, level, title) of the headings outside code fences; at counts lines from 0."""
+    lines = docs.select(key, F.posexplode(lines_with_ends(_marked(_held(F.col(markdown))))).alias("at", "raw")).where(F.col("raw").startswith(f"{MARK}h"))
+    line = F.substring(without_end(F.col("raw")), 3, 1 << 30)
+    return lines.select(key, "at", F.length(F.regexp_extract(line, HEADING, 1)).alias("level"), _freed(F.regexp_extract(line, HEADING, 2)).alias("title"))
+
+
+def blocks_at_top(docs: DataFrame, key: str = "doc_id", markdown: str = "markdown") -> DataFrame:
+    """(key, block, title, text) of the blocks at the highest heading level present, from 1; a blank start is left out, and a text without heading is one block."""
+    found = docs.select(key, F.posexplode(_at_top(F.col(markdown), lambda blocks, top: blocks)).alias("at", "s"))
+    return found.select(key, (F.col("at") + 1).alias("block"), "s.title", "s.text")
+
+
+def split_into_sections(docs: DataFrame, key: str = "doc_id", markdown: str = "markdown", min_bytes: int = states.SECTION_MIN_BYTES, max_bytes: int = states.SECTION_MAX_BYTES) -> DataFrame:
+    """(key, ordinal, title, text) of each document's sections. A null text has none, an empty one is one section."""
+    found = docs.select(key, F.posexplode(sections_of(F.col(markdown), min_bytes, max_bytes)).alias("at", "s"))
+    return found.select(key, (F.col("at") + 1).alias("ordinal"), "s.title", "s.text")
 
 
 def plan_outputs(docs: DataFrame, threshold: int = states.SECTION_THRESHOLD_BYTES, min_bytes: int = states.SECTION_MIN_BYTES, max_bytes: int = states.SECTION_MAX_BYTES) -> DataFrame:
     """The files of each document (content_hash, filename, markdown).
 
-    Rows of docs share no content_hash. Returns (content_hash, output_filename, text, bytes, section_ordinal, section_title). Documents up to
+    Returns (content_hash, output_filename, text, bytes, section_ordinal, section_title). Documents up to
     the threshold, and those with fewer than two sections, are one file.
     """
-    large = F.octet_length("markdown") > threshold
-    sections = split_into_sections(docs.where(large), "content_hash", "markdown", min_bytes, max_bytes)
-    # large documents meet their sections in one join; one with fewer than two gives its whole text in the first's place
-    sections = sections.withColumn("n", F.count("*").over(Window.partitionBy("content_hash"))).where("n > 1 OR ordinal = 1").select("content_hash", "ordinal", "title", F.when(F.col("n") > 1, F.col("text")).alias("section"))
-    rows = docs.where(large).join(sections, "content_hash", "left")
-    rows = rows.unionByName(docs.where(~F.coalesce(large, F.lit(False))), allowMissingColumns=True)
-    many = F.col("section").isNotNull()
-    rows = rows.withColumns({"__slug": slug(F.col("filename")), "__title_slug": slug(F.when(many, F.col("title"))), "text": F.coalesce("section", "markdown")})
-    name = F.when(many, section_filename(F.col("__slug"), F.col("content_hash"), F.col("ordinal"), F.col("title"), F.col("__title_slug"))).otherwise(output_filename(F.col("__slug"), F.col("content_hash")))
+    md = F.col("markdown")
+    whole = F.array(F.struct(F.lit(False).alias("many"), F.lit("").alias("title"), md.alias("text")))
+    several = lambda found: F.transform(found, lambda s: F.struct(F.lit(True).alias("many"), s["title"].alias("title"), s["text"].alias("text")))
+    files = F.when(F.octet_length(md) > threshold, let(sections_of(md, min_bytes, max_bytes), lambda found: F.when(F.size(found) > 1, several(found)).otherwise(whole))).otherwise(whole)
+    rows = docs.select("content_hash", slug(F.col("filename")).alias("slug"), F.posexplode(files).alias("at", "file")).select("content_hash", "slug", (F.col("at") + 1).alias("ordinal"), "file.*")
+    many = F.col("many")
+    name = F.when(many, section_filename(F.col("slug"), F.col("content_hash"), F.col("ordinal"), F.col("title"), slug(F.col("title")))).otherwise(output_filename(F.col("slug"), F.col("content_hash")))
     return rows.select(
         "content_hash",
         name.alias("output_filename"),

@@ -172,32 +172,75 @@ def w7_seam_tables(d):
     return fidelity.seam_tables(d.markdown)
 
 
-@query(LINES + r"""
- SELECT doc_id, CAST(ln - 1 AS INT) AS line_number, length(regexp_extract(line, '^(#{1,6})\s', 1)) AS level, regexp_extract(line, '^(#{1,6})\s+(.*?)\s*#*\s*$', 2) AS title FROM l WHERE regexp_matches(line, '^(#{1,6})\s+(.*?)\s*#*\s*$')""")
+ASCII_TITLE = r"regexp_replace(strip_accents(title), '[^\x00-\x7F]', '', 'g')"
+#: The derived Markdown with code fences before lines that begin with M to P, and another first line. Fences and headings of it as SQL, line by line.
+FENCED = r"""
+ , fenced AS (SELECT doc_id, source, regexp_replace(regexp_replace(markdown, '(?m)^([M-P])', '```' || chr(10) || '\\1', 'g'), '(?m)^# Doc [0-9]+', 'Doc') AS md FROM markdown_doc)
+ , cut AS (SELECT doc_id, md, string_split(md, chr(10)) AS ls FROM fenced)
+ , l AS (SELECT doc_id, ln, line, CASE WHEN ln < n THEN line || chr(10) ELSE line END AS raw
+         FROM (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS ln, len(ls) AS n FROM cut) WHERE ln < n OR line <> '')
+ , f AS (SELECT *, regexp_matches(line, '^\\s{0,3}(```|~~~)') AS fence, trim(line, ' ' || chr(9) || chr(13)) = '' AS blank FROM l)
+ , par AS (SELECT *, count(*) FILTER (WHERE fence) OVER (PARTITION BY doc_id ORDER BY ln) AS fences FROM f)
+ , h AS (SELECT *, CASE WHEN NOT fence AND fences % 2 = 0 AND regexp_matches(line, '^#{1,6}\\s') THEN length(regexp_extract(line, '^(#+)', 1)) END AS level,
+                regexp_extract(line, '^(#{1,6})\\s+(.*?)\\s*#*\\s*$', 2) AS title FROM par)
+ , t AS (SELECT *, min(level) OVER (PARTITION BY doc_id) AS top FROM h)
+ , b AS (SELECT *, count(*) FILTER (WHERE level = top) OVER (PARTITION BY doc_id ORDER BY ln) AS block FROM t)
+ , kept AS (SELECT * FROM (SELECT *, bool_and(blank) OVER (PARTITION BY doc_id, block) AS empty, sum(strlen(raw)) OVER (PARTITION BY doc_id, block) AS bytes FROM b)
+            WHERE top IS NULL OR block > 0 OR NOT empty)""".replace("\\\\", "\\")
+
+#: T5-T7 over those lines: blocks into groups, groups into pieces, an untitled first piece to the next.
+SECTIONS = FENCED + f"""
+ , grouped AS (SELECT *, max(CASE WHEN block = first_block OR bytes >= {MIN_BYTES} THEN block END) OVER (PARTITION BY doc_id ORDER BY ln) AS grp
+               FROM (SELECT *, min(block) OVER (PARTITION BY doc_id) AS first_block FROM kept))
+ , inner_fences AS (SELECT *, sum(strlen(raw)) OVER w AS grp_bytes, first_value(CASE WHEN level = top THEN title ELSE '' END) OVER (w ORDER BY ln) AS grp_title,
+                           count(*) FILTER (WHERE fence) OVER (w ORDER BY ln) AS own_fences FROM grouped WINDOW w AS (PARTITION BY doc_id, grp))
+ , inner_levels AS (SELECT *, CASE WHEN NOT fence AND own_fences % 2 = 0 AND regexp_matches(line, '^#{{1,6}}\\s') THEN length(regexp_extract(line, '^(#+)', 1)) END AS own_level FROM inner_fences)
+ , divided AS (SELECT *, CASE WHEN grp_bytes > {MAX_BYTES} THEN min(own_level) FILTER (WHERE own_level > top) OVER (PARTITION BY doc_id, grp) END AS cut_level FROM inner_levels)
+ , numbered AS (SELECT *, count(*) FILTER (WHERE own_level = cut_level) OVER (PARTITION BY doc_id, grp ORDER BY ln) AS piece FROM divided)
+ , filled AS (SELECT * FROM (SELECT *, bool_and(blank) OVER (PARTITION BY doc_id, grp, piece) AS void FROM numbered) WHERE cut_level IS NULL OR piece > 0 OR NOT void)
+ , named AS (SELECT *, coalesce(max(CASE WHEN own_level = cut_level THEN title END) OVER (PARTITION BY doc_id, grp, piece), '') AS piece_title,
+                    min(piece) OVER (PARTITION BY doc_id, grp) AS first_piece, max(piece) OVER (PARTITION BY doc_id, grp) AS last_piece FROM filled)
+ , ridden AS (SELECT *, piece = first_piece AND piece_title = '' AND last_piece > first_piece AND cut_level IS NOT NULL AS rides FROM named)
+ , sections AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp, piece) AS ordinal, title, body FROM (
+      SELECT doc_id, grp, CASE WHEN rides THEN piece + 1 ELSE piece END AS piece, coalesce(nullif(max(CASE WHEN NOT rides THEN piece_title END), ''), min(grp_title), '') AS title, string_agg(raw, '' ORDER BY ln) AS body
+      FROM ridden GROUP BY 1, 2, 3))"""
+
+
+def fenced_markdown(d):
+    fenced = F.regexp_replace("markdown", "(?m)^([M-P])", "```\n$1")
+    return d.markdown.withColumn("markdown", F.regexp_replace(fenced, r"(?m)^# Doc [0-9]+", "Doc"))
+
+
+@query(FENCED + " SELECT doc_id, CAST(ln - 1 AS INT) AS line_number, level, title FROM h WHERE level IS NOT NULL")
 def w5_headings(d):
-    return sections.headings(d.markdown).withColumnRenamed("at", "line_number")
+    return sections.headings(fenced_markdown(d)).withColumnRenamed("at", "line_number")
 
 
-@query(r"""
- , l AS (SELECT doc_id, unnest(string_split(replace(markdown, '# Doc', 'Doc'), chr(10))) AS line, generate_subscripts(string_split(replace(markdown, '# Doc', 'Doc'), chr(10)), 1) AS ln FROM markdown_doc)
- , h AS (SELECT *, min(CASE WHEN regexp_matches(line, '^#{1,6}\s') THEN length(regexp_extract(line, '^(#+)', 1)) END) OVER (PARTITION BY doc_id) AS top FROM l)
- , b AS (SELECT *, sum(CASE WHEN regexp_matches(line, '^#{1,6}\s') AND length(regexp_extract(line, '^(#+)', 1)) = top THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ln) AS block FROM h)
- SELECT doc_id, CAST(count(DISTINCT block) AS BIGINT) AS blocks FROM b GROUP BY doc_id""")
+@query(FENCED + """
+ SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY block) AS INT) AS block, title, md5(body) AS text_md5
+ FROM (SELECT doc_id, block, coalesce(max(CASE WHEN level = top THEN title END), '') AS title, string_agg(raw, '' ORDER BY ln) AS body FROM kept GROUP BY doc_id, block)""")
 def w6_blocks(d):
-    docs = d.markdown.withColumn("markdown", F.replace("markdown", F.lit("# Doc"), F.lit("Doc")))
-    return sections.blocks_at_top(docs).groupBy("doc_id").agg(F.count_distinct("block").alias("blocks"))
+    return sections.blocks_at_top(fenced_markdown(d)).select("doc_id", "block", "title", F.md5("text").alias("text_md5"))
 
 
-@query()
+@query(SECTIONS + " SELECT doc_id, CAST(ordinal AS INT) AS ordinal, title, md5(body) AS text_md5, CAST(strlen(body) AS INT) AS bytes FROM sections")
 def t5_t7_sections(d):
-    docs = d.markdown.withColumn("markdown", F.regexp_replace("markdown", r"(?m)^# Doc \d+", "# Doc"))
-    return sections.split_into_sections(docs, min_bytes=MIN_BYTES, max_bytes=MAX_BYTES).select("doc_id", "ordinal", "title", F.md5("text").alias("text_md5"), F.octet_length("text").alias("bytes"))
-
-
-@query()
+    found = sections.split_into_sections(fenced_markdown(d), min_bytes=MIN_BYTES, max_bytes=MAX_BYTES)
+    return found.select("doc_id", "ordinal", "title", F.md5("text").alias("text_md5"), F.octet_length("text").alias("bytes"))
+
+
+@query(SECTIONS + f"""
+ , counted AS (SELECT s.*, md, source, count(*) OVER (PARTITION BY doc_id) > 1 AND strlen(md) > {THRESHOLD} AS many FROM sections s JOIN fenced USING (doc_id))
+ , texts AS (SELECT doc_id, md, source, many, ordinal, title, CASE WHEN many THEN body ELSE md END AS body FROM counted WHERE many OR ordinal = 1)
+ SELECT sha256(doc_id::VARCHAR) AS content_hash, sha256(body) AS text_sha256, CAST(strlen(body) AS BIGINT) AS bytes, CASE WHEN many THEN CAST(ordinal AS INT) END AS section_ordinal,
+        CASE WHEN many THEN nullif(title, '') END AS section_title,
+        concat({SLUG.format('source', 80, 'document')}, '--', substr(sha256(doc_id::VARCHAR), 1, 12),
+               CASE WHEN many THEN concat('--', printf('%03d', ordinal), '-', CASE WHEN trim(title) = '' THEN 'section' ELSE {SLUG.format(ASCII_TITLE, 40, 'section')} END) ELSE '' END, '.md') AS output_filename
+ FROM texts""")
 def t8_plan_outputs(d):
-    docs = d.markdown.groupBy(F.sha2("markdown", 256).alias("content_hash")).agg(F.min("source").alias("filename"), F.first("markdown").alias("markdown"))
-    return sections.plan_outputs(docs, THRESHOLD, MIN_BYTES, MAX_BYTES).drop("text")
+    docs = fenced_markdown(d).select(F.sha2(F.col("doc_id").cast("string"), 256).alias("content_hash"), F.col("source").alias("filename"), "markdown")
+    files = sections.plan_outputs(docs, THRESHOLD, MIN_BYTES, MAX_BYTES)
+    return files.select("content_hash", F.sha2("text", 256).alias("text_sha256"), "bytes", "section_ordinal", "section_title", "output_filename")
 
 
 @query("""

@@ -1,5 +1,6 @@
 import random
 import re
+import unicodedata
 
 import pytest
 from pyspark.sql import functions as F
@@ -106,3 +107,30 @@ def test_log_lines(spark):
 def test_state_sets():
     assert set(states.IN_FLIGHT) | set(states.TERMINAL) == set(states.JOB_STATES)
     assert set(status.DISPLAY) == set(states.JOB_STATES)
+
+
+def test_fold_equals_the_library_over_all_characters(spark):
+    codes = [c for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    names = ["a" + chr(c) + "b" for c in codes] + ["", "plain", "Ünï ﬁn ½ Å Ⅷ 𝐀", None]
+    frame = spark.createDataFrame([(n,) for n in names], "n string").repartition(4)
+    got = {r.n: r.f for r in frame.select("n", naming.nfkd_ascii(F.col("n")).alias("f")).collect()}
+    assert got == {n: None if n is None else unicodedata.normalize("NFKD", n).encode("ascii", "ignore").decode() for n in names}
+
+
+def plain_seams(text):
+    lines, n = text.splitlines(), 0
+    divider = re.compile(r"^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$")
+    for i, line in enumerate(lines):
+        if i and divider.match(line):
+            before = [x for x in lines[: i - 1] if x.strip()]
+            n += bool(before and before[-1].lstrip().startswith("|"))
+    return n
+
+
+def test_seam_tables_equal_a_plain_count(spark):
+    rng = random.Random(8)
+    kinds = ["| a | b |", "| --- | --- |", "--- | ---", "", "  ", "text", "\t| c", "- --- |", " "]
+    texts = ["".join(rng.choice(kinds) + rng.choice(["\n", "\r\n", "\x85"]) for _ in range(rng.randrange(14))) for _ in range(600)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, markdown string")
+    got = {r.doc_id: r.seam_tables for r in fidelity.seam_tables(frame).collect()}
+    assert got == {n: plain_seams(t) for n, t in enumerate(texts)} and max(got.values()) > 1
