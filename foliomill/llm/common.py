@@ -69,21 +69,24 @@ def free_names(columns: list[str], *wanted: str) -> list[str]:
     return out
 
 
-def join_hot(rows: DataFrame, facts: DataFrame, key: str, how: str = "inner") -> DataFrame:
-    """rows (a written table) joined with facts, which has one row for each key; how is inner or left.
+def join_hot(rows: DataFrame, facts: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """rows (of a written table) joined with facts, which has one row for each key; how is inner or left.
 
-    Facts of keys that many rows have are broadcast, at most HOT_SHARE of them; so no task gets all
-    rows of such a key. All other keys take an ordinary shuffle join.
+    Facts of keys that many rows have are broadcast, at most HOT_SHARE of them (in a left join also that
+    there are none); so no task gets all rows of such a key. All other keys take an ordinary shuffle join.
     """
+    keys = [key] if isinstance(key, str) else key
     n = rows.count()
     if n <= FEW_ROWS:
-        return rows.join(facts, key, how)
-    often = rows.groupBy(key).count().where(F.col("count") > max(HOT_ROWS, n // HOT_SHARE)).select(key)
-    hot = written(facts.join(F.broadcast(often), key, "left_semi"), "hot")
-    if hot.isEmpty():
-        return rows.join(facts, key, how)
-    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(facts, key, how)
-    return rows.join(F.broadcast(hot), key).unionByName(rest)
+        return rows.join(facts, keys, how)
+    [number] = free_names([*rows.columns, *facts.columns], "rows_of_key")
+    counted = rows.groupBy(*keys).agg(F.count("*").alias(number)).where(F.col(number) > max(HOT_ROWS, n // HOT_SHARE))
+    often = written(counted.select(*keys).na.drop(), "often")
+    if often.isEmpty():
+        return rows.join(facts, keys, how)
+    hot = written(facts.join(F.broadcast(often), keys, "left_semi"), "hot")
+    rest = rows.join(F.broadcast(often), keys, "left_anti").join(facts, keys, how)
+    return rows.join(F.broadcast(often), keys, "left_semi").join(F.broadcast(hot), keys, how).unionByName(rest)
 
 
 def only_rows(docs: DataFrame, digest: Column, chosen: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import HOT_ROWS, HOT_SHARE, fresh_path, written
+from foliomill.llm.common import HOT_ROWS, HOT_SHARE, fresh_path, join_hot, written
 
 MAGIC = "WARC/1.1\r\n"
 GAP = "\r\n\r\n"
@@ -198,7 +198,8 @@ def _mended(spark: SparkSession, path: str, found: DataFrame, broken: DataFrame)
     wanted = parts.select(*CONTENT).distinct()
     pieces = _pieces(spark, path).select("value", *_content())
     texts = pieces.join(F.broadcast(wanted) if parts.count() <= BROADCAST_DIGESTS else wanted, CONTENT, "left_semi").dropDuplicates(CONTENT)
-    joined = parts.join(texts, CONTENT).groupBy("file", "record", "head", "wanted").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("all"))
+    # a record that stands in very many archives of archives is one content
+    joined = join_hot(parts, texts, CONTENT).groupBy("file", "record", "head", "wanted").agg(F.array_sort(F.collect_list(F.struct("start", "value"))).alias("all"))
     text = F.array_join(F.transform("all", lambda x: x["value"]), MAGIC).cast("binary")
     body = text.substr(F.col("head") + len(GAP) + 1, F.col("wanted").cast("int"))
     return joined.select("file", F.col("record").alias("start"), F.when(F.octet_length(body) == F.col("wanted"), F.sha2(body, 256)).alias("mended"))

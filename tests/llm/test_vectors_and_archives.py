@@ -143,9 +143,12 @@ def test_archives_round_trip(spark, split):
         assert (r.record_type, r.refers_to) == (("revisit", first[html]) if again else ("response", None)) and r.verified is not False
 
 
-def test_archives_of_archives(spark, monkeypatch):
+@pytest.mark.parametrize("few", [20_000, 3])
+def test_archives_of_archives(spark, monkeypatch, few):
     """Payloads that are archives themselves, read by scans that cut the files differently, in small spans."""
     monkeypatch.setattr(warc_chain, "SPAN", 300)
+    monkeypatch.setattr(common, "FEW_ROWS", few)
+    monkeypatch.setattr(common, "HOT_ROWS", 2)
     record = lambda i, n: f"{warc_chain.MAGIC}WARC-Type: response\r\nWARC-Record-ID: <urn:page:{i}>\r\nContent-Length: {n}\r\n\r\n" + "y" * n + "\r\n\r\n"
     rows = [(i, "u", "".join(record(1000 + k, (i * k) % 50) for k in range(i)) + f"tail {i}") for i in range(1, 40)]
     path = common.fresh_path(spark, "warc")
@@ -170,5 +173,19 @@ def test_what_follows_a_broken_record_is_left_out(spark, tmp_path):
     assert sorted(r.page_id for r in warc_chain.read_archives(spark, f"file://{tmp_path}").collect()) == [1, 2]
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_joined_apart(spark, monkeypatch, how):
+    """The same rows as an ordinary join: hot keys with and without facts, null keys, several keys."""
+    monkeypatch.setattr(common, "FEW_ROWS", 10)
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    rows = spark.createDataFrame([(k % 3 if k % 2 else None if k % 7 == 0 else k, "ab"[k % 2], k) for k in range(400)], "k long, s string, at long")
+    facts = spark.createDataFrame([(0, "b", "x"), (1, "b", "y"), (4, "a", None), (999, "a", "z")], "k long, s string, fact string")
+    for key in ("k", ["k", "s"]):
+        own = facts.drop("s") if key == "k" else facts
+        want = rows.join(own, key, how)
+        got = common.join_hot(common.written(rows, "rows"), own, key, how)
+        assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
 def test_no_pages(spark):
     assert warc_chain.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
