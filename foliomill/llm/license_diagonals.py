@@ -8,8 +8,8 @@ must agree too. Their neighbouring diagonals are merged, so that a few words put
 harm, and a span stands if its votes cover enough of the notice within its length.
 
 Only DataFrame functions are used. Notices are a table (text, label) of texts of any length; it is
-broadcast while it has at most BROADCAST_POSITIONS words, and joined by a shuffle of the hashes beyond
-that. Texts are never shuffled.
+broadcast in parts of about BROADCAST_POSITIONS words, each of which meets all texts in turn, so texts
+and their words are never shuffled, and no frequent pair meets in one task.
 
 Defined results: null texts count as empty; a text without words has n_words 0, no places, empty
 labels and score 0. Rows that repeat doc_id and text each get the same result. An empty table gives
@@ -19,10 +19,12 @@ match; those that repeat text and label count once.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import LOWER, UPPER, text_or_empty
+from foliomill.llm.common import LOWER, UPPER, text_or_empty, written
 
 #: A word before its A-Z are lower-cased: everything but ASCII that is neither letter nor digit.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -47,7 +49,7 @@ NOTICES = (
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
     ("this work is licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
 )
-#: Words of all notices up to which their table is broadcast.
+#: Words of all notices that are broadcast together.
 BROADCAST_POSITIONS = 500_000
 #: Spans whose votes cover at least this share of a notice's triples stand.
 COVERAGE = 0.6
@@ -71,7 +73,7 @@ def _templates(spark: SparkSession, notices: DataFrame) -> DataFrame:
     """Rows (template, label, length, voting, words): phrases count from 0, notices are named by a hash; -1 stands for texts' ends."""
     rows = [(n, label, text) for n, (text, label) in enumerate(PHRASES)]
     phrases = _constants(spark, rows, ["template", "label", "text"]).withColumn("template", F.col("template").cast("long"))
-    words = lambda: F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
+    words = lambda: F.regexp_extract_all(_lower(F.col("text")), F.lit(WORD), F.lit(0))
     own = notices.where("text IS NOT NULL AND label IS NOT NULL").select("text", "label").distinct()
     named = own.withColumn("template", F.xxhash64("text", "label").bitwiseOR(F.lit(1 << 32)))  # never the number of a phrase
     named = named.select("template", "label", words().alias("words")).where(F.size("words") >= 3)
@@ -79,6 +81,11 @@ def _templates(spark: SparkSession, notices: DataFrame) -> DataFrame:
     return phrases.unionByName(named).withColumn("length", F.size("words")).withColumn("voting", F.col("length") - F.when(_phrase(), 1).otherwise(2))
 
 
+def _lower(text: Column) -> Column:
+    """A-Z in lower case, and nothing else, in templates and texts alike."""
+    return F.translate(text, UPPER, LOWER)
+
+
 def _phrase() -> Column:
     return F.col("template").between(0, len(PHRASES) - 1)
 
@@ -87,13 +94,13 @@ def _positions(templates: DataFrame) -> DataFrame:
     """(template, at, pair, third, h) of all voting positions; third is null in phrases."""
     words = F.filter(F.transform("words", lambda w, n: F.struct(n.alias("at"), F.concat_ws(" ", w, F.get("words", n + 1)).alias("pair"), F.when(~_phrase(), F.get("words", n + 2)).alias("third"))), lambda x: x["at"] < F.col("voting"))
     ends = templates.sparkSession.range(1).select(F.lit(-1).cast("long").alias("template"), F.lit(0).alias("at"), F.lit(END).alias("pair"), F.lit(None).cast("string").alias("third"))
-    return templates.select("template", F.inline(words)).unionByName(ends).withColumn("h", F.xxhash64("pair"))
+    return templates.select("template", F.inline(words)).unionByName(ends).withColumn("h", F.xxhash64(F.lower("pair")))
 
 
 def pair_votes(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """One row per hit: the text's key, template, template position and diagonal; texts' ends too."""
     positions = _positions(templates)
-    few = templates.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] <= BROADCAST_POSITIONS
+    turns = -(-templates.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0] // BROADCAST_POSITIONS) or 1
     text = text_or_empty()
     words = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.regexp_extract_all(text, F.lit(WORD), F.lit(0)).alias("words"))
     sized = words.withColumn("n_words", F.size("words").cast("long"))
@@ -101,10 +108,14 @@ def pair_votes(docs: DataFrame, templates: DataFrame) -> DataFrame:
     pairs = F.zip_with(F.slice("words", F.lit(1), shorter), F.slice("words", F.lit(2), shorter), lambda a, b: F.concat(a, F.lit(" "), b))
     said = F.arrays_zip(F.array_append(pairs, F.lit(END)).alias("said"), F.slice("words", F.lit(3), F.greatest(F.col("n_words"), F.lit(1)).cast("int")).alias("next"))
     placed = sized.select("doc_id", "text_hash", "n_words", F.posexplode(said).alias("pos", "both")).select("doc_id", "text_hash", "n_words", "pos", "both.said", "both.next")
-    lower = lambda c: F.translate(c, UPPER, LOWER)
-    hits = placed.withColumn("h", F.xxhash64(F.lower("said"))).join(F.broadcast(positions) if few else positions, "h")
+    hashed = placed.withColumn("h", F.xxhash64(F.lower("said")))
+    hits = hashed.join(F.broadcast(positions), "h")
+    if turns > 1:
+        positions = written(positions.withColumn("turn", F.pmod(F.xxhash64("template", "at"), F.lit(turns))), "positions")
+        each = [hashed.join(F.broadcast(positions.where(F.col("turn") == k).drop("turn")), "h") for k in range(turns)]
+        hits = reduce(DataFrame.unionByName, each)
     # hashes find, words decide
-    agree = (lower(F.col("said")) == F.col("pair")) & (F.col("third").isNull() | (lower(F.col("next")) == F.col("third")))
+    agree = (_lower(F.col("said")) == F.col("pair")) & (F.col("third").isNull() | (_lower(F.col("next")) == F.col("third")))
     return hits.where(agree).select("doc_id", "text_hash", "n_words", "template", "at", (F.col("pos") - F.col("at")).cast("long").alias("diagonal"))
 
 
