@@ -12,7 +12,7 @@ the class bigrams most. Three steps do so, each over all training texts:
 
 A token's probability is P(class | class before) * P(word | class), both smoothed; a text's score is
 the sum of their logarithms, from which its perplexity follows. Class bigrams are counted over all
-pairs of training tokens of which one at least is in the dictionary. Words never met in training go to
+pairs of training tokens; those of two rarer words as soon as both have their classes. Words never met in training go to
 the class that has most of the words met once, whose emissions leave room for one more word.
 
 The dictionary is broadcast and settles most tokens where the text is read. Counts and classes of all
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm.bpe import slices
-from foliomill.llm.common import written
+from foliomill.llm.common import join_hot, written
 
 #: Words whose counts are broadcast, at most.
 FREQUENT = 131_072
@@ -335,13 +335,13 @@ def _table(cells: DataFrame, size: int) -> np.ndarray:
 
 
 def word_contexts(docs: DataFrame, lex: Lexicon, classes: np.ndarray) -> DataFrame:
-    """(word, code, n) of words outside the dictionary, code telling the classes before and after; and, with word null, class bigrams of the dictionary.
+    """(word, code, then, n) of words outside the dictionary, code telling the classes before and after; with then, how often two such words follow each other; and, with word null, class bigrams of the dictionary.
 
     code is (before + 1) * (CLASSES + 1) + after + 1, with 0 for a neighbour outside the dictionary; of bigrams before * CLASSES + class.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get, sums, wide = lex.index().get, Sums(["word", "code"]), (CLASSES + 1) ** 2
+        get, sums, wide = lex.index().get, Sums(["word", "code", "then"]), (CLASSES + 1) ** 2
         values = np.append(classes, -1)
         for rows in slices(batches):
             t = tokens(rows.column("text").to_pylist())
@@ -352,11 +352,15 @@ def word_contexts(docs: DataFrame, lex: Lexicon, classes: np.ndarray) -> DataFra
             pairs, n = np.unique(before[(before >= 0) & (at >= 0)] * CLASSES + at[(before >= 0) & (at >= 0)], return_counts=True)
             rare = np.flatnonzero(at < 0)
             cell, times = np.unique(t.ids[rare] * wide + (before[rare] + 1) * (CLASSES + 1) + after[rare] + 1, return_counts=True)
-            words = pa.concat_arrays([t.words.take(pa.array(cell // wide)), pa.nulls(len(pairs), pa.string())])
-            yield from sums.add(words, pa.array(np.r_[cell % wide, pairs]), pa.array(np.r_[times, n]))
+            first = rare[after[rare] < 0]
+            both, often = np.unique(t.ids[first] * len(t.words) + t.ids[first + 1], return_counts=True)
+            words = pa.concat_arrays([t.words.take(pa.array(np.r_[cell // wide, both // len(t.words)])), pa.nulls(len(pairs), pa.string())])
+            code = pa.concat_arrays([pa.array(cell % wide), pa.nulls(len(both), pa.int64()), pa.array(pairs)])
+            then = pa.concat_arrays([pa.nulls(len(cell), pa.string()), t.words.take(pa.array(both % len(t.words))), pa.nulls(len(pairs), pa.string())])
+            yield from sums.add(words, code, then, pa.array(np.r_[times, often, n]))
         yield from sums.out()
 
-    return docs.select("text").mapInArrow(run, "word string, code long, n long").groupBy("word", "code").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word string, code long, then string, n long").groupBy("word", "code", "then").agg(F.sum("n").alias("n"))
 
 
 def place_rare(contexts: DataFrame, table: np.ndarray) -> DataFrame:
@@ -423,9 +427,14 @@ def fit(train: DataFrame, counts: DataFrame) -> tuple[Lexicon, ClassModel, DataF
     classes, table = place_dictionary(train, lex, seeds, table)
     contexts = written(word_contexts(train, lex, classes), "contexts")
     table = _table(contexts.where("word IS NULL").select(F.col("code").alias("to"), "n"), CLASSES)
-    placed = written(place_rare(contexts.where("word IS NOT NULL"), table), "classes")
+    placed = written(place_rare(contexts.where("word IS NOT NULL AND then IS NULL"), table), "classes")
     table += _table(placed.where("word IS NULL"), CLASSES)
     others = written(rare.join(placed.where("word IS NOT NULL").select("word", F.col("to").alias("class")), "word"), "rare")
+    pairs = contexts.where("then IS NOT NULL").select("word", "then", "n")
+    known = others.select("word", "class")
+    half = written(join_hot(pairs, known.withColumnRenamed("class", "first"), "word").groupBy("first", "then").agg(F.sum("n").alias("n")), "half")
+    both = join_hot(half, known.select(F.col("word").alias("then"), "class"), "then")
+    table += _table(both.select((F.col("first") * CLASSES + F.col("class")).alias("to"), "n"), CLASSES)
     seen, types, once = (np.bincount(classes, w, CLASSES) for w in (lex.counts, np.ones(len(classes)), lex.counts == 1))
     for row in others.groupBy("class").agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1)).collect():  # CLASSES rows at most
         for total, more in zip((seen, types, once), row[1:]):
@@ -501,12 +510,14 @@ def score_documents(docs: DataFrame) -> DataFrame:
     spread = _numbers(model.spread)
     at = lambda table, n: F.get(table, n.cast("int"))
     klass = F.coalesce(F.col("class"), F.lit(model.unmet))
-    single = parts.where("word IS NOT NULL AND sides IS NOT NULL").select("key", "word", "sides").join(others, "word", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"), klass.alias("class"), "sides")
+    rare = parts.where("word IS NOT NULL AND sides IS NOT NULL").select("key", "word", "sides")
+    single = join_hot(rare, others, "word", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"), klass.alias("class"), "sides")
     before, after = F.floor(F.col("sides") / (CLASSES + 1)), F.col("sides") % (CLASSES + 1)
     moves = at(into, before * CLASSES + F.col("class")) + at(from_, F.col("class") * (CLASSES + 1) + after) - at(spread, F.col("class"))
     more = single.groupBy("key").agg(F.sum(F.log10(F.col("n") + 0.5)).alias("rare_sum"), F.count_if(F.col("n") > 0).alias("rare_met"), F.sum(moves).alias("rare_moves"))
-    pairs = parts.where("then IS NOT NULL").select("key", "word", "then").join(others.select("word", "class"), "word", "left").select("key", "then", klass.alias("first"))
-    pairs = pairs.join(others.select(F.col("word").alias("then"), "class"), "then", "left").select("key", "first", klass.alias("class"))
+    pairs = join_hot(parts.where("then IS NOT NULL").select("key", "word", "then"), others.select("word", "class"), "word", "left")
+    pairs = written(pairs.select("key", "then", klass.alias("first")), "pairs")
+    pairs = join_hot(pairs, others.select(F.col("word").alias("then"), "class"), "then", "left").select("key", "first", klass.alias("class"))
     chains = pairs.groupBy("key").agg(F.sum(at(_numbers(model.steps), F.col("first") * CLASSES + F.col("class"))).alias("chain_sum"))
     whole = parts.where("word IS NULL").drop("word", "then", "sides").join(more, "key", "left").join(chains, "key", "left")
     words_sum = F.col("log_sum") + F.coalesce("rare_sum", F.lit(0.0))

@@ -135,6 +135,18 @@ def test_notices_by_a_plain_vote(spark):
     assert {"long", "odd", "mit", ""} <= {r.labels for r in found.values()}
 
 
+def test_notices_outside_ascii_and_in_turns(spark, monkeypatch):
+    """Texts and notices are lower-cased alike; notices that are broadcast in several turns give what one turn gives."""
+    notice = "Été über alles license text ÉCOLE ΣΑΣ İstanbul"
+    texts = [notice, notice.lower(), "x " + notice + " of the of the MIT License", "of the " * 50, None, "", "GNU General Public License"]
+    notices = spark.createDataFrame([(notice, "odd"), ("of the mit license", "own")], "text string, label string")
+    docs = frame(spark, list(enumerate(texts)))
+    whole = {r.doc_id: r for r in license_diagonals.scan_licenses(docs, notices).collect()}
+    assert "odd" in whole[0].labels and "odd" in whole[2].labels and whole[2].labels == "mit,odd,own"
+    monkeypatch.setattr(license_diagonals, "BROADCAST_POSITIONS", 5)
+    assert {r.doc_id: r for r in license_diagonals.scan_licenses(docs, notices).collect()} == whole
+
+
 def test_bpe_equals_the_library(spark, library):
     got = bpe.round_trip_digests(frame(spark, ROWS), PATH).collect()
     texts = defaultdict(list)
@@ -480,14 +492,17 @@ def test_words_are_placed_by_the_gain_of_the_class_bigrams():
     assert got[3] == 1 + table.sum(0)[1:].argmax()
 
 
-@pytest.mark.parametrize("size", [25, 100_000])
+@pytest.mark.parametrize("size", [25, 26, 100_000])
 def test_model_scores_equal_a_plain_computation(spark, monkeypatch, size):
     """With a small dictionary most words get their class and count from the tables of rarer words."""
     monkeypatch.setattr(brown_lm.lexicon, "__defaults__", (size,))
     monkeypatch.setattr(brown_lm, "SEEDS", 10)
+    if size == 26:  # joins split hot words
+        monkeypatch.setattr(common, "FEW_ROWS", 10)
+        monkeypatch.setattr(common, "HOT_ROWS", 3)
     rng = random.Random(6)
     texts = [" ".join(f"{rng.choice('abcde')}{min(int(rng.expovariate(0.2)), rng.randrange(1, 60))}" for _ in range(rng.randrange(0, 40))) for _ in range(300)]
-    rows = [*enumerate(texts), (900, None), (901, "never met words here"), (902, "")]
+    rows = [*enumerate(texts), (900, None), (901, "never met words here"), (902, ""), (903, "unmet " * 500)]
     docs = frame(spark, rows)
     train = docs.where(brown_lm.training(F.col("doc_id")))
     counts = common.written(brown_lm.word_counts(train), "words")
@@ -502,7 +517,7 @@ def test_model_scores_equal_a_plain_computation(spark, monkeypatch, size):
     for i, ws in token.items():
         if zlib.crc32(str(i).encode()) % 5 != 1:
             for a, b in zip(["", *ws], ws):
-                table[every[a], every[b]] += a in klass or b in klass
+                table[every[a], every[b]] += 1
     seen, types = (np.bincount([every[w] for w in count], [f(w) for w in count], number) for f in (count.get, lambda w: 1))
     once = np.bincount([every[w] for w in count], [count[w] == 1 for w in count], number)
     plain = brown_lm.class_model(model.classes, table, seen, types, once)
