@@ -33,7 +33,7 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vector_graph.near_vectors(_table(spark, sf_dir, "embeddings")).drop("recall")
+    return vector_graph.near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
 def op3_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +128,7 @@ ORACLES = {
         r AS (SELECT vec_id AS n, vec_id AS m FROM v UNION SELECT r.n, l.b FROM r JOIN l ON r.m = l.a),
         c AS (SELECT n AS vec_id, min(m) AS component_id FROM r GROUP BY n),
         d AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
-        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN d USING (vec_id)""",
+        SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept, CAST(1 AS DOUBLE) AS recall FROM c LEFT JOIN d USING (vec_id)""",
     "op3_warc_round_trip": """
         WITH p AS (
           SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
