@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill import states
+from foliomill.sources.sinks import delete_keys, next_batch
+
+#: Keys of the registry's tables where they are stored as tables of changes, each row with the time of its change.
+VERSION = "changed_at"
+STORED = {"source_document": ["content_hash"], "conversion_job": ["id"], "conversion_part": ["job_id", "ordinal"], "markdown_output": ["output_filename"]}
 
 
 def reapable_uploads(documents: DataFrame, jobs: DataFrame, as_of: Column, hours: float = states.INBOX_RETENTION_HOURS, failed_days: float = states.FAILED_RETENTION_DAYS) -> DataFrame:
@@ -62,6 +67,35 @@ def delete_documents(plan: DataFrame, batches: DataFrame, documents: DataFrame,
     }
 
 
+def store_deletions(plan: DataFrame, jobs: DataFrame, parts: DataFrame, outputs: DataFrame, root: str, as_of: Column) -> None:
+    """J6 on stored tables: tombstones for the documents that the plan deletes, their jobs, parts and outputs.
+
+    Each table is a folder of that name under root, keyed as STORED tells and versioned by changed_at. Documents are
+    marked last, so a run that fails is simply run again.
+    """
+    doomed = plan.where("action = 'deleted'").select("content_hash")
+    gone = jobs.join(doomed, "content_hash", "left_semi").select("id")
+    found = {
+        "markdown_output": outputs.join(doomed, "content_hash", "left_semi").select("output_filename"),
+        "conversion_part": parts.join(gone.withColumnRenamed("id", "job_id"), "job_id", "left_semi").select("job_id", "ordinal"),
+        "conversion_job": gone,
+        "source_document": doomed,
+    }
+    _bury(found, root, as_of)
+
+
+def store_pruning(jobs: DataFrame, parts: DataFrame, root: str, before: Column, as_of: Column) -> None:
+    """X11 on stored tables: tombstones for the jobs that ended before a time, and their parts; outputs stay."""
+    gone = prunable_jobs(jobs, before).select("id")
+    _bury({"conversion_part": parts.join(gone.withColumnRenamed("id", "job_id"), "job_id", "left_semi").select("job_id", "ordinal"), "conversion_job": gone}, root, as_of)
+
+
+def _bury(found: dict[str, DataFrame], root: str, as_of: Column) -> None:
+    for table, keys in found.items():
+        path = f"{root.rstrip('/')}/{table}"
+        delete_keys(keys.withColumn(VERSION, as_of), path, next_batch(keys.sparkSession, path))
+
+
 def deletion_summary(plan: DataFrame, jobs: DataFrame, outputs: DataFrame, present: DataFrame) -> DataFrame:
     """Documents and jobs deleted, files removed and already gone, documents skipped."""
     doomed = plan.where("action = 'deleted'").select("content_hash")

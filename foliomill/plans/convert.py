@@ -13,6 +13,7 @@ from foliomill.functions.status import failure_reason, is_suspect, outcome
 from foliomill.operators.parts import PART_TIMEOUT, apply_retries, join_parts, plan_parts, retry_action
 from foliomill.operators.registry import already_converted
 from foliomill.operators.sections import plan_outputs, superseded_outputs
+from foliomill.plans.isolated import call, convert_isolated
 from foliomill.shared import fresh_path
 from foliomill.sources.sinks import replace_outputs
 
@@ -21,26 +22,26 @@ Converter = Callable[[pd.DataFrame], "list[tuple[str | None, str, list[str]]]"]
 CONVERTED = "job_id string, ordinal int, new_markdown string, engine_status string, errors array<string>"
 
 
-def convert_parts(parts: DataFrame, converter: Converter) -> DataFrame:
-    """The converter over parts, batch by batch in Spark's tasks; what it raises becomes failed rows.
+def convert_parts(parts: DataFrame, converter: Converter, deadline: float | None = states.JOB_TIMEOUT_SECONDS, memory: int | None = None) -> DataFrame:
+    """The converter over parts in Spark's tasks; what it raises becomes failed rows.
 
-    A batch that raises is tried again row by row, so one bad part does not fail its neighbours.
+    With a deadline (seconds for a part) it is called in a child process, a part at a time: parts past it
+    are timed_out, those whose process ended are lost, and memory bounds what it may take. Without one it
+    is called in the worker with whole batches, and a batch that raises is tried again row by row.
     """
 
-    def one_by_one(batch: pd.DataFrame) -> list[tuple]:
+    def whole(batch: pd.DataFrame) -> list[tuple]:
         try:
             found = list(converter(batch))
             if len(found) == len(batch):
                 return found
-            raise ValueError(f"converter returned {len(found)} results for {len(batch)} parts")
-        except Exception as error:  # noqa: BLE001  a converter's fault is a result, not the job's end
-            if len(batch) == 1:
-                return [(None, "failure", [f"{type(error).__name__}: {error}"])]
-            return [r for n in range(len(batch)) for r in one_by_one(batch.iloc[n : n + 1])]
+        except Exception:  # noqa: BLE001  found out part by part
+            pass
+        return [call(converter, batch.iloc[n : n + 1]) for n in range(len(batch))]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            results = one_by_one(batch)
+            results = whole(batch) if deadline is None else convert_isolated(converter, batch, deadline, memory)
             yield pd.DataFrame(
                 {
                     "job_id": batch["job_id"],
@@ -63,6 +64,8 @@ def convert_corpus(
     max_depth: int = states.PART_RETRY_SPLITS,
     min_pages: int = states.PART_MIN_PAGES,
     work: str | None = None,
+    deadline: float | None = states.JOB_TIMEOUT_SECONDS,
+    memory: int | None = None,
 ) -> DataFrame:
     """Per job (id, content_hash, page_count, further columns reach the converter) its joined document.
 
@@ -86,7 +89,7 @@ def convert_corpus(
     finished: list[DataFrame] = []
     slim = ["job_id", "ordinal", "first_page", "last_page", "status", "markdown", "failure_reason", "engine_status"]
     for turn in range(max_attempts * (max_depth + 1) + 1):
-        fresh = queued.drop("markdown").join(convert_parts(queued.drop("top"), converter), ["job_id", "ordinal"])
+        fresh = queued.drop("markdown").join(convert_parts(queued.drop("top"), converter, deadline, memory), ["job_id", "ordinal"])
         good = F.col("engine_status").isin("success", "partial_success")
         event = F.when(good, F.lit(None).cast("string")).when(F.col("engine_status").isin("lost", "timed_out"), F.col("engine_status")).otherwise(F.lit("failed"))
         reason = F.when(F.col("engine_status") == "timed_out", F.lit(PART_TIMEOUT)).otherwise(failure_reason(F.col("errors"), F.lit("failure")))

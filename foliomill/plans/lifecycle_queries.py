@@ -347,10 +347,10 @@ def c1_convert_batch(d):
 def s7_replace_outputs(d):
     path = scratch(d, "outbox")
     texts = lambda df: df.select("content_hash", "output_filename", F.col("output_filename").alias("text"))
-    sinks.replace_outputs(texts(d.outputs), path, 16)
+    sinks.replace_outputs(texts(d.outputs), path)
     fresh = d.documents.where("first_doc % 2 = 0").select("content_hash", F.concat(F.lit("new--"), F.substring("content_hash", 1, 12), F.lit(".md")).alias("output_filename"))
-    sinks.replace_outputs(texts(fresh), path, 16)
-    return d.spark.read.parquet(path).select("content_hash", "output_filename")
+    sinks.replace_outputs(texts(fresh), path)
+    return sinks.read_outputs(d.spark, path, texts(fresh).schema).select("content_hash", "output_filename")
 
 
 @query(" SELECT id, status, 'second' AS source FROM conversion_job WHERE event_id % 2 = 0 UNION ALL SELECT id, status, 'first' FROM conversion_job WHERE event_id % 2 = 1")

@@ -5,17 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliomill import schemas
+from foliomill import schemas, states
 
 HEAD_BYTES, TAIL_BYTES = 1024, 8192
 
 
-def scan_uploads(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
+def scan_uploads(spark: SparkSession, path: str, glob: str = "*", max_bytes: int = states.MAX_UPLOAD_BYTES) -> DataFrame:
     """Path, filename, size_bytes, content_hash, head, tail and content of each file under path.
 
-    A file is one row of up to 2 GB; columns that a query does not use are not kept.
+    Sizes are told first: of a file over max_bytes, of any size, nothing is read, and its hash, head,
+    tail and content are null. Columns that a query does not use are not kept.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
+    # the bound on length reaches the scan, which opens no file beyond it
+    large = found.where(F.col("length") > max_bytes).select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
+    files = found.where(F.col("length") <= max_bytes).unionByName(large)
     if empty := empty_files(spark, path, glob):
         rows = spark.createDataFrame(empty, "path string, millis long").select("path", F.timestamp_millis("millis").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content"))
         files = files.unionByName(rows)

@@ -2,56 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from foliomill.shared import fresh_path
-
-BUCKETS = 64
-#: Bytes of text that one file of a bucket should hold.
-FILE_BYTES = 128 << 20
-
-
-def bucket_of(content_hash: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(content_hash), F.lit(buckets)).cast("int")
+#: Marks rows that say that a key is gone.
+TOMBSTONE = "__gone"
 
 
 def read_outputs(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """What replace_outputs has stored under path; nothing where there is no such folder."""
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except Exception as missing:  # noqa: BLE001
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
+    """What replace_outputs has stored under path, of each document its last set; nothing where there is none."""
+    folders, _ = _batches(spark, path)
+    if not folders:
         return spark.createDataFrame([], schema)
+    rows = spark.read.schema(schema).parquet(*folders)
+    if len(folders) == 1:
+        return rows
+    rows = rows.withColumn("__set", _written())
+    last = rows.groupBy("content_hash").agg(F.max("__set").alias("__last"), F.min("__set").alias("__first"))
+    stale = last.where("__first < __last").select("content_hash", "__last")  # documents that were stored again
+    return rows.join(stale, "content_hash", "left").where("__last IS NULL OR __set = __last").select(*schema.names)
 
 
-def replace_outputs(new: DataFrame, path: str, buckets: int = BUCKETS) -> DataFrame:
-    """Writes the outputs of the documents in new, instead of what path holds of these documents.
+def replace_outputs(new: DataFrame, path: str) -> DataFrame:
+    """Stores the outputs of the documents in new, instead of what path holds of these documents.
 
-    path is partitioned by a hash bucket of content_hash. Only touched buckets are rewritten, whole, by
-    dynamic partition overwrite, whose commit is Spark's. Rewritten rows are staged beside path, as a
-    job must not overwrite what it reads. Returns files and bytes per document.
+    Each call writes one set, which Spark's commit publishes as a whole: until then, and if the job fails,
+    readers see the earlier sets of all documents. Nothing stored is written again; compact_outputs folds
+    sets together now and then. One writer at a time. Returns files and bytes per document.
     """
-    spark = new.sparkSession
-    fresh = new.withColumn("bucket", bucket_of(F.col("content_hash"), buckets))
-    old = read_outputs(spark, path, fresh.schema)
-    touched = [r["bucket"] for r in fresh.select("bucket").distinct().collect()]  # as many as there are buckets at most
-    stay = old.where(F.col("bucket").isin(touched)).join(fresh.select("content_hash").distinct(), "content_hash", "left_anti")
-    staged = fresh_path(spark, "staged", path.rstrip("/").rsplit("/", 1)[0])
-    stay.select(*fresh.columns).unionByName(fresh).write.parquet(staged)
-    ready = spark.read.schema(fresh.schema).parquet(staged)
-    # a large bucket is written by several tasks: a row for each bucket tells by how many
-    size = F.ceil(F.sum(F.octet_length("text")) / F.lit(FILE_BYTES)).cast("int")
-    writers = ready.groupBy("bucket").agg(F.greatest(size, F.lit(1)).alias("__writers"))
-    salted = ready.join(F.broadcast(writers), "bucket").withColumn("__salt", F.pmod(F.xxhash64("content_hash", "output_filename"), F.col("__writers")))
-    tasks = writers.agg(F.coalesce(F.sum("__writers"), F.lit(1))).first()[0]
-    salted.repartition(tasks, "bucket", "__salt").select(*fresh.columns).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-    drop_folder(spark, staged)
+    _, last = _batches(new.sparkSession, path)
+    new.write.mode("overwrite").parquet(f"{path}/batch-{last + 1:012d}")
     return new.groupBy("content_hash").agg(F.count("*").alias("files"), F.sum(F.octet_length("text")).alias("bytes"))
 
 
+def compact_outputs(spark: SparkSession, path: str, schema: StructType) -> None:
+    """Writes the last set of each document into one folder, which takes the place of all sets so far."""
+    _fold(spark, path, lambda: read_outputs(spark, path, schema))
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Removes a folder that this module made."""
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -88,8 +79,13 @@ def _batches(spark: SparkSession, path: str) -> tuple[list[str], int]:
     return [*([f"{path}/fold-{start:012d}"] if start >= 0 else []), *[f"{path}/batch-{n:012d}" for n in later]], max([start, *later])
 
 
+def _written() -> Column:
+    """The number of the folder that a row comes from."""
+    return F.regexp_extract(F.col("_metadata.file_path"), r"/(?:fold|batch)-(\d+)/[^/]*$", 1).cast("long")
+
+
 def read_table(spark: SparkSession, path: str, keys: list[str], version: str, schema: str | None = None) -> DataFrame:
-    """Of each key the row with the latest version; on a tie the one written last.
+    """Of each key the row with the latest version; on a tie the one written last. Keys whose latest row is a tombstone are gone.
 
     An aggregation, so rows of a key that changed often are reduced where they are read. Without any
     batch the table is empty and needs its schema.
@@ -97,17 +93,40 @@ def read_table(spark: SparkSession, path: str, keys: list[str], version: str, sc
     folders, _ = _batches(spark, path)
     if not folders:
         return spark.createDataFrame([], schema or "")
-    rows = spark.read.parquet(*folders)
-    written = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:fold|batch)-(\d+)/[^/]*$", 1).cast("long")
-    order = F.struct(F.col(version).alias("version"), written.alias("written"))
-    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("__row")).select("__row.*")
+    read = spark.read.schema(f"{schema}, {TOMBSTONE} boolean") if schema else spark.read.option("mergeSchema", True)
+    rows = read.parquet(*folders)
+    order = F.struct(F.col(version).alias("version"), _written().alias("written"))
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("__row")).select("__row.*")
+    return last.where(F.col(TOMBSTONE).isNull()).drop(TOMBSTONE) if TOMBSTONE in rows.columns else last
 
 
-def compact_table(spark: SparkSession, path: str, keys: list[str], version: str) -> None:
-    """Writes the table as it is into one folder, which takes the place of all batches so far; then drops those."""
+def delete_keys(gone: DataFrame, path: str, number: int) -> None:
+    """J6, X11 on a stored table: adds batch number of tombstones for the rows of gone (keys and version), so that nothing is written again.
+
+    A tombstone holds against rows of its version and earlier ones; compact_table leaves both out.
+    """
+    upsert_table(gone.withColumn(TOMBSTONE, F.lit(True)), path, number)
+
+
+def next_batch(spark: SparkSession, path: str) -> int:
+    """The number of the batch after the last that is whole."""
+    return _batches(spark, path)[1] + 1
+
+
+def compact_table(spark: SparkSession, path: str, keys: list[str], version: str, schema: str | None = None) -> None:
+    """Writes the table as it is into one folder, which takes the place of all batches so far."""
+    _fold(spark, path, lambda: read_table(spark, path, keys, version, schema))
+
+
+def _fold(spark: SparkSession, path: str, whole: Callable[[], DataFrame]) -> None:
+    """Folds what whole reads into one folder. What it replaces goes with the next fold only, as readers may have planned on it."""
     folders, last = _batches(spark, path)
     if len(folders) < 2:
         return
-    read_table(spark, path, keys, version).write.mode("overwrite").parquet(f"{path}/fold-{last:012d}")
-    for folder in folders:
-        drop_folder(spark, folder)
+    whole().write.mode("overwrite").parquet(f"{path}/fold-{last:012d}")
+    before = max((int(f.rsplit("-", 1)[1]) for f in folders if "/fold-" in f), default=-1)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    for entry in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder):
+        kind, _, number = entry.getPath().getName().partition("-")
+        if kind in ("fold", "batch") and (int(number), kind) < (before, "fold"):
+            drop_folder(spark, f"{path}/{kind}-{number}")

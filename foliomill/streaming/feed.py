@@ -29,7 +29,11 @@ def changes_from(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 class OverdueWatch(StatefulProcessor):
-    """X2 for one job: a timer runs from its creation to the limit while the engine has it."""
+    """X2 for one job: a timer runs from its creation to the limit while the engine has it.
+
+    State of a job that need not be watched stays only until event time is past its row, since older rows
+    come no more then.
+    """
 
     def __init__(self, limit: int):
         self.limit = limit
@@ -38,6 +42,21 @@ class OverdueWatch(StatefulProcessor):
         self.handle = handle
         self.state = handle.getValueState("job", "updated long, due long, watched boolean")
 
+    def _hold(self, held: tuple[int, int, bool], clock: int) -> None:
+        updated, due, watched = held
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if not watched and updated < 1000 * clock:
+            self.state.clear()
+            return
+        self.state.update(held)
+        # timers know milliseconds: never before the limit
+        self.handle.registerTimer(-(-due // 1000) if watched else updated // 1000 + 1)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        for row in initialState.to_dict("records"):
+            self._hold((int(row["updated"]), int(row["created"]) + 1_000_000 * self.limit, bool(row["watched"])), timerValues.getCurrentWatermarkInMs())
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.state.get() if self.state.exists() else None
         updated = held[0] if held else -1
@@ -45,31 +64,35 @@ class OverdueWatch(StatefulProcessor):
             for at, created, watched in zip(batch["updated"], batch["created"], batch["watched"]):
                 if at >= updated:
                     updated, held = int(at), (int(at), int(created) + 1_000_000 * self.limit, bool(watched))
-        for due in list(self.handle.listTimers()):
-            self.handle.deleteTimer(due)
-        self.state.update(held)
-        if held[2]:
-            self.handle.registerTimer(-(-held[1] // 1000))  # timers know milliseconds: never before the limit
+        self._hold(held, timerValues.getCurrentWatermarkInMs())
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        _, due, watched = self.state.get()
+        updated, due, watched = self.state.get()
+        self._hold((updated, due, False), timerValues.getCurrentWatermarkInMs())
         if watched:
-            self.state.update((self.state.get()[0], due, False))
             yield pd.DataFrame({"id": [key[0]], "due": [due]})
 
     def close(self) -> None:
         pass
 
 
-def overdue_stream(jobs: DataFrame, lateness: str = "1 minute", limit: int = states.JOB_TIMEOUT_SECONDS) -> DataFrame:
+def _slim(jobs: DataFrame) -> DataFrame:
+    watched = F.col("status").isin(*states.CONVERTING) & (F.col("part_count") <= 1)
+    created = F.unix_micros(F.col("created_at").cast("timestamp"))
+    return jobs.select("id", "updated_at", F.unix_micros("updated_at").alias("updated"), created.alias("created"), watched.alias("watched"))
+
+
+def overdue_stream(jobs: DataFrame, lateness: str = "1 minute", limit: int = states.JOB_TIMEOUT_SECONDS, known: DataFrame | None = None) -> DataFrame:
     """X2 over a stream of job rows: (id, due_at) of each unsplit job that the engine still has at the limit.
 
     The clock is event time, which any job's row moves on, so a job that goes silent is named too. A job
-    is named once, unless a later row gives it back to the engine. Needs the RocksDB state store.
+    is named once, unless a later row gives it back to the engine. known (a table with a row for each job)
+    is where a new stream starts from. Jobs that need no watching leave the state when event time less
+    lateness is past their last row. Needs the RocksDB state store.
     """
-    rows = jobs.withColumn("updated_at", F.col("updated_at").cast("timestamp")).withWatermark("updated_at", lateness)
-    watched = F.col("status").isin(*states.CONVERTING) & (F.col("part_count") <= 1)
-    slim = rows.select("id", "updated_at", F.unix_micros("updated_at").alias("updated"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("created"), watched.alias("watched"))
-    found = slim.groupBy("id").transformWithStateInPandas(OverdueWatch(limit), outputStructType="id string, due long", outputMode="Append", timeMode="EventTime")
+    timed = lambda df: df.withColumn("updated_at", F.col("updated_at").cast("timestamp"))
+    start = None if known is None else _slim(timed(known)).drop("updated_at").groupBy("id")
+    rows = _slim(timed(jobs).withWatermark("updated_at", lateness))
+    found = rows.groupBy("id").transformWithStateInPandas(OverdueWatch(limit), outputStructType="id string, due long", outputMode="Append", timeMode="EventTime", initialState=start)
     return found.select("id", F.timestamp_micros("due").alias("due_at"))

@@ -72,33 +72,71 @@ def step(held: dict | None, event: dict) -> dict:
 
 
 class StateFold(StatefulProcessor):
-    """X1 over a stream: each job's row is what step makes of its events, in their order within a micro-batch."""
+    """X1 over a stream: each job's row is what step makes of its events, in their order within a micro-batch.
+
+    The state of a job that is over is dropped keep seconds of event time after its end.
+    """
 
     FIELDS = ("status", "at", "seq", "engine_task_id", "queue_position", "started", "queued_times")
 
+    def __init__(self, keep: int):
+        self.keep = keep
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("job", OUTPUT.removeprefix("job_id string, "))
 
+    def _hold(self, held: dict) -> None:
+        self.state.update(tuple(held[f] for f in self.FIELDS))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if held["status"] in states.TERMINAL:
+            self.handle.registerTimer(held["at"] // 1000 + 1000 * self.keep)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
+        for row in _records(initialState):
+            self._hold({f: row[f] for f in self.FIELDS})
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = dict(zip(self.FIELDS, self.state.get())) if self.state.exists() else None
         before = held
         for batch in rows:
-            events = batch.sort_values(["at", "seq"]).astype(object)
-            for event in events.where(events.notna(), None).to_dict("records"):
-                held = step(held, {**event, "at": int(event["at"]), "seq": int(event["seq"]), "queue_position": None if event["queue_position"] is None else int(event["queue_position"])})
+            for event in _records(batch.sort_values(["at", "seq"])):
+                held = step(held, event)
         if held != before:
-            self.state.update(tuple(held[f] for f in self.FIELDS))
+            self._hold(held)
             yield pd.DataFrame({"job_id": [key[0]], **{f: pd.Series([held[f]], dtype=object) for f in self.FIELDS}})
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.state.clear()
+        yield from ()
+
     def close(self) -> None:
         pass
 
 
-def stream_states(events: DataFrame) -> DataFrame:
+def _records(rows: pd.DataFrame) -> list[dict]:
+    """Rows as dictionaries, with plain integers and None."""
+    plain = rows.astype(object).where(rows.notna(), None).to_dict("records")
+    whole = ("at", "seq", "queue_position", "started", "queued_times")
+    return [{k: int(v) if k in whole and v is not None else v for k, v in row.items()} for row in plain]
+
+
+def stream_states(events: DataFrame, lateness: str = "1 day", keep: str = "2 days", known: DataFrame | None = None) -> DataFrame:
     """A stream of state changes, to be written in update mode (needs the RocksDB state store).
 
     As fold_states where events come in order; of events that come after later ones of their job only a
-    first terminal state still counts.
+    first terminal state still counts. Events later than lateness do not count. The state of a job that is
+    over is dropped when event time is keep past its end, so that no event in time can find it gone. known
+    (rows such as fold_states returns, of jobs that exist) is where a new stream starts from.
     """
-    rows = _complete(events).select("job_id", "status", "at", "seq", "engine_task_id", "queue_position")
-    return rows.groupBy("job_id").transformWithStateInPandas(StateFold(), outputStructType=OUTPUT, outputMode="Update", timeMode="None")
+    late, held = (pd.Timedelta(t).total_seconds() for t in (lateness, keep))
+    if held < late:
+        raise ValueError(f"states kept for {keep} would miss events that are {lateness} late")
+    rows = _complete(events.withColumn("ts", F.col("ts").cast("timestamp"))).withWatermark("ts", lateness)
+    slim = rows.select("job_id", "status", "at", "seq", "engine_task_id", "queue_position", "ts")
+    start = None
+    if known is not None:
+        micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+        start = known.select("job_id", "status", micros("updated_at").alias("at"), "seq", "engine_task_id", "queue_position", micros("started_at").alias("started"), "queued_times").groupBy("job_id")
+    return slim.groupBy("job_id").transformWithStateInPandas(StateFold(int(held)), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime", initialState=start)

@@ -3,8 +3,8 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from foliomill.operators import intake, retention
 from foliomill.operators import parts as pt
-from foliomill.operators import retention
 from foliomill.plans import convert
 from foliomill.plans.convert import convert_corpus
 from foliomill.shared import fresh_path
@@ -146,22 +146,117 @@ def test_rolling_alarm_counts_over_slice_edges(spark):
         assert got[t] == (want, want >= 3)
 
 
-def test_large_buckets_have_several_files(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(sinks, "FILE_BYTES", 100)
-    path = f"file://{tmp_path}/big/out"
-    rows = spark.createDataFrame([(f"h{i}", f"f{i}", "x" * 50) for i in range(60)], "content_hash string, output_filename string, text string")
-    sinks.replace_outputs(rows, path, 1)
-    assert spark.read.parquet(path).count() == 60 and len(list((tmp_path / "big" / "out").glob("bucket=0/part-*"))) > 2
-    assert [p.name for p in (tmp_path / "big").iterdir()] == ["out"]
+OUTPUTS = "content_hash string, output_filename string, text string"
 
 
 def test_replacing_outputs_keeps_other_documents(spark, tmp_path):
     path = f"file://{tmp_path}/out"
-    frame = lambda rows: spark.createDataFrame(rows, "content_hash string, output_filename string, text string")
-    sinks.replace_outputs(frame([("a", "a1", "x"), ("a", "a2", "y"), ("a", "a3", "z"), ("b", "b1", "é")]), path, 2)
-    told = sinks.replace_outputs(frame([("a", "a1", "new"), ("a", "a2", "y")]), path, 2).first()
+    frame = lambda rows: spark.createDataFrame(rows, OUTPUTS)
+    held = lambda: {(r.output_filename, r.text) for r in sinks.read_outputs(spark, path, frame([("", "", "")]).schema).collect()}
+    assert held() == set()
+    sinks.replace_outputs(frame([("a", "a1", "x"), ("a", "a2", "y"), ("a", "a3", "z"), ("b", "b1", "é")]), path)
+    told = sinks.replace_outputs(frame([("a", "a1", "new"), ("a", "a2", "y")]), path).first()
     assert (told.files, told.bytes) == (2, 4)
-    assert {(r.output_filename, r.text) for r in spark.read.parquet(path).collect()} == {("a1", "new"), ("a2", "y"), ("b1", "é")}
+    want = {("a1", "new"), ("a2", "y"), ("b1", "é")}
+    assert held() == want
+    sinks.compact_outputs(spark, path, frame([("", "", "")]).schema)
+    assert held() == want
+    sinks.replace_outputs(frame([("b", "b2", "other")]), path)
+    sinks.compact_outputs(spark, path, frame([("", "", "")]).schema)
+    assert held() == {("a1", "new"), ("a2", "y"), ("b2", "other")}
+    assert sorted(p.name[:5] for p in (tmp_path / "out").iterdir()) == ["batch", "fold-", "fold-"]  # what the last fold replaced still stands
+
+
+def test_a_job_that_dies_leaves_the_earlier_outputs_whole(spark, tmp_path):
+    path = f"file://{tmp_path}/out"
+    first = spark.createDataFrame([(f"h{i}", f"f{i}", "old") for i in range(40)], OUTPUTS)
+    sinks.replace_outputs(first, path)
+    breaks = F.when(F.col("output_filename") == "f39", F.raise_error(F.lit("killed"))).otherwise(F.lit("new"))
+    with pytest.raises(Exception, match="killed"):
+        sinks.replace_outputs(first.repartitionByRange(8, "output_filename").withColumn("text", breaks), path)
+    assert {r.text for r in sinks.read_outputs(spark, path, first.schema).collect()} == {"old"}
+    sinks.replace_outputs(first.withColumn("text", F.lit("new")), path)
+    assert [r.text for r in sinks.read_outputs(spark, path, first.schema).collect()] == ["new"] * 40
+
+
+def test_deletion_and_pruning_reach_stored_tables(spark, tmp_path):
+    """Delete, prune, compact and read: no stored row is written again, and what is gone stays gone."""
+    root = f"file://{tmp_path}"
+    old = NOW - dt.timedelta(days=40)
+    rows = {
+        "source_document": ([("a", "a.pdf"), ("b", "b.pdf"), ("c", "c.pdf")], "content_hash string, original_filename string"),
+        "conversion_job": ([("1", "a", "succeeded", NOW), ("2", "b", "running", None), ("3", "c", "failed", old), ("4", "c", "succeeded", NOW)], "id string, content_hash string, status string, ended_at timestamp"),
+        "conversion_part": ([("1", 1), ("1", 2), ("3", 1), ("4", 1)], "job_id string, ordinal int"),
+        "markdown_output": ([("a.md", "a"), ("c.md", "c")], "output_filename string, content_hash string"),
+    }
+    for table, (data, schema) in rows.items():
+        sinks.upsert_table(spark.createDataFrame(data, schema).withColumn("changed_at", F.lit(old)), f"{root}/{table}", 0)
+    read = lambda t: sinks.read_table(spark, f"{root}/{t}", retention.STORED[t], "changed_at")
+    plan = retention.deletion_plan(read("source_document"), read("conversion_job"), spark.createDataFrame([("a",), ("b",)], "content_hash string"))
+    retention.store_deletions(plan, read("conversion_job"), read("conversion_part"), read("markdown_output"), root, F.lit(NOW))
+    retention.store_pruning(read("conversion_job"), read("conversion_part"), root, F.lit(NOW - dt.timedelta(days=30)), F.lit(NOW))
+    keys = lambda t: sorted(tuple(r) for r in read(t).select(*retention.STORED[t]).collect())
+    want = {"source_document": [("b",), ("c",)], "conversion_job": [("2",), ("4",)], "conversion_part": [("4", 1)], "markdown_output": [("c.md",)]}
+    assert {t: keys(t) for t in want} == want
+    for table in want:
+        sinks.compact_table(spark, f"{root}/{table}", retention.STORED[table], "changed_at")
+    assert {t: keys(t) for t in want} == want and "__gone" not in read("conversion_job").columns
+    sinks.upsert_table(spark.createDataFrame([("a", "again.pdf", NOW + dt.timedelta(days=1))], "content_hash string, original_filename string, changed_at timestamp"), f"{root}/source_document", 9)
+    assert keys("source_document") == [("a",), ("b",), ("c",)]
+
+
+def test_converters_that_hang_or_die_cost_one_part_each(spark):
+    def hostile(batch):
+        """Hangs, ends its process, eats memory or raises, as the part's job says."""
+        import os
+        import time
+
+        out = []
+        for job in batch["job_id"]:
+            if job == "sleeps":
+                time.sleep(60)
+            elif job == "aborts":
+                os.abort()
+            elif job == "exits":
+                os._exit(0)
+            elif job == "eats":
+                bytearray(1 << 40)
+            elif job == "raises":
+                raise RuntimeError("boom")
+            out.append((f"text of {job}", "success", []))
+        return out
+
+    jobs = ["ok1", "sleeps", "ok2", "aborts", "exits", "ok3", "eats", "raises", "ok4"]
+    parts = spark.createDataFrame([(j, 1) for j in jobs], "job_id string, ordinal int").coalesce(1)
+    got = {r.job_id: (r.engine_status, r.new_markdown) for r in convert.convert_parts(parts, hostile, deadline=1.5, memory=1 << 30).collect()}
+    assert got == {j: ("success", f"text of {j}") if j.startswith("ok") else ({"sleeps": "timed_out", "aborts": "lost", "exits": "lost"}.get(j, "failure"), None) for j in jobs}
+
+
+def test_a_corpus_with_hostile_parts_is_converted(spark):
+    def converter(batch):
+        import os
+        import time
+
+        if (batch["job_id"] == "hangs").any() and (batch["first_page"] <= 3).all() and (batch["last_page"] >= 3).all():
+            time.sleep(60)
+        if (batch["job_id"] == "dies").any():
+            os.abort()
+        return [(f"p{a}-{b} " * 300, "success", []) for a, b in zip(batch["first_page"], batch["last_page"])]
+
+    jobs = spark.createDataFrame([("hangs", "h", 8), ("dies", "i", 1), ("fine", "j", 2)], "id string, content_hash string, page_count int")
+    rows = {r.job_id: r for r in convert_corpus(jobs, converter, max_pages=8, max_depth=2, min_pages=2, max_attempts=2, deadline=1.0).collect()}
+    assert rows["fine"].status == "succeeded" and rows["dies"].status == "failed"
+    assert rows["hangs"].status == "succeeded_incomplete" and [tuple(x) for x in rows["hangs"].missing_page_ranges] == [(3, 4)]
+
+
+def test_files_over_the_limit_are_refused_unread(spark, tmp_path):
+    with open(tmp_path / "huge.pdf", "wb") as f:
+        f.truncate(3 << 30)  # sparse, and more than a row can hold
+    (tmp_path / "small.pdf").write_bytes(b"%PDF-1.7 small")
+    scanned = files.scan_uploads(spark, f"file://{tmp_path}")
+    rows = {r.filename: r for r in scanned.withColumn("reason", intake.rejection(F.col("filename"), F.col("head"), F.col("tail"), F.col("size_bytes"))).collect()}
+    assert rows["huge.pdf"].size_bytes == 3 << 30 and "larger than the" in rows["huge.pdf"].reason and rows["huge.pdf"].content_hash is None
+    assert rows["small.pdf"].reason is None and bytes(rows["small.pdf"].content) == b"%PDF-1.7 small"
 
 
 def test_scanning_uploads(spark, tmp_path):

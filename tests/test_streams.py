@@ -66,11 +66,52 @@ def test_tables_of_changes_are_folded(spark, tmp_path):
     assert rows() == want
     sinks.upsert_table(frame([("b", 0, "late"), ("a", 2, "tie")]), path, 2)  # run again after a failure
     sinks.compact_table(spark, path, ["id"], "v")
-    assert rows() == want and len([p for p in (tmp_path / "table").iterdir()]) == 1
+    assert rows() == want and len(sinks._batches(spark, path)[0]) == 1
     sinks.upsert_table(frame([("c", 1, "new")]), path, 3)
     assert rows() == [*want, ("c", 1, "new")]
 
 
+def replay(spark, tmp_path, schema, batches):
+    """A stream that reads one batch of rows after another."""
+    for n, some in enumerate(batches):
+        spark.createDataFrame(some, schema).coalesce(1).write.parquet(f"file://{tmp_path}/in/{n}")
+        for f in (tmp_path / f"in/{n}").glob("*.parquet"):
+            os.utime(f, (1000 + n, 1000 + n))
+    return spark.readStream.schema(schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"file://{tmp_path}/in")
+
+
+def states_left(frame, tmp_path, name, mode):
+    query = frame.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"file://{tmp_path}/{name}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return frame.sparkSession.table(name).collect(), query.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+
+def test_a_watchdog_starts_from_known_jobs_and_forgets_them(spark, tmp_path):
+    schema = "id string, status string, part_count int, created_at timestamp, updated_at timestamp"
+    known = spark.createDataFrame([("old", "running", 1, at(0), at(5)), ("over", "succeeded", 1, at(0), at(6)), ("moves", "running", 1, at(0), at(7))], schema)
+    day = 86_400
+    stream = replay(spark, tmp_path, schema, [[("new", "submitted", 1, at(100), at(100))], [("moves", "succeeded", 1, at(0), at(200))], [("late", "succeeded", 1, at(day), at(day))], [("end", "succeeded", 1, at(2 * day), at(2 * day))], [("end", "failed", 1, at(9 * day), at(9 * day))]])
+    with rocksdb(spark):
+        found, left = states_left(feed.overdue_stream(stream, known=known), tmp_path, "known", "append")
+    assert sorted((r.id, r.due_at) for r in found) == [("new", at(2800)), ("old", at(2700))]
+    assert left <= 2  # the job whose row is at the clock, and its timer
+
+
+def test_a_fold_starts_from_known_states_and_forgets_what_is_over(spark, tmp_path):
+    schema = "job_id string, status string, ts timestamp, seq long, engine_task_id string, queue_position int"
+    day = 86_400
+    before = spark.createDataFrame([("a", "queued", at(0), 1, None, 3), ("b", "failed", at(1), 2, None, None), ("a", "submitted", at(2), 3, "t", 1)], schema)
+    batches = [[("a", "running", at(10), 4, None, 0), ("b", "running", at(11), 5, None, 0)], [("a", "succeeded", at(20), 6, None, None)], [("c", "failed", at(10 * day), 7, None, None)], [("c", "failed", at(20 * day), 8, None, None)]]
+    stream = replay(spark, tmp_path, schema, batches)
+    with rocksdb(spark):
+        found, left = states_left(state.stream_states(stream, known=state.fold_states(before)), tmp_path, "folded", "update")
+    got = [(r.job_id, r.status, r.engine_task_id, r.queued_times) for r in sorted(found, key=lambda r: r.seq)]
+    assert got == [("a", "running", "t", 1), ("a", "succeeded", "t", 1), ("c", "failed", None, 0)]  # b stayed failed
+    assert left <= 2
+    with pytest.raises(ValueError, match="late"):
+        state.stream_states(stream, "3 days", "1 day")
+
+
 def test_streamed_log_lines(spark, tmp_path):
     (tmp_path / "logs").mkdir()
     (tmp_path / "logs" / "a.log").write_text('job_submitted job_id=j1 file="a b.pdf" attempt=2\nnoise\n')
