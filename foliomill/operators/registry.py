@@ -96,13 +96,21 @@ def already_converted(queued: DataFrame, outputs: DataFrame, present: DataFrame,
     return queued.join(whole, "content_hash")
 
 
+def document_outputs(outputs: DataFrame) -> DataFrame:
+    """Every output with its position, from 1, in the section order of its document."""
+    order = Window.partitionBy("content_hash").orderBy(F.coalesce("section_ordinal", F.lit(0)), "output_filename", "job_id")
+    return outputs.withColumn("position", F.row_number().over(order))
+
+
 def output_details(jobs: DataFrame, outputs: DataFrame) -> DataFrame:
-    """Per job the outputs it wrote, and all of its document's, in section order."""
-    entry = F.struct(F.coalesce("section_ordinal", F.lit(0)).alias("section"), F.col("output_filename"), F.col("bytes"), F.col("job_id"))
-    lists = outputs.groupBy("content_hash").agg(F.array_sort(F.collect_list(entry)).alias("document_outputs"))
-    joined = jobs.join(lists, "content_hash", "left")
-    every = F.coalesce("document_outputs", F.array().cast(lists.schema["document_outputs"].dataType))
-    return joined.withColumn("document_outputs", every).withColumn("outputs", F.filter("document_outputs", lambda o: o["job_id"] == F.col("id")))
+    """Jobs with the positions of the outputs that each wrote, among those of its document (document_outputs).
+
+    A document's list is told once, by document_outputs, and each job tells places in it: as many rows and
+    positions as there are jobs and outputs, however many jobs a document has.
+    """
+    own = document_outputs(outputs).groupBy("content_hash", F.col("job_id").alias("id")).agg(F.array_sort(F.collect_list("position")).alias("positions"))
+    joined = jobs.join(own, ["content_hash", "id"], "left")
+    return joined.withColumn("positions", F.coalesce("positions", F.array().cast("array<int>")))
 
 
 def missing_parts(jobs: DataFrame, parts: DataFrame) -> DataFrame:

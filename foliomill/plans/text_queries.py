@@ -53,7 +53,7 @@ def s1_scan_uploads(d):
 def s2_scan_table(d):
     """The documents written as a registry table and read with its fixed schema."""
     path = fresh_path(d.spark, "registry")
-    schemas.conform(d.documents, "source_document").write.parquet(path)
+    files.write_table(schemas.conform(d.documents, "source_document"), path, "source_document", 10_000)
     return files.scan_table(d.spark, path, "source_document").withColumn("first_seen_at", F.col("first_seen_at").cast("timestamp_ntz"))
 
 

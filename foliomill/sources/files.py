@@ -54,6 +54,29 @@ def scan_table(spark: SparkSession, path: str, table: str) -> DataFrame:
     return spark.read.schema(schemas.struct(table)).parquet(path)
 
 
+#: Columns by which single rows of the registry's tables are looked up; files are sorted by the first.
+LOOKUPS = {
+    "batch": ["id"],
+    "source_document": ["content_hash"],
+    "conversion_job": ["id", "content_hash", "output_filename", "batch_id"],
+    "conversion_part": ["job_id", "id"],
+    "markdown_output": ["output_filename", "content_hash", "job_id"],
+}
+
+
+def write_table(rows: DataFrame, path: str, table: str, distinct: int = 1_000_000, mode: str = "errorifexists") -> None:
+    """Writes a registry table so that a lookup by key reads few row groups.
+
+    Each file is sorted by the first key and has Bloom filters of all of them, sized for so many distinct
+    values in a row group; filters of list_jobs and the like reach both.
+    """
+    keys = LOOKUPS[table]
+    writer = rows.sortWithinPartitions(keys[0]).write.mode(mode)
+    for key in keys:
+        writer = writer.option(f"parquet.bloom.filter.enabled#{key}", "true").option(f"parquet.bloom.filter.expected.ndv#{key}", str(distinct))
+    writer.parquet(path)
+
+
 def scan_expectations(spark: SparkSession, path: str) -> DataFrame:
     """Expectations from JSON lines; counts default to 0, lists to empty, pages that are no integer to null."""
     rows = spark.read.schema(schemas.EXPECTATION).json(path)
