@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from foliomill import states
 from foliomill.functions.status import failure_reason, is_suspect, outcome
@@ -19,11 +21,11 @@ from foliomill.sources.sinks import replace_outputs
 
 #: A converter takes a frame of parts and returns, in the same order, (markdown, status, errors) of each.
 Converter = Callable[[pd.DataFrame], "list[tuple[str | None, str, list[str]]]"]
-CONVERTED = "job_id string, ordinal int, new_markdown string, engine_status string, errors array<string>"
+CONVERTED = StructType([StructField("new_markdown", StringType()), StructField("engine_status", StringType()), StructField("errors", ArrayType(StringType()))])
 
 
 def convert_parts(parts: DataFrame, converter: Converter, deadline: float | None = states.JOB_TIMEOUT_SECONDS, memory: int | None = None) -> DataFrame:
-    """The converter over parts in Spark's tasks; what it raises becomes failed rows.
+    """Parts with new_markdown, engine_status and errors, by the converter in Spark's tasks; what it raises becomes failed rows.
 
     With a deadline (seconds for a part) it is called in a child process, a part at a time: parts past it
     are timed_out, those whose process ended are lost, and memory bounds what it may take. Without one it
@@ -39,20 +41,15 @@ def convert_parts(parts: DataFrame, converter: Converter, deadline: float | None
             pass
         return [call(converter, batch.iloc[n : n + 1]) for n in range(len(batch))]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            results = whole(batch) if deadline is None else convert_isolated(converter, batch, deadline, memory)
-            yield pd.DataFrame(
-                {
-                    "job_id": batch["job_id"],
-                    "ordinal": batch["ordinal"],
-                    "new_markdown": [r[0] for r in results],
-                    "engine_status": [r[1] for r in results],
-                    "errors": [list(r[2]) for r in results],
-                },
-            )
+            rows = batch.to_pandas()
+            results = whole(rows) if deadline is None else convert_isolated(converter, rows, deadline, memory)
+            told = [pa.array([r[0] for r in results], pa.string()), pa.array([r[1] for r in results], pa.string()), pa.array([list(r[2]) for r in results], pa.list_(pa.string()))]
+            # the part's own columns pass as they came
+            yield pa.RecordBatch.from_arrays([*batch.columns, *told], [*batch.schema.names, *CONVERTED.names])
 
-    return parts.mapInPandas(run, CONVERTED)
+    return parts.mapInArrow(run, StructType([*parts.schema.fields, *CONVERTED.fields]))
 
 
 def convert_corpus(
@@ -89,7 +86,7 @@ def convert_corpus(
     finished: list[DataFrame] = []
     slim = ["job_id", "ordinal", "first_page", "last_page", "status", "markdown", "failure_reason", "engine_status"]
     for turn in range(max_attempts * (max_depth + 1) + 1):
-        fresh = queued.drop("markdown").join(convert_parts(queued.drop("top"), converter, deadline, memory), ["job_id", "ordinal"])
+        fresh = convert_parts(queued, converter, deadline, memory)
         good = F.col("engine_status").isin("success", "partial_success")
         event = F.when(good, F.lit(None).cast("string")).when(F.col("engine_status").isin("lost", "timed_out"), F.col("engine_status")).otherwise(F.lit("failed"))
         reason = F.when(F.col("engine_status") == "timed_out", F.lit(PART_TIMEOUT)).otherwise(failure_reason(F.col("errors"), F.lit("failure")))

@@ -269,10 +269,11 @@ def x8_change_feed(d):
     jobs = d.jobs.select("id", "status", "updated_at")
     first = jobs.select("id", F.lit("queued").alias("status"), (F.col("updated_at") - F.expr("INTERVAL '1' HOUR")).alias("updated_at"))
     source, table, mark = (scratch(d, t) for t in ("changes", "jobs", "mark"))
-    first.write.parquet(source)
-    jobs.write.mode("append").parquet(source)
-    feed.follow_changes(d.spark.readStream.schema(jobs.schema).option("maxFilesPerTrigger", 64).parquet(source), table, mark).awaitTermination()
-    return sinks.read_table(d.spark, table, ["id"], "updated_at", "id string, status string, updated_at timestamp_ntz")
+    first.coalesce(2).write.parquet(source)
+    jobs.coalesce(2).write.mode("append").parquet(source)
+    schema = "id string, status string, updated_at timestamp_ntz"
+    feed.follow_changes(feed.changes_from(d.spark, source, schema, 1), table, mark, keys=["id"], fold_every=2).awaitTermination()
+    return sinks.read_table(d.spark, table, ["id"], "updated_at", schema)
 
 
 @query(f"""

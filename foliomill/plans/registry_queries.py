@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -236,15 +238,17 @@ def j6_deletion_plan(d):
 
 @query("""
  , doomed AS (SELECT content_hash FROM source_document WHERE content_hash NOT IN (SELECT content_hash FROM conversion_job WHERE status IN ('submitted', 'running')))
- SELECT 'conversion_job' AS tab, count(*) AS n FROM conversion_job WHERE content_hash NOT IN (SELECT content_hash FROM doomed)
- UNION ALL SELECT 'conversion_part', count(*) FROM conversion_part WHERE job_id NOT IN (SELECT id FROM conversion_job WHERE content_hash IN (SELECT content_hash FROM doomed))
- UNION ALL SELECT 'markdown_output', count(*) FROM markdown_output WHERE content_hash NOT IN (SELECT content_hash FROM doomed)
- UNION ALL SELECT 'source_document', count(*) FROM source_document WHERE content_hash NOT IN (SELECT content_hash FROM doomed)""")
+ SELECT 'conversion_job' AS tab, id AS key FROM conversion_job WHERE content_hash NOT IN (SELECT content_hash FROM doomed)
+ UNION ALL SELECT 'conversion_part', id FROM conversion_part WHERE job_id NOT IN (SELECT id FROM conversion_job WHERE content_hash IN (SELECT content_hash FROM doomed))
+ UNION ALL SELECT 'markdown_output', output_filename FROM markdown_output WHERE content_hash NOT IN (SELECT content_hash FROM doomed)
+ UNION ALL SELECT 'source_document', content_hash FROM source_document WHERE content_hash NOT IN (SELECT content_hash FROM doomed)
+ UNION ALL SELECT DISTINCT 'batch', batch_id FROM conversion_job""")
 def j6_delete_documents(d):
+    """Every row that stays."""
     plan = retention.deletion_plan(d.documents, d.jobs)
     left = retention.delete_documents(plan, d.jobs.select("batch_id").distinct(), d.documents, d.jobs, d.parts, d.outputs)
-    rows = [left[t].agg(F.count("*").alias("n")).select(F.lit(t).alias("tab"), "n") for t in ("conversion_job", "conversion_part", "markdown_output", "source_document")]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    keys = {"batch": "batch_id", "conversion_job": "id", "conversion_part": "id", "markdown_output": "output_filename", "source_document": "content_hash"}
+    return reduce(DataFrame.unionByName, [left[t].select(F.lit(t).alias("tab"), F.col(k).alias("key")) for t, k in keys.items()])
 
 
 @query(" SELECT content_hash FROM source_document WHERE content_hash IN (SELECT content_hash FROM conversion_job WHERE status IN ('submitted', 'running'))")

@@ -105,12 +105,12 @@ def p2_validate(d):
 
 
 @query("""
- SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 'protected' WHEN n_chars % 13 = 0 THEN 'unreadable' WHEN n_chars > 3000 THEN 'long' END AS verdict FROM documents""")
+ SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN '"x" is password-protected, so its contents cannot be read. Remove the password and upload it again.'
+   WHEN n_chars % 13 = 0 THEN '"x" could not be read — the file looks damaged or incomplete. Try re-saving or re-exporting it, then upload it again.'
+   WHEN n_chars > 3000 THEN concat('"x" has ', format('{:,}', n_chars), ' pages, more than the 3,000 this converter accepts in one document. Split it into smaller files and upload those.') END AS verdict FROM documents""")
 def p3_page_gate(d):
     pages = F.when(F.col("n_chars") % 13 > 0, F.col("n_chars"))
-    said = intake.page_rejection(F.lit("x"), pages, F.col("doc_id") % 11 == 0, 3000)
-    verdict = F.when(said.contains("password"), "protected").when(said.contains("damaged"), "unreadable").when(said.contains("pages, more"), "long")
-    return d.table("documents").select("doc_id", verdict.alias("verdict"))
+    return d.table("documents").select("doc_id", intake.page_rejection(F.lit("x"), pages, F.col("doc_id") % 11 == 0, 3000).alias("verdict"))
 
 
 @query(" SELECT doc_id, sha256(text) AS content_hash FROM documents")
@@ -165,9 +165,12 @@ def t13_missing_content(d):
 LINES = r" , l AS (SELECT doc_id, unnest(string_split(rtrim(markdown, chr(10)), chr(10))) AS line, generate_subscripts(string_split(rtrim(markdown, chr(10)), chr(10)), 1) AS ln FROM markdown_doc)"
 
 
-@query(LINES + r"""
+SEAMS = r"""
  , p AS (SELECT *, last_value(CASE WHEN trim(line, ' ' || chr(9) || chr(13)) <> '' THEN line END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY ln ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) AS prev FROM l)
- SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, '^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$') AND coalesce(regexp_matches(prev, '^\s*\|'), false)) AS seam_tables FROM p GROUP BY doc_id""")
+ , seams AS (SELECT doc_id, count(*) FILTER (WHERE regexp_matches(line, '^\s*\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?\s*$') AND coalesce(regexp_matches(prev, '^\s*\|'), false)) AS seam_tables FROM p GROUP BY doc_id)"""
+
+
+@query(LINES + SEAMS + " SELECT doc_id, seam_tables FROM seams")
 def w7_seam_tables(d):
     return fidelity.seam_tables(d.markdown)
 
@@ -276,12 +279,13 @@ MEASURED = rf"""
      ef > 0 AND trim(regexp_extract(markdown, '(?s)^.*(?:!\[[^\]]*\]\([^)]*\))(.*)$', 1), ' ' || chr(10) || chr(13) || chr(9)) = '' AND figures > 0 AS trail FROM c)"""
 
 
-@query(MEASURED + """
+@query(LINES + SEAMS + MEASURED + """
  SELECT concat('d', doc_id) AS file, status, converted, CASE WHEN converted THEN headings ELSE 0 END AS headings_found, CASE WHEN converted THEN tables ELSE 0 END AS tables_found,
-   CASE WHEN converted THEN figures ELSE 0 END AS figures_found, CASE WHEN converted AND trail THEN 1 ELSE 0 END AS missing_count FROM m""")
+   CASE WHEN converted THEN figures ELSE 0 END AS figures_found, CASE WHEN converted THEN seam_tables ELSE 0 END AS seam_tables,
+   CASE WHEN converted AND trail THEN '<figures appear only after the text>' ELSE '' END AS missing FROM m JOIN seams USING (doc_id)""")
 def j9_measure(d):
     found = fidelity.measure(expected(d), results(d))
-    return found.select("file", "status", "converted", "headings_found", "tables_found", "figures_found", F.size("missing_strings").alias("missing_count"))
+    return found.select("file", "status", "converted", "headings_found", "tables_found", "figures_found", F.col("seam_tables").cast("long").alias("seam_tables"), F.array_join("missing_strings", "|").alias("missing"))
 
 
 @query(MEASURED + """

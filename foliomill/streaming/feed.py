@@ -10,22 +10,30 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from foliomill import states
-from foliomill.sources.sinks import upsert_table
+from foliomill.sources.sinks import compact_table, upsert_table
 
 
-def follow_changes(changes: DataFrame, path: str, checkpoint: str, available_now: bool = True):
+def follow_changes(changes: DataFrame, path: str, checkpoint: str, available_now: bool = True, keys: list[str] | None = None, version: str = "updated_at", fold_every: int = 32):
     """Adds each micro-batch of changed rows to the table under path. Returns the query.
 
+    With keys, batches are folded together after each fold_every of them, so that a read meets few.
+
     A micro-batch has the number that Spark gives it, so one that is run again after a failure replaces
     itself; sinks.read_table keeps the last write of each key.
     """
-    writer = changes.writeStream.foreachBatch(lambda batch, number: upsert_table(batch, path, number)).option("checkpointLocation", checkpoint)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        upsert_table(batch, path, number)
+        if keys and number % fold_every == fold_every - 1:
+            compact_table(batch.sparkSession, path, keys, version)
+
+    writer = changes.writeStream.foreachBatch(keep).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def changes_from(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def changes_from(spark: SparkSession, path: str, schema: str, files_at_once: int = 64) -> DataFrame:
     """Changed rows as files arrive under path."""
-    return spark.readStream.schema(schema).parquet(path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_at_once).parquet(path)
 
 
 class OverdueWatch(StatefulProcessor):

@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 import re
 import unicodedata
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from foliomill import schemas, states
 from foliomill.functions import naming, status, text
-from foliomill.operators import fidelity, intake
+from foliomill.operators import fidelity, intake, registry
 from foliomill.sources import logs
 
 
@@ -134,3 +135,16 @@ def test_seam_tables_equal_a_plain_count(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, markdown string")
     got = {r.doc_id: r.seam_tables for r in fidelity.seam_tables(frame).collect()}
     assert got == {n: plain_seams(t) for n, t in enumerate(texts)} and max(got.values()) > 1
+
+
+def test_nested_columns_are_decoded_and_encoded(spark):
+    frame = spark.createDataFrame([(1, "[]", "[]"), (2, '["a","b"]', "[[1,2],[5,5]]"), (3, None, None)], "n int, errors string, ranges string")
+    rows = frame.select("n", status.decode_errors(F.col("errors")).alias("e"), status.encode_ranges(status.decode_ranges(F.col("ranges"))).alias("r")).collect()
+    assert sorted((r.n, r.e, r.r) for r in rows) == [(1, None, None), (2, ["a", "b"], "[[1,2],[5,5]]"), (3, None, None)]
+
+
+def test_logs_are_read_and_jobs_of_a_document_are_newest_first(spark, tmp_path):
+    (tmp_path / "a.log").write_text('job_submitted job_id=j1 file="a b.pdf" attempt=2\n')
+    assert [(r.event, r.file) for r in logs.read_logs(spark, f"file://{tmp_path}").collect()] == [("job_submitted", "a b.pdf")]
+    jobs = spark.createDataFrame([("1", "h", dt.datetime(2024, 1, 1)), ("2", "h", dt.datetime(2024, 1, 2)), ("3", "g", dt.datetime(2024, 1, 3))], "id string, content_hash string, created_at timestamp")
+    assert [r.id for r in registry.jobs_of_document(jobs, "h").collect()] == ["2", "1"]
