@@ -367,7 +367,11 @@ def wide_links(nodes: DataFrame, radius: int, similarity: float, who: str, top:
     None if no shard has different labels.
     """
     columns = [f"w{k}" for k in range(words)]
-    rows = nodes.select("node", "label", "size", *columns, F.posexplode("bands").alias("choice", "bits"))
+    # where all ask, a text carries 32 bits of each of its bands' keys
+    code = lambda n: F.get("bands", F.lit(n)).bitwiseAND(F.lit(0xFFFFFFFF))
+    again = [f"b{k}" for k in range((BANDS + 1) // 2)] if who == "all" else []
+    codes = [F.coalesce(code(2 * k), F.lit(0)).bitwiseOR(F.shiftleft(F.coalesce(code(2 * k + 1), F.lit(0)), 32)).alias(b) for k, b in enumerate(again)]
+    rows = nodes.select("node", "label", "size", *columns, *codes, F.posexplode("bands").alias("choice", "bits"))
     labels = rows.groupBy("choice", "bits", "label").agg(F.count("*").alias("n"), F.min("node").alias("first"))
     shards = labels.groupBy("choice", "bits").agg(F.sum("n").alias("count"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1")
     # one text of each label stands for it, or all do
@@ -383,18 +387,26 @@ def wide_links(nodes: DataFrame, radius: int, similarity: float, who: str, top:
     asks = F.lit(True) if who == "block" else ~F.col("label").eqNullSafe(F.col("main"))
     blocks = F.array(own) if who == "block" else F.when(asks, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(own))
     rows = rows.withColumns({"own": own, "ask": asks.cast("int"), "block": F.explode(blocks)}).withColumn("tree", (F.col("own") == F.col("block")).cast("int"))
-    key, held = ["choice", "bits", "block"], ["node", "label", "size", "ask", "tree", *columns]
+    key, held = ["choice", "bits", "block"], ["node", "label", "size", "ask", "tree", *columns, *again]
 
     def pairs(numbers: np.ndarray, found: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for group, some in turns(numbers, found):
             value = np.stack([some[c].view(np.uint64) for c in columns], 1)
             u, v = near_pairs(value, group, some, radius, similarity, top)
+            if again:
+                # a pair is told in the first shard that both are in
+                met = np.zeros(len(u), bool)
+                for n in range(BANDS):
+                    codes = some[again[n // 2]].view(np.uint32).reshape(-1, 2)[:, n % 2]
+                    met |= (n < some["choice"][u]) & (codes[u] == codes[v])
+                u, v = u[~met], v[~met]
             u, v = some["node"][u], some["node"][v]
             # two that ask each other are told once
             both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
             yield _pairs_of(both[:, 0].copy(), both[:, 1].copy())
 
-    return rows.select(*key, *held).repartition(*key).sortWithinPartitions(*key).mapInArrow(by_groups(key, held, pairs), "u long, v long").distinct()
+    read = [*held, "choice"] if again else held
+    return rows.select(*key, *held).repartition(*key).sortWithinPartitions(*key).mapInArrow(by_groups(key, read, pairs), "u long, v long").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -406,6 +418,16 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.where(common / (a + b - common) >= similarity).select("u", "v")
 
 
+def merged_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The (node, root) of components that further links (u, v) join; only the components' roots are gone through again."""
+    of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
+    half = written(join_hot(links, of("u"), "u", "left"), "half")
+    ends = join_hot(half, of("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+    joined = connected_components(ends)
+    moved = join_hot(roots, joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return moved.unionByName(joined.join(roots, "node", "left_anti"))
+
+
 def _similar(docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, digest, node) of each row of docs, the nodes with their first row, and the (node, root) of all linked nodes.
 
@@ -420,7 +442,7 @@ def _similar(docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame,
     few = F.broadcast(crowded) if crowded.count() <= BROADCAST_NODES else crowded
     nodes = written(distinct.drop("first_doc").join(few, "node", "left_semi"), "nodes")
     sets = written(marked.select("node", "shingles").join(few, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    links = asked = roots = None
+    asked = roots = None
     for who, top in ROUNDS:
         labelled = nodes.withColumn("label", F.col("node")) if roots is None else nodes.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
         pairs = wide_links(labelled, wide_radius(similarity), similarity, who, top)
@@ -430,8 +452,7 @@ def _similar(docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame,
         asked = pairs if asked is None else asked.union(pairs)
         new = written(confirmed(pairs, sets, similarity), "near")
         if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            roots = connected_components(links)
+            roots = connected_components(new) if roots is None else written(merged_roots(roots, new), "merged")
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
     return marked.select("doc_id", "digest", "node"), distinct.select("node", "first_doc"), roots
