@@ -101,7 +101,7 @@ def _at_top(text: Column, then: Callable[[Column, Column], Column]) -> Column:
         whole = F.array(_section(F.lit(""), F.array_join(pieces, "")))
         return let(F.array_min(F.transform(pieces, _level)), lambda top: F.when(top.isNull(), whole).otherwise(let(_blocks(pieces, top), lambda blocks: then(blocks, top))))
 
-    return F.transform(let(_pieces(_held(text)), cut), lambda s: _section(_freed(s["title"]), _freed(s["text"])))
+    return F.when(text.isNotNull(), F.transform(let(_pieces(_held(text)), cut), lambda s: _section(_freed(s["title"]), _freed(s["text"]))))
 
 
 def sections_of(text: Column, min_bytes: int = states.SECTION_MIN_BYTES, max_bytes: int = states.SECTION_MAX_BYTES) -> Column:

@@ -6,7 +6,7 @@ import unicodedata
 
 import pytest
 
-from foliomill.operators import sections
+from foliomill.operators import fidelity, sections
 
 BREAKS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
@@ -119,3 +119,24 @@ def test_planned_files_equal_plain_sections(spark):
             short = (plain_slug(title)[:40].strip("-") or "section") if title.strip() else "section"
             want.append((digest, n, f"{start}--{n:03d}-{short}.md", title or None, body, len(body.encode())))
     assert got == sorted(want) and any(w[1] > 1 for w in want)
+
+
+def test_nothing_is_shuffled_and_no_python_runs(spark):
+    docs = spark.createDataFrame([("0" * 64, "é.pdf", "# a\n")], "content_hash string, filename string, markdown string")
+    frames = [sections.headings(docs, "content_hash"), sections.blocks_at_top(docs, "content_hash"), sections.split_into_sections(docs, "content_hash"), sections.plan_outputs(docs, 1), fidelity.seam_tables(docs, "content_hash")]
+    for frame in frames:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+def test_the_mark_and_odd_texts_pass_through(spark):
+    """Texts that hold the mark itself, no line break at their end, nothing, or null."""
+    mark = sections.MARK
+    texts = [f"# a{mark}c\nx{mark}h\n{mark}0# no\n# b{mark}", f"{mark}{mark}", "", "#\n# ", "# only", "```\n# code", "\r\n# a\r\n\r\n## b", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, markdown string")
+    got = {}
+    for r in sections.split_into_sections(docs, min_bytes=1, max_bytes=10).collect():
+        got.setdefault(r.doc_id, []).append((r.title, r.text))
+    assert got == {n: plain_sections(t, 1, 10) for n, t in enumerate(texts) if t is not None}
+    heads = {(r.doc_id, r["at"]): (r.level, r.title) for r in sections.headings(docs).collect()}
+    assert heads == {(n, at): h for n, t in enumerate(texts) if t for at, h in plain_headings(t.splitlines()).items()}
