@@ -336,14 +336,14 @@ def test_keeping_one_of_similar_goes_by_rows(spark):
     near = " ".join([*base[:150], "new", *base[151:]])
     base = " ".join(base)
     rows = [(3, base, "a"), (5, near, "b"), (5, "some other text", "c"), (None, near, "d"), (None, "a text without an id", "e"), (7, "twice the same", "f"), (7, "twice the same", "f"), (None, None, "g"), (None, "", "g")]
-    for names in (("__id", "own_digest"), ("node", "Chosen_Digest")):
-        docs = spark.createDataFrame([(*r, r[2]) for r in rows], f"doc_id long, text string, {names[0]} string, {names[1]} string")
-        got = simhash_bk.keep_one_of_similar(docs)
-        assert got.columns == docs.columns
-        found = sorted(((r[0], r[1] or "", r[2], r[3]) for r in got.collect()), key=str)
-        assert found == sorted([(3, base, "a", "a"), (5, "some other text", "c", "c"), (None, "a text without an id", "e", "e"), (7, "twice the same", "f", "f"), (None, "", "g", "g")], key=str)
-        equals = exact_dedup.keep_one_of_equals(docs)
-        assert equals.columns == docs.columns and sorted(r[2] + r[3] for r in equals.collect()) == ["aa", "bb", "cc", "ee", "ff", "gg"]
+    names = ["__id", "own_digest", "Chosen_Id", "node", "component_id", "digest", "copies", "Chosen_Digest", "__own"]
+    docs = spark.createDataFrame([(*r[:2], *[r[2]] * len(names)) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    got = simhash_bk.keep_one_of_similar(docs)
+    assert got.columns == docs.columns
+    found = sorted(((r[0], r[1] or "", r[2], r[3]) for r in got.collect()), key=str)
+    assert found == sorted([(3, base, "a", "a"), (5, "some other text", "c", "c"), (None, "a text without an id", "e", "e"), (7, "twice the same", "f", "f"), (None, "", "g", "g")], key=str)
+    equals = exact_dedup.keep_one_of_equals(docs)
+    assert equals.columns == docs.columns and sorted(r[2] + r[3] for r in equals.collect()) == ["aa", "bb", "cc", "ee", "ff", "gg"]
 
 
 def test_removed_documents_are_true_near_copies(spark):
@@ -411,7 +411,7 @@ def test_similar_pairs_equal_brute_force(spark):
     assert np.mean([joined[i] for i, j in want.items() if j >= 0.8]) > 0.995
 
 
-@pytest.mark.parametrize("rounds", [simhash_bk.ROUNDS, (("block", 1), ("all", 1 << 62))])
+@pytest.mark.parametrize("rounds", [simhash_bk.ROUNDS, (("all", 1 << 62),), (("block", 1), ("one", 1), ("all", 1), ("all", 1 << 62))])
 def test_groups_of_near_copies_in_blocks(spark, monkeypatch, rounds):
     monkeypatch.setattr(simhash_bk, "ROUNDS", rounds)
     monkeypatch.setattr(simhash_bk.wide_links, "__defaults__", (*simhash_bk.wide_links.__defaults__[:-1], 20))

@@ -4,8 +4,9 @@ import hashlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from foliomill.llm import common, vector_graph, warc_chain
+from foliomill.llm import common, simhash_bk, vector_graph, warc_chain
 
 
 def cloud(seed, n=300, dims=16):
@@ -110,6 +111,22 @@ def test_components(spark, seed):
     assert len({(got[x], top(x)) for x in nodes}) == len(set(got.values())) == len({top(x) for x in nodes})
 
 
+@pytest.mark.parametrize("few", [20_000, 5])
+def test_components_grow_from_their_roots(spark, monkeypatch, few):
+    """Links that come later join components as if all had come at once."""
+    monkeypatch.setattr(common, "FEW_ROWS", few)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rng = np.random.default_rng(11)
+    links = [(int(a) * 7 - 900, int(b) * 7 - 900) for a, b in rng.integers(0, 300, (260, 2))]
+    frames = [common.written(spark.createDataFrame(links[a:b], "u long, v long"), "some") for a, b in ((0, 120), (120, 121), (121, 260))]
+    roots = common.connected_components(frames[0])
+    for more in frames[1:]:
+        roots = common.written(simhash_bk.merged_roots(roots, more), "grown")
+    sets = lambda df: {frozenset(r.nodes) for r in df.groupBy("root").agg(F.collect_set("node").alias("nodes")).collect()}
+    whole = common.connected_components(spark.createDataFrame(links, "u long, v long"))
+    assert sets(roots) == sets(whole) and roots.count() == whole.count()
+
+
 def pages():
     magic = warc_chain.MAGIC
     fake = f"a{magic}WARC-Type: response\r\nWARC-Record-ID: <urn:page:77>\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n{magic}z"
