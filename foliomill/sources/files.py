@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.column import Column
 
 from foliomill import schemas, states
 
@@ -14,15 +15,13 @@ def scan_uploads(spark: SparkSession, path: str, glob: str = "*", max_bytes: int
     """Path, filename, size_bytes, content_hash, head, tail and content of each file under path.
 
     Sizes are told first: of a file over max_bytes, of any size, nothing is read, and its hash, head,
-    tail and content are null. Columns that a query does not use are not kept.
+    tail and content are null. Empty files have no seen_at. Columns that a query does not use are not kept.
     """
     found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path)
     # the bound on length reaches the scan, which opens no file beyond it
     large = found.where(F.col("length") > max_bytes).select("path", "modificationTime", "length", F.lit(None).cast("binary").alias("content"))
     files = found.where(F.col("length") <= max_bytes).unionByName(large)
-    if empty := empty_files(spark, path, glob):
-        rows = spark.createDataFrame(empty, "path string, millis long").select("path", F.timestamp_millis("millis").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content"))
-        files = files.unionByName(rows)
+    files = files.unionByName(empty_files(found).select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content")))
     size = F.octet_length("content")
     return files.select(
         "path",
@@ -36,17 +35,16 @@ def scan_uploads(spark: SparkSession, path: str, glob: str = "*", max_bytes: int
     )
 
 
-def empty_files(spark: SparkSession, path: str, glob: str = "*") -> list[tuple[str, int]]:
-    """(path, modification time) of the files without content under path, which Spark's scans leave out."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    listed = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
-    pattern, out = jvm.org.apache.hadoop.fs.GlobFilter(glob), []
-    while listed.hasNext():
-        status = listed.next()
-        if status.getLen() == 0 and pattern.accept(status.getPath()):
-            out.append((status.getPath().toString(), status.getModificationTime()))
-    return out
+def empty_files(found: DataFrame) -> DataFrame:
+    """(path) of the files without content among those of a file scan, which list them but give no row.
+
+    The scan's own list becomes a table inside Spark, and what it gives rows for is taken away from it.
+    """
+    spark = found.sparkSession
+    listed = Column(spark._jvm.org.apache.spark.sql.functions.lit(found._jdf.inputFiles()))  # an array that stays in the JVM
+    names = spark.range(1).select(F.explode(listed).alias("name"))
+    left = names.join(found.select(F.input_file_name().alias("name")), "name", "left_anti")
+    return left.select(F.url_decode(F.replace("name", F.lit("+"), F.lit("%2B"))).alias("path"))
 
 
 def scan_table(spark: SparkSession, path: str, table: str) -> DataFrame:

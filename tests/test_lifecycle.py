@@ -262,6 +262,12 @@ def test_files_over_the_limit_are_refused_unread(spark, tmp_path):
 def test_scanning_uploads(spark, tmp_path):
     (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7" + b"x" * 9000 + b"/Encrypt")
     (tmp_path / "b.pdf").write_bytes(b"")
-    rows = {r.filename: r for r in files.scan_uploads(spark, f"file://{tmp_path}").collect()}
+    (tmp_path / "deep er").mkdir()
+    for name in ("c +%é.pdf", "d.txt"):
+        (tmp_path / "deep er" / name).write_bytes(b"")
+    (tmp_path / "deep er" / "e +%é.pdf").write_bytes(b"%PDF-")
+    rows = {r.filename: r for r in files.scan_uploads(spark, f"file://{tmp_path}", "*.pdf").collect()}
+    assert {n: r.size_bytes for n, r in rows.items()} == {"a.pdf": 9016, "b.pdf": 0, "c +%é.pdf": 0, "e +%é.pdf": 5}
+    assert rows["c +%é.pdf"].path.endswith("deep er/c +%é.pdf") and rows["e +%é.pdf"].path.endswith("deep er/e +%é.pdf")
     assert rows["a.pdf"].size_bytes == 9016 and len(rows["a.pdf"].head) == 1024 and len(rows["a.pdf"].tail) == 8192 and rows["a.pdf"].tail.endswith(b"/Encrypt")
     assert rows["b.pdf"].content_hash == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
