@@ -54,6 +54,11 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_few(df: DataFrame, tag: str, rows: int) -> DataFrame:
+    """As written, for a table of at most so many rows: a file for each FEW_ROWS of them, so that small tables have few files and few tasks."""
+    return written(df.coalesce(1 + rows // FEW_ROWS), tag)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -116,31 +121,32 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
     spark = links.sparkSession
     both = links.where("u <> v").select("u", "v")
     live = written(both.union(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "links")
-    mapping = None
+    mapping, most = None, 0
     for turn in range(rounds):
-        if live.isEmpty():
+        n = live.count()
+        most = most or n
+        if not n:
             break
         rank = lambda c: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("h"), F.col(c).alias("id"))
-        hooks = written(
+        hooks = written_few(
             live.groupBy("u").agg(F.min(rank("v")).alias("best")).select("u", F.least(F.col("best"), rank("u"))["id"].alias("to")),
             "hooks",
+            n,
         )
         # one more hop along the hooks: a -> b -> c becomes a -> c
         nxt = hooks.select(F.col("u").alias("to"), F.col("to").alias("further"))
         hooks = join_hot(hooks, nxt, "to", "left").select("u", F.coalesce("further", "to").alias("to"))
-        hooks = written(hooks, "hops")
+        hooks = written_few(hooks, "hops", n)
         if mapping is None:
             mapping = hooks.select(F.col("u").alias("node"), F.col("to").alias("root"))
         else:
             step = hooks.select(F.col("u").alias("root"), "to")
             mapping = join_hot(mapping, step, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-        mapping = written(mapping, "roots")
+        mapping = written_few(mapping, "roots", most)
         left = hooks.select("u", F.col("to").alias("u2"))
         right = hooks.select(F.col("u").alias("v"), F.col("to").alias("v2"))
-        live = written(
-            join_hot(written(join_hot(live, left, "u"), "half"), right, "v").where("u2 <> v2").select(F.col("u2").alias("u"), F.col("v2").alias("v")).distinct(),
-            "links",
-        )
+        half = written_few(join_hot(live, left, "u"), "half", n)
+        live = written_few(join_hot(half, right, "v").where("u2 <> v2").select(F.col("u2").alias("u"), F.col("v2").alias("v")).distinct(), "links", n)
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     if mapping is None:

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill.llm.bpe import slices
-from foliomill.llm.common import connected_components, join_hot, only_rows, text_or_empty, written
+from foliomill.llm.common import connected_components, join_hot, only_rows, text_or_empty, written, written_few
 
 SHINGLE = 4
 RADIUS = 4
@@ -421,11 +421,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def merged_roots(roots: DataFrame, links: DataFrame) -> DataFrame:
     """The (node, root) of components that further links (u, v) join; only the components' roots are gone through again."""
     of = lambda n: roots.select(F.col("node").alias(n), F.col("root").alias(f"{n}_root"))
-    half = written(join_hot(links, of("u"), "u", "left"), "half")
+    half = written_few(join_hot(links, of("u"), "u", "left"), "half", links.count())
     ends = join_hot(half, of("v"), "v", "left").select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
     joined = connected_components(ends)
     moved = join_hot(roots, joined.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-    return moved.unionByName(joined.join(roots, "node", "left_anti"))
+    fresh = joined.join(roots, "node", "left_anti")
+    return written_few(moved.unionByName(fresh), "merged", roots.count() + joined.count())
 
 
 def _similar(docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -452,7 +453,7 @@ def _similar(docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame,
         asked = pairs if asked is None else asked.union(pairs)
         new = written(confirmed(pairs, sets, similarity), "near")
         if not new.isEmpty():
-            roots = connected_components(new) if roots is None else written(merged_roots(roots, new), "merged")
+            roots = connected_components(new) if roots is None else merged_roots(roots, new)
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
     return marked.select("doc_id", "digest", "node"), distinct.select("node", "first_doc"), roots
