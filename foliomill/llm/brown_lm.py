@@ -511,7 +511,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
     at = lambda table, n: F.get(table, n.cast("int"))
     klass = F.coalesce(F.col("class"), F.lit(model.unmet))
     rare = parts.where("word IS NOT NULL AND sides IS NOT NULL").select("key", "word", "sides")
-    single = join_hot(rare, others, "word", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"), klass.alias("class"), "sides")
+    # a row for each rare token: a word that is frequent here and unmet in training is split by the adaptive join itself
+    single = rare.join(others, "word", "left").select("key", F.coalesce("n", F.lit(0)).alias("n"), klass.alias("class"), "sides")
     before, after = F.floor(F.col("sides") / (CLASSES + 1)), F.col("sides") % (CLASSES + 1)
     moves = at(into, before * CLASSES + F.col("class")) + at(from_, F.col("class") * (CLASSES + 1) + after) - at(spread, F.col("class"))
     more = single.groupBy("key").agg(F.sum(F.log10(F.col("n") + 0.5)).alias("rare_sum"), F.count_if(F.col("n") > 0).alias("rare_met"), F.sum(moves).alias("rare_moves"))
