@@ -432,8 +432,9 @@ def fit(train: DataFrame, counts: DataFrame) -> tuple[Lexicon, ClassModel, DataF
     others = written(rare.join(placed.where("word IS NOT NULL").select("word", F.col("to").alias("class")), "word"), "rare")
     pairs = contexts.where("then IS NOT NULL").select("word", "then", "n")
     known = others.select("word", "class")
-    half = written(join_hot(pairs, known.withColumnRenamed("class", "first"), "word").groupBy("first", "then").agg(F.sum("n").alias("n")), "half")
-    both = join_hot(half, known.select(F.col("word").alias("then"), "class"), "then")
+    # no word outside the dictionary is frequent in training, so these keys are never hot
+    half = pairs.join(known.withColumnRenamed("class", "first"), "word").groupBy("first", "then").agg(F.sum("n").alias("n"))
+    both = half.join(known.select(F.col("word").alias("then"), "class"), "then")
     table += _table(both.select((F.col("first") * CLASSES + F.col("class")).alias("to"), "n"), CLASSES)
     seen, types, once = (np.bincount(classes, w, CLASSES) for w in (lex.counts, np.ones(len(classes)), lex.counts == 1))
     for row in others.groupBy("class").agg(F.sum("n"), F.count("*"), F.count_if(F.col("n") == 1)).collect():  # CLASSES rows at most
