@@ -119,9 +119,9 @@ def size_plain(value: Column) -> Column:
 
 
 def size_decimal(value: Column) -> Column:
-    """P20: MB with one decimal, whole KB (halves up) or bytes."""
+    """P20: MB with one decimal (halves to even), whole KB (halves up) or bytes."""
     kb = F.floor(value / 1024.0 + 0.5).cast("long")
-    return F.when(value >= 1048576, F.concat(F.format_string("%.1f", value / 1048576.0), F.lit(" MB"))).when(value >= 1024, F.concat(kb.cast("string"), F.lit(" KB"))).otherwise(F.concat(value.cast("string"), F.lit(" bytes")))
+    return F.when(value >= 1048576, F.concat(F.format_string("%.1f", F.bround(value / 1048576.0, 1)), F.lit(" MB"))).when(value >= 1024, F.concat(kb.cast("string"), F.lit(" KB"))).otherwise(F.concat(value.cast("string"), F.lit(" bytes")))
 
 
 def iso_millis(moment: Column) -> Column:

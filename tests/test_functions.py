@@ -78,6 +78,12 @@ def test_sizes_and_pages(spark):
     assert one(spark, status.page_count_of(F.col("b")), b='{"document":{}}') is None
 
 
+def test_halves_of_sizes_go_to_even(spark):
+    """As printf does: 2.25 MB and 12.25 MB down, 14.55078125 MB and 2.75 MB up."""
+    got = [one(spark, status.size_decimal(F.col("n")), n=n) for n in (2359296, 12845056, 15257600, 2883584, 1048576)]
+    assert got == ["2.2 MB", "12.2 MB", "14.6 MB", "2.8 MB", "1.0 MB"]
+
+
 def test_moments(spark):
     assert one(spark, status.iso_millis(status.parse_moment(F.col("t"))), t="2024-05-01T12:00:00.123456+02:00") == "2024-05-01T10:00:00.123Z"
     assert one(spark, status.iso_millis(status.parse_moment(F.col("t"))), t="2024-05-01T12:00:00") == "2024-05-01T12:00:00.000Z"
