@@ -38,6 +38,8 @@ RESTART_ALARM_SECONDS = 900
 LIST_LIMIT = 100
 LIST_LIMIT_MAX = 500
 INVENTORY_LIMIT = 500
+#: Into how many states the keys of a stream are dealt; fixed for the life of its checkpoint.
+STREAM_BUCKETS = 1024
 EVENTS = (
     "job_accepted", "job_retry_requested", "job_already_converted", "job_submitted", "job_running", "job_split", "job_reconciled",
     "job_recovered", "job_succeeded", "job_failed", "job_timed_out", "part_submitted", "part_succeeded", "part_failed",

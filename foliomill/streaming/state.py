@@ -72,9 +72,10 @@ def step(held: dict | None, event: dict) -> dict:
 
 
 class StateFold(StatefulProcessor):
-    """X1 over a stream: each job's row is what step makes of its events, in their order within a micro-batch.
+    """X1 over a stream, for the jobs of one bucket: each job's row is what step makes of its events, in their order within a micro-batch.
 
-    The state of a job that is over is dropped keep seconds of event time after its end.
+    The state of a job that is over is dropped keep seconds of event time after its end. A bucket has one
+    timer, for whichever of its jobs comes first, so Python is called once a bucket and not once a job.
     """
 
     FIELDS = ("status", "at", "seq", "engine_task_id", "queue_position", "started", "queued_times")
@@ -84,31 +85,49 @@ class StateFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("job", OUTPUT.removeprefix("job_id string, "))
+        self.state = handle.getValueState("jobs", ", ".join(f"{name} array<{kind}>" for name, kind in (c.split() for c in OUTPUT.split(", "))))
 
-    def _hold(self, held: dict) -> None:
-        self.state.update(tuple(held[f] for f in self.FIELDS))
+    def _held(self) -> dict[str, dict]:
+        if not self.state.exists():
+            return {}
+        ids, *columns = self.state.get()
+        return {job: dict(zip(self.FIELDS, values)) for job, *values in zip(ids, *columns)}
+
+    def _over_at(self, held: dict) -> int:
+        return held["at"] // 1000 + 1000 * self.keep
+
+    def _hold(self, jobs: dict[str, dict]) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if held["status"] in states.TERMINAL:
-            self.handle.registerTimer(held["at"] // 1000 + 1000 * self.keep)
+        if not jobs:
+            self.state.clear()
+            return
+        self.state.update((list(jobs), *[[held[f] for held in jobs.values()] for f in self.FIELDS]))
+        ends = [self._over_at(held) for held in jobs.values() if held["status"] in states.TERMINAL]
+        if ends:
+            self.handle.registerTimer(min(ends))
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
-        for row in _records(initialState):
-            self._hold({f: row[f] for f in self.FIELDS})
+        self._hold(self._held() | {row["job_id"]: {f: row[f] for f in self.FIELDS} for row in _records(initialState)})
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = dict(zip(self.FIELDS, self.state.get())) if self.state.exists() else None
-        before = held
-        for batch in rows:
-            for event in _records(batch.sort_values(["at", "seq"])):
-                held = step(held, event)
-        if held != before:
-            self._hold(held)
-            yield pd.DataFrame({"job_id": [key[0]], **{f: pd.Series([held[f]], dtype=object) for f in self.FIELDS}})
+        jobs, changed = self._held(), {}
+        # all of the micro-batch's events of a job are put in order, however many Arrow batches they come in
+        for event in _records(pd.concat(list(rows), ignore_index=True).drop(columns="ts").sort_values(["at", "seq"])):
+            job = event["job_id"]
+            before = jobs.get(job)
+            held = step(before, event)
+            if held is not before:
+                changed.setdefault(job, before)
+                jobs[job] = held
+        fresh = {job: jobs[job] for job, before in changed.items() if jobs[job] != before}
+        if fresh:
+            self._hold(jobs)
+            yield pd.DataFrame({"job_id": pd.Series(list(fresh), dtype=object), **{f: pd.Series([held[f] for held in fresh.values()], dtype=object) for f in self.FIELDS}})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.state.clear()
+        clock = timerValues.getCurrentWatermarkInMs()
+        self._hold({job: held for job, held in self._held().items() if held["status"] not in states.TERMINAL or self._over_at(held) > clock})
         yield from ()
 
     def close(self) -> None:
@@ -117,26 +136,35 @@ class StateFold(StatefulProcessor):
 
 def _records(rows: pd.DataFrame) -> list[dict]:
     """Rows as dictionaries, with plain integers and None."""
-    plain = rows.astype(object).where(rows.notna(), None).to_dict("records")
     whole = ("at", "seq", "queue_position", "started", "queued_times")
-    return [{k: int(v) if k in whole and v is not None else v for k, v in row.items()} for row in plain]
+
+    def plain(name: str) -> list:
+        column = rows[name]
+        if column.dtype == "int64":
+            return column.tolist()
+        values = column.astype(object).where(column.notna(), None).tolist()
+        return [None if v is None else int(v) for v in values] if name in whole else values
+
+    return [dict(zip(rows.columns, values)) for values in zip(*map(plain, rows.columns))]
 
 
-def stream_states(events: DataFrame, lateness: str = "1 day", keep: str = "2 days", known: DataFrame | None = None) -> DataFrame:
+def stream_states(events: DataFrame, lateness: str = "1 day", keep: str = "2 days", known: DataFrame | None = None, buckets: int = states.STREAM_BUCKETS) -> DataFrame:
     """A stream of state changes, to be written in update mode (needs the RocksDB state store).
 
     As fold_states where events come in order; of events that come after later ones of their job only a
     first terminal state still counts. Events later than lateness do not count. The state of a job that is
     over is dropped when event time is keep past its end, so that no event in time can find it gone. known
-    (rows such as fold_states returns, of jobs that exist) is where a new stream starts from.
+    (rows such as fold_states returns, of jobs that exist) is where a new stream starts from. Jobs are held
+    in so many buckets by a hash of their ids; a micro-batch writes the buckets that it changes.
     """
     late, held = (pd.Timedelta(t).total_seconds() for t in (lateness, keep))
     if held < late:
         raise ValueError(f"states kept for {keep} would miss events that are {lateness} late")
     rows = _complete(events.withColumn("ts", F.col("ts").cast("timestamp"))).withWatermark("ts", lateness)
-    slim = rows.select("job_id", "status", "at", "seq", "engine_task_id", "queue_position", "ts")
+    bucket = F.pmod(F.xxhash64("job_id"), F.lit(buckets)).cast("int").alias("bucket")
+    slim = rows.select("job_id", "status", "at", "seq", "engine_task_id", "queue_position", "ts", bucket)
     start = None
     if known is not None:
         micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-        start = known.select("job_id", "status", micros("updated_at").alias("at"), "seq", "engine_task_id", "queue_position", micros("started_at").alias("started"), "queued_times").groupBy("job_id")
-    return slim.groupBy("job_id").transformWithStateInPandas(StateFold(int(held)), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime", initialState=start)
+        start = known.select("job_id", "status", micros("updated_at").alias("at"), "seq", "engine_task_id", "queue_position", micros("started_at").alias("started"), "queued_times", bucket).groupBy("bucket")
+    return slim.groupBy("bucket").transformWithStateInPandas(StateFold(int(held)), outputStructType=OUTPUT, outputMode="Update", timeMode="EventTime", initialState=start)

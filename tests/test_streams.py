@@ -158,3 +158,16 @@ def test_alarm_stream_equals_batch(spark, tmp_path):
     stream = alarms.stream_alarm(spark.readStream.schema("ts timestamp").parquet(f"file://{tmp_path}/events"))
     got = {(r.start, r.restarts, r.alarm) for r in collected(stream, tmp_path, "alarms", "complete")}
     assert got == {(r.start, r.restarts, r.alarm) for r in alarms.stream_alarm(events).collect()} and any(a for _, _, a in got)
+
+
+def test_many_jobs_share_few_states(spark, tmp_path):
+    """Events of a micro-batch are put in order across Arrow batches, and Python is called for buckets of jobs."""
+    schema = "job_id string, status string, ts timestamp, seq long, engine_task_id string, queue_position int"
+    n = 25_000  # more than two Arrow batches, the latest events first
+    rows = [("hot", "queued" if k % 2 else "running", at(k), k, None, k % 5) for k in range(n, 0, -1)] + [(f"j{k}", "queued", at(k), k, None, 0) for k in range(500)]
+    stream = replay(spark, tmp_path, schema, [rows])
+    with rocksdb(spark):
+        found, left = states_left(state.stream_states(stream, buckets=4), tmp_path, "hot", "update")
+    assert len(found) == 501 and left <= 8
+    hot = next(r for r in found if r.job_id == "hot")
+    assert (hot.status, hot.seq, hot.queued_times) == ("running", n, n // 2)
