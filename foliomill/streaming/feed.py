@@ -37,70 +37,86 @@ def changes_from(spark: SparkSession, path: str, schema: str, files_at_once: int
 
 
 class OverdueWatch(StatefulProcessor):
-    """X2 for one job: a timer runs from its creation to the limit while the engine has it.
+    """X2 for the jobs of one bucket: each is watched from its creation to the limit while the engine has it.
 
-    State of a job that need not be watched stays only until event time is past its row, since older rows
-    come no more then.
+    Jobs that need not be watched stay only until event time is past their row, since older rows come no
+    more then. A bucket has one timer, for whichever of its jobs comes first, so Python is called once a
+    bucket and not once a job.
     """
 
+    FIELDS = ("id", "updated", "due", "watched")
+
     def __init__(self, limit: int):
         self.limit = limit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("job", "updated long, due long, watched boolean")
+        self.state = handle.getValueState("jobs", "id array<string>, updated array<long>, due array<long>, watched array<boolean>")
+
+    def _held(self) -> list[pd.DataFrame]:
+        return [pd.DataFrame(dict(zip(self.FIELDS, self.state.get())))] if self.state.exists() else []
 
-    def _hold(self, held: tuple[int, int, bool], clock: int) -> None:
-        updated, due, watched = held
+    def _told(self, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[rows["updated"].notna()]
+        # a job that need not be watched may have no time of creation
+        due = rows["created"].where(rows["watched"], 0).astype("int64") + 1_000_000 * self.limit
+        return pd.DataFrame({"id": rows["id"], "updated": rows["updated"].astype("int64"), "due": due, "watched": rows["watched"].astype(bool)})
+
+    def _timers(self, jobs: pd.DataFrame) -> pd.Series:
+        # timers know milliseconds: never before the limit
+        return (-(-jobs["due"] // 1000)).where(jobs["watched"], jobs["updated"] // 1000 + 1)
+
+    def _hold(self, jobs: pd.DataFrame, clock: int) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
-        if not watched and updated < 1000 * clock:
+        jobs = jobs[jobs["watched"] | (jobs["updated"] >= 1000 * clock)]
+        if jobs.empty:
             self.state.clear()
             return
-        self.state.update(held)
-        # timers know milliseconds: never before the limit
-        self.handle.registerTimer(-(-due // 1000) if watched else updated // 1000 + 1)
+        self.state.update(tuple(jobs[f].tolist() for f in self.FIELDS))
+        self.handle.registerTimer(int(self._timers(jobs).min()))
+
+    def _merge(self, rows: list[pd.DataFrame], clock: int) -> None:
+        """Of each job the latest row, of equally late ones the last that came."""
+        jobs = pd.concat([*self._held(), *map(self._told, rows)], ignore_index=True)
+        self._hold(jobs.sort_values("updated", kind="stable").drop_duplicates("id", keep="last"), clock)
 
     def handleInitialState(self, key, initialState, timerValues) -> None:  # noqa: N802, N803
-        for row in initialState.to_dict("records"):
-            self._hold((int(row["updated"]), int(row["created"]) + 1_000_000 * self.limit, bool(row["watched"])), timerValues.getCurrentWatermarkInMs())
+        self._merge([initialState], timerValues.getCurrentWatermarkInMs())
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self.state.get() if self.state.exists() else None
-        updated = held[0] if held else -1
-        for batch in rows:
-            for at, created, watched in zip(batch["updated"], batch["created"], batch["watched"]):
-                if at >= updated:
-                    updated, held = int(at), (int(at), int(created) + 1_000_000 * self.limit, bool(watched))
-        self._hold(held, timerValues.getCurrentWatermarkInMs())
+        self._merge(list(rows), timerValues.getCurrentWatermarkInMs())
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        updated, due, watched = self.state.get()
-        self._hold((updated, due, False), timerValues.getCurrentWatermarkInMs())
-        if watched:
-            yield pd.DataFrame({"id": [key[0]], "due": [due]})
+        jobs, clock = self._held()[0], timerValues.getCurrentWatermarkInMs()
+        over = jobs["watched"] & (self._timers(jobs) <= clock)
+        self._hold(jobs.assign(watched=jobs["watched"] & ~over), clock)
+        if over.any():
+            yield jobs.loc[over, ["id", "due"]]
 
     def close(self) -> None:
         pass
 
 
-def _slim(jobs: DataFrame) -> DataFrame:
-    watched = F.col("status").isin(*states.CONVERTING) & (F.col("part_count") <= 1)
+def _slim(jobs: DataFrame, buckets: int) -> DataFrame:
     created = F.unix_micros(F.col("created_at").cast("timestamp"))
-    return jobs.select("id", "updated_at", F.unix_micros("updated_at").alias("updated"), created.alias("created"), watched.alias("watched"))
+    watched = F.col("status").isin(*states.CONVERTING) & (F.col("part_count") <= 1) & created.isNotNull()
+    bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int")
+    return jobs.select("id", "updated_at", F.unix_micros("updated_at").alias("updated"), created.alias("created"), F.coalesce(watched, F.lit(False)).alias("watched"), bucket.alias("bucket"))
 
 
-def overdue_stream(jobs: DataFrame, lateness: str = "1 minute", limit: int = states.JOB_TIMEOUT_SECONDS, known: DataFrame | None = None) -> DataFrame:
+def overdue_stream(jobs: DataFrame, lateness: str = "1 minute", limit: int = states.JOB_TIMEOUT_SECONDS, known: DataFrame | None = None, buckets: int = states.STREAM_BUCKETS) -> DataFrame:
     """X2 over a stream of job rows: (id, due_at) of each unsplit job that the engine still has at the limit.
 
     The clock is event time, which any job's row moves on, so a job that goes silent is named too. A job
     is named once, unless a later row gives it back to the engine. known (a table with a row for each job)
     is where a new stream starts from. Jobs that need no watching leave the state when event time less
-    lateness is past their last row. Needs the RocksDB state store.
+    lateness is past their last row. Jobs are held in so many buckets by a hash of their ids; a micro-batch
+    writes the buckets that it meets. Needs the RocksDB state store.
     """
     timed = lambda df: df.withColumn("updated_at", F.col("updated_at").cast("timestamp"))
-    start = None if known is None else _slim(timed(known)).drop("updated_at").groupBy("id")
-    rows = _slim(timed(jobs).withWatermark("updated_at", lateness))
-    found = rows.groupBy("id").transformWithStateInPandas(OverdueWatch(limit), outputStructType="id string, due long", outputMode="Append", timeMode="EventTime", initialState=start)
+    start = None if known is None else _slim(timed(known), buckets).drop("updated_at").groupBy("bucket")
+    rows = _slim(timed(jobs).withWatermark("updated_at", lateness), buckets)
+    found = rows.groupBy("bucket").transformWithStateInPandas(OverdueWatch(limit), outputStructType="id string, due long", outputMode="Append", timeMode="EventTime", initialState=start)
     return found.select("id", F.timestamp_micros("due").alias("due_at"))

@@ -171,3 +171,12 @@ def test_many_jobs_share_few_states(spark, tmp_path):
     assert len(found) == 501 and left <= 8
     hot = next(r for r in found if r.job_id == "hot")
     assert (hot.status, hot.seq, hot.queued_times) == ("running", n, n // 2)
+
+
+def test_many_watched_jobs_share_few_states(spark, tmp_path):
+    schema = "id string, status string, part_count int, created_at timestamp, updated_at timestamp"
+    rows = [(f"w{k}", "running", 1, at(k), at(k)) for k in range(600)] + [("none", "queued", 1, None, at(5))]
+    stream = replay(spark, tmp_path, schema, [rows, [("clock", "queued", 1, at(3100), at(3100))]])
+    with rocksdb(spark):
+        found, left = states_left(feed.overdue_stream(stream, buckets=4), tmp_path, "watched", "append")
+    assert sorted(int(r.id[1:]) for r in found) == list(range(341)) and left <= 8  # 2700 s before the clock less a minute
