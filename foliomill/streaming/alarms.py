@@ -39,10 +39,13 @@ def stream_alarm(events: DataFrame, lateness: str = "10 minutes", count: int = s
 
 
 class AlarmWindow(StatefulProcessor):
-    """X7 for one key: events that wait for the clock to pass their second, and how many fell on each second before."""
+    """X7 for one slice of a key's time: its events that wait for the clock to pass their second, and how many fell on each second of it and of the window before.
 
-    def __init__(self, seconds: int, count: int):
-        self.seconds, self.count = seconds, count
+    The slice's number is the last of the key; its state ends when the clock has passed its end.
+    """
+
+    def __init__(self, seconds: int, count: int, width: int):
+        self.seconds, self.count, self.width = seconds, count, width
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -51,40 +54,42 @@ class AlarmWindow(StatefulProcessor):
     def _held(self) -> tuple[list, list, list, list]:
         return tuple(map(list, self.state.get())) if self.state.exists() else ([], [], [], [])
 
-    def _keep(self, told: list, n: list, at: list, ids: list) -> None:
-        """Holds what is left, with one timer: for the earliest event that waits, or else for the end of what can still count."""
+    def _keep(self, end: int, told: list, n: list, at: list, ids: list) -> None:
+        """Holds what is left, with one timer: for the earliest event that waits, or else for the end of the slice."""
         for due in list(self.handle.listTimers()):
             self.handle.deleteTimer(due)
-        if not told and not at:
-            self.state.clear()
-            return
         self.state.update((told, n, at, ids))
-        self.handle.registerTimer(1000 * (min(at) // 1_000_000 + 1 if at else told[-1] + self.seconds + 1))
+        self.handle.registerTimer(1000 * (min(at) // 1_000_000 + 1 if at else end))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         told, n, at, ids = self._held()
         passed = timerValues.getCurrentWatermarkInMs()
+        fell = [np.repeat(np.array(told, np.int64), n)]
         for batch in rows:
             in_time = batch[1000 * (batch["at"] // 1_000_000 + 1) > passed]
-            at += in_time["at"].tolist()
-            ids += in_time["id"].tolist()
-        self._keep(told, n, at, ids)
+            fell.append(in_time["at"].to_numpy() // 1_000_000)
+            own = in_time[in_time["own"]]
+            at += own["at"].tolist()
+            ids += own["id"].tolist()
+        seconds, sizes = np.unique(np.concatenate(fell), return_counts=True)
+        if len(seconds):
+            self._keep(self.width * (int(key[-1]) + 1), seconds.tolist(), sizes.tolist(), at, ids)
         yield from ()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         told, n, at, ids = self._held()
-        clock = timerValues.getCurrentWatermarkInMs() // 1000
+        clock, end = timerValues.getCurrentWatermarkInMs() // 1000, self.width * (int(key[-1]) + 1)
         second = np.array(at, np.int64) // 1_000_000
         order = np.argsort(second, kind="stable")
         ready, waits = order[second[order] < clock], order[second[order] >= clock]
-        now, many = np.unique(second[ready], return_counts=True)
-        seconds, sizes = np.r_[np.array(told, np.int64), now], np.r_[np.array(n, np.int64), many]
-        before = np.r_[0, np.cumsum(sizes)]
-        recent = before[np.searchsorted(seconds, second[ready], "right")] - before[np.searchsorted(seconds, second[ready] - self.seconds, "left")]
-        still = seconds + self.seconds >= clock
-        self._keep(seconds[still].tolist(), sizes[still].tolist(), [at[k] for k in waits], [ids[k] for k in waits])
+        before = np.r_[0, np.cumsum(np.array(n, np.int64))]
+        recent = before[np.searchsorted(told, second[ready], "right")] - before[np.searchsorted(told, second[ready] - self.seconds, "left")]
+        if clock >= end:
+            self.state.clear()
+        else:
+            self._keep(end, told, n, [at[k] for k in waits], [ids[k] for k in waits])
         if len(ready):
-            out = {f"key{k}": [value] * len(ready) for k, value in enumerate(key)}
+            out = {f"key{k}": [value] * len(ready) for k, value in enumerate(key[:-1])}
             yield pd.DataFrame({**out, "id": [ids[k] for k in ready], "at": [at[k] for k in ready], "recent": recent, "alarm": recent >= self.count})
 
     def close(self) -> None:
@@ -98,14 +103,21 @@ def stream_rolling_alarm(
 
     An event is told, once, as soon as event time less lateness has passed its second, since then no event
     that counts for it can still come; so the stream gives what rolling_alarm gives, whatever the order in
-    which events come within lateness. Later ones do not count. A key's state holds the events of lateness
-    and a number for each second of the window, and ends with them. Needs the RocksDB state store.
+    which events come within lateness. Later ones do not count. A key's time is cut into slices of four
+    windows, each with a state of its own, which holds its events of lateness and a number for each second
+    of the slice and of the window before, and ends with it; an event near a slice's end counts in the next
+    slice too. So frequent keys are many states. Needs the RocksDB state store.
     """
+    width = 4 * max(seconds, 1)
+    second = F.unix_seconds("ts")
+    home = F.floor(second / width)
+    place = lambda number, own: F.struct(number.alias("slice"), F.lit(own).alias("own"))
+    places = F.when(second + seconds >= width * (home + 1), F.array(place(home, True), place(home + 1, False))).otherwise(F.array(place(home, True)))
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
-    slim = timed.select(*[F.col(c).cast("string").alias(f"key{k}") for k, c in enumerate(key)], F.lit("").alias("all"), F.col(event_id).cast("string").alias("id"), F.unix_micros("ts").alias("at"), "ts")
+    slim = timed.select(*[F.col(c).cast("string").alias(f"key{k}") for k, c in enumerate(key)], F.lit("").alias("all"), F.col(event_id).cast("string").alias("id"), F.unix_micros("ts").alias("at"), "ts", F.explode(places).alias("place")).select("*", "place.*").drop("place")
     names = [f"key{k}" for k in range(len(key))] or ["all"]
     schema = ", ".join([f"key{k} string" for k in range(max(len(key), 1))] + ["id string", "at long", "recent long", "alarm boolean"])
-    found = slim.groupBy(*names).transformWithStateInPandas(AlarmWindow(seconds, count), outputStructType=schema, outputMode="Append", timeMode="EventTime")
+    found = slim.groupBy(*names, "slice").transformWithStateInPandas(AlarmWindow(seconds, count, width), outputStructType=schema, outputMode="Append", timeMode="EventTime")
     return found.select(*[F.col(f"key{k}").alias(c) for k, c in enumerate(key)], F.col("id").alias(event_id), F.timestamp_micros("at").alias("ts"), "recent", "alarm")
 
 

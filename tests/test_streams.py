@@ -180,3 +180,18 @@ def test_many_watched_jobs_share_few_states(spark, tmp_path):
     with rocksdb(spark):
         found, left = states_left(feed.overdue_stream(stream, buckets=4), tmp_path, "watched", "append")
     assert sorted(int(r.id[1:]) for r in found) == list(range(341)) and left <= 8  # 2700 s before the clock less a minute
+
+
+def test_alarms_of_a_frequent_key_are_many_states(spark, tmp_path):
+    """A slice of an hour is a state; those whose end is past are gone."""
+    schema = "event_id long, kind string, ts timestamp"
+    rows = [(k, "a", at(k * 20)) for k in range(4320)]  # one key for a day
+    stream = replay(spark, tmp_path, schema, [rows])
+    with rocksdb(spark):
+        frame = alarms.stream_rolling_alarm(stream, ["kind"], "event_id")
+        query = frame.writeStream.format("memory").queryName("slices").outputMode("append").option("checkpointLocation", f"file://{tmp_path}/slices").trigger(availableNow=True).start()
+        query.awaitTermination()
+    states = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    got = sorted((int(r.event_id), r.recent) for r in spark.table("slices").collect())
+    assert got == [(k, min(k, 45) + 1) for k in range(len(got))] and len(got) == 4289  # up to ten minutes before the last
+    assert max(states) >= 24 and states[-1] <= 2 * 2
