@@ -15,12 +15,14 @@ from pyspark.sql import functions as F
 
 from foliomill import states
 from foliomill.functions.naming import output_filename, section_filename, slug
-from foliomill.functions.text import BREAK, has_text, let, lines_with_ends, without_end
+from foliomill.functions.text import BREAK, has_text, let, without_end
 
 MARK = "\uffff"
 LINE_START, GAP = rf"(?<![^{BREAK}])", rf"[\s&&[^{BREAK}]]"
-FENCE_START = rf"(?U){LINE_START}{GAP}{{0,3}}(?:```|~~~)"
-HEADING_START = rf"(?U){LINE_START}#{{1,6}}{GAP}"
+# what stands at few places comes first and is looked back from, so that other characters cost one comparison
+FENCE_START = rf"(?U)[`~](?<={LINE_START}{GAP}{{0,3}}[`~])(?:(?<=`)``|(?<=~)~~)"
+HEADING_START = rf"(?U)#(?<={LINE_START}#)#{{0,5}}{GAP}"
+LINE_END = rf"[{BREAK}](?<!\r(?=\n))"
 HEADING = r"(?U)^(#{1,6})\s+(.*?)\s*#*\s*$"
 
 
@@ -111,7 +113,8 @@ def sections_of(text: Column, min_bytes: int = states.SECTION_MIN_BYTES, max_byt
 
 def headings(docs: DataFrame, key: str = "doc_id", markdown: str = "markdown") -> DataFrame:
     """(key, at, level, title) of the headings outside code fences; at counts lines from 0."""
-    lines = docs.select(key, F.posexplode(lines_with_ends(_marked(_held(F.col(markdown))))).alias("at", "raw")).where(F.col("raw").startswith(f"{MARK}h"))
+    ended = F.regexp_replace(_marked(_held(F.col(markdown))), LINE_END, f"$0{MARK}l")
+    lines = docs.select(key, F.posexplode(F.split(ended, f"{MARK}l")).alias("at", "raw")).where(F.col("raw").startswith(f"{MARK}h"))
     line = F.substring(without_end(F.col("raw")), 3, 1 << 30)
     return lines.select(key, "at", F.length(F.regexp_extract(line, HEADING, 1)).alias("level"), _freed(F.regexp_extract(line, HEADING, 2)).alias("title"))
 
