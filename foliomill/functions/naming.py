@@ -9,7 +9,7 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliomill.functions.text import strip
+from foliomill.functions.text import let, strip
 
 MAX_SLUG, MAX_SECTION_SLUG, HASH_PREFIX = 80, 40, 12
 
@@ -34,10 +34,11 @@ def ascii_folds() -> tuple[dict[str, str], dict[str, str]]:
 def nfkd_ascii(name: Column) -> Column:
     """Compatibility decomposition without what is not ASCII. It is that of each character, as reordering moves marks only."""
     one, more = ascii_folds()
-    single = F.translate(name, "".join(one), "".join(one.values()))
     table = F.create_map(*[F.lit(x) for pair in more.items() for x in pair])
-    spelled = F.array_join(F.transform(F.regexp_extract_all(single, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c <= "\x7f", c).otherwise(F.coalesce(F.element_at(table, c), F.lit("")))), "")
-    return F.when(name.rlike(r"^[\x00-\x7F]*$"), name).when(single.rlike(r"^[\x00-\x7F]*$"), single).otherwise(spelled)
+    ascii_only = lambda c: c.rlike(r"^[\x00-\x7F]*$")
+    spelled = lambda single: F.array_join(F.transform(F.regexp_extract_all(single, F.lit("(?s)."), F.lit(0)), lambda c: F.when(c <= "\x7f", c).otherwise(F.coalesce(F.element_at(table, c), F.lit("")))), "")
+    folded = lambda single: F.when(ascii_only(single), single).otherwise(spelled(single))
+    return let(name, lambda n: F.when(ascii_only(n), n).otherwise(let(F.translate(n, "".join(one), "".join(one.values())), folded)))
 
 
 def slug(name: Column) -> Column:
@@ -49,7 +50,7 @@ def slug(name: Column) -> Column:
 def _slug_of_ascii(text: Column) -> Column:
     dashed = F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     cut = F.regexp_replace(F.substring(dashed, 1, MAX_SLUG), "^-+|-+$", "")
-    return F.coalesce(F.nullif(cut, F.lit("")), F.lit("document"))
+    return let(cut, lambda c: F.coalesce(F.nullif(c, F.lit("")), F.lit("document")))
 
 
 def output_filename(slugged: Column, content_hash: Column) -> Column:

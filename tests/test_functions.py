@@ -154,3 +154,8 @@ def test_logs_are_read_and_jobs_of_a_document_are_newest_first(spark, tmp_path):
     assert [(r.event, r.file) for r in logs.read_logs(spark, f"file://{tmp_path}").collect()] == [("job_submitted", "a b.pdf")]
     jobs = spark.createDataFrame([("1", "h", dt.datetime(2024, 1, 1)), ("2", "h", dt.datetime(2024, 1, 2)), ("3", "g", dt.datetime(2024, 1, 3))], "id string, content_hash string, created_at timestamp")
     assert [r.id for r in registry.jobs_of_document(jobs, "h").collect()] == ["2", "1"]
+
+
+def test_a_slug_computes_its_name_once(spark):
+    plan = spark.range(1).select(naming.slug(F.concat(F.lit("é.pdf"), F.col("id").cast("string"))).alias("s"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(r"(?i)\.pdf$") == 1 and plan.count("[^a-z0-9]+") == 1
