@@ -271,3 +271,28 @@ def test_scanning_uploads(spark, tmp_path):
     assert rows["c +%é.pdf"].path.endswith("deep er/c +%é.pdf") and rows["e +%é.pdf"].path.endswith("deep er/e +%é.pdf")
     assert rows["a.pdf"].size_bytes == 9016 and len(rows["a.pdf"].head) == 1024 and len(rows["a.pdf"].tail) == 8192 and rows["a.pdf"].tail.endswith(b"/Encrypt")
     assert rows["b.pdf"].content_hash == "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+
+
+def test_cheap_parts_are_called_in_groups_and_faults_cost_their_part_only():
+    import os
+    import time
+
+    import pandas as pd
+
+    from foliomill.plans.isolated import convert_isolated
+
+    def converter(parts):
+        for n in parts["n"]:
+            if n == 700:
+                os._exit(3)
+            if n == 900:
+                time.sleep(60)
+            if n == 1100:
+                raise ValueError("bad")
+        return [(f"p{n} of {len(parts) > 1}", "success", []) for n in parts["n"]]
+
+    found = convert_isolated(converter, pd.DataFrame({"n": range(3000)}), 1.0)
+    odd = {n: r[1] for n, r in enumerate(found) if r[1] != "success"}
+    assert len(found) == 3000 and odd == {700: "lost", 900: "timed_out", 1100: "failure"}
+    assert all(r[0].startswith(f"p{n} ") for n, r in enumerate(found) if n not in odd)
+    assert sum(r[0].endswith("True") for r in found if r[0]) > 1000  # most were called in groups
