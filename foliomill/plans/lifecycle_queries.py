@@ -269,10 +269,12 @@ def x8_change_feed(d):
     jobs = d.jobs.select("id", "status", "updated_at")
     first = jobs.select("id", F.lit("queued").alias("status"), (F.col("updated_at") - F.expr("INTERVAL '1' HOUR")).alias("updated_at"))
     source, table, mark = (scratch(d, t) for t in ("changes", "jobs", "mark"))
-    first.coalesce(2).write.parquet(source)
-    jobs.coalesce(2).write.mode("append").parquet(source)
+    first.write.parquet(source)
+    jobs.write.mode("append").parquet(source)
     schema = "id string, status string, updated_at timestamp_ntz"
-    feed.follow_changes(feed.changes_from(d.spark, source, schema, 1), table, mark, keys=["id"], fold_every=2).awaitTermination()
+    # a few micro-batches, each of as many files as it takes, so that no task has a large part of the rows
+    files = len(d.spark.read.schema(schema).parquet(source).inputFiles())
+    feed.follow_changes(feed.changes_from(d.spark, source, schema, -(-files // 4)), table, mark, keys=["id"], fold_every=2).awaitTermination()
     return sinks.read_table(d.spark, table, ["id"], "updated_at", schema)
 
 

@@ -87,8 +87,8 @@ def _written() -> Column:
 def read_table(spark: SparkSession, path: str, keys: list[str], version: str, schema: str | None = None) -> DataFrame:
     """Of each key the row with the latest version; on a tie the one written last. Keys whose latest row is a tombstone are gone.
 
-    An aggregation, so rows of a key that changed often are reduced where they are read. Without any
-    batch the table is empty and needs its schema.
+    Rows are dealt by key first, as what an aggregation of whole rows sorts where it reads them has no bound
+    but the size of a file's split. Without any batch the table is empty and needs its schema.
     """
     folders, _ = _batches(spark, path)
     if not folders:
@@ -96,7 +96,7 @@ def read_table(spark: SparkSession, path: str, keys: list[str], version: str, sc
     read = spark.read.schema(f"{schema}, {TOMBSTONE} boolean") if schema else spark.read.option("mergeSchema", True)
     rows = read.parquet(*folders)
     order = F.struct(F.col(version).alias("version"), _written().alias("written"))
-    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), order).alias("__row")).select("__row.*")
+    last = rows.withColumn("__order", order).repartition(*keys).groupBy(*keys).agg(F.max_by(F.struct(*rows.columns), F.col("__order")).alias("__row")).select("__row.*")
     return last.where(F.col(TOMBSTONE).isNull()).drop(TOMBSTONE) if TOMBSTONE in rows.columns else last
 
 

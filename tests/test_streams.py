@@ -5,6 +5,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from foliomill.plans.lifecycle_queries import rocksdb
 from foliomill.sources import logs, sinks
@@ -195,3 +196,14 @@ def test_alarms_of_a_frequent_key_are_many_states(spark, tmp_path):
     got = sorted((int(r.event_id), r.recent) for r in spark.table("slices").collect())
     assert got == [(k, min(k, 45) + 1) for k in range(len(got))] and len(got) == 4289  # up to ten minutes before the last
     assert max(states) >= 24 and states[-1] <= 2 * 2
+
+
+def test_a_table_of_changes_is_sorted_after_its_shuffle_only(spark, tmp_path):
+    """What is read is not sorted in the tasks that read it, whose share grows with the table."""
+    path = f"file://{tmp_path}/deals"
+    for number in range(2):
+        sinks.upsert_table(spark.range(100).select(F.col("id").cast("string").alias("id"), F.lit(number).alias("v")), path, number)
+    table = sinks.read_table(spark, path, ["id"], "v")
+    plan = table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Sort" not in plan[plan.index("Exchange") :]
+    assert table.agg(F.count("*"), F.min("v")).first() == (100, 1)
