@@ -43,7 +43,10 @@ def s1_scan_uploads(d):
     """A file for each supplier, written and scanned again."""
     path = fresh_path(d.spark, "uploads")
     text = F.concat(F.repeat(F.concat("s_name", F.lit(" ")), (F.col("s_suppkey") % 50).cast("int")), (F.col("s_acctbal") > 0).cast("string"))
-    d.table("supplier").select("s_suppkey", text.alias("text")).write.partitionBy("s_suppkey").text(path)
+    rows = d.table("supplier").select("s_suppkey", text.alias("text"))
+    # files are written, and put in their place, by many tasks
+    tasks = max(1, min(1024, -(-rows.count() // 500)))
+    rows.repartition(tasks, "s_suppkey").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("s_suppkey").text(path)
     found = files.scan_uploads(d.spark, path, "part-*")
     key = F.regexp_extract("path", r"s_suppkey=(\d+)/", 1).cast("long")
     return found.select(key.alias("s_suppkey"), "size_bytes", "content_hash", F.col("head").cast("string").alias("head"), F.col("tail").cast("string").alias("tail"))
