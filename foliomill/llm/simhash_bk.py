@@ -28,9 +28,11 @@ in common with a probability of 0.9996, and stands within the radius but for one
 Only texts that share a shard with another are looked at further; sets of others are not moved.
 Candidates are confirmed in rounds, nearest first, so that a large group of near copies costs no square
 of links: a text meets its nearest in its own block of a shard, then each component the nearest other
-ones through one text each, and later rounds take more of what is still apart; the texts of a shard's
-largest component do not ask there, as the others ask them. The last round takes all that is left, so
-no candidate goes unseen.
+ones through one text each. The last round takes all that is left, so no candidate goes unseen; the texts
+of a shard's largest component do not ask there, as the others ask them. A large group of texts that are
+nearly similar enough has as many candidates there as the square of its size, so they never leave a task:
+a first pass tells the texts that have one, their sets are sent to the groups that asked, and a second
+pass confirms them block against block and tells stars of links.
 """
 
 from __future__ import annotations
@@ -60,7 +62,7 @@ WIDE, WIDE_SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 8, 5, 0.8, 20, 5
 #: Standard deviations that the radius of candidates leaves above the mean; small sets, where half of the hashes may have a bit, vary more.
 DEVIATIONS = 4
 #: Who asks in each round, and how many of its nearest candidates are confirmed (all at last): texts in their block, one text of each component, all texts.
-ROUNDS = (("block", 1), ("one", 4), ("all", 4), ("all", 32), ("all", 1 << 62))
+ROUNDS = (("block", 1), ("one", 4), ("all", 1 << 62))
 #: Fingerprints of a shard that one group of candidates holds at most, besides those that ask.
 PAIR_BLOCK = 1024
 #: Texts with candidates up to which their list is broadcast; beyond, the sets of all texts take one shuffle.
@@ -69,6 +71,8 @@ BROADCAST_NODES = 1_000_000
 BROADCAST_SHARDS = 200_000
 #: Comparisons that a task may have in memory at once, and fingerprints that it copies for them at a time.
 PAIRS_AT_ONCE, ROWS_AT_ONCE = 1 << 21, 1 << 15
+#: Shingles of the sets that a block of texts holds at most, unless one text has more, and that are looked up at a time.
+SET_BLOCK = 1 << 22
 
 
 def shingle_hashes(text: str | None, width: int = SHINGLE) -> np.ndarray:
@@ -229,11 +233,40 @@ def near_pairs(value: np.ndarray, group: np.ndarray, rows: dict[str, np.ndarray]
     return a[taken], b[taken]
 
 
+def similar_pairs(sets: np.ndarray, a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the sets (arrays of distinct hashes) a and b of each pair have that Jaccard similarity or more."""
+    out = np.zeros(len(a), bool)
+    if not len(a):
+        return out
+    used, which = np.unique(np.r_[a, b], return_inverse=True)
+    sizes = np.fromiter(map(len, sets[used]), np.int64, len(used))
+    number, ends = np.unique(np.concatenate(sets[used]), return_inverse=True)[1], np.cumsum(sizes)
+    own = np.split(number, ends[:-1])
+    a, b = which[: len(a)], which[len(a) :]
+    order = np.argsort(a, kind="stable")
+    here = np.zeros(number.max(initial=-1) + 1, bool)
+    for pairs in np.split(order, np.flatnonzero(np.diff(a[order])) + 1):
+        one = a[pairs[0]]
+        here[own[one]] = True
+        turn = np.cumsum(sizes[b[pairs]]) // SET_BLOCK
+        for some in np.split(pairs, np.flatnonzero(np.diff(turn)) + 1):
+            found = np.r_[0, np.cumsum(here[np.concatenate([own[n] for n in b[some]])])]
+            last = np.cumsum(sizes[b[some]])
+            common = found[last] - found[last - sizes[b[some]]]
+            out[some] = common / (sizes[one] + sizes[b[some]] - common) >= similarity
+        here[own[one]] = False
+    return out
+
+
 def by_groups(key: list[str], columns: list[str], work):
-    """A mapInArrow function over rows sorted by key: work(numbers of groups, rows) on whole groups, many at a time."""
+    """A mapInArrow function over rows sorted by key: work(numbers of groups, rows) on whole groups, many at a time. Columns are numbers, or lists of longs."""
+
+    def values(column: pa.Array) -> np.ndarray:
+        found = column.to_numpy(zero_copy_only=False)
+        return found if pa.types.is_list(column.type) else found.astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {c: np.empty(0, np.int64) for c in columns}
+        held: dict[str, np.ndarray] = {}
         numbers, last, number = np.empty(0, np.int64), None, 0
         for batch in batches:
             if not batch.num_rows:
@@ -243,7 +276,8 @@ def by_groups(key: list[str], columns: list[str], work):
             new = number + np.cumsum((keys != before).any(0))
             number, last = int(new[-1]), keys[:, -1:]
             numbers = np.r_[numbers, new]
-            held = {c: np.r_[held[c], batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64)] for c in columns}
+            fresh = {c: values(batch.column(c)) for c in columns}
+            held = {c: np.concatenate([held[c], fresh[c]]) for c in columns} if held else fresh
             whole = numbers != number
             if whole.any():
                 yield from work(numbers[whole], {c: x[whole] for c, x in held.items()})
@@ -361,10 +395,10 @@ def crowded_nodes(distinct: DataFrame) -> DataFrame:
     return written(rows.join(crowded.select("choice", "bits"), ["choice", "bits"], "left_semi").select("node").distinct(), "crowded")
 
 
-def wide_links(nodes: DataFrame, radius: int, similarity: float, who: str, top: int, words: int = WIDE, block: int = PAIR_BLOCK) -> DataFrame | None:
-    """Candidates (u, v) among nodes (node, label, size, w0, ..., bands) whose labels differ and that share a shard: of each that asks its top nearest.
+def wide_links(nodes: DataFrame, sets: DataFrame, radius: int, similarity: float, who: str, top: int, words: int = WIDE, block: int = PAIR_BLOCK) -> DataFrame | None:
+    """Links (u, v) among nodes (node, label, size, w0, ..., bands) whose labels differ and that share a shard: of each that asks its top nearest candidates are confirmed by their sets (node, shingles).
 
-    None if no shard has different labels.
+    None if no shard has different labels. Where all ask, links are stars, which have the same components.
     """
     columns = [f"w{k}" for k in range(words)]
     # where all ask, a text carries 32 bits of each of its bands' keys
@@ -372,11 +406,12 @@ def wide_links(nodes: DataFrame, radius: int, similarity: float, who: str, top:
     again = [f"b{k}" for k in range((BANDS + 1) // 2)] if who == "all" else []
     codes = [F.coalesce(code(2 * k), F.lit(0)).bitwiseOR(F.shiftleft(F.coalesce(code(2 * k + 1), F.lit(0)), 32)).alias(b) for k, b in enumerate(again)]
     rows = nodes.select("node", "label", "size", *columns, *codes, F.posexplode("bands").alias("choice", "bits"))
-    labels = rows.groupBy("choice", "bits", "label").agg(F.count("*").alias("n"), F.min("node").alias("first"))
-    shards = labels.groupBy("choice", "bits").agg(F.sum("n").alias("count"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1")
-    # one text of each label stands for it, or all do
+    labels = rows.groupBy("choice", "bits", "label").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"), F.min("node").alias("first"))
+    shards = labels.groupBy("choice", "bits").agg(F.sum("n").alias("count"), F.sum("shingles").alias("shingles"), F.count("*").alias("labels"), F.max(F.struct("n", "label")).alias("most")).where("labels > 1")
+    # one text of each label stands for it, or all do; where sets are sent too, a block has not too many shingles
     size = F.col("labels") if who == "one" else F.col("count")
-    shards = written(shards.select("choice", "bits", F.when(F.col("most.n") > 1, F.col("most.label")).alias("main"), F.ceil(size / F.lit(block)).cast("int").alias("parts")), "shards")
+    parts = F.greatest(size / F.lit(block), F.col("shingles") / F.lit(SET_BLOCK)) if who == "all" else size / F.lit(block)
+    shards = written(shards.select("choice", "bits", F.when(F.col("most.n") > 1, F.col("most.label")).alias("main"), F.ceil(parts).cast("int").alias("parts")), "shards")
     number = shards.count()
     if not number:
         return None
@@ -389,24 +424,60 @@ def wide_links(nodes: DataFrame, radius: int, similarity: float, who: str, top:
     rows = rows.withColumns({"own": own, "ask": asks.cast("int"), "block": F.explode(blocks)}).withColumn("tree", (F.col("own") == F.col("block")).cast("int"))
     key, held = ["choice", "bits", "block"], ["node", "label", "size", "ask", "tree", *columns, *again]
 
+    def candidates(group: np.ndarray, some: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        u, v = near_pairs(np.stack([some[c].view(np.uint64) for c in columns], 1), group, some, radius, similarity, top)
+        if not again:
+            return u, v
+        # a pair is told in the first shard that both are in
+        met = np.zeros(len(u), bool)
+        for n in range(BANDS):
+            codes = some[again[n // 2]].view(np.uint32).reshape(-1, 2)[:, n % 2]
+            met |= (n < some["choice"][u]) & (codes[u] == codes[v])
+        return u[~met], v[~met]
+
     def pairs(numbers: np.ndarray, found: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for group, some in turns(numbers, found):
-            value = np.stack([some[c].view(np.uint64) for c in columns], 1)
-            u, v = near_pairs(value, group, some, radius, similarity, top)
-            if again:
-                # a pair is told in the first shard that both are in
-                met = np.zeros(len(u), bool)
-                for n in range(BANDS):
-                    codes = some[again[n // 2]].view(np.uint32).reshape(-1, 2)[:, n % 2]
-                    met |= (n < some["choice"][u]) & (codes[u] == codes[v])
-                u, v = u[~met], v[~met]
-            u, v = some["node"][u], some["node"][v]
+            u, v = (some["node"][x] for x in candidates(group, some))
             # two that ask each other are told once
             both = np.unique(np.stack([np.minimum(u, v), np.maximum(u, v)], 1), axis=0)
             yield _pairs_of(both[:, 0].copy(), both[:, 1].copy())
 
-    read = [*held, "choice"] if again else held
-    return rows.select(*key, *held).repartition(*key).sortWithinPartitions(*key).mapInArrow(by_groups(key, read, pairs), "u long, v long").distinct()
+    def doubts(numbers: np.ndarray, found: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        """The texts that have candidates: those that ask in parts of a bounded number of shingles, and in each part those that they ask."""
+        for group, some in turns(numbers, found):
+            u, v = candidates(group, some)
+            if not len(u):
+                continue
+            asking = np.unique(u)
+            start = np.searchsorted(group[asking], group[asking])
+            before = np.r_[0, np.cumsum(some["size"][asking])]
+            part = np.zeros(len(group), np.int64)
+            part[asking] = (before[1:] - before[start]) // SET_BLOCK
+            ends = np.concatenate([np.stack([asking, part[asking], 0 * asking + 1, 0 * asking], 1), np.stack([v, part[u], 0 * v, 0 * v + 1], 1)])
+            places, which = np.unique(ends[:, :2], axis=0, return_inverse=True)
+            flags = np.zeros((len(places), 2), np.int64)
+            np.maximum.at(flags, which.ravel(), ends[:, 2:])
+            at = places[:, 0]
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(some[k][at]) for k in ("choice", "bits", "block")], pa.array(places[:, 1].copy()), pa.array(some["node"][at]), pa.array(flags[:, 0].copy()), pa.array(flags[:, 1].copy())],
+                ["choice", "bits", "block", "part", "node", "ask", "tree"],
+            )
+
+    def links(numbers: np.ndarray, found: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for group, some in turns(numbers, found):
+            u, v = candidates(group, some)
+            fine = similar_pairs(some["shingles"], u, v, similarity)
+            reach = stars(len(group), u[fine], v[fine])
+            linked = np.flatnonzero(reach != np.arange(len(group)))
+            yield _pairs_of(some["node"][linked], some["node"][reach[linked]])
+
+    dealt = rows.select(*key, *held).repartition(*key).sortWithinPartitions(*key)
+    if who != "all":
+        return confirmed(written(dealt.mapInArrow(by_groups(key, held, pairs), "u long, v long").distinct(), "candidates"), sets, similarity)
+    told = written(dealt.mapInArrow(by_groups(key, [*key, *held], doubts), "choice long, bits long, block long, part long, node long, ask long, tree long"), "doubts")
+    again_key = [*key, "part"]
+    whole = told.join(nodes.select("node", "label", "size", *columns, *codes), "node").join(sets, "node").select(*again_key, *held, "shingles")
+    return whole.repartition(*again_key).sortWithinPartitions(*again_key).mapInArrow(by_groups(again_key, ["choice", *held, "shingles"], links), "u long, v long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -443,15 +514,13 @@ def _similar(docs: DataFrame, similarity: float, width: int) -> tuple[DataFrame,
     few = F.broadcast(crowded) if crowded.count() <= BROADCAST_NODES else crowded
     nodes = written(distinct.drop("first_doc").join(few, "node", "left_semi"), "nodes")
     sets = written(marked.select("node", "shingles").join(few, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
-    asked = roots = None
+    roots = None
     for who, top in ROUNDS:
         labelled = nodes.withColumn("label", F.col("node")) if roots is None else nodes.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-        pairs = wide_links(labelled, wide_radius(similarity), similarity, who, top)
-        if pairs is None:
+        links = wide_links(labelled, sets, wide_radius(similarity), similarity, who, top)
+        if links is None:
             break
-        pairs = written(pairs if asked is None else pairs.join(asked, ["u", "v"], "left_anti"), "candidates")
-        asked = pairs if asked is None else asked.union(pairs)
-        new = written(confirmed(pairs, sets, similarity), "near")
+        new = written(links, "near")
         if not new.isEmpty():
             roots = connected_components(new) if roots is None else merged_roots(roots, new)
     if roots is None:

@@ -428,6 +428,50 @@ def test_groups_of_near_copies_in_blocks(spark, monkeypatch, rounds):
     assert {r.doc_id: r.component_id for r in simhash_bk.similar_documents(frame(spark, rows)).collect()} == {**{i: 0 for i in range(100)}, 100: 100}
 
 
+@pytest.mark.parametrize("shingles", [simhash_bk.SET_BLOCK, 5000])
+def test_candidates_of_a_large_group_stay_in_their_tasks(spark, monkeypatch, shingles):
+    """Texts of one family, most of them at a similarity of about 0.71: their pairs are candidates, and no table holds these."""
+    monkeypatch.setattr(simhash_bk, "SET_BLOCK", shingles)
+    rows_of, written = {}, simhash_bk.written
+
+    def counted(df, tag):
+        out = written(df, tag)
+        rows_of[tag] = max(rows_of.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(simhash_bk, "written", counted)
+    rng = random.Random(14)
+    base = [f"w{n}" for n in range(300)]
+    rows, sets = [], []
+    for i in range(400):
+        near = i % 10 == 9  # to the text before it
+        words = list(words if near else base)
+        for n in rng.sample(range(4, 296), 1 if near else 5):
+            words[n] = f"new{i}-{n}"
+        rows.append((i, " ".join(words)))
+        sets.append({tuple(words[n : n + 5]) for n in range(296)})
+    links = [(a, b) for a, b in itertools.combinations(range(400), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    least = list(range(400))
+    for _ in range(400):
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {r.doc_id: r.component_id for r in simhash_bk.similar_documents(frame(spark, rows)).collect()}
+    assert got == dict(enumerate(least)) and 1 < len(set(least)) < 400
+    if shingles > 5000:  # smaller parts meet the others of their group each
+        assert max(rows_of.values()) <= 60 * 400, rows_of
+
+
+def test_similar_pairs_of_sets(monkeypatch):
+    monkeypatch.setattr(simhash_bk, "SET_BLOCK", 100)
+    rng = np.random.default_rng(5)
+    sets = np.empty(60, object)
+    sets[:] = [np.unique(rng.integers(-50, 50, rng.integers(1, 90))) for _ in range(60)]
+    a, b = rng.integers(0, 60, (2, 800))
+    want = [len({*sets[x]} & {*sets[y]}) / len({*sets[x]} | {*sets[y]}) >= 0.4 for x, y in zip(a, b)]
+    assert 0 < sum(want) < 800 and simhash_bk.similar_pairs(sets, a, b, 0.4).tolist() == want
+    assert len(simhash_bk.similar_pairs(sets, a[:0], b[:0], 0.4)) == 0
+
+
 def test_fingerprints_equal_plain_counts():
     rng = np.random.default_rng(4)
     lists = [rng.integers(0, 2**64, n, np.uint64, endpoint=False) for n in (0, 1, 2, 254, 255, 256, 1000, 0)]
