@@ -7,6 +7,7 @@ from foliomill.operators import intake, retention
 from foliomill.operators import parts as pt
 from foliomill.plans import convert
 from foliomill.plans.convert import convert_corpus
+from foliomill.plans.derived import Derived
 from foliomill.shared import fresh_path
 from foliomill.sources import files, sinks
 from foliomill.streaming import alarms, state
@@ -296,3 +297,8 @@ def test_cheap_parts_are_called_in_groups_and_faults_cost_their_part_only():
     assert len(found) == 3000 and odd == {700: "lost", 900: "timed_out", 1100: "failure"}
     assert all(r[0].startswith(f"p{n} ") for n, r in enumerate(found) if n not in odd)
     assert sum(r[0].endswith("True") for r in found if r[0]) > 1000  # most were called in groups
+
+
+def test_jobs_join_hashes_and_no_texts(spark):
+    plan = Derived(spark, "/root/testdata/sf0.001").jobs._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.index("Join ") < plan.index("sha2(")
